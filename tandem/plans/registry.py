@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ["q_align", "q_sequence", "q_geometry", "q_evaluate"]
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -26,7 +28,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    for name in MODULES:
+        importlib.import_module(f"tandem.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
