@@ -124,7 +124,7 @@ def cross_correlation(df: DataFrame, by: list[str], a: str, b: str, lag: int, le
     left = df.filter(F.col(a).isNotNull()).select(*by, "frame", F.col(a).alias("x"))
     right = df.filter(F.col(b).isNotNull()).select(*by, F.col("frame").alias("f"), F.col(b).alias("y"), F.explode(F.sequence(F.lit(-lag), F.lit(lag))).alias("lag")).withColumn("frame", F.col("f") - F.col("lag"))
     flat = (F.stddev_pop("x") > 1e-9) & (F.stddev_pop("y") > 1e-9)
-    per = left.join(right, [*by, "frame"]).groupBy(*by, "lag").agg(F.when((F.count(F.lit(1)) >= least) & flat, F.corr("x", "y")).alias("r"))
+    per = left.join(right, [*by, "frame"]).groupBy(*by, "lag").agg(F.when((F.count(F.lit(1)) >= least) & flat, F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("r"))
     best = per.filter("r IS NOT NULL").groupBy(*by).agg(F.min(F.struct((-F.round("r", 9)).alias("m"), F.abs("lag").alias("s"), F.col("lag").alias("lag"))).alias("k"))
     return df.select(*by).distinct().join(best, by, "left").select(*by, (-F.col("k.m")).alias("r"), F.col("k.lag").alias("lag"))
 
