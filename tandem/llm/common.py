@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +71,19 @@ def _powers(n: int) -> np.ndarray:
     return _POW
 
 
+def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about `most` characters together, one text at least: what is worked on at once."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if k > start and size + n > most:
+            yield start, k
+            start, size = k, 0
+        size += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the ASCII-lower-cased words of all texts, one after the other, and the texts' offsets in them.
 
@@ -85,11 +99,12 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(blobs) + 1, np.int64)
     # the sum over a word of byte x power, the power restarting in each word
-    at = np.arange(len(raw), dtype=np.int64)
-    first = np.repeat(starts, lens)
     inside = ~gap
-    pos = at[inside] - first
-    terms = (low[inside].astype(np.uint64) + np.uint64(1)) * _powers(int(lens.max()) + 1)[pos]
+    pos = np.flatnonzero(inside).astype(np.int32)
+    pos -= np.repeat(starts.astype(np.int32), lens)
+    terms = _powers(int(lens.max()) + 1)[pos]
+    del pos
+    terms *= low[inside].astype(np.uint64) + np.uint64(1)
     begin = np.concatenate(([0], np.cumsum(lens)[:-1]))
     sums = np.add.reduceat(terms, begin)
     hashes = mix64(sums + lens.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))

@@ -13,11 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, word_hashes
+from .common import chunks, materialize, mix64, word_hashes
 
 BUCKETS = 10_000
 #: Share of the rows that the draw keeps, and the pseudo-count of every bucket.
-SHARE, PRIOR = 0.8, 1.0
+SHARE, PRIOR = 0.85, 1.0
+#: Labelled documents that the target's model is counted on, at most.
+SAMPLE = 50_000
 #: Values that are sorted on the driver at the end of the search for the k-th largest.
 FEW = 5_000
 
@@ -38,8 +40,9 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                total += np.bincount(_grams(list(batch["text"][at : at + 500]))[0], minlength=BUCKETS)
+            texts = list(batch["text"])
+            for at, end in chunks(texts):
+                total += np.bincount(_grams(texts[at:end])[0], minlength=BUCKETS)
         yield pd.DataFrame({"bucket": np.arange(BUCKETS), "n": total})
 
     rows = docs.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
@@ -59,8 +62,8 @@ def log_weights(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch[at : at + 500]
+            for at, end in chunks(list(batch["text"])):
+                part = batch[at:end]
                 buckets, of = _grams(list(part["text"]))
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].astype("Int64").to_numpy(), "salt": part["salt"].to_numpy(),
@@ -99,6 +102,15 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float | None:
             above += b["n"]
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Documents labelled quality = 1, those with the least hash of their id, at most `sample` of them (whose ids are
+    broadcast, so that no text is shuffled)."""
+    ids = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    n = ids.count()
+    ids = ids.withColumn("order", F.xxhash64("doc_id")).filter(F.pmod("order", F.lit(1_000_000)) < min(1.0, 3 * sample / max(1, n)) * 1_000_000)
+    return docs.join(F.broadcast(ids.orderBy("order").limit(sample).select("doc_id")), "doc_id", "left_semi")
+
+
 def resample(docs: DataFrame, target: DataFrame, share: float = SHARE, temperature: float = 1.0, seed: int = 29) -> DataFrame:
     """doc_id, n_grams, log_weight, priority and kept of every document.
 

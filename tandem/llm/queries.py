@@ -68,8 +68,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    good = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
-    return importance.resample(docs, docs.join(good, "doc_id", "left_semi"))
+    return importance.resample(docs, importance.good_documents(docs, read(spark, sf_dir, "labels")))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
