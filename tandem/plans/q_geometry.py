@@ -14,7 +14,16 @@ from tandem.sources import fixtures as fx
 from .oracle import sql
 from .registry import query
 
-Q, P = g.cols("qx", "qy", "qz", "qw"), g.cols("x", "y", "z")
+
+
+def _q() -> list:
+    return g.cols("qx", "qy", "qz", "qw")
+
+
+def _p() -> list:
+    return g.cols("x", "y", "z")
+
+
 R9 = [f"r{i}{j}" for i in range(3) for j in range(3)]
 
 #: The rotation's entries in SQL.
@@ -32,12 +41,12 @@ def _round(*pairs: tuple) -> list:
 
 @query(sql("poses", _R + " SELECT recording_id, frame, " + ", ".join(f"round({n}, 6) AS {n}" for n in R9) + " FROM r"))
 def quaternion_to_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.poses(spark, sf_dir).select("recording_id", "frame", *_round(*zip(R9, g.rotation(Q), strict=True)))
+    return fx.poses(spark, sf_dir).select("recording_id", "frame", *_round(*zip(R9, g.rotation(_q()), strict=True)))
 
 
 @query(sql("poses", "SELECT recording_id, frame, CASE WHEN frame % 5 = 0 THEN ['not_orthonormal', 'not_right_handed'] WHEN frame % 5 = 1 THEN ['not_finite'] WHEN frame % 5 = 2 THEN ['not_right_handed'] ELSE [] END AS errors FROM poses"))
 def rigid_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    poses = fx.poses(spark, sf_dir).select("recording_id", "frame", *(c.alias(n) for n, c in zip(R9, g.rotation(Q), strict=True)))
+    poses = fx.poses(spark, sf_dir).select("recording_id", "frame", *(c.alias(n) for n, c in zip(R9, g.rotation(_q()), strict=True)))
     kind = F.col("frame") % 5
     bent = [F.when(kind == 0, 1.1 * F.col(n)).when((kind == 1) & F.lit(n == "r11"), F.lit(None)).when(kind == 2, -F.col(n)).otherwise(F.col(n)) for n in R9]
     return poses.select("recording_id", "frame", g.rigid_errors(bent).alias("errors"))
@@ -48,7 +57,7 @@ _LAG = "l AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w
 
 def _with_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("recording_id").orderBy("frame")
-    poses = fx.poses(spark, sf_dir).withColumns(dict(zip(R9, g.rotation(Q), strict=True)))
+    poses = fx.poses(spark, sf_dir).withColumns(dict(zip(R9, g.rotation(_q()), strict=True)))
     return poses.withColumns({f"p{c}": F.lag(c).over(w) for c in ["x", "y", "z", *R9]})
 
 
@@ -58,8 +67,8 @@ round(r00 * (px - x) + r10 * (py - y) + r20 * (pz - z), 6) AS dx, round(r01 * (p
 def transform_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The previous position as a device point into the world, and as a world point into the device."""
     r, p = g.cols(*R9), g.cols("px", "py", "pz")
-    back = g.inverse(r, P)
-    return _with_previous(spark, sf_dir).select("recording_id", "frame", F.col("px").isNotNull().alias("has_previous"), *_round(*zip(("wx", "wy", "wz"), g.applied(r, P, p), strict=True), *zip(("dx", "dy", "dz"), g.applied(*back, p), strict=True)))
+    back = g.inverse(r, _p())
+    return _with_previous(spark, sf_dir).select("recording_id", "frame", F.col("px").isNotNull().alias("has_previous"), *_round(*zip(("wx", "wy", "wz"), g.applied(r, _p(), p), strict=True), *zip(("dx", "dy", "dz"), g.applied(*back, p), strict=True)))
 
 
 @query(sql("poses", _R + ", " + _LAG + """, d AS (SELECT recording_id, frame,
@@ -76,7 +85,7 @@ round(sqrt((arg_max(x, frame) - arg_min(x, frame)) ** 2 + (arg_max(y, frame) - a
 round(max(x) - min(x), 6) AS extent_x, CASE WHEN count(step) = 0 THEN 'INSUFFICIENT_DATA' WHEN count(*) FILTER (step > 0.6) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM m GROUP BY recording_id"""))
 def qc_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps, path length, net displacement, extent and a status per trajectory."""
-    step = g.norm(g.minus(P, g.cols("px", "py", "pz")))
+    step = g.norm(g.minus(_p(), g.cols("px", "py", "pz")))
     ends = [F.max(F.struct("frame", c))[c] - F.min(F.struct("frame", c))[c] for c in ("x", "y", "z")]
     out = _with_previous(spark, sf_dir).withColumn("step", step).groupBy("recording_id").agg(
         F.count(F.lit(1)).alias("n_poses"), F.count("step").alias("n_steps"), F.round(F.max("step"), 6).alias("max_step"), F.count_if(F.col("step") > 0.6).alias("n_fast"),
@@ -93,7 +102,7 @@ def audit_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.when(F.col("vec_id") % 7 == 0, F.col("frame"))
     return fx.poses(spark, sf_dir).groupBy("recording_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("frame").alias("n_frames"), F.min("frame").cast("long").alias("first_frame"), F.max("frame").cast("long").alias("last_frame"),
-        F.round(F.max(F.abs(g.norm(Q) - 1)), 6).alias("max_norm_error"), F.round(F.min(F.struct("frame", "x"))["x"], 6).alias("first_x"), F.round(F.max(F.struct("frame", "x"))["x"], 6).alias("last_x"),
+        F.round(F.max(F.abs(g.norm(_q()) - 1)), 6).alias("max_norm_error"), F.round(F.min(F.struct("frame", "x"))["x"], 6).alias("first_x"), F.round(F.max(F.struct("frame", "x"))["x"], 6).alias("last_x"),
         F.count(bad).alias("n_invalid"), F.slice(F.sort_array(F.collect_list(bad)), 1, 10).cast("array<bigint>").alias("invalid"),
     )
 
@@ -112,7 +121,7 @@ a AS (SELECT *, CASE WHEN z > 0 THEN atan2(sqrt(x * x + y * y), z) / sqrt(x * x
 SELECT recording_id, frame, round(x * k + 320, 6) AS u, round(y * k + 240, 6) AS v, round(CASE WHEN z > 0 THEN x / z * 250 + 320 END, 6) AS pu, round(CASE WHEN z > 0 THEN y / z * 250 + 240 END, 6) AS pv FROM a"""))
 def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fisheye and pinhole pixels; null behind the camera."""
-    return fx.poses(spark, sf_dir).select("recording_id", "frame", *_round(*zip(("u", "v"), g.fisheye(P, 250, 320, 240), strict=True), *zip(("pu", "pv"), g.pinhole(P, 250, 320, 240), strict=True)))
+    return fx.poses(spark, sf_dir).select("recording_id", "frame", *_round(*zip(("u", "v"), g.fisheye(_p(), 250, 320, 240), strict=True), *zip(("pu", "pv"), g.pinhole(_p(), 250, 320, 240), strict=True)))
 
 
 @query(sql("poses", """
@@ -121,7 +130,7 @@ SELECT recording_id, count(*) AS n_tracked, count(u) AS n_evaluable, count(*) FI
 CASE WHEN count(u) = 0 THEN 'INSUFFICIENT_DATA' WHEN count(*) FILTER (u BETWEEN 0 AND 640 AND v BETWEEN 0 AND 480) >= 0.5 * count(u) THEN 'PASS' ELSE 'FAIL' END AS status FROM p GROUP BY 1"""))
 def projection_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points that were tracked, can be projected, and lie in the image."""
-    u, v = g.pinhole(P, 250, 320, 240)
+    u, v = g.pinhole(_p(), 250, 320, 240)
     inside = u.between(0, 640) & v.between(0, 480)
     out = fx.poses(spark, sf_dir).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_tracked"), F.count(u).alias("n_evaluable"), F.count_if(inside).alias("n_inside"))
     status = F.when(F.col("n_evaluable") == 0, "INSUFFICIENT_DATA").when(F.col("n_inside") >= 0.5 * F.col("n_evaluable"), "PASS").otherwise("FAIL")
@@ -133,7 +142,7 @@ a AS (SELECT p.recording_id, p.frame, degrees(acos(greatest(least(p.z / sqrt(p.x
 SELECT recording_id, round(quantile_cont(angle, 0.5), 6) AS median, round(avg(angle), 6) AS mean, round(count(*) FILTER (angle < 60) / count(*), 6) AS near FROM a GROUP BY 1"""))
 def gaze_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The angle of each direction to the camera axis: its median, mean and share under 60 degrees."""
-    angle = g.angle_degrees(P, [F.lit(0.0), F.lit(0.0), F.lit(1.0)])
+    angle = g.angle_degrees(_p(), [F.lit(0.0), F.lit(0.0), F.lit(1.0)])
     return fx.poses(spark, sf_dir).withColumn("angle", angle).groupBy("recording_id").agg(
         F.round(F.percentile("angle", F.lit(0.5)), 6).alias("median"), F.round(F.avg("angle"), 6).alias("mean"), F.round(F.count_if(F.col("angle") < 60) / F.count(F.lit(1)), 6).alias("near"))
 
