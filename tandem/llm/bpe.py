@@ -27,8 +27,8 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 #: The same for lower-case text whose characters all lie in the Latin blocks or the general punctuation.
 SIMPLE = re.compile(r"[\x00-\x1b\x20-\u017f\u2010-\u2027\u2030-\u205e]*")
 SIMPLE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^{SPACE}a-zªµºß-öø-ſ0-9²³¹¼-¾]+")
-#: Words kept with their ids, per worker.
-CACHE = 400_000
+#: Words, and tokens between blanks, kept with their ids in each worker (some 150 bytes each).
+CACHE = 150_000
 
 
 def byte_letters() -> list[str]:

@@ -29,7 +29,7 @@ FAMILIES = {
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 #: Labelled documents of each language that the models are fitted on.
-SAMPLE = 1000
+SAMPLE = 500
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -72,16 +72,18 @@ def features(text: str) -> np.ndarray:
 
 def fit_pair(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 200) -> np.ndarray:
     """Weights and bias of a linear support vector machine with squared hinge loss; y is -1 or 1. Both classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum()))
-    w, last, momentum = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
-    step = 1 / (1e-2 + 2 * cost * float(np.sum(weight * (x**2).sum(axis=1))))
+    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    y = y.astype(np.float32)
+    weight = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())).astype(np.float32)
+    w = last = np.zeros(x.shape[1], dtype=np.float32)
+    momentum = 1.0
+    step = 1 / (1e-2 + 2 * cost * float(np.sum(weight * np.einsum("ij,ij->i", x, x))))
     for _ in range(rounds):  # accelerated gradient descent
         slack = np.maximum(0, 1 - y * (x @ last))
-        fresh = last - step * (1e-2 * last - 2 * cost * (x.T @ (weight * y * slack)))
-        grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        last, w, momentum = fresh + (momentum - 1) / grown * (fresh - w), fresh, grown
-    return w
+        fresh = last - np.float32(step) * (np.float32(1e-2) * last - np.float32(2 * cost) * (x.T @ (weight * y * slack)))
+        grown = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+        last, w, momentum = fresh + np.float32((momentum - 1) / grown) * (fresh - w), fresh, grown
+    return w.astype(np.float64)
 
 
 def _scale(counts: np.ndarray) -> np.ndarray:
@@ -116,7 +118,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     rows = materialize(rows, "language-features")
 
     def total(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.sum([np.frombuffer(b, dtype=np.float32) for b in part["x"]], axis=0, dtype=np.float64)
+        x = np.zeros(DIM)
+        for b in part["x"]:
+            x += np.frombuffer(b, dtype=np.float32)
         return pd.DataFrame({"lang": [part["lang"].iloc[0]], "x": [x.tobytes()]})
 
     sums = {r["lang"]: np.frombuffer(r["x"]) for r in rows.groupBy("lang").applyInPandas(total, "lang string, x binary").collect()}
@@ -132,10 +136,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
 
         def machine(part: pd.DataFrame) -> pd.DataFrame:
             pair = part["pair"].iloc[0]
-            x = _scale(np.array([np.frombuffer(b, dtype=np.float32) for b in part["x"]], dtype=np.float64))
-            order = np.argsort([zlib.crc32(b) for b in part["x"]], kind="stable")
+            part = part.iloc[np.argsort([zlib.crc32(b) for b in part["x"]], kind="stable")]
+            x = _scale(np.array([np.frombuffer(b, dtype=np.float32) for b in part["x"]]))
             y = np.where(part["lang"].to_numpy() == pair.split(" ")[1], 1.0, -1.0)
-            return pd.DataFrame({"pair": [pair], "w": [fit_pair(x[order], y[order]).tobytes()]})
+            return pd.DataFrame({"pair": [pair], "w": [fit_pair(x, y).tobytes()]})
 
         for r in rows.join(F.broadcast(table), "lang").groupBy("pair").applyInPandas(machine, "pair string, w binary").collect():
             fitted[tuple(r["pair"].split(" "))] = np.frombuffer(r["w"])
