@@ -201,7 +201,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     chance = min(1.0, 3 * sample / max(1, n))
     known = known.withColumn("order", F.xxhash64("doc_id")).filter(F.pmod("order", F.lit(1_000_000)) < chance * 1_000_000)
     known = known.orderBy("order").limit(sample)
-    train = docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic", F.pmod("order", F.lit(2)).alias("fold"))
+    # at most `sample` rows of three numbers
+    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic", F.pmod("order", F.lit(2)).alias("fold"))
     train = train.filter("text IS NOT NULL")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
