@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import release
+
 #: White space as the normalizer's pattern has it; it only parts pieces, so that replacing it by a space changes nothing.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -28,7 +30,7 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 SIMPLE = re.compile(r"[\x00-\x1b\x20-\u017f\u2010-\u2027\u2030-\u205e]*")
 SIMPLE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^{SPACE}a-zªµºß-öø-ſ0-9²³¹¼-¾]+")
 #: Words, and tokens between blanks, kept with their ids in each worker (some 150 bytes each).
-CACHE = 150_000
+CACHE = 60_000
 
 
 def byte_letters() -> list[str]:
@@ -81,7 +83,7 @@ class WordBpe:
             self.size[i] = len(s)
         self.longest.make_automaton()
         self.shorter = self._shorter()
-        self.compatible = functools.lru_cache(maxsize=1 << 18)(self._compatible)
+        self.compatible = functools.lru_cache(maxsize=1 << 15)(self._compatible)
         table = sorted([*((i, t) for t, i in vocab.items()), *((i, t) for t, i in self.specials.items())])
         coded = [f"{t} ".encode() for _, t in table]
         n = table[-1][0] + 1
@@ -221,5 +223,6 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, 256)
                 ids = [bpe.encode(t.as_py()) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([bpe.decode(i) for i in ids], pa.binary())], ["doc_id", "ids", "decoded"])
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")

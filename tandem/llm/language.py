@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held, materialize, mix64
+from .common import held, materialize, mix64, release
 
 DIM = 4096
 #: Families of closely related languages; a language that is missing is a family of its own.
@@ -139,7 +139,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
             part = part.iloc[np.argsort([zlib.crc32(b) for b in part["x"]], kind="stable")]
             x = _scale(np.array([np.frombuffer(b, dtype=np.float32) for b in part["x"]]))
             y = np.where(part["lang"].to_numpy() == pair.split(" ")[1], 1.0, -1.0)
-            return pd.DataFrame({"pair": [pair], "w": [fit_pair(x, y).tobytes()]})
+            w = fit_pair(x, y).tobytes()
+            del x
+            release()
+            return pd.DataFrame({"pair": [pair], "w": [w]})
 
         for r in rows.join(F.broadcast(table), "lang").groupBy("pair").applyInPandas(machine, "pair string, w binary").collect():
             fitted[tuple(r["pair"].split(" "))] = np.frombuffer(r["w"])
@@ -180,7 +183,9 @@ def guesses(model: dict):
 
     @F.pandas_udf("lang_pred string, score double")
     def run(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([guess(model, t) for t in text], columns=["lang_pred", "score"])
+        out = pd.DataFrame([guess(model, t) for t in text], columns=["lang_pred", "score"])
+        release()
+        return out
 
     return run
 
