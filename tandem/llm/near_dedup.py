@@ -2,10 +2,13 @@
 
 A document's set is its distinct word shingles. Register i keeps the least of all elements' i-th hashes as a truncated
 exponent on a fine exponential scale; registers of a union are the larger ones of both. Equal sets become one node. Nodes
-that agree on all registers of a band meet in a bucket. In a bucket each is first paired with two leaders only; pairs whose
-similarity, estimated from all registers by maximum likelihood, may reach the threshold are verified on their full sets, and
-links make components. Only where a bucket still holds several components are their members paired with each other, so that
-a large group of copies never gives all its pairs, and no link that would join two components is missed.
+that agree on all registers of a band meet in a bucket. In a bucket each is first paired with two leaders only: the node
+that has most company in its buckets (an original has more than its copies), and any other. Pairs whose similarity,
+estimated from all registers by maximum likelihood, may reach the threshold are verified on their full sets, and links make
+components. This is done again, with other leaders in every bucket, where a bucket still holds several components. Only of
+the buckets that are left after that are members of different components paired with each other, if two bits of each of 1024
+registers allow it; so a large group of copies never gives all its pairs, and no link that would join two components is
+missed.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, word_hashes
+from .common import chunks, materialize, mix64, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and registers in each: a pair at the threshold of 0.8 shares no bucket with a chance of 5e-8.
@@ -29,8 +32,11 @@ SLACK = 0.2
 _M = BANDS * ROWS
 _XOR = mix64(np.arange(1, _M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MUL = mix64(np.arange(1001, 1001 + _M, dtype=np.uint64)) | np.uint64(1)
-#: A second order of nodes.
-OTHER = 0x5DEECE66D1234567
+#: Rounds with leaders: from the second on the other leader is another one in every bucket.
+ROUNDS = 3
+#: Lanes of two bits in the sketch of the nodes that are left after the rounds, and integers that hold them.
+LANES = 1024
+LONG = LANES // 32
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -82,8 +88,8 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         power = mix64(np.arange(1, _M + 1, dtype=np.uint64) + np.uint64(1 << 40)) | np.uint64(1)
         for batch in batches:
-            for at in range(0, len(batch), 400):
-                part = batch[at : at + 400]
+            for at, end in chunks(list(batch["text"])):
+                part = batch[at:end]
                 sets = shingle_sets(list(part["text"]), words)
                 full = [k for k, s in enumerate(sets) if len(s)]
                 node = np.zeros(len(sets), dtype=object)
@@ -121,7 +127,8 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets are similar enough. nodes: node, doc_id, n, registers."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (similarity - 1e-9))
+    close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (similarity - 1e-9)
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(close)
 
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -136,8 +143,8 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, simi
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 400):
-                part = batch[at : at + 400]
+            for at, end in chunks(list(batch["text"])):
+                part = batch[at:end]
                 made = shingle_sets(list(part["text"]), words)
                 ok = [k for k, (s, n) in enumerate(zip(made, part["node"], strict=True)) if node_of(s) == n]
                 yield pd.DataFrame({"node": part["node"].to_numpy()[ok], "elements": [made[k].tobytes() for k in ok]})
@@ -172,6 +179,65 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "root")
 
 
+def _several(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """The buckets that hold several components: bucket, node, company (of the bucket), root."""
+    rooted = met.select("bucket", "node", "company").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    return rooted.join(several, "bucket")
+
+
+def _stars(met: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each node with the two leaders of each of its buckets, if of another component."""
+    score = met.groupBy("node").agg(F.sum("company").alias("score"))
+    ranked = met.join(score, "node")
+    mixed = F.xxhash64(F.lit(turn), "node", "bucket") if turn else F.xxhash64("node")
+    best = F.max(F.struct("score", "node", "root"))
+    any_one = F.min(F.struct(mixed.alias("mixed"), "node", "root"))
+    leaders = ranked.groupBy("bucket").agg(best.alias("x"), any_one.alias("y")).select("bucket", F.explode(F.array(F.struct("x.node", "x.root"), F.struct("y.node", "y.root"))).alias("leader"))
+    pairs = met.join(leaders.distinct(), "bucket").filter("root <> leader.root")
+    return pairs.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
+
+
+def long_sketches(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node and s0..: LANES lanes of two bits from as many least hashes of each node's set. nodes: node, doc_id."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        xor = mix64(np.arange(1 << 32, (1 << 32) + LANES, dtype=np.uint64))
+        mul = mix64(np.arange(1 << 33, (1 << 33) + LANES, dtype=np.uint64)) | np.uint64(1)
+        for batch in batches:
+            for at, end in chunks(list(batch["text"])):
+                part = batch[at:end]
+                made = shingle_sets(list(part["text"]), words)
+                ok = [k for k, (x, n) in enumerate(zip(made, part["node"], strict=True)) if node_of(x) == n]
+                if not ok:
+                    continue
+                joined = np.concatenate([made[k] for k in ok])
+                starts = np.concatenate(([0], np.cumsum([len(made[k]) for k in ok])[:-1]))
+                lanes = np.empty((len(ok), LANES), dtype=np.uint64)
+                with np.errstate(over="ignore"):
+                    for i in range(LANES):
+                        lanes[:, i] = mix64(np.minimum.reduceat((joined ^ xor[i]) * mul[i], starts)) >> np.uint64(62)
+                packed = (lanes.reshape(len(ok), LONG, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).view(np.int64)
+                yield pd.DataFrame({"node": part["node"].to_numpy()[ok], "sketch": list(packed)})
+
+    texts = docs.select(F.col("doc_id").alias("id"), "text").filter("text IS NOT NULL")
+    found = texts.join(nodes, F.expr("id <=> doc_id")).select("node", "text").mapInPandas(run, "node long, sketch array<long>").dropDuplicates(["node"])
+    return found.select("node", *(F.col("sketch")[k].alias(f"s{k}") for k in range(LONG)))
+
+
+def _across(rest: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs of nodes of different components in a bucket whose sizes and sketches allow the similarity.
+
+    Lanes of two bits agree with a chance of s + (1 - s) / 4 at similarity s; over five standard deviations are allowed for.
+    """
+    chance = similarity + (1 - similarity) / 4
+    least = int(LANES * chance - 5.5 * (LANES * chance * (1 - chance)) ** 0.5)
+    odd = 0x5555555555555555
+    differ = " + ".join(f"bit_count(((x.s{k} ^ y.s{k}) | shiftrightunsigned(x.s{k} ^ y.s{k}, 1)) & {odd}L)" for k in range(LONG))
+    allowed = f"x.bucket = y.bucket AND x.node < y.node AND x.root <> y.root AND least(x.n, y.n) >= greatest(x.n, y.n) * {similarity - 1e-9} AND {differ} <= {LANES - least}"
+    return rest.alias("x").join(rest.alias("y"), F.expr(allowed)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links lead to) and kept (doc_id = component_id).
 
@@ -181,23 +247,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     """
     found = materialize(signatures(docs, words), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("n_shingles").alias("n"), "registers", "bands")).alias("x")
-    nodes = materialize(found.filter("node IS NOT NULL").groupBy("node").agg(least).select("node", "x.doc_id", "x.n", "x.registers", "x.bands"), "nodes")
+    nodes = found.filter("node IS NOT NULL").groupBy("node").agg(least).select("node", "x.doc_id", "x.n", "x.registers", "x.bands")
+    nodes = materialize(nodes, "nodes")
     members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    other = lambda c: F.col(c).bitwiseXOR(F.lit(OTHER))
-    leaders = members.groupBy("bucket").agg(F.min("node").alias("first"), F.min(other("node")).alias("second"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    met = materialize(members.join(leaders, "bucket"), "buckets")
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = met.select("node", F.explode(F.array(F.col("first"), other("second"))).alias("leader")).filter("node <> leader").select(*ordered("node", "leader")).distinct()
-    stars = materialize(stars, "stars")
-    links = materialize(verify(stars, nodes, docs, words, similarity), "links")
-    roots = components(links)
-    # buckets that hold several components still
-    rooted = met.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    rest = materialize(rooted.join(several, "bucket"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, F.expr("x.bucket = y.bucket AND x.node < y.node AND x.root <> y.root")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = materialize(verify(pairs.join(stars, ["a", "b"], "left_anti"), nodes, docs, words, similarity), "links")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("company")).filter("company > 1")
+    met = materialize(members.join(sizes, "bucket"), "buckets")
+    roots = nodes.select("node", F.col("node").alias("root")).limit(0)
+    links = tried = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for turn in range(ROUNDS):
+        met = materialize(_several(met, roots), "buckets")
+        stars = _stars(met, turn).join(tried, ["a", "b"], "left_anti")
+        stars = materialize(stars, "stars")
+        tried = tried.unionByName(stars)
+        links = links.unionByName(materialize(verify(stars, nodes, docs, words, similarity), "links"))
+        roots = components(links)
+    rest = materialize(_several(met, roots), "rest")
+    own = nodes.select("node", "doc_id", "n").join(rest.select("node").distinct(), "node", "left_semi")
+    sketches = materialize(long_sketches(own.select("node", "doc_id"), docs, words), "sketches")
+    pairs = _across(rest.join(own.select("node", "n"), "node").join(sketches, "node"), similarity).join(tried, ["a", "b"], "left_anti")
+    more = materialize(verify(pairs, nodes, docs, words, similarity), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     rows = found.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
