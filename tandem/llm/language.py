@@ -28,7 +28,7 @@ FAMILIES = {
     "indic": ["bn", "gu", "hi", "mr", "ne", "pa", "ur"],
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-#: Labelled documents of each language that the models are fitted on.
+#: Different labelled texts of each language that the models are fitted on.
 SAMPLE = 500
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -91,30 +91,41 @@ def _scale(counts: np.ndarray) -> np.ndarray:
     return x / np.maximum(1e-9, np.linalg.norm(x, axis=-1, keepdims=True))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    """The models, from text and lang of the given documents: naive Bayes of the families, and a machine per pair.
+def training_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], DataFrame]:
+    """The languages, and lang and text of at most `sample` different texts of each: those with the least hash.
 
-    At most `sample` documents of each language are taken, those with the least hash of their text; their features stay in
-    the tasks that fit a pair, and only sums and weights come to the driver. Null texts and languages and texts without a
-    letter teach nothing.
+    Copies count once: shares and ranks are of the different texts. Null texts and languages and texts without a letter
+    teach nothing.
     """
-    usable = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("order"))
+    usable = docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("order"))
+    keys = materialize(usable.select("lang", "order").distinct(), "language-keys")
     # a first, coarse choice by the hash keeps the exact one small
-    n = dict(usable.groupBy("lang").count().collect())
+    n = dict(keys.groupBy("lang").count().collect())
     if not n:
-        return {"langs": [], "families": {}, "pairs": {}}
+        return [], usable.select("lang", "text")
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 3 * sample / v))) for k, v in n.items()), F.lit(1.0))
-    usable = usable.filter(F.pmod("order", F.lit(1_000_000)) < share * 1_000_000)
+    keys = keys.filter(F.pmod("order", F.lit(1_000_000)) < share * 1_000_000)
     w = Window.partitionBy("lang").orderBy("order")
-    usable = usable.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= sample).filter(F.col("text").rlike(r"\p{L}"))
-    langs = sorted(n)
+    keys = keys.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= sample).drop("rank")
+    return sorted(n), usable.join(F.broadcast(keys), ["lang", "order"]).groupBy("lang", "order").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
+    """The models, from text and lang of the given documents: naive Bayes of the families, and a machine per pair.
+
+    They learn from `training_sample`; its features stay in the tasks that fit a pair, and only sums and weights come to the
+    driver.
+    """
+    langs, usable = training_sample(docs, sample)
+    if not langs:
+        return {"langs": [], "families": {}, "pairs": {}}
     family = {k: FAMILY_OF.get(k, f"own:{k}") for k in langs}
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"lang": batch["lang"], "x": [features(t).astype(np.float32).tobytes() for t in batch["text"]]})
 
-    rows = usable.select("lang", "text").mapInPandas(vectors, "lang string, x binary")
+    rows = usable.mapInPandas(vectors, "lang string, x binary")
     rows = materialize(rows, "language-features")
 
     def total(part: pd.DataFrame) -> pd.DataFrame:

@@ -168,6 +168,24 @@ def test_language_is_told_apart(make, odd, none):
     assert language.label(none).count() == 0
 
 
+def test_copies_count_once_in_the_training_sample(spark, make):
+    rng = random.Random(18)
+    texts = [text_of(rng, 12) for _ in range(200)]
+    order = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t)").collect()}
+    # fr: 2 texts of 400 copies that a share of the rows (15 of 800) passes over; en: the least hash has 60 copies
+    few = [t for t in texts if order[t] % 1_000_000 >= 100_000][:2]
+    many = sorted(set(texts) - set(few), key=order.get)
+    rows = [(t, "fr") for t in few * 400] + [(t, "en") for t in many + many[:1] * 60] + [(None, "en"), ("12 !", "de"), ("one", None)]
+    docs = make([t for t, _ in rows], langs=[g for _, g in rows])
+    model = language.fit(docs, 5)
+    assert model["langs"] == ["en", "fr"] and language.guess(model, few[0])[0] == "fr"
+    langs, sample = language.training_sample(docs, 5)
+    got = sorted((r["lang"], r["text"]) for r in sample.collect())
+    passed = [t for t in many if order[t] % 1_000_000 < 15 / len(many) * 1_000_000]
+    assert langs == ["en", "fr"] and len(passed) >= 5
+    assert got == sorted([("fr", t) for t in few] + [("en", t) for t in passed[:5]])
+
+
 # 5 url filters
 
 
