@@ -2,7 +2,9 @@
 
 A language's reference is two histograms over all its documents: of character classes, and of its commonest short words
 with one bin for all others. A document is dropped when a base rule fails or when a Jensen-Shannon distance (base 2, 0 to 1)
-to the reference is over its limit, provided it is long enough for the histogram to mean something.
+to the reference is over its limit, provided it is long enough for the histogram to mean something. As all words that are not
+common share a bin, a text without any common word is only about half of the way to 1; so the share of common words alone
+has a distance of its own, told in parts of the distance that such a text has.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ MIN_WORDS, REPEAT_SHARE = 50, 0.5
 #: Character classes, in the order of the histogram.
 CLASSES = ["lower", "upper", "other letter", "digit", "space", "newline", "end mark", "comma", "quote", "symbol", "other mark", "other"]
 COMMON, LONGEST_COMMON = 100, 5
-#: Least letters and marks, and least words, for which a distance counts; and the largest distances of a kept document.
+#: Least characters that are no white space, and least words, for which a distance counts; and the largest distances of a
+#: kept document.
 MIN_CHARS, MIN_COUNTED_WORDS = 200, 50
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.35, 0.75
+#: The same for the share of common words, and the standard deviations that a count of them may be off by chance.
+MAX_COMMON_DISTANCE, CHANCE = 0.5, 4.0
 #: A language has a reference of its own if its name has this form (so there are 18 278 at most) and enough words.
 LANG, POOLED, MIN_REFERENCE_WORDS = r"^[a-z]{1,3}$", "*", 20_000
 
@@ -159,12 +164,21 @@ def distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, (part(p) + part(q)) / 2)))
 
 
+def common_distance(n_common: float, n: float, share: float) -> float | None:
+    """Distance of n_common common words among n to a reference's share of them, 1 for a text that has none; null where
+    chance explains the number."""
+    if abs(n_common - n * share) <= CHANCE * np.sqrt(n * share * (1 - share)):
+        return None
+    ref = np.array([share, 1 - share])
+    return distance(np.array([n_common, n - n_common]), ref) / distance(np.array([0.0, 1.0]), ref)
+
+
 def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-    """doc_id, the base counts, base_failed, class_distance, word_distance and kept of every whole text.
+    """doc_id, the base counts, base_failed, class_distance, word_distance, common_distance and kept of every whole text.
 
     A document is held against the reference of its `lang`; without one (null or unknown too) against the pooled one. Null
     and empty texts have counts of 0 and fail the base rules. Distances of texts under the minimum lengths are null and
-    don't count. Repeated rows give repeated rows; other columns are not carried. The references are bounded by the form of
+    don't count; nor does common_distance where chance explains the number of common words. Repeated rows give repeated rows; other columns are not carried. The references are bounded by the form of
     a language's name, so they go to the tasks as they are.
     """
     known = {}
@@ -182,20 +196,21 @@ def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
                 row["base_failed"] = row["n_words"] < MIN_WORDS or 100 * row["n_repeat_words"] > 100 * REPEAT_SHARE * row["n_words"]
                 ref, index, shares = known.get(lang, fallback)
                 hist = classes(text or "")
-                row["class_distance"] = distance(hist, ref) if hist[:4].sum() >= MIN_CHARS else None
+                row["class_distance"] = distance(hist, ref) if hist.sum() - hist[4:6].sum() >= MIN_CHARS else None
                 own = np.zeros(len(shares))
                 for w, c in Counter(_short(words)).items():
                     own[index.get(w, -1)] += c
                 own[-1] += len(words) - own.sum()
                 row["word_distance"] = distance(own, shares) if len(words) >= MIN_COUNTED_WORDS else None
+                row["common_distance"] = common_distance(own[:-1].sum(), len(words), shares[:-1].sum()) if len(words) >= MIN_COUNTED_WORDS else None
                 rows.append({"doc_id": doc_id, **row})
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({"doc_id": "Int64", "class_distance": "float64", "word_distance": "float64"})
+            yield pd.DataFrame(rows, columns=COLUMNS).astype({"doc_id": "Int64", "class_distance": "float64", "word_distance": "float64", "common_distance": "float64"})
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double"
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, common_distance double"
     out = docs.select("doc_id", "lang", "text").mapInPandas(run, schema)
-    out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("class_distance", "word_distance")})
-    far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE)
+    out = out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("class_distance", "word_distance", "common_distance")})
+    far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MAX_WORD_DISTANCE) | (F.coalesce("common_distance", F.lit(0.0)) > MAX_COMMON_DISTANCE)
     return out.withColumn("kept", ~F.col("base_failed") & ~far)
 
 
-COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance"]
+COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "common_distance"]

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, known answers and odd tables."""
 
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -150,6 +151,18 @@ def test_divergent_text_is_dropped(make):
     assert not got[300][0] and all(got[k][0] for k in range(300))
 
 
+def test_symbols_and_foreign_words_are_dropped(make):
+    rng = random.Random(17)
+    common, foreign = (["".join(x) for x in itertools.islice(itertools.product(letters, repeat=3), 100)] for letters in ("abcde", "vwxyz"))
+    prose = lambda small, letters, n: " ".join(rng.choice(small) if rng.random() < 0.4 else "".join(rng.choice(letters) for _ in range(rng.randrange(6, 9))) for _ in range(n))
+    symbols = " ".join("".join(rng.choice("#$%&|<>*!?;:()-") for _ in range(6)) for _ in range(120))
+    texts = [prose(common, "abcdefghij", 120) for _ in range(300)] + [symbols, prose(foreign, "abcdefghij", 120), prose(foreign, "abcdefghij", 50), prose(common, "abcdefghij", 50), symbols[:340]]
+    got = by(quality_rules.judge(make(texts)), "doc_id", "kept", "class_distance", "word_distance", "common_distance", "base_failed")
+    assert all(got[k][0] for k in [*range(300), 303]) and not any(got[k][0] or got[k][4] for k in (301, 302, 300))
+    assert got[300][1] > quality_rules.MAX_CLASS_DISTANCE and got[304][1] > quality_rules.MAX_CLASS_DISTANCE
+    assert all(got[k][3] == pytest.approx(1) and got[k][2] < quality_rules.MAX_WORD_DISTANCE for k in (301, 302))
+
+
 # 4 language
 
 
