@@ -16,3 +16,9 @@ def test_every_sample_is_placed_or_has_a_reason(spark):
     out = registry.queries()["to_world_all"](spark, DATA)
     assert out.count() == fx.samples(spark, DATA).count()
     assert {r["status"] for r in out.select("status").distinct().collect()} >= {"no_samples"}
+
+
+def test_every_frame_that_all_offsets_cover_is_a_target(spark):
+    out = registry.queries()["offset_search_all"](spark, DATA).collect()
+    n = fx.vectors(spark, DATA).count()
+    assert {r["offset"]: r["n"] for r in out} == {k: n - 10 for k in range(-5, 6)}
