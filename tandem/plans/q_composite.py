@@ -142,6 +142,15 @@ def select_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bk.select_required(f, f.filter("doc_id % 10 = 0").select("path").unionByName(extra))
 
 
+@query("""WITH r(path) AS (SELECT source || '/' || doc_id FROM documents UNION ALL SELECT 'extra/' || doc_id FROM documents WHERE doc_id % 50 = 0)
+SELECT r.path, d.n_chars AS size, d.n_chars IS NOT NULL AS present FROM r LEFT JOIN documents d ON r.path = d.source || '/' || d.doc_id""")
+def select_required_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's path is asked for, and some that are missing."""
+    f = fx.files(spark, sf_dir)
+    extra = f.filter("doc_id % 50 = 0").select(F.concat(F.lit("extra/"), F.col("doc_id").cast("string")).alias("path"))
+    return bk.select_required(f, f.select("path").unionByName(extra))
+
+
 @query(sql("words", """t AS (SELECT recording_id, turn, min(start) AS s, max("end") AS e FROM words GROUP BY ALL), x AS (SELECT a.recording_id, a.turn AS a, b.turn AS b FROM t a JOIN t b ON a.recording_id = b.recording_id AND a.turn < b.turn AND least(a.e, b.e) > greatest(a.s, b.s))
 SELECT recording_id, count(*) AS n_overlaps FROM x GROUP BY 1"""))
 def talk_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,3 +22,9 @@ def test_every_frame_that_all_offsets_cover_is_a_target(spark):
     out = registry.queries()["offset_search_all"](spark, DATA).collect()
     n = fx.vectors(spark, DATA).count()
     assert {r["offset"]: r["n"] for r in out} == {k: n - 10 for k in range(-5, 6)}
+
+
+def test_no_chunk_and_no_document_is_on_neither_side(spark):
+    sides = registry.queries()["match_sessions_all"](spark, DATA).selectExpr("a_id % 3 AS a", "b_id % 3 AS b").distinct().collect()
+    assert {r["a"] for r in sides} == {r["b"] for r in sides} == {0, 1, 2}
+    assert registry.queries()["select_required_all"](spark, DATA).filter("present").count() == fx.files(spark, DATA).count()
