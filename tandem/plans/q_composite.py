@@ -134,6 +134,19 @@ def speech_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.trailing_count(counts, SERIES, "n", 3).select(*SERIES, "frame", "trailing")
 
 
+@query(sql("words", r"""f AS (SELECT recording_id, role, start // 10 AS frame, count(*) AS n FROM words GROUP BY ALL), e AS (SELECT recording_id, max(frame) AS last FROM f GROUP BY 1),
+g AS (SELECT recording_id, role, unnest(range(CAST(last AS BIGINT) + 1)) AS frame FROM (SELECT DISTINCT recording_id, role FROM words) JOIN e USING (recording_id)),
+c AS (SELECT g.recording_id, g.role, g.frame, coalesce(f.n, 0) AS n FROM g LEFT JOIN f USING (recording_id, role, frame))
+SELECT recording_id, role, frame, CAST(sum(n) OVER (PARTITION BY recording_id, role ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS trailing FROM c"""))
+def speech_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words begun in the last three seconds, per speaker, up to the recording's last frame with a word."""
+    w = fx.words(spark, sf_dir).withColumn("frame", F.expr("start div 10"))
+    last = w.groupBy("recording_id").agg(F.max("frame").alias("last"))
+    grid = w.select("recording_id", "role").distinct().join(last, "recording_id").select("recording_id", "role", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last").cast("bigint"))).alias("frame"))
+    counts = grid.join(w.groupBy("recording_id", "role", "frame").agg(F.count(F.lit(1)).alias("n")), ["recording_id", "role", "frame"], "left")
+    return seq.trailing_count(counts, SERIES, "n", 3).select(*SERIES, "frame", "trailing")
+
+
 @query("""WITH r(path) AS (SELECT source || '/' || doc_id FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'extra/' || doc_id FROM documents WHERE doc_id % 50 = 0)
 SELECT r.path, d.n_chars AS size, d.n_chars IS NOT NULL AS present FROM r LEFT JOIN documents d ON r.path = d.source || '/' || d.doc_id""")
 def select_required(spark: SparkSession, sf_dir: str) -> DataFrame:

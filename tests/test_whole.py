@@ -28,3 +28,10 @@ def test_no_chunk_and_no_document_is_on_neither_side(spark):
     sides = registry.queries()["match_sessions_all"](spark, DATA).selectExpr("a_id % 3 AS a", "b_id % 3 AS b").distinct().collect()
     assert {r["a"] for r in sides} == {r["b"] for r in sides} == {0, 1, 2}
     assert registry.queries()["select_required_all"](spark, DATA).filter("present").count() == fx.files(spark, DATA).count()
+
+
+def test_every_recording_is_followed_to_its_last_word(spark):
+    out = registry.queries()["speech_window_all"](spark, DATA)
+    words = fx.words(spark, DATA).selectExpr("recording_id", "start div 10 AS frame")
+    ends = lambda df: {r[0]: r[1] for r in df.groupBy("recording_id").agg({"frame": "max"}).collect()}
+    assert ends(out) == ends(words)
