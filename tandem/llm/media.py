@@ -94,9 +94,9 @@ def _hann(n: int) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel energies of overlapped frames, and the frames' loudness in dB. Short signals are padded to one frame."""
-    if len(x) < FRAME:
-        x = np.concatenate([x, np.zeros(FRAME - len(x))])
+    """Log-mel energies of overlapped frames, and the frames' loudness in dB. Signals are padded with zeros to one frame, or
+    to the next full hop, so that the last frame covers the last sample."""
+    x = np.concatenate([x, np.zeros(FRAME - len(x) if len(x) < FRAME else -(len(x) - FRAME) % HOP)])
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     power = np.empty((len(frames), FRAME // 2 + 1))
     for at in range(0, len(frames), 1024):  # bounded memory for very long signals

@@ -339,6 +339,21 @@ def test_resampling_keeps_a_tone():
         assert len(y) == -(-4000 * up // down) and np.abs(y - want)[50:-50].max() < 0.02
 
 
+@pytest.mark.parametrize("n", [96, 256, 257, 384, 480, 511])
+def test_frames_cover_the_last_sample(n):
+    x = np.random.default_rng(n).normal(size=n)
+    changed = x.copy()
+    changed[-40:] += 3
+    mel, loud = media.log_mel(x, 4000)
+    assert len(mel) == len(loud) == max(1, -(-(n - media.FRAME) // media.HOP) + 1)
+    assert not np.allclose(mel[-1], media.log_mel(changed, 4000)[0][-1])
+
+
+def test_payloads_that_differ_at_the_end_have_other_energies():
+    mel = [media.log_mel(media.resample(np.frombuffer(bytes(800) + tail * 160, dtype=np.uint8).astype(float)), 4000)[0] for tail in (b"a", b"z")]
+    assert mel[0].shape == (3, media.MELS) and not np.allclose(mel[0], mel[1])
+
+
 def test_hysteresis():
     loud = np.array([0, 5, 0, -2, -4, 0, 5, 5, -4, -4.0])
     assert media.segments(loud - np.median(loud), 4, -3) == [(1, 4), (6, 8)]
