@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import merge
+
 
 def per_series(df: DataFrame, by: list[str], fn, schema: str) -> DataFrame:
     """fn (pandas to pandas) over every series."""
@@ -22,76 +24,68 @@ def value_runs(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def label_hysteresis(df: DataFrame, by: list[str], label: str, start: int, end: int, schema: str) -> DataFrame:
-    """Held labels as events: a label is grasped once it has been there for `start` frames (dated back to its first one) and
-    released once something else has been there for `end` frames (dated back too). schema: the by columns' types."""
+    """Held labels as spans: by, label, start and end (null while still held).
+
+    A label is grasped by a run of `start` frames and released by one run of another label, or of none, of `end` frames;
+    both are dated back to the first frame of that run, which may do both. Shorter runs change nothing, whatever their sum.
+    schema: the by columns' types.
+    """
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part, out = part.sort_values("start"), []
-        held, away, away_from = None, 0, None
-        for r in part.itertuples(index=False):
+        held, since, out = None, None, []
+        for r in part.sort_values("start").itertuples(index=False):
             value = getattr(r, label)
             value = None if pd.isna(value) else value
-            if value == held and held is not None:
-                away, away_from = 0, None
-                continue
-            if held is not None:
-                away, away_from = away + r.n, r.start if away_from is None else away_from
-                if away >= end:
-                    out.append(("release", held, int(away_from)))
-                    held, away, away_from = None, 0, None
+            if held is not None and value != held and r.n >= end:
+                out.append((held, since, int(r.start)))
+                held = None
             if held is None and value is not None and r.n >= start:
-                out.append(("grasp", value, int(r.start)))
-                held = value
+                held, since = value, int(r.start)
+        if held is not None:
+            out.append((held, since, None))
         key = {c: [part[c].iloc[0]] * len(out) for c in by}
-        return pd.DataFrame({**key, "kind": pd.Series([x[0] for x in out], dtype=object), label: pd.Series([x[1] for x in out], dtype=object), "frame": [x[2] for x in out]})
-
-    return per_series(value_runs(df, by, label), by, fold, f"{schema}, kind string, {label} string, frame long")
+        ends = pd.array([x[2] for x in out], dtype="Int64")
+        return pd.DataFrame({**key, label: pd.Series([x[0] for x in out], dtype=object), "start": pd.array([x[1] for x in out], dtype="Int64"), "end": ends})
 
+    return per_series(value_runs(df, by, label), by, fold, f"{schema}, {label} string, start long, end long")
 
-def prob_hysteresis(df: DataFrame, by: list[str], high: float, low: float, on: int, off: int, schema: str) -> DataFrame:
-    """Intervals of a probability p: one opens after `on` frames at or over `high` and closes before the first of `off` frames
-    under `low`; what is open at the end closes there."""
-    level = F.when(F.col("p") >= high, "h").when(F.col("p") < low, "l").otherwise("m")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part, out = part.sort_values("start"), []
-        opened, highs, lows, high_from, low_from, last = None, 0, 0, None, None, None
-        for r in part.itertuples(index=False):
-            last = r.end
-            if r.level == "h":
-                high_from = r.start if highs == 0 else high_from
-                highs, lows = highs + r.n, 0
-            elif r.level == "l":
-                low_from = r.start if lows == 0 else low_from
-                lows, highs = lows + r.n, 0
-            else:
-                highs = lows = 0
-            if opened is None and highs >= on:
-                opened, lows = high_from, 0
-            elif opened is not None and lows >= off:
-                out.append((int(opened), int(low_from) - 1))
-                opened = None
-        if opened is not None:
-            out.append((int(opened), int(last)))
-        key = {c: [part[c].iloc[0]] * len(out) for c in by}
-        return pd.DataFrame({**key, "start": [x[0] for x in out], "end": [x[1] for x in out]})
+def contact_events(spans: DataFrame, by: list[str], label: str) -> DataFrame:
+    """Grasp and release events (kind, label, frame) of held spans."""
+    sides = F.array(F.struct(F.lit("grasp").alias("kind"), F.col("start").alias("frame")), F.struct(F.lit("release").alias("kind"), F.col("end").alias("frame")))
+    return spans.select(*by, label, F.explode(sides).alias("e")).select(*by, "e.kind", label, "e.frame").filter("frame IS NOT NULL")
 
-    return per_series(value_runs(df.withColumn("level", level), by, "level"), by, fold, f"{schema}, start long, end long")
 
+def prob_hysteresis(df: DataFrame, by: list[str], high: float, low: float, on: int, off: int) -> DataFrame:
+    """Intervals (start, end, both included) of a probability p: one opens where p is over `high` for `on` frames and closes
+    before the first of `off` frames under `low`; what is open at the series' end closes there. A null p is neither.
 
-def pair_handovers(spans: DataFrame, by: list[str], window: int, least: int, schema: str) -> DataFrame:
-    """A release by one person with a grasp of the same object by another at most `window` before or after it, both having
-    held it for `least`. Each release and each grasp is used once, the nearest pair first (then the earliest release).
-
-    spans: person, object, start, end. Candidates meet in time buckets of `window`; the greedy choice runs over candidates.
+    Opening and closing runs are found by themselves; of those that follow each other only the first of a kind counts.
+    """
+    level = F.when(F.col("p") > high, "h").when(F.col("p") < low, "l").otherwise("m")
+    w = Window.partitionBy(*by).orderBy("start")
+    rows = value_runs(df.withColumn("level", level), by, "level").withColumn("last", F.max("end").over(Window.partitionBy(*by)))
+    turns = rows.filter((F.col("level") == "h") & (F.col("n") >= on) | (F.col("level") == "l") & (F.col("n") >= off))
+    turns = turns.withColumn("before", F.lag("level").over(w)).filter((F.col("level") == "h") & (F.coalesce("before", F.lit("l")) == "l") | (F.col("level") == "l") & (F.col("before") == "h"))
+    closes = F.coalesce(F.lead("start").over(w) - 1, F.col("last"))
+    return turns.select(*by, "level", "start", closes.alias("end")).filter("level = 'h'").drop("level")
+
+
+def pair_handovers(spans: DataFrame, by: list[str], window: int, least: int, margin: int, schema: str) -> DataFrame:
+    """Handovers: giver, receiver, object, start and end (from the earlier to the later of release and grasp, `margin` around).
+
+    Takers, in order of their grasp, take the nearest release (then the earliest, then the least giver) of the same object
+    by another person at most `window` away that none has taken. Both have held it for `least`; a taker may still hold it.
+    Handovers of the same object, giver and receiver that overlap are merged. spans: person, object, start, end (null while
+    still held). Candidates meet in time buckets of `window`; the greedy choice runs over one object's candidates.
     """
-    held = spans.filter(F.col("end") - F.col("start") >= least)
-    gives = held.select(*by, "object", F.col("person").alias("giver"), F.col("end").alias("released"), F.explode(F.expr(f"sequence(end div {window} - 1, end div {window} + 1)")).alias("bucket"))
+    held = spans.filter(F.col("end").isNull() | (F.col("end") - F.col("start") >= least))
+    gives = held.filter("end IS NOT NULL").select(*by, "object", F.col("person").alias("giver"), F.col("end").alias("released"), F.explode(F.expr(f"sequence(end div {window} - 1, end div {window} + 1)")).alias("bucket"))
     takes = held.select(*by, "object", F.col("person").alias("receiver"), F.col("start").alias("grasped"), F.expr(f"start div {window}").alias("bucket"))
     near = gives.join(takes, [*by, "object", "bucket"]).filter((F.col("giver") != F.col("receiver")) & (F.abs(F.col("grasped") - F.col("released")) <= window)).drop("bucket")
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(gap=(part["grasped"] - part["released"]).abs()).sort_values(["gap", "released", "grasped", "giver", "receiver"])
+        part = part.assign(gap=(part["grasped"] - part["released"]).abs()).sort_values(["grasped", "receiver", "gap", "released", "giver"])
         given, taken, keep = set(), set(), []
         for k, r in enumerate(part.itertuples(index=False)):
             if (r.giver, r.released) not in given and (r.receiver, r.grasped) not in taken:
@@ -100,7 +94,10 @@ def pair_handovers(spans: DataFrame, by: list[str], window: int, least: int, sch
                 keep.append(k)
         return part.iloc[keep].drop(columns="gap")
 
-    return per_series(near, [*by, "object"], fold, f"{schema}, object int, giver long, released long, receiver long, grasped long")
+    pairs = per_series(near, [*by, "object"], fold, f"{schema}, object int, giver long, released long, receiver long, grasped long")
+    key = [*by, "object", "giver", "receiver"]
+    around = pairs.select(*key, (F.least("released", "grasped") - margin).alias("start"), (F.greatest("released", "grasped") + margin).alias("end"))
+    return merge(around, key)
 
 
 def link_tracks(boxes: DataFrame, by: list[str], least_iou: float, memory: int, least: int, schema: str) -> DataFrame:

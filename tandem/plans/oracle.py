@@ -50,3 +50,8 @@ def sql(fixtures: str, body: str) -> str:
     head = "WITH " + ",\n".join(CTES[f] for f in out)
     body = body.strip()
     return f"{head}\n{body}" if body.upper().startswith("SELECT") else f"{head},\n{body}"
+
+
+def recursive(text: str) -> str:
+    """The same with expressions that may refer to themselves."""
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)

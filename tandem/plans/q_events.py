@@ -10,7 +10,7 @@ from tandem.operators import folds, intervals, learning
 from tandem.operators import text as tx
 from tandem.sources import fixtures as fx
 
-from .oracle import sql
+from .oracle import recursive, sql
 from .registry import query
 
 SERIES = ["recording_id", "role"]
@@ -28,21 +28,66 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.frames(spark, sf_dir, 6).select(*SERIES, "frame", F.expr("CASE WHEN n = 0 THEN NULL WHEN n = 1 THEN 'one' ELSE 'many' END AS label"))
 
 
-@query()
+_RUNS = """l AS (SELECT recording_id, role, frame, CASE WHEN n = 0 THEN NULL WHEN n = 1 THEN 'one' ELSE 'many' END AS label FROM frames6),
+k AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM l WINDOW w AS (PARTITION BY recording_id, role ORDER BY frame)),
+r0 AS (SELECT *, sum(new) OVER (PARTITION BY recording_id, role ORDER BY frame) AS run FROM k),
+r AS MATERIALIZED (SELECT recording_id, role, CAST(run AS INT) AS run, any_value(label) AS label, min(frame) AS start, count(*) AS n FROM r0 GROUP BY recording_id, role, run),
+"""
+_HELD = _RUNS + """st(recording_id, role, run, held, since, was, was_since, released) AS (
+  SELECT recording_id, role, 0, CAST(NULL AS VARCHAR), CAST(NULL AS INT), CAST(NULL AS VARCHAR), CAST(NULL AS INT), CAST(NULL AS INT) FROM r WHERE run = 1
+  UNION ALL
+  SELECT recording_id, role, run, CASE WHEN grasps THEN label WHEN NOT lets THEN held END, CASE WHEN grasps THEN start WHEN NOT lets THEN since END,
+    CASE WHEN lets THEN held END, CASE WHEN lets THEN since END, CASE WHEN lets THEN start END
+  FROM (SELECT *, (held IS NULL OR lets) AND label IS NOT NULL AND n >= 2 AS grasps FROM (
+    SELECT r.*, st.held, st.since, st.held IS NOT NULL AND st.held IS DISTINCT FROM r.label AND r.n >= 3 AS lets FROM st JOIN r ON r.recording_id = st.recording_id AND r.role = st.role AND r.run = st.run + 1)))
+, spans AS (
+  SELECT recording_id, role, was AS label, was_since AS start, released AS "end" FROM st WHERE was IS NOT NULL
+  UNION ALL SELECT recording_id, role, held, since, NULL FROM st WHERE held IS NOT NULL AND run = (SELECT max(run) FROM r WHERE r.recording_id = st.recording_id AND r.role = st.role))
+"""
+
+
+@query(recursive(sql("frames6", _HELD + """SELECT recording_id, role, label, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM spans""")))
 def label_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.label_hysteresis(_labels(spark, sf_dir), SERIES, "label", 2, 3, "recording_id long, role int")
 
 
-@query()
-def prob_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = fx.frames(spark, sf_dir, 6).select(*SERIES, "frame", F.least(F.coalesce("val", F.lit(0.0)) / 100, F.lit(1.0)).alias("p"))
-    return folds.prob_hysteresis(p, SERIES, 0.4, 0.2, 2, 2, "recording_id long, role int")
+@query(recursive(sql("frames6", _HELD + """SELECT recording_id, role, 'grasp' AS kind, label, CAST(start AS BIGINT) AS frame FROM spans
+UNION ALL SELECT recording_id, role, 'release', label, "end" FROM spans WHERE "end" IS NOT NULL""")))
+def contact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.contact_events(folds.label_hysteresis(_labels(spark, sf_dir), SERIES, "label", 2, 3, "recording_id long, role int"), SERIES, "label")
 
 
-@query()
+@query(sql("frames6", """l AS (SELECT recording_id, role, frame, CASE WHEN p > 0.4 THEN 'h' WHEN p < 0.2 THEN 'l' ELSE 'm' END AS level FROM (SELECT *, least(coalesce(val, 0) / 100, 1.0) AS p FROM frames6)),
+b AS (SELECT *, lead(level, 1) OVER w AS next, max(frame) OVER (PARTITION BY recording_id, role) AS last, lag(level) OVER w AS before FROM l WINDOW w AS (PARTITION BY recording_id, role ORDER BY frame)),
+t AS (SELECT * FROM b WHERE level <> 'm' AND level = next AND level IS DISTINCT FROM before),
+k AS (SELECT *, lag(level) OVER w AS prior FROM t WINDOW w AS (PARTITION BY recording_id, role ORDER BY frame)),
+z AS (SELECT recording_id, role, level, frame, last, lead(frame) OVER (PARTITION BY recording_id, role ORDER BY frame) AS stop FROM k WHERE level IS DISTINCT FROM prior AND NOT (level = 'l' AND prior IS NULL))
+SELECT recording_id, role, CAST(frame AS BIGINT) AS start, CAST(coalesce(stop - 1, last) AS BIGINT) AS "end" FROM z WHERE level = 'h'"""))
+def prob_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fx.frames(spark, sf_dir, 6).select(*SERIES, F.col("frame").cast("long").alias("frame"), F.least(F.coalesce("val", F.lit(0.0)) / 100, F.lit(1.0)).alias("p"))
+    return folds.prob_hysteresis(p, SERIES, 0.4, 0.2, 2, 2)
+
+
+_SPANS = """e AS (SELECT *, lead(kind) OVER w AS next_kind, lead(t) OVER w AS stop FROM contact WINDOW w AS (PARTITION BY recording_id, person, object ORDER BY t, CASE WHEN kind = 'release' THEN 0 ELSE 1 END, event_id)),
+s AS (SELECT recording_id, person, object, t AS start, CASE WHEN next_kind = 'release' THEN stop END AS "end" FROM e WHERE kind = 'grasp'),
+h AS (SELECT * FROM s WHERE "end" IS NULL OR "end" - start >= 3600000000),
+c AS (SELECT a.recording_id, a.object, a.person AS receiver, a.start AS grasped, list(struct_pack(gap := abs(a.start - b."end"), released := b."end", giver := b.person) ORDER BY abs(a.start - b."end"), b."end", b.person) AS gives
+  FROM h a JOIN h b ON a.recording_id = b.recording_id AND a.object = b.object AND a.person <> b.person AND b."end" IS NOT NULL AND abs(a.start - b."end") <= 21600000000 GROUP BY ALL),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY recording_id, object ORDER BY grasped, receiver) AS k FROM c),
+g(recording_id, object, k, receiver, grasped, pick, used) AS (
+  SELECT recording_id, object, k, receiver, grasped, gives[1], [struct_pack(r := gives[1].released, p := gives[1].giver)] FROM n WHERE k = 1
+  UNION ALL SELECT recording_id, object, k, receiver, grasped, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, struct_pack(r := pick.released, p := pick.giver)) END FROM (
+    SELECT n.*, g.used, list_filter(n.gives, lambda x: NOT list_contains(g.used, struct_pack(r := x.released, p := x.giver)))[1] AS pick FROM g JOIN n ON n.recording_id = g.recording_id AND n.object = g.object AND n.k = g.k + 1)),
+p AS (SELECT recording_id, object, pick.giver AS giver, receiver, least(pick.released, grasped) - 300000000 AS start, greatest(pick.released, grasped) + 300000000 AS stop FROM g WHERE pick IS NOT NULL),
+m AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY recording_id, object, giver, receiver ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM p),
+q AS (SELECT *, sum(new) OVER (PARTITION BY recording_id, object, giver, receiver ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT recording_id, object, giver, receiver, min(start) AS start, max(stop) AS "end", count(*) AS n FROM q GROUP BY recording_id, object, giver, receiver, run"""
+
+
+@query(recursive(sql("contact", _SPANS)))
 def pair_handovers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = intervals.hold_spans(fx.contact(spark, sf_dir), ["recording_id", "person", "object"]).filter("state = 'closed'")
-    return folds.pair_handovers(spans, ["recording_id"], 6 * 3_600_000_000, 3_600_000_000, "recording_id long")
+    spans = intervals.hold_spans(fx.contact(spark, sf_dir), ["recording_id", "person", "object"]).withColumn("end", F.expr("CASE WHEN state = 'closed' THEN `end` END"))
+    return folds.pair_handovers(spans, ["recording_id"], 6 * 3_600_000_000, 3_600_000_000, 300_000_000, "recording_id long")
 
 
 @query()

@@ -137,13 +137,40 @@ def upsert_to(path: str, keys: list[str], order: list[str]):
     return write
 
 
-def quarantine_to(good: str, bad: str, key: str, late_seconds: int):
-    """A foreachBatch function: rows more than late_seconds behind the newest time of their batch go to `bad`."""
+class Lateness(StatefulProcessor):
+    """Marks rows that lie more than late_seconds behind the newest of their key in all earlier batches."""
+
+    def __init__(self, late_seconds: int):
+        self.late = pd.Timedelta(seconds=late_seconds)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("newest", "micros long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        newest = pd.Timestamp(self.state.get()[0], unit="us") if self.state.exists() else None
+        top = newest
+        for part in rows:
+            times = part["ts"].dt.tz_localize(None)
+            yield part.assign(late=False if newest is None else (times < newest - self.late).to_numpy())
+            top = times.max() if top is None else max(top, times.max())
+        self.state.update((int(top.value // 1000),))
+
+    def close(self) -> None: ...
+
+
+def mark_late(stream: DataFrame, key: str, late_seconds: int) -> DataFrame:
+    """The stream's rows with late; ts must not be null."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    return stream.groupBy(key).transformWithStateInPandas(Lateness(late_seconds), outputStructType=f"{schema}, late boolean", outputMode="Append", timeMode="None")
+
+
+def quarantine_to(good: str, bad: str):
+    """A foreachBatch function for `mark_late`: late rows go to `bad` with the batch's number, all others to `good`."""
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = batch.agg(F.max("ts").alias("newest"))
-        marked = batch.join(F.broadcast(newest)).withColumn("late", F.col("ts") < F.col("newest") - F.make_interval(secs=F.lit(late_seconds))).drop("newest")
-        marked.filter("NOT late").drop("late").write.mode("append").parquet(good)
-        marked.filter("late").drop("late").withColumn("batch", F.lit(number)).write.mode("append").parquet(bad)
+        batch.persist()
+        batch.filter("NOT late").drop("late").write.mode("append").parquet(good)
+        batch.filter("late").drop("late").withColumn("batch", F.lit(number)).write.mode("append").parquet(bad)
+        batch.unpersist()
 
     return write

@@ -34,14 +34,61 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_tumbling_equals_batch(spark, events, tmp_path):
-    got = rows(run(jobs.tumbling(source(spark, events, tmp_path), "key", "60 seconds", "1 hour"), tmp_path))
-    assert set(got) <= set(rows(jobs.tumbling(events, "key", "60 seconds", "1 hour")))
+def closed(df, before, end):
+    """The rows of the windows that end by the time the watermark stands at."""
+    return set(rows(df.filter(F.expr(end) <= F.timestamp_seconds(F.lit(before))))) if before else set()
+
+
+@pytest.mark.parametrize(
+    ("job", "args", "end"),
+    [(jobs.tumbling, ("60 seconds",), "start + INTERVAL 60 SECONDS"), (jobs.sliding, ("120 seconds", "60 seconds"), "start + INTERVAL 120 SECONDS"), (jobs.sessions, ("90 seconds",), "end")],
+)
+def test_windows_equal_batch(spark, events, tmp_path, job, args, end):
+    got = set(rows(run(job(source(spark, events, tmp_path), "key", *args, "10 minutes"), tmp_path)))
+    batch = job(events, "key", *args, "10 minutes")
+    newest = events.agg(F.max("s")).first()[0]
+    done = closed(batch, newest - 1800, end)
+    assert done and done <= got <= set(rows(batch))
+
+
+def test_nearest_equals_batch(spark, tmp_path):
+    rng = random.Random(2)
+    q = spark.createDataFrame([(k, k % 2, rng.randrange(1000)) for k in range(40)], "q_id long, key long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    x = spark.createDataFrame([(k, k % 2, rng.randrange(1000)) for k in range(60)], "s_id long, key long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    q.write.parquet(f"{tmp_path}/q")
+    x.write.parquet(f"{tmp_path}/x")
+    streams = [spark.readStream.schema(d.schema).parquet(f"{tmp_path}/{n}") for d, n in ((q, "q"), (x, "x"))]
+    got = jobs.best_of(run(jobs.nearest(*streams, "key", "10 SECONDS", "1 hour"), tmp_path), "key")
+    want = {}
+    for a in q.collect():
+        near = [(abs(a["s"] - b["s"]) * 1_000_000, b["s"], b["s_id"]) for b in x.collect() if a["key"] == b["key"] and abs(a["s"] - b["s"]) <= 10]
+        if near:
+            want[a["q_id"]] = (min(near)[2], min(near)[0])
+    assert {r["q_id"]: (r["s_id"], r["gap"]) for r in got.collect()} == want
+
+
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_streamed_hysteresis_equals_batch(spark, tmp_path):
+    rng = random.Random(3)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    data = [(g, k, rng.choice(["a", "a", "b", None])) for g in range(4) for k in range(60)]
+    df = spark.createDataFrame(data, "series long, frame long, label string")
+    for k in range(3):
+        df.filter(F.col("frame").between(k * 20, k * 20 + 19)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = rows(run(jobs.hysteresis(source(spark, df, tmp_path), 2, 3), tmp_path).select("series", "kind", "label", "frame"))
+    spans = folds.label_hysteresis(df, ["series"], "label", 2, 3, "series long")
+    assert got == rows(folds.contact_events(spans, ["series"], "label").select("series", "kind", "label", "frame")) and len(got) > 10
 
 
-def test_sessions_equal_batch(spark, events, tmp_path):
-    got = rows(run(jobs.sessions(source(spark, events, tmp_path), "key", "90 seconds", "1 hour"), tmp_path))
-    assert set(got) <= set(rows(jobs.sessions(events, "key", "90 seconds", "1 hour")))
+def test_persistence_holds_after_the_last_detection(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    df = spark.createDataFrame([(1, 10), (1, 11), (1, 20), (2, 12), (9, 500)], "object long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for low, high in ((0, 15), (16, 100), (101, 600)):
+        df.filter(F.col("s").between(low, high)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = rows(run(jobs.persistence(source(spark, df, tmp_path), 3000, "10 seconds"), tmp_path))
+    assert got == [(1, 10_000, 14_000), (1, 20_000, 23_000), (2, 12_000, 15_000)]
 
 
 def test_upsert_keeps_the_latest(spark, events, tmp_path):
@@ -50,27 +97,54 @@ def test_upsert_keeps_the_latest(spark, events, tmp_path):
     assert rows(got.select("key", "id")) == rows(bookkeeping.latest(events, ["key"], ["s", "id"]).select("key", "id"))
 
 
-def test_late_rows_are_quarantined(spark, events, tmp_path):
-    run(source(spark, events, tmp_path), tmp_path, how=jobs.quarantine_to(f"{tmp_path}/good", f"{tmp_path}/bad", "key", 600))
+def test_late_rows_are_quarantined(spark, tmp_path):
+    """What is late is late against all earlier batches, so that a batch of late rows alone is found."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    df = spark.createDataFrame([(1, 100), (1, 900), (2, 50), (1, 200), (1, 290), (1, 350), (2, 60), (1, 1000)], "key long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    for k, part in enumerate(([100, 900, 50], [200, 290, 350, 60], [1000])):
+        df.filter(F.col("s").isin(part)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    marked = jobs.mark_late(source(spark, df, tmp_path), "key", 600)
+    run(marked, tmp_path, how=jobs.quarantine_to(f"{tmp_path}/good", f"{tmp_path}/bad"))
     good, bad = spark.read.parquet(f"{tmp_path}/good"), spark.read.parquet(f"{tmp_path}/bad")
-    assert good.count() + bad.count() == 300 and bad.count() > 0
-
-
-def test_label_hysteresis(spark):
-    labels = [None, "a", "a", "a", None, "a", None, None, None, "b", "b", "c", "c", "c"]
+    assert sorted(r["s"] for r in bad.collect()) == [200, 290] and good.count() == 6 and good.columns == df.columns
+
+
+@pytest.mark.parametrize(
+    ("labels", "want"),
+    [
+        ([None, "a", "a", "a", None, "a", None, None, None, "b", "b", "c", "c", "c"], [("a", 1, 6), ("b", 9, 11), ("c", 11, None)]),
+        (["a", "a", "a", None, "b", None, "a", "a", "a"], [("a", 0, None)]),
+        (["b", "a", "a", "b", "b", "b"], [("a", 1, 3), ("b", 3, None)]),
+        ([None, "a", None], []),
+    ],
+)
+def test_label_hysteresis(spark, labels, want):
     df = spark.createDataFrame([(1, k, x) for k, x in enumerate(labels)], "g long, frame int, label string")
-    got = rows(folds.label_hysteresis(df, ["g"], "label", 2, 3, "g long").select("frame", "kind", "label"))
-    assert got == sorted([(1, "grasp", "a"), (6, "release", "a"), (9, "grasp", "b"), (11, "release", "b"), (11, "grasp", "c")])
+    got = folds.label_hysteresis(df, ["g"], "label", 2, 3, "g long").select("label", "start", "end").orderBy("start").collect()
+    assert list(map(tuple, got)) == want
 
 
 def test_prob_hysteresis(spark):
-    p = [0.1, 0.9, 0.9, 0.5, 0.1, 0.9, 0.1, 0.1, 0.1, 0.9]
+    p = [0.1, 0.9, 0.9, 0.5, 0.1, 0.9, 0.1, 0.1, 0.1, 0.9, 0.9, None]
     df = spark.createDataFrame([(1, k, x) for k, x in enumerate(p)], "g long, frame int, p double")
-    assert rows(folds.prob_hysteresis(df, ["g"], 0.8, 0.2, 2, 2, "g long").select("start", "end")) == [(1, 5)]
+    assert rows(folds.prob_hysteresis(df, ["g"], 0.8, 0.2, 2, 2).select("start", "end")) == [(1, 5), (9, 11)]
+    assert rows(folds.prob_hysteresis(df, ["g"], 0.9, 0.2, 2, 2)) == []  # at the limit is not over it
 
 
 def test_each_release_is_used_once(spark):
     spans = [("r", 1, 7, 0, 100), ("r", 2, 7, 103, 200), ("r", 2, 7, 95, 180), ("r", 3, 7, 104, 300)]
     df = spark.createDataFrame(spans, "rec string, person long, object int, start long, end long")
-    got = rows(folds.pair_handovers(df, ["rec"], 10, 50, "rec string").select("giver", "receiver", "grasped"))
-    assert got == [(1, 2, 103)]
+    got = rows(folds.pair_handovers(df, ["rec"], 10, 50, 3, "rec string").select("giver", "receiver", "start", "end"))
+    assert got == [(1, 2, 92, 103)]  # the first taker in time, not the nearest pair
+
+
+def test_a_taker_may_still_hold(spark):
+    spans = [("r", 1, 7, 0, 100), ("r", 2, 7, 103, None), ("r", 1, 8, 0, 40), ("r", 2, 8, 41, 45)]
+    df = spark.createDataFrame(spans, "rec string, person long, object int, start long, end long")
+    assert rows(folds.pair_handovers(df, ["rec"], 10, 50, 0, "rec string").select("giver", "receiver", "start", "end")) == [(1, 2, 100, 103)]
+
+
+def test_overlapping_handovers_are_merged(spark):
+    spans = [("r", 1, 7, 0, 100), ("r", 2, 7, 102, 200), ("r", 1, 7, 101, 104), ("r", 2, 7, 105, 200)]
+    df = spark.createDataFrame(spans, "rec string, person long, object int, start long, end long")
+    assert rows(folds.pair_handovers(df, ["rec"], 10, 2, 3, "rec string").select("giver", "receiver", "start", "end", "n")) == [(1, 2, 97, 108, 2)]
