@@ -3,7 +3,8 @@
 The words of a source, document after document, are a stream that is cut into blocks of fixed length. Every output shard
 draws how many of its slots each source gets from a multinomial distribution over the targets. The slots of a source are
 numbered through all shards; a pseudorandom permutation of the source's block numbers, a new one each time all have been
-used, says which block a slot holds. Blocks and documents meet in a join by source and block number.
+used, says which block a slot holds. Blocks and documents meet in a join by source and block number; texts take no part in
+that: they meet the spans that are taken of them once, at the end.
 """
 
 from __future__ import annotations
@@ -12,13 +13,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, n_words
 
-#: Sources whose targets one closure may carry to the tasks; targets are set by hand, source by source.
-MOST_SOURCES = 100_000
+#: Parts that the stream of a source goes through.
+PARTS = 1024
+#: Groups of sources among which a shard's slots are drawn first, then within each: 10 million sources are 40 000 a group.
+GROUPS = 256
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _key() -> Column:
@@ -68,26 +73,26 @@ def permuted(index: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarra
     return x.astype(np.int64)
 
 
-def placed(docs: DataFrame, extra: list[str], rows_per_part: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def placed(docs: DataFrame, carry: tuple[str, ...] = (), parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
     """Documents with their source's key and the place of their first word in the source's stream; and the sources' sizes.
 
     The stream goes through the parts of a source, in a part by id. Parts hash ids and texts, so that a source with a
-    third of all rows is dealt over as many of them as its rows need.
+    third of all rows is dealt over all of them; which words meet in a block depends on their number, `parts`. Texts are
+    read once and not moved: row (a hash of id and text) leads back to them.
     """
-    parts = max(8, -(-docs.count() // rows_per_part))
-    rows = docs.select(
-        "doc_id", "source", _key(), n_words(F.col("text")).alias("size"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"), *extra,
-    )
+    row = F.xxhash64("doc_id", "text")
+    rows = docs.select("doc_id", "source", _key(), n_words(F.col("text")).alias("size"), row.alias("row"), F.pmod(row, F.lit(parts)).cast("int").alias("part"), *carry)
+    rows = materialize(rows, "mix-rows")
     sums = rows.groupBy("key", "part").agg(F.sum("size").alias("words"), F.first("source", ignorenulls=True).alias("source"))
     sums = materialize(sums, "mix-parts")
     w = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("base", F.coalesce(F.sum("words").over(w), F.lit(0))).select("key", "part", "base")
-    own = Window.partitionBy("key", "part").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("key", "part").orderBy("doc_id", "size", "row")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
     out = (
         rows.join(starts.hint("shuffle_merge"), ["key", "part"])
-        .withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(own), F.lit(0)))
-        .withColumn("seq", F.row_number().over(Window.partitionBy("key", "part").orderBy("doc_id", "size")))
+        .withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+        .withColumn("seq", F.row_number().over(own))
         .drop("base")
     )
     return out, sums.groupBy("key").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("words").alias("size"))
@@ -98,7 +103,7 @@ def slots(plan: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame
 
     A source takes round(target) words in full rounds over its blocks, then a part of a round over its whole blocks, the
     last one cut; its short last block comes into a part round only when all others are used. What a shard draws beyond a
-    source's number of slots stays empty; what the draws leave over fills the shards after the last.
+    source's number of slots stays empty; what the draws leave over fills further shards, one after the other.
     """
     spark = plan.sparkSession
     size, quota = F.col("size"), F.least(F.round("target").cast("long"), F.floor(F.col("size") * 3))
@@ -108,10 +113,11 @@ def slots(plan: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame
     ).withColumn("rest", F.col("quota") - F.col("rounds") * F.col("size"))
     plan = plan.withColumn("part", F.least(F.ceil(F.col("rest") / block).cast("long"), F.col("whole"))).withColumn("tail", F.greatest(F.col("rest") - F.col("whole") * block, F.lit(0)))
     plan = plan.withColumn("total", F.col("rounds") * F.col("n") + F.col("part") + (F.col("tail") > 0).cast("long")).filter("total > 0")
-    known = plan.orderBy("key").select("key", "total").limit(MOST_SOURCES + 1).collect()
-    if len(known) > MOST_SOURCES:
-        raise ValueError(f"targets are given for {MOST_SOURCES} sources at most")
-    keys, share = [r["key"] for r in known], np.array([r["total"] for r in known], dtype=float)
+    group = F.pmod(F.xxhash64("key"), F.lit(GROUPS)).cast("int").alias("group")
+    members = plan.groupBy(group).agg(F.sum("total").alias("total"), F.sort_array(F.collect_list(F.struct("key", "total"))).alias("members"))
+    members = materialize(members, "mix-groups")
+    totals = dict(members.select("group", "total").collect())  # GROUPS rows at most
+    share = np.array([totals.get(g, 0) for g in range(GROUPS)], dtype=float)
     n_slots = int(share.sum())
     shards = -(-n_slots // shard_slots)
 
@@ -121,15 +127,27 @@ def slots(plan: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame
                 n = min(shard_slots, n_slots - shard * shard_slots)
                 counts = np.random.default_rng([seed, shard]).multinomial(n, share / share.sum())
                 hit = np.flatnonzero(counts)
-                yield pd.DataFrame({"shard": shard, "key": [keys[i] for i in hit], "n_drawn": counts[hit]})
+                yield pd.DataFrame({"shard": shard, "group": hit, "n_group": counts[hit]})
 
-    drawn = spark.range(shards).mapInPandas(draw, "shard long, key string, n_drawn long")
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for shard, g, n, own in zip(batch["shard"], batch["group"], batch["n_group"], batch["members"], strict=True):
+                part = np.array([m["total"] for m in own], dtype=float)
+                counts = np.random.default_rng([seed, shard, g]).multinomial(n, part / part.sum())
+                hit = np.flatnonzero(counts)
+                yield pd.DataFrame({"shard": shard, "key": [own[i]["key"] for i in hit], "n_drawn": counts[hit]})
+
+    drawn = spark.range(shards).mapInPandas(draw, "shard long, group int, n_group long").join(members.select("group", "members"), "group")
+    drawn = drawn.mapInPandas(within, "shard long, key string, n_drawn long")
     upto = Window.partitionBy("key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     drawn = drawn.withColumn("upto", F.sum("n_drawn").over(upto)).withColumn("from", F.col("upto") - F.col("n_drawn"))
     got = drawn.groupBy("key").agg(F.max("upto").alias("got"))
-    left = plan.join(got, "key", "left").select("key", F.lit(shards).cast("long").alias("shard"), F.coalesce("got", F.lit(0)).alias("from"), F.col("total").alias("upto"))
-    given = drawn.join(plan.select("key", "total"), "key").select("key", "shard", "from", F.least("upto", "total").alias("upto")).unionByName(left).filter("from < upto")
-    given = given.withColumn("slot", F.explode(F.expr("sequence(`from`, upto - 1)"))).join(plan, "key")
+    left = plan.join(got, "key", "left").select("key", F.coalesce("got", F.lit(0)).alias("from"), F.col("total").alias("upto")).filter("from < upto")
+    gap = F.sum(F.col("upto") - F.col("from")).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1))  # a row per source
+    left = left.select("key", F.lit(None).cast("long").alias("shard"), "from", "upto", F.coalesce(gap, F.lit(0)).alias("gap"))
+    given = drawn.join(plan.select("key", "total"), "key").select("key", "shard", "from", F.least("upto", "total").alias("upto"), F.lit(0).cast("long").alias("gap")).filter("from < upto")
+    given = given.unionByName(left).withColumn("slot", F.explode(F.expr("sequence(`from`, upto - 1)"))).join(plan, "key")
+    given = given.withColumn("shard", F.coalesce("shard", F.lit(shards) + F.floor((F.col("gap") + F.col("slot") - F.col("from")) / shard_slots)))
     # the short last round: slots of whole blocks, the last one cut, then the front of the short block
     late = F.col("slot") - F.col("rounds") * F.col("n")
     given = given.withColumn("late", late).withColumn("copy", F.floor(F.col("slot") / F.col("n")))
@@ -148,38 +166,30 @@ def slots(plan: DataFrame, block: int, shard_slots: int, seed: int) -> DataFrame
     return given.select("key", "shard", "slot", place(F.xxhash64("key"), "slot", "n", "rounds", "late", "whole").alias("block"), "late", "part", "tail", "rest").select("key", "shard", "slot", "block", words.cast("long").alias("words"))
 
 
-def mix(docs: DataFrame, weights: Column | None = None, block: int = 512, shard_slots: int = 4096, seed: int = 17, text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The mix as spans of documents, one row per slot and document in its block; and the documents that give none.
-
-    doc_id, source, size (words of the document), source_size, target, row (key, part, seq: which row of docs it is), shard,
-    slot, block, first and taken: `taken` words from word number `first` (0-based) of the document; with text=True also
-    their text. Documents of which nothing is taken, null and empty texts among them, have one row with taken 0 and null
-    shard. A null source is a source of its own, repeated rows are documents of their own, other columns are not carried.
-    Of a source's target the mix takes exactly round(target) words, each word three times at most.
-    """
-    weights = rank_weights() if weights is None else weights
-    carry = [*carry, *["text"] * text]
+def spans(docs: DataFrame, weights: Column | None, block: int, shard_slots: int, seed: int, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The spans of `mix` without targets, and the plan: key, size and target."""
     rows, sizes = placed(docs, carry)
-    plan = materialize(targets(sizes, weights).select(_key(), "size", "target"), "mix-plan")
+    plan = materialize(targets(sizes, rank_weights() if weights is None else weights).select(_key(), "size", "target"), "mix-plan")
     chosen = slots(plan, block, shard_slots, seed)
-    first_block = F.floor(F.col("start") / block)
-    last_block = F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / block)
-    blocks = F.sequence(first_block, last_block)
-    begin = lambda b: F.greatest(b * block - F.col("start"), F.lit(0))
-    pieces = rows.select("key", "part", "seq", "doc_id", "source", "size", "start", *carry)
-    if text:
-        parts = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-        pieces = pieces.withColumn("parts", parts).withColumn(
-            "piece", F.explode(F.transform(blocks, lambda b: F.struct(b.alias("block"), F.coalesce(F.slice("parts", begin(b).cast("int") + 1, F.lit(block)), F.expr("array()").cast("array<string>")).alias("words"))))
-        ).drop("parts", "text").select("*", "piece.block", F.col("piece.words").alias("own")).drop("piece")
-    else:
-        pieces = pieces.withColumn("block", F.explode(blocks))
+    empty = rows.filter("size = 0")
+    blocks = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
+    pieces = rows.filter("size > 0").withColumn("block", F.explode(blocks)).join(chosen, ["key", "block"], "left")
     low = F.greatest("start", F.col("block") * block)
     n = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.coalesce("words", F.lit(0))) - low
-    out = pieces.join(chosen, ["key", "block"], "left").withColumn("first", low - F.col("start")).withColumn("taken", F.greatest(n, F.lit(0)))
-    if text:
-        # a block begins in the document or before it: the piece's own words begin where the block or the document does
-        out = out.withColumn("text", F.array_join(F.slice("own", F.lit(1), F.col("taken").cast("int")), "")).drop("own")
+    pieces = pieces.withColumn("first", low - F.col("start")).withColumn("taken", F.greatest(n, F.lit(0))).drop("words")
+    return pieces.unionByName(empty.withColumn("first", F.lit(0).cast("long")).withColumn("taken", F.lit(0).cast("long")), allowMissingColumns=True), plan
+
+
+def mix(docs: DataFrame, weights: Column | None = None, block: int = 512, shard_slots: int = 4096, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The mix as spans of documents, one row per slot and document in its block; and the documents that give none.
+
+    doc_id, source, size (words of the document), source_size, target, row, key, part and seq (which row of docs it is),
+    shard, slot, block, first and taken: `taken` words from word number `first` (0-based) of the document. Documents of
+    which nothing is taken, null and empty texts among them, have one row with taken 0 and null shard. A null source is a
+    source of its own, repeated rows are documents of their own, other columns are not carried unless named in `carry`.
+    Of a source's target the mix takes exactly round(target) words, each word three times at most.
+    """
+    out, plan = spans(docs, weights, block, shard_slots, seed, carry)
     return out.join(plan.select("key", F.col("size").alias("source_size"), "target"), "key")
 
 
@@ -192,7 +202,33 @@ def taken_by_document(spans: DataFrame) -> DataFrame:
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix in the columns of documents: a row per span of a document in a slot, with the span's text."""
-    spans = mix(docs, text=True, carry=("lang",), **options).filter("taken > 0")
-    return spans.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+def mixed_documents(docs: DataFrame, weights: Column | None = None, block: int = 512, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
+    """The mix in the columns of documents: a row per span of a document in a slot, with the span's text.
+
+    Texts are shuffled once, to the spans that are taken of them; a text's spans are as many as its blocks, three times at
+    most. Rows with the same id and text have their spans each.
+    """
+    out, _ = spans(docs, weights, block, shard_slots, seed, ("lang",))
+    taken = out.filter("taken > 0").groupBy("key", "part", "seq", "row", "doc_id", "lang", "source").agg(F.sort_array(F.collect_list(F.struct("slot", "first", "taken"))).alias("cuts"))
+    texts = docs.filter("text IS NOT NULL").select(F.xxhash64("doc_id", "text").alias("row"), "text").repartition("row").dropDuplicates(["row"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts, times = [], []
+                for text, cuts in zip(part.column("text"), part.column("cuts"), strict=True):
+                    raw = text.as_py().encode("utf-8", "surrogatepass")
+                    gap = SPACE[np.frombuffer(raw, dtype=np.uint8)]
+                    starts = np.append(np.flatnonzero(~gap & np.concatenate(([True], gap[:-1]))), len(raw))
+                    own = [raw[starts[c["first"]] : starts[c["first"] + c["taken"]]].decode("utf-8", "surrogatepass") for c in cuts.as_py()]
+                    texts += own
+                    times.append(len(own))
+                again = pa.array(np.repeat(np.arange(part.num_rows), times))
+                others = [part.column(c).take(again) for c in ("doc_id", "lang", "source")]
+                yield pa.RecordBatch.from_arrays(
+                    [others[0], pa.array(texts, pa.string()), *others[1:], pa.array([len(x) for x in texts], pa.int64())], ["doc_id", "text", "lang", "source", "n_chars"]
+                )
+
+    rows = taken.join(texts, "row").select("doc_id", "lang", "source", "text", "cuts")
+    return rows.mapInArrow(cut, "doc_id long, text string, lang string, source string, n_chars long")
