@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import chunks, held, materialize
 
 #: What a sign may stand for (fixed values).
 LEET = {
@@ -38,7 +38,10 @@ CLASSES = 64
 SAMPLE, BEGINNINGS = 20_000, (3, 4, 5, 6)
 #: Least evidence (likelihood ratio statistic) and least toxic documents of a feature in the lexicon.
 EVIDENCE, LEAST = 20.0, 3
-CACHE = 300_000
+#: Disguised tokens kept with what they were read as, and the longest that is kept; up to this length `*` may be any letter.
+CACHE, LONGEST = 50_000, 64
+#: Words of the lexicon, those with most evidence first.
+WORDS = 50_000
 
 
 def code(c: str) -> int:
@@ -51,18 +54,26 @@ def code(c: str) -> int:
 TABLE = np.array([0 if 0xD800 <= i < 0xE000 else code(chr(i).lower()[0]) for i in range(0x10000)], dtype=np.int64)
 
 
+def trigrams(text: str) -> np.ndarray:
+    """The trigrams' numbers of a text, anything but letters being one blank, with a blank before and behind."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    c = TABLE[np.minimum(points, 0xFFFF)]
+    c = c[np.concatenate((c[:1] > 0, (c[1:] > 0) | (c[:-1] > 0)))] if len(c) else c
+    c = np.concatenate(([0, 0], c, [0]))
+    return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
+
+
 def trigram_counts(docs: DataFrame) -> np.ndarray:
-    """Counts of character trigrams over all whole texts, anything but letters being one blank."""
+    """Counts of character trigrams over all whole texts, about a million characters at a time; texts are apart by a blank."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CLASSES**3, dtype=np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                for at in range(0, len(text or ""), 1 << 20):
-                    points = np.frombuffer(text[at : at + (1 << 20)].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-                    c = np.concatenate(([0], TABLE[np.minimum(points, 0xFFFF)], [0]))
-                    c = np.concatenate(([0], c[np.concatenate(([True], (c[1:] > 0) | (c[:-1] > 0)))]))
-                    total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=CLASSES**3)
+            texts = [t for t in batch["text"] if t]
+            for at, end in chunks(texts):
+                joined = " ".join(texts[at:end])
+                for k in range(0, len(joined), 1 << 20):
+                    total += np.bincount(trigrams(joined[k : k + (1 << 20)]), minlength=CLASSES**3)
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"gram": hit, "n": total[hit]})
 
@@ -97,7 +108,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         elif c in LEET:
             most = [(x * k, SIGN * min(n, 3)) for x in LEET[c] for k in ((1,) if n == 1 else (1, 2))]
             out.append([*most, (" ", NOISE)])
-        elif c == "*":
+        elif c == "*" and len(token) <= LONGEST:
             out.append([("", DROP), (" ", KEEP), *((chr(x), ANY) for x in range(97, 123))])
         elif c in GAPS:
             out.append([("", DROP), (" ", KEEP)])
@@ -152,33 +163,78 @@ def beginnings(words: list[str]) -> list[str]:
     return out
 
 
+def _marks() -> np.ndarray:
+    """Bits of each character of the basic plane: 1 white space, 2 a sign that may stand for a letter, 4 a letter or digit,
+    8 a gap inside a word, 16 a gap between letters set apart. Characters beyond count as signs, so that none is missed."""
+    out = np.zeros(0x10000, dtype=np.uint8)
+    out[[*range(9, 14), 32]] = 1
+    for bit, of in ((2, "0123456789@$!|+(<€£#*"), (8, "._-*~/'`^"), (16, " ._-*")):
+        out[[ord(c) for c in of]] |= bit
+    out[[i for i in range(0xFFFF) if not 0xD800 <= i < 0xE000 and chr(i).isalnum()]] |= 4
+    out[0xFFFF] = 2
+    return out
+
+
+MARKS = _marks()
+
+
+def suspects(low: str) -> tuple[set[str], list[str]]:
+    """Tokens of a lower-cased text that DISGUISED may match, and its runs of letters set apart."""
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    m = np.concatenate((MARKS[np.minimum(points, 0xFFFF)], np.ones(4, dtype=np.uint8)))
+    n = len(points)
+    black = (m & 1) == 0
+    odd = (m[:n] & 2) > 0
+    odd[: max(0, n - 2)] |= (points[2:] == points[1:-1]) & (points[1:-1] == points[:-2])
+    letter, gap, apart = (m & 4) > 0, (m & 8) > 0, (m & 16) > 0
+    odd |= letter[:n] & gap[1 : n + 1] & letter[2 : n + 2] & gap[3 : n + 3] & letter[4 : n + 4]
+    at = np.flatnonzero(odd & black[:n])
+    tokens: set[str] = set()
+    if len(at):
+        white = np.flatnonzero(~black[: n + 1])
+        right = np.searchsorted(white, at)
+        tokens = {low[(white[r - 1] + 1 if r else 0) : white[r]] for r in np.unique(right)}
+    first = np.concatenate(([True], ~black[: n - 1])) if n else np.zeros(0, dtype=bool)
+    runs, done = [], 0
+    for k in np.flatnonzero(first & black[:n] & apart[1 : n + 1] & black[2 : n + 2] & apart[3 : n + 3] & black[4 : n + 4]).tolist():
+        if k >= done and (hit := APART.match(low, k)):
+            runs.append(hit[0])
+            done = hit.end()
+    return tokens, runs
+
+
 class Reader:
-    """Finds features of whole texts, tokens being read once and kept."""
+    """Finds features of whole texts: of their plain words, and of disguised tokens, which are restored once and kept."""
 
     def __init__(self, model: list, lexicon: dict[str, float] | None = None):
         self.model, self.lexicon, self.kept = model, lexicon, {}
+        self.heads = {f[: BEGINNINGS[0]] for f in lexicon or ()}
 
-    def token(self, token: str):
+    def words(self, words) -> list:
+        if self.lexicon is None:
+            return beginnings(words)
+        near = [w for w in words if w[: BEGINNINGS[0]] in self.heads]
+        return [(w, best) for w in near if (best := max((self.lexicon.get(f, 0.0) for f in beginnings([w])), default=0.0)) > 0]
+
+    def token(self, token: str) -> tuple:
         if (got := self.kept.get(token)) is None:
-            if len(self.kept) >= CACHE:
-                self.kept.clear()
-            words = words_of(token.lower(), self.model)
-            if self.lexicon is None:
-                got = tuple(beginnings(words))
-            else:
-                got = tuple((w, best) for w in words if (best := max((self.lexicon.get(f, 0.0) for f in beginnings([w])), default=0.0)) > 0)
-            self.kept[token] = got
+            got = tuple(self.words(words_of(token, self.model)))
+            if len(token) <= LONGEST:
+                if len(self.kept) >= CACHE:
+                    self.kept.clear()
+                self.kept[token] = got
         return got
 
     def text(self, text: str | None) -> set:
-        out: set = set()
-        if text:
-            for t in set(TOKENS.findall(text)):
-                if got := self.token(t):
-                    out.update(got)
-            for m in APART.finditer(text):
-                # letters set apart, blank by blank
-                out.update(self.token(re.sub(r"[ ._\-*]", "_", m[0])))
+        if not text:
+            return set()
+        low = text.lower()
+        out = set(self.words(set(LETTERS.findall(low))))
+        tokens, runs = suspects(low)
+        for t in tokens:
+            out.update(self.token(t))
+        for t in runs:
+            out.update(self.token(re.sub(r"[ ._\-*]", "_", t)))
         return out
 
 
@@ -203,7 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     known = known.orderBy("order").limit(sample)
     # at most `sample` rows of three numbers
     train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic", F.pmod("order", F.lit(2)).alias("fold"))
-    train = train.filter("text IS NOT NULL")
+    train = materialize(train.filter("text IS NOT NULL"), "toxic-training")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, seen = Reader(model), {}
@@ -218,15 +274,25 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
     counts = train.mapInPandas(count, "feature string, toxic long, fold long, n long").groupBy("feature").agg(
         *(F.sum(F.when((F.col("toxic") == t) & (F.col("fold") == k), F.col("n")).otherwise(0)).alias(f"n{t}{k}") for t in (0, 1) for k in (0, 1))
     )
-    rows = counts.filter((F.col("n10") + F.col("n11") >= LEAST) | (F.col("feature") == "\n")).filter("n10 + n11 > (n00 + n01) / 8 OR feature = '\n'").collect()
-    total = next(({(t, k): r[f"n{t}{k}"] for t in (0, 1) for k in (0, 1)} for r in rows if r["feature"] == "\n"), {(t, k): 0 for t in (0, 1) for k in (0, 1)})
+    counts = materialize(counts, "toxic-counts")
+    marks = counts.filter("feature = '\n'").collect()
+    total = {(t, k): marks[0][f"n{t}{k}"] if marks else 0 for t in (0, 1) for k in (0, 1)}
+    # only what has evidence enough in one of the lexicons leaves Spark
+    found = []
+    for folds in ((0,), (1,), (0, 1)):
+        n1, n0 = (max(1, sum(total[(t, k)] for k in folds)) for t in (1, 0))
+        a, b = (" + ".join(f"n{t}{k}" for k in folds) for t in (1, 0))
+        both = f"({a} + {b})"
+        g = f"2 * (({a}) * ln(({a}) / ({both} * {n1 / (n1 + n0)!r}D)) + if({b} > 0, ({b}) * ln(({b}) / ({both} * {n0 / (n1 + n0)!r}D)), 0D))"
+        found.append(F.expr(f"if({a} >= {LEAST}, {g}, 0D)"))
+    rows = counts.filter("feature <> '\n' AND n10 + n11 > (n00 + n01) / 8").withColumn("evidence", F.greatest(*found)).filter(F.col("evidence") >= EVIDENCE * 0.999).orderBy(F.desc("evidence"), "feature").limit(WORDS).collect()
 
     def lexicon(folds: tuple[int, ...]) -> dict[str, float]:
         n1, n0 = (max(1, sum(total[(t, k)] for k in folds)) for t in (1, 0))
         out = {}
         for r in rows:
             a, b = (sum(r[f"n{t}{k}"] for k in folds) for t in (1, 0))
-            if r["feature"] == "\n" or a < LEAST:
+            if a < LEAST:
                 continue
             expected = (a + b) * n1 / (n1 + n0)
             other = (a + b) * n0 / (n1 + n0)
