@@ -40,7 +40,12 @@ def rotation(q: Vec, tolerance: float | None = 1e-6) -> Vec:
     """Rotation of a quaternion. With a tolerance, quaternions whose length is off 1 by more give null and none is repaired;
     without, every quaternion is brought to length 1 first."""
     n = norm(q)
-    x, y, z, w = normalized(q) if tolerance is None else [F.when(F.abs(n - 1) <= tolerance, c) for c in q]
+    return unit_rotation(normalized(q) if tolerance is None else [F.when(F.abs(n - 1) <= tolerance, c) for c in q])
+
+
+def unit_rotation(q: Vec) -> Vec:
+    """Rotation of a quaternion that is known to have length 1."""
+    x, y, z, w = q
     return [
         1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w),
         2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w),
@@ -98,6 +103,14 @@ def rotation_angle(r: Vec) -> Column:
     return F.atan2(norm(skew), r[0] + r[4] + r[8] - 1)
 
 
+def quaternion_angle(a: Vec, b: Vec) -> Column:
+    """The angle, in radians, by which unit quaternion b is turned against a."""
+    x1, y1, z1, w1 = a
+    x2, y2, z2, w2 = b
+    v = [w1 * x2 - w2 * x1 - y1 * z2 + z1 * y2, w1 * y2 - w2 * y1 - z1 * x2 + x1 * z2, w1 * z2 - w2 * z1 - x1 * y2 + y1 * x2]
+    return 2 * F.atan2(norm(v), F.abs(dot(a, b)))
+
+
 def angle_degrees(a: Vec, b: Vec) -> Column:
     """Angle between two vectors; null if one has length 0."""
     n = norm(a) * norm(b)
