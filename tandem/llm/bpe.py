@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -29,8 +30,8 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 #: The same for lower-case text whose characters all lie in the Latin blocks or the general punctuation.
 SIMPLE = re.compile(r"[\x00-\x1b\x20-\u017f\u2010-\u2027\u2030-\u205e]*")
 SIMPLE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^{SPACE}a-zªµºß-öø-ſ0-9²³¹¼-¾]+")
-#: Words, and tokens between blanks, kept with their ids in each worker (some 150 bytes each).
-CACHE = 60_000
+#: Bytes of a generation of words kept with their ids in each worker, and the longest word kept.
+CACHE, LONGEST = 32 << 20, 64
 
 
 def byte_letters() -> list[str]:
@@ -44,15 +45,21 @@ def byte_letters() -> list[str]:
 
 
 class Kept(dict):
-    """A bounded cache of a function's results."""
+    """A cache of a function's results, bounded by bytes: a full generation becomes the old one, from which what is used
+    again comes back, so that frequent keys stay."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make = make
+    def __init__(self, make: Callable[[str], bytes], limit: int = CACHE):
+        self.make, self.limit, self.size, self.old = make, limit, 0, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[key] = got = self.make(key)
+        if (got := self.old.get(key)) is None:
+            got = self.make(key)
+        if len(key) <= LONGEST:
+            self.size += 190 + len(key) + len(got)
+            if self.size > self.limit:
+                self.old, self.size = dict(self), 0
+                self.clear()
+            self[key] = got
         return got
 
 
@@ -77,21 +84,20 @@ class WordBpe:
             self.merge.setdefault(pair, rank)
             self.made.setdefault(to, (rank, *pair))
         self.longest = ahocorasick.Automaton()
-        self.size = {}
+        self.size = [0] * (max(self.ids.values(), default=0) + 1)
         for s, i in self.ids.items():
-            self.longest.add_word(s[::-1], (len(s), i))
+            self.longest.add_word(s[::-1], i)
             self.size[i] = len(s)
         self.longest.make_automaton()
         self.shorter = self._shorter()
-        self.compatible = functools.lru_cache(maxsize=1 << 15)(self._compatible)
+        self.compatible = functools.lru_cache(maxsize=1 << 16)(self._compatible)
         table = sorted([*((i, t) for t, i in vocab.items()), *((i, t) for t, i in self.specials.items())])
         coded = [f"{t} ".encode() for _, t in table]
         n = table[-1][0] + 1
         lens = np.zeros(n, dtype=np.int64)
         lens[[i for i, _ in table]] = [len(c) for c in coded]
         self.text, self.offset = np.frombuffer(b"".join(coded), dtype=np.uint8), np.concatenate(([0], np.cumsum(lens)))
-        self.words = Kept(lambda w: np.array(self.encode_word(w), dtype="<u4").tobytes())
-        self.tokens = Kept(lambda t: b"".join(map(self.words.__getitem__, SIMPLE_PIECES.findall(t))))
+        self.words = Kept(lambda w: struct.pack(f"<{len(ids := self.encode_word(w))}I", *ids))
 
     def _symbols(self, token: str) -> str:
         """A token as one character per byte; the last byte of a word is moved up by 256."""
@@ -101,9 +107,9 @@ class WordBpe:
             at[-1] += 256
         return "".join(map(chr, at))
 
-    def _shorter(self) -> dict[int, int]:
+    def _shorter(self) -> list[int]:
         """For each token the longest token that is a proper prefix of it."""
-        out = {}
+        out = [-1] * len(self.size)
         for s, i in self.ids.items():
             out[i] = next((self.ids[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in self.ids), -1)
         return out
@@ -124,31 +130,32 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-tokenized word. Letters that the vocabulary lacks are dropped, as the library does."""
-        at = list(word.encode("utf-8", "surrogatepass"))
-        at[-1] += 256 if self.end else 0
-        s = "".join(map(chr, at))
-        n = len(s)
-        best = [-1] * n
-        for end, (size, i) in self.longest.iter(s[::-1]):
-            start = n - 1 - end
-            if best[start] < 0 or self.size[best[start]] < size:
-                best[start] = i
+        raw = word.encode("utf-8", "surrogatepass")
+        s = raw.decode("latin-1")
+        if self.end:
+            s = s[:-1] + chr(raw[-1] + 256)
+        if (token := self.ids.get(s)) is not None:
+            return [token]
+        # by distance from the end: the longest token that begins there, as the automaton reports longer ones first
+        best = dict(reversed([*self.longest.iter(s[::-1])]))
+        size, shorter, n = self.size, self.shorter, len(s)
         out: list[int] = []
-        dead, pos, token = set(), 0, best[0]
+        dead, pos, token = set(), 0, best.get(n - 1, -1)
         while pos < n:
-            end = pos + self.size[token] if token >= 0 else -1
             if token < 0:
                 dead.add(pos)
                 if not out:
                     return self.merged(s)
                 last = out.pop()
-                pos -= self.size[last]
-                token = self.shorter[last]
-            elif end not in dead and (not out or self.compatible(out[-1], token)):
+                pos -= size[last]
+                token = shorter[last]
+                continue
+            end = pos + size[token]
+            if end not in dead and (not out or self.compatible(out[-1], token)):
                 out.append(token)
-                pos, token = end, best[end] if end < n else -1
+                pos, token = end, best.get(n - 1 - end, -1)
             else:
-                token = self.shorter[token]
+                token = shorter[token]
         return out
 
     def merged(self, s: str) -> list[int]:
@@ -170,7 +177,7 @@ class WordBpe:
 
     def _plain(self, text: str, out: list[bytes]) -> None:
         if SIMPLE.fullmatch(text):
-            out.extend(map(self.tokens.__getitem__, text.lower().split()))
+            out.extend(map(self.words.__getitem__, SIMPLE_PIECES.findall(text.lower())))
             return
         text = unicodedata.normalize("NFC", text)
         # letter by letter: a final sigma has no form of its own here
