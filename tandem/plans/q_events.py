@@ -44,6 +44,8 @@ _HELD = _RUNS + """st(recording_id, role, run, held, since, was, was_since, rele
   SELECT recording_id, role, was AS label, was_since AS start, released AS "end" FROM st WHERE was IS NOT NULL
   UNION ALL SELECT recording_id, role, held, since, NULL FROM st WHERE held IS NOT NULL AND run = (SELECT max(run) FROM r WHERE r.recording_id = st.recording_id AND r.role = st.role))
 """
+#: The same from labels l that come from elsewhere.
+HELD_FROM = _HELD[_HELD.index("k AS (") :]
 
 
 @query(recursive(sql("frames6", _HELD + """SELECT recording_id, role, label, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM spans""")))
