@@ -135,9 +135,9 @@ OP10_SQL = r"""
 WITH l AS (
   SELECT doc_id, pos - 1 AS pos, trim(line) AS line FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))
 ), f AS (
-  SELECT line, min(struct_pack(d := doc_id, p := pos)) AS own FROM l WHERE length(line) >= 30 GROUP BY line
+  SELECT line, min(struct_pack(d := doc_id, p := pos)) AS own FROM l WHERE line <> '' GROUP BY line
 ), t AS (
-  SELECT line, own, length(line) AS n, translate(line, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7) || chr(8) || chr(14) || chr(15) || chr(16) || chr(17) || chr(18) || chr(19) || chr(20) || chr(21) || chr(22) || chr(23) || chr(24) || chr(25) || chr(26)) AS m FROM f
+  SELECT line, own, length(line) AS n, translate(line, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7) || chr(8) || chr(14) || chr(15) || chr(16) || chr(17) || chr(18) || chr(19) || chr(20) || chr(21) || chr(22) || chr(23) || chr(24) || chr(25) || chr(26)) AS m FROM f WHERE length(line) >= 30
 ), k AS (
   SELECT a.line, min(b.own) AS near FROM t a JOIN t b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.line <> b.line AND b.own < a.own
   WHERE levenshtein(a.m, b.m) <= 2 GROUP BY a.line
