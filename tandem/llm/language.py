@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,15 +100,15 @@ def training_sample(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], D
     """
     usable = docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("order"))
     keys = materialize(usable.select("lang", "order").distinct(), "language-keys")
-    # a first, coarse choice by the hash keeps the exact one small
-    n = dict(keys.groupBy("lang").count().collect())
-    if not n:
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())  # the model has an entry for each of them anyway
+    if not langs:
         return [], usable.select("lang", "text")
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 3 * sample / v))) for k, v in n.items()), F.lit(1.0))
-    keys = keys.filter(F.pmod("order", F.lit(1_000_000)) < share * 1_000_000)
+    # a first, coarse choice by the hash keeps the exact one small
+    keys = keys.join(F.broadcast(counts), "lang").filter(F.pmod("order", F.lit(1_000_000)) < F.lit(3_000_000.0 * sample) / F.col("texts")).drop("texts")
     w = Window.partitionBy("lang").orderBy("order")
     keys = keys.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= sample).drop("rank")
-    return sorted(n), usable.join(F.broadcast(keys), ["lang", "order"]).groupBy("lang", "order").agg(F.min("text").alias("text")).select("lang", "text")
+    return langs, usable.join(F.broadcast(keys), ["lang", "order"]).groupBy("lang", "order").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
@@ -192,24 +193,29 @@ def guess(model: dict, text: str | None) -> tuple[str, float]:
 def guesses(model: dict):
     """A column function: struct of lang_pred and score from a text column."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def run(text: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([guess(model, t) for t in text], columns=["lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def run(text: pa.Array) -> pa.Array:
+        found = [guess(model, t.as_py()) for t in text]  # one text at a time is a string of its own
         release()
-        return out
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
 
     return run
 
 
-def label(docs: DataFrame, train: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """The documents with lang_pred and score of every whole text; `train` (text, lang) defaults to docs.
+def guessed(docs: DataFrame, train: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    """d, the row with all its columns whatever their names, and guess (lang_pred, score) of its whole text.
 
-    Null and empty texts and texts without a letter are `und` with score 0. Columns of these names are replaced. The model
+    `train` (text, lang) defaults to docs. Null and empty texts and texts without a letter are `und` with score 0. The model
     sent to the tasks has an array of DIM numbers per family and per pair of related languages.
     """
     found = guesses(fit(docs if train is None else train, sample))
-    out = docs.drop("lang_pred", "score").withColumn("guess", found("text"))
-    return out.withColumns({"lang_pred": F.col("guess.lang_pred"), "score": F.col("guess.score")}).drop("guess")
+    return docs.select(F.struct(*docs.columns).alias("d"), found(docs["text"]).alias("guess"))
+
+
+def label(docs: DataFrame, train: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    """The documents with lang_pred and score of every whole text. Columns of these names are replaced, all others kept."""
+    kept = [F.col("d").getField(c).alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return guessed(docs, train, sample).select(*kept, "guess.lang_pred", "guess.score")
 
 
 def identify_held_out(docs: DataFrame) -> DataFrame:
