@@ -12,8 +12,8 @@ from tandem.llm.queries import tokenizer_path
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no letter in their text) go; the others carry the predicted one."""
-    found = language.label(docs).filter(F.col("lang_pred") != language.UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+    found = language.guessed(docs).filter(F.col("guess.lang_pred") != language.UNKNOWN)
+    return found.select(*((F.col("guess.lang_pred") if c == "lang" else F.col("d").getField(c)).alias(c) for c in docs.columns))
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,9 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with the same id are one document; those without an id are in no group and stay."""
-    kept = near_dedup.near_duplicates(docs).filter("kept OR doc_id IS NULL").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, F.expr("doc_id <=> id"), "left_semi")
+    """Rows with the same id are one document, which stays if one of them does; those without an id are in no group."""
+    gone = near_dedup.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("any")).filter("NOT any").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
