@@ -7,13 +7,15 @@ CTES = {
       row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS val, event_type AS kind FROM events)""",
     "sparse": """sparse AS (SELECT recording_id, role, CASE WHEN idx % 13 <> 0 THEN t // 21600000000 * 21600000000 END AS t, idx, val, kind
       FROM samples WHERE NOT (role = 1 AND recording_id % 7 = 0))""",
-    "grid": """grid AS (SELECT recording_id, CAST(frame AS INT) AS frame FROM (SELECT DISTINCT user_id // 2 AS recording_id FROM events), range(720) r(frame))""",
-    "frames": """frames AS (SELECT g.recording_id, role, g.frame, c.val, coalesce(c.n, 0) AS n
+    "grid": """grid AS (SELECT recording_id, CAST(unnest(range(greatest(720, hours // 1 + 1))) AS INT) AS frame
+      FROM (SELECT DISTINCT user_id // 2 AS recording_id FROM events), (SELECT max(epoch_us(ts) // 3600000000 - 473352) AS hours FROM events))""",
+    "frames": """frames AS MATERIALIZED (SELECT g.recording_id, role, g.frame, c.val, coalesce(c.n, 0) AS n
       FROM grid g CROSS JOIN (VALUES (0), (1)) x(role) LEFT JOIN (
         SELECT user_id // 2 AS recording_id, user_id % 2 AS role, epoch_us(ts) // 3600000000 - 473352 AS frame, sum(value) AS val, count(*) AS n FROM events GROUP BY ALL
       ) c USING (recording_id, role, frame))""",
-    "grid6": """grid6 AS (SELECT recording_id, CAST(frame AS INT) AS frame FROM (SELECT DISTINCT user_id // 2 AS recording_id FROM events), range(120) r(frame))""",
-    "frames6": """frames6 AS (SELECT g.recording_id, role, g.frame, c.val, coalesce(c.n, 0) AS n
+    "grid6": """grid6 AS (SELECT recording_id, CAST(unnest(range(greatest(120, hours // 6 + 1))) AS INT) AS frame
+      FROM (SELECT DISTINCT user_id // 2 AS recording_id FROM events), (SELECT max(epoch_us(ts) // 3600000000 - 473352) AS hours FROM events))""",
+    "frames6": """frames6 AS MATERIALIZED (SELECT g.recording_id, role, g.frame, c.val, coalesce(c.n, 0) AS n
       FROM grid6 g CROSS JOIN (VALUES (0), (1)) x(role) LEFT JOIN (
         SELECT user_id // 2 AS recording_id, user_id % 2 AS role, (epoch_us(ts) // 3600000000 - 473352) // 6 AS frame, sum(value) AS val, count(*) AS n FROM events GROUP BY ALL
       ) c USING (recording_id, role, frame))""",

@@ -12,7 +12,7 @@ from tandem.operators import sequence as seq
 from tandem.sources import fixtures as fx
 
 from .oracle import sql
-from .registry import query
+from .registry import also, query
 
 SERIES = ["recording_id", "role"]
 
@@ -123,22 +123,11 @@ def sparse_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(size, "recording_id").select("recording_id", "n_reads", "n_frames", F.round(F.col("n_frames") * F.col("mean"), 4).alias("expected_bytes"), F.round(F.col("n_frames") * F.col("p95"), 4).alias("p95_bytes"))
 
 
-@query(sql("words", r"""f AS (SELECT recording_id, role, start // 10 AS frame, count(*) AS n FROM words GROUP BY ALL), g AS (SELECT recording_id, role, CAST(fr AS BIGINT) AS frame FROM (SELECT DISTINCT recording_id, role FROM words), range(480) r(fr)),
-c AS (SELECT g.recording_id, g.role, g.frame, coalesce(f.n, 0) AS n FROM g LEFT JOIN f USING (recording_id, role, frame))
-SELECT recording_id, role, frame, CAST(sum(n) OVER (PARTITION BY recording_id, role ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS trailing FROM c"""))
-def speech_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words begun in the last three seconds, per speaker."""
-    w = fx.words(spark, sf_dir).withColumn("frame", F.expr("start div 10"))
-    grid = w.select("recording_id", "role").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(479)).cast("array<bigint>")))
-    counts = grid.join(w.groupBy("recording_id", "role", "frame").agg(F.count(F.lit(1)).alias("n")), ["recording_id", "role", "frame"], "left")
-    return seq.trailing_count(counts, SERIES, "n", 3).select(*SERIES, "frame", "trailing")
-
-
 @query(sql("words", r"""f AS (SELECT recording_id, role, start // 10 AS frame, count(*) AS n FROM words GROUP BY ALL), e AS (SELECT recording_id, max(frame) AS last FROM f GROUP BY 1),
 g AS (SELECT recording_id, role, unnest(range(CAST(last AS BIGINT) + 1)) AS frame FROM (SELECT DISTINCT recording_id, role FROM words) JOIN e USING (recording_id)),
 c AS (SELECT g.recording_id, g.role, g.frame, coalesce(f.n, 0) AS n FROM g LEFT JOIN f USING (recording_id, role, frame))
 SELECT recording_id, role, frame, CAST(sum(n) OVER (PARTITION BY recording_id, role ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS trailing FROM c"""))
-def speech_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def speech_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words begun in the last three seconds, per speaker, up to the recording's last frame with a word."""
     w = fx.words(spark, sf_dir).withColumn("frame", F.expr("start div 10"))
     last = w.groupBy("recording_id").agg(F.max("frame").alias("last"))
@@ -147,23 +136,19 @@ def speech_window_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.trailing_count(counts, SERIES, "n", 3).select(*SERIES, "frame", "trailing")
 
 
-@query("""WITH r(path) AS (SELECT source || '/' || doc_id FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT 'extra/' || doc_id FROM documents WHERE doc_id % 50 = 0)
-SELECT r.path, d.n_chars AS size, d.n_chars IS NOT NULL AS present FROM r LEFT JOIN documents d ON r.path = d.source || '/' || d.doc_id""")
-def select_required(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fx.files(spark, sf_dir)
-    extra = f.filter("doc_id % 50 = 0").select(F.concat(F.lit("extra/"), F.col("doc_id").cast("string")).alias("path"))
-    return bk.select_required(f, f.filter("doc_id % 10 = 0").select("path").unionByName(extra))
-
+also("speech_window_all", speech_window)
 
 @query("""WITH r(path) AS (SELECT source || '/' || doc_id FROM documents UNION ALL SELECT 'extra/' || doc_id FROM documents WHERE doc_id % 50 = 0)
 SELECT r.path, d.n_chars AS size, d.n_chars IS NOT NULL AS present FROM r LEFT JOIN documents d ON r.path = d.source || '/' || d.doc_id""")
-def select_required_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def select_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's path is asked for, and some that are missing."""
     f = fx.files(spark, sf_dir)
     extra = f.filter("doc_id % 50 = 0").select(F.concat(F.lit("extra/"), F.col("doc_id").cast("string")).alias("path"))
     return bk.select_required(f, f.select("path").unionByName(extra))
 
 
+also("select_required_all", select_required)
+
 @query(sql("words", """t AS (SELECT recording_id, turn, min(start) AS s, max("end") AS e FROM words GROUP BY ALL), x AS (SELECT a.recording_id, a.turn AS a, b.turn AS b FROM t a JOIN t b ON a.recording_id = b.recording_id AND a.turn < b.turn AND least(a.e, b.e) > greatest(a.s, b.s))
 SELECT recording_id, count(*) AS n_overlaps FROM x GROUP BY 1"""))
 def talk_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

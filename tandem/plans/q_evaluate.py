@@ -147,15 +147,16 @@ def slots_to_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # words
 
-_TICKS = """k AS (SELECT recording_id, unnest(range(0, 4800, 15)) AS t FROM (SELECT DISTINCT recording_id FROM words))"""
+_TICKS = """k AS (SELECT recording_id, unnest(range(0, CAST(last AS BIGINT) + 45, 15)) AS t FROM (SELECT recording_id, max("end") AS last FROM words GROUP BY 1))"""
 
 
 @query(sql("words", _TICKS + """ SELECT k.recording_id, k.t, count(w.word) AS n_words, bool_or(coalesce(w.start <= k.t AND w."end" > k.t, false)) AS speaking
 FROM k LEFT JOIN words w ON w.recording_id = k.recording_id AND w."end" > k.t - 30 AND w.start <= k.t AND (w."end" <= k.t OR w.start <= k.t) GROUP BY ALL""".replace("count(w.word)", """count(CASE WHEN w."end" <= k.t THEN 1 END)""")))
 def speech_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that ended in the last 3 s, and whether a word is being spoken, on a grid of 1.5 s."""
+    """Words that ended in the last 3 s, and whether a word is being spoken, on a grid of 1.5 s to the last word's end and on."""
     words = fx.words(spark, sf_dir)
-    ticks = words.select("recording_id").distinct().select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(4785), F.lit(15)).cast("array<bigint>")).alias("t"))
+    last = words.groupBy("recording_id").agg(F.max("end").alias("last"))
+    ticks = last.select("recording_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last") + 44, F.lit(15).cast("bigint"))).alias("t"))
     return tx.speech_columns(words, ticks, ["recording_id"], 30, 15)
 
 

@@ -12,8 +12,7 @@ from tandem.operators import vectors as vec
 from tandem.sources import fixtures as fx
 
 from .oracle import sql
-from .registry import query
-
+from .registry import also, query
 
 
 def _q() -> list:
@@ -234,19 +233,11 @@ def match_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("best", "second", "margin")})
 
 
-@query("""WITH v AS (SELECT vec_id AS frame, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings),
-p AS (SELECT o AS "offset", sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) ** 2)) / 64) AS rmse FROM v a CROSS JOIN range(-5, 6) r(o) JOIN v b ON b.frame = a.frame + o WHERE a.frame BETWEEN 20 AND 59)
-SELECT CAST("offset" AS BIGINT) AS "offset", count(*) AS n, round(avg(rmse), 6) AS mean_error FROM p GROUP BY 1 HAVING count(*) = 40""")
-def offset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = fx.vectors(spark, sf_dir)
-    return vec.offset_search(v.filter("frame BETWEEN 20 AND 59"), v, 5).withColumn("mean_error", F.round("mean_error", 6))
-
-
 @query("""WITH v AS (SELECT vec_id AS frame, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings),
 g AS (SELECT * FROM v WHERE frame BETWEEN (SELECT min(frame) + 5 FROM v) AND (SELECT max(frame) - 5 FROM v)),
 p AS (SELECT o AS "offset", sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) ** 2)) / 64) AS rmse FROM g a CROSS JOIN range(-5, 6) r(o) JOIN v b ON b.frame = a.frame + o)
 SELECT CAST("offset" AS BIGINT) AS "offset", count(*) AS n, round(avg(rmse), 6) AS mean_error FROM p GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM g)""")
-def offset_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def offset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets are all frames that every offset covers."""
     v = fx.vectors(spark, sf_dir)
     ends = v.agg((F.min("frame") + 5).alias("first"), (F.max("frame") - 5).alias("last"))
@@ -254,6 +245,8 @@ def offset_search_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vec.offset_search(targets, v, 5).withColumn("mean_error", F.round("mean_error", 6))
 
 
+also("offset_search_all", offset_search)
+
 @query("""WITH v AS (SELECT vec_id AS frame, label AS group_id, list_transform(embedding, lambda e: abs(CAST(e AS DOUBLE))) AS v FROM embeddings)
 SELECT a.frame, round(sqrt(greatest(1 - list_sum(list_transform(list_zip(a.v, b.v), lambda z: sqrt(z[1] * z[2]))) / sqrt(list_sum(a.v) * list_sum(b.v)), 0)), 6) AS distance FROM v a JOIN v b ON b.frame = a.frame + 1""")
 def hist_distance(spark: SparkSession, sf_dir: str) -> DataFrame:

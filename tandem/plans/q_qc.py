@@ -10,7 +10,7 @@ from tandem.operators import align, qc
 from tandem.sources import fixtures as fx
 
 from .oracle import sql
-from .registry import query
+from .registry import also, query
 
 HOUR = 3_600_000_000
 
@@ -186,16 +186,6 @@ def contact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.contact(spark, sf_dir).groupBy("recording_id", "person", "object").agg(grasps.alias("n_grasps"), F.count(F.lit(1)).alias("n_events"), F.round(grasps / F.count(F.lit(1)), 6).alias("held"))
 
 
-@query(sql("samples poses", """q AS (SELECT recording_id % 10 AS rec, recording_id, role, idx, t // 3600000000 - 473352 AS t, val FROM samples WHERE recording_id < 10),
-p AS (SELECT recording_id AS rec, frame * 15 AS t, frame, x, y, z, qx, qy, qz, qw FROM poses),
-m AS (SELECT q.*, p.t AS pt, p.x, p.y, p.z, p.qx, p.qy, p.qz, p.qw, row_number() OVER (PARTITION BY q.recording_id, role, idx ORDER BY abs(p.t - q.t), p.t) AS k FROM q LEFT JOIN p ON q.rec = p.rec)
-SELECT recording_id, role, idx, CASE WHEN abs(pt - t) <= 5 THEN round((1 - 2 * (qy * qy + qz * qz)) * val / 100 + x, 6) END AS wx, CASE WHEN abs(pt - t) <= 5 THEN round(2 * (qx * qy + qz * qw) * val / 100 + y, 6) END AS wy,
-  CASE WHEN pt IS NULL THEN 'no_samples' WHEN abs(pt - t) <= 5 THEN 'matched' ELSE 'gap_exceeded' END AS status FROM m WHERE k = 1"""))
-def to_world(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`to_world_all` of the first ten recordings alone, as its SQL has it."""
-    return _in_world(fx.samples(spark, sf_dir).filter("recording_id < 10"), fx.poses(spark, sf_dir))
-
-
 def _in_world(samples: DataFrame, poses: DataFrame) -> DataFrame:
     points = samples.select(F.col("recording_id").alias("rec"), F.expr("t div 3600000000 - 473352").alias("t"), "recording_id", "role", F.col("idx").alias("q_idx"), "val")
     cols = ["x", "y", "z", "qx", "qy", "qz", "qw"]
@@ -212,12 +202,14 @@ p AS (SELECT recording_id, frame * 15 AS t, x, y, z, qx, qy, qz, qw FROM poses),
 m AS (SELECT q.*, p.t AS pt, p.x, p.y, p.z, p.qx, p.qy, p.qz, p.qw, row_number() OVER (PARTITION BY q.recording_id, role, idx ORDER BY abs(p.t - q.t), p.t) AS k FROM q LEFT JOIN p USING (recording_id))
 SELECT recording_id, role, idx, CASE WHEN abs(pt - t) <= 5 THEN round((1 - 2 * (qy * qy + qz * qz)) * val / 100 + x, 6) END AS wx, CASE WHEN abs(pt - t) <= 5 THEN round(2 * (qx * qy + qz * qw) * val / 100 + y, 6) END AS wy,
   CASE WHEN pt IS NULL THEN 'no_samples' WHEN abs(pt - t) <= 5 THEN 'matched' ELSE 'gap_exceeded' END AS status FROM m WHERE k = 1"""))
-def to_world_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def to_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points on a device's first axis in the world, by the nearest pose within five hours; others are unknown. Points of
     recordings without a pose have no_samples."""
     return _in_world(fx.samples(spark, sf_dir), fx.poses(spark, sf_dir))
 
 
+also("to_world_all", to_world)
+
 @query(sql("frames6", "SELECT a.recording_id, a.frame, round(a.val, 6) AS first_val, round(b.val, 6) AS second_val, CAST(a.n + b.n AS BIGINT) AS n FROM frames6 a JOIN frames6 b USING (recording_id, frame) WHERE a.role = 0 AND b.role = 1"))
 def pair_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fx.frames(spark, sf_dir, 6)

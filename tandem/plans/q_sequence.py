@@ -10,7 +10,7 @@ from tandem.operators import sequence as seq
 from tandem.sources import fixtures as fx
 
 from .oracle import sql
-from .registry import query
+from .registry import also, query
 
 REC, SERIES = ["recording_id"], ["recording_id", "role"]
 LAST = fx.HOURS - 1
@@ -139,27 +139,19 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.sessions(fx.chunks(spark, sf_dir), ["camera"], 30 * 86_400)
 
 
-@query(sql("chunks", """
-x AS (SELECT camera, chunk AS id, start AS s, "end" AS e FROM chunks WHERE start IS NOT NULL),
-p AS (SELECT a.camera, a.id AS a_id, b.id AS b_id, a.s AS a0, b.s AS b0, least(a.e, b.e) - greatest(a.s, b.s) AS shared FROM x a JOIN x b ON a.camera = b.camera AND a.id % 3 = 0 AND b.id % 3 = 1 WHERE least(a.e, b.e) > greatest(a.s, b.s)),
-q AS (SELECT *, row_number() OVER (PARTITION BY camera, a_id ORDER BY shared DESC, b0, b_id) AS n FROM p)
-SELECT camera, a_id, b_id, shared, row_number() OVER (PARTITION BY camera, b_id ORDER BY a0, a_id) = 1 AS claimed FROM q WHERE n = 1"""))
-def match_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.chunks(spark, sf_dir).filter("start IS NOT NULL").select("camera", F.col("chunk").alias("id"), "start", "end")
-    return iv.match_sessions(c.filter("id % 3 = 0"), c.filter("id % 3 = 1"), ["camera"])
-
-
 @query(sql("chunks", """
 x AS (SELECT camera, chunk AS id, start AS s, "end" AS e FROM chunks WHERE start IS NOT NULL),
 p AS (SELECT a.camera, a.id AS a_id, b.id AS b_id, a.s AS a0, b.s AS b0, least(a.e, b.e) - greatest(a.s, b.s) AS shared FROM x a JOIN x b ON a.camera = b.camera AND a.id % 2 = 0 AND b.id % 2 = 1 WHERE least(a.e, b.e) > greatest(a.s, b.s)),
 q AS (SELECT *, row_number() OVER (PARTITION BY camera, a_id ORDER BY shared DESC, b0, b_id) AS n FROM p)
 SELECT camera, a_id, b_id, shared, row_number() OVER (PARTITION BY camera, b_id ORDER BY a0, a_id) = 1 AS claimed FROM q WHERE n = 1"""))
-def match_sessions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def match_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every chunk with a start is on one of the two sides."""
     c = fx.chunks(spark, sf_dir).filter("start IS NOT NULL").select("camera", F.col("chunk").alias("id"), "start", "end")
     return iv.match_sessions(c.filter("id % 2 = 0"), c.filter("id % 2 = 1"), ["camera"])
 
 
+also("match_sessions_all", match_sessions)
+
 @query(sql("contact", """
 r AS (SELECT *, lead(kind) OVER w AS nk, lead(t) OVER w AS e FROM contact WINDOW w AS (PARTITION BY recording_id, person, object ORDER BY t, CASE kind WHEN 'release' THEN 0 ELSE 1 END, event_id))
 SELECT recording_id, person, object, t AS start, e AS "end", CASE nk WHEN 'release' THEN 'closed' WHEN 'grasp' THEN 'regrasp' ELSE 'open' END AS state FROM r WHERE kind = 'grasp'"""))

@@ -27,6 +27,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def also(name: str, f: Query) -> None:
+    """Registers a query, with its SQL, under a further name."""
+    _QUERIES[name] = f
+    if f.__name__ in _SQL:
+        _SQL[name] = _SQL[f.__name__]
+
+
 def _load() -> None:
     for name in MODULES:
         importlib.import_module(f"tandem.plans.{name}")

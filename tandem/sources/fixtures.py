@@ -47,9 +47,12 @@ def sparse_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str, hours: int = 1) -> DataFrame:
-    """recording_id, frame: frames of `hours` hours over the 30 days."""
-    ids = table(spark, sf_dir, "events").select(F.expr("user_id div 2").alias("recording_id")).distinct()
-    return ids.select("recording_id", F.explode(F.sequence(F.lit(0), F.lit(HOURS // hours - 1))).alias("frame"))
+    """recording_id, frame: frames of `hours` hours over the 30 days, and on to the last event of all."""
+    events = table(spark, sf_dir, "events")
+    ids = events.select(F.expr("user_id div 2").alias("recording_id")).distinct()
+    last = events.agg(F.floor(F.max(hour_of(F.col("ts"))) / hours).cast("int").alias("last"))  # one row
+    frames = F.sequence(F.lit(0), F.greatest(F.coalesce("last", F.lit(0)), F.lit(HOURS // hours - 1)))
+    return ids.join(F.broadcast(last)).select("recording_id", F.explode(frames).alias("frame"))
 
 
 def frames(spark: SparkSession, sf_dir: str, hours: int = 1) -> DataFrame:
