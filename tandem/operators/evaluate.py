@@ -89,10 +89,19 @@ def paired_bootstrap(diffs: DataFrame, value: str, replicates: int, seed: int) -
     return point.join(spread)
 
 
-def threshold_for_precision(df: DataFrame, precision: float) -> DataFrame:
-    """The threshold of the highest recall among those that reach the precision; null if none does."""
+def threshold_for_precision(df: DataFrame, precision: float, bins: int = 1024) -> DataFrame:
+    """The threshold of the highest recall among those that reach the precision; null if none does.
+
+    Scores are summed from the highest down within bins of their range, and bins among themselves, so that no task takes all.
+    """
     counts = df.groupBy("score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("p").over(Window.partitionBy())
-    rows = counts.select("score", (F.sum("p").over(w) / F.sum("n").over(w)).alias("precision"), (F.sum("p").over(w) / total).alias("recall"))
+    ends = counts.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.sum("p").alias("total"))  # one row
+    share = F.try_divide(F.col("score") - F.col("low"), F.col("high") - F.col("low"))
+    counts = counts.join(F.broadcast(ends)).withColumn("bin", F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int"))
+    above = Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("bin").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
+    sums = sums.select("bin", F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("bn"))
+    w = Window.partitionBy("bin").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.join(F.broadcast(sums), "bin").withColumns({"p": F.sum("p").over(w) + F.col("bp"), "n": F.sum("n").over(w) + F.col("bn")})
+    rows = rows.select("score", (F.col("p") / F.col("n")).alias("precision"), F.try_divide("p", "total").alias("recall"))
     return rows.agg(F.max(F.when(F.col("precision") >= precision, F.struct("recall", "score"))).alias("b")).select(F.col("b.score").alias("threshold"), F.col("b.recall").alias("recall"))

@@ -5,44 +5,62 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 A, B = ("ax", "ay", "az"), ("bx", "by", "bz")
 
 
-def _moments(df: DataFrame, weight) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, float]:
-    w = weight
-    aggs = [F.sum(w).alias("w")] + [F.sum(w * F.col(c)).alias(c) for c in A + B] + [F.sum(w * F.col(i) * F.col(j)).alias(f"{i}{j}") for i in A for j in B] + [F.sum(w * sum((F.col(c) * F.col(c) for c in A[1:]), F.col(A[0]) * F.col(A[0]))).alias("aa")]
-    r = df.agg(*aggs).first()
-    n = r["w"] or 0.0
+def moments(df: DataFrame, weight: Column, first: tuple[str, ...] = A, second: tuple[str, ...] = B) -> dict:
+    """Weighted moments of two sets of columns, in one aggregation: rows and weight, both means, the cross covariance, and the
+    first set's own covariance."""
+    two = [(i, j) for i in first for j in second] + [(i, j) for k, i in enumerate(first) for j in first[k:]]
+    sums = {c: F.sum(weight * F.col(c)) for c in first + second} | {f"{i} {j}": F.sum(weight * F.col(i) * F.col(j)) for i, j in two}
+    r = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(weight).alias("weight"), *(c.alias(n) for n, c in sums.items())).first()
+    n = r["weight"] or 0.0
     if n <= 0:
-        raise ValueError("nothing to fit")
-    ma, mb = np.array([r[c] for c in A]) / n, np.array([r[c] for c in B]) / n
-    cross = np.array([[r[f"{i}{j}"] for j in B] for i in A]) / n - np.outer(ma, mb)
-    return n, ma, mb, cross, r["aa"] / n - float(ma @ ma)
+        return {"rows": 0, "weight": 0.0}
+    ma, mb = np.array([r[c] for c in first]) / n, np.array([r[c] for c in second]) / n
+    own = lambda i, j: r[f"{first[min(i, j)]} {first[max(i, j)]}"]
+    cross = np.array([[r[f"{i} {j}"] for j in second] for i in first]) / n - np.outer(ma, mb)
+    spread = np.array([[own(i, j) for j in range(len(first))] for i in range(len(first))]) / n - np.outer(ma, ma)
+    return {"rows": r["rows"], "weight": n, "first": ma, "second": mb, "cross": cross, "spread": spread}
+
+
+def proper(u: np.ndarray, vt: np.ndarray) -> np.ndarray:
+    """1, 1 and 1, or -1 where the two bases together would mirror: the weakest direction is turned round then."""
+    return np.array([1.0, 1.0, -1.0 if np.linalg.det(u @ vt) < 0 else 1.0])
 
 
 def nearest_rotation(m: np.ndarray) -> np.ndarray:
     """The rotation closest to a 3x3 matrix."""
     u, _, vt = np.linalg.svd(m)
-    return u @ np.diag([1, 1, np.sign(np.linalg.det(u @ vt))]) @ vt
+    return (u * proper(u, vt)) @ vt
 
 
-def fit_rigid(pairs: DataFrame, with_scale: bool = False, rounds: int = 1, huber: float | None = None) -> dict:
+def fit_rigid(pairs: DataFrame, with_scale: bool = False, rounds: int = 1, huber: float | None = None, least_width: float = 0.02) -> dict | None:
     """Rotation r, translation t and scale with b = scale * r a + t, by least squares; with `huber`, rounds of reweighting by
-    Huber's rule on the residual. pairs: ax, ay, az, bx, by, bz; rows with a null don't count."""
+    Huber's rule on the residual. pairs: ax, ay, az, bx, by, bz; rows with a null don't count.
+
+    None where the rotation is undetermined: fewer than three pairs, or points a so near to one line that their second
+    largest extent is under `least_width` of the largest.
+    """
     known = pairs.dropna(subset=[*A, *B])
     weight = F.lit(1.0)
     out: dict = {}
     for _ in range(rounds if huber else 1):
-        n, ma, mb, cross, spread = _moments(known, weight)
-        u, d, vt = np.linalg.svd(cross.T)
-        sign = np.array([1, 1, np.sign(np.linalg.det(u @ vt))])
-        r = u @ np.diag(sign) @ vt
-        scale = float((d * sign).sum() / spread) if with_scale and spread > 0 else 1.0
-        t = mb - scale * r @ ma
-        out = {"rotation": r, "translation": t, "scale": scale, "weight": n}
+        m = moments(known, weight)
+        if m["rows"] < 3:
+            return None
+        extents = np.sqrt(np.maximum(np.linalg.eigvalsh(m["spread"])[::-1], 0))
+        if extents[0] <= 0 or extents[1] < least_width * extents[0]:
+            return None
+        u, d, vt = np.linalg.svd(m["cross"].T)
+        sign = proper(u, vt)
+        r = (u * sign) @ vt
+        scale = float((d * sign).sum() / np.trace(m["spread"])) if with_scale else 1.0
+        t = m["second"] - scale * r @ m["first"]
+        out = {"rotation": r, "translation": t, "scale": scale, "weight": m["weight"]}
         if huber:
             weight = F.least(F.lit(1.0), huber / F.greatest(residual(out), F.lit(1e-12)))
     return out
@@ -56,12 +74,13 @@ def residual(fit: dict):
 
 
 def alignment_study(pairs: DataFrame, order: str, huber: float) -> DataFrame:
-    """Residuals of a fit without every fifth pair, on these and on the others: n, p50, p95, max."""
-    from pyspark.sql import Window
-
-    numbered = pairs.withColumn("held_out", (F.row_number().over(Window.orderBy(order)) - 1) % 5 == 0)
+    """Residuals of a fit without every fifth pair, on these and on the others: n, p50, p95, max. order: a column that
+    numbers the pairs. An undetermined fit gives no rows."""
+    numbered = pairs.withColumn("held_out", F.pmod(F.col(order), F.lit(5)) == 0)
     fit = fit_rigid(numbered.filter("NOT held_out"), rounds=5, huber=huber)
-    return numbered.withColumn("e", residual(fit)).groupBy("held_out").agg(F.count("e").alias("n"), F.percentile("e", F.lit(0.5)).alias("p50"), F.percentile("e", F.lit(0.95)).alias("p95"), F.max("e").alias("max"))
+    error = F.lit(None).cast("double") if fit is None else residual(fit)
+    rows = numbered.withColumn("e", error).filter("e IS NOT NULL")
+    return rows.groupBy("held_out").agg(F.count("e").alias("n"), F.percentile("e", F.lit(0.5)).alias("p50"), F.percentile("e", F.lit(0.95)).alias("p95"), F.max("e").alias("max"))
 
 
 def mean_rotation(df: DataFrame, by: list[str], schema: str) -> DataFrame:

@@ -26,17 +26,25 @@ def lag_scores(ref: DataFrame, sig: DataFrame, by: list[str], value: str, lag: i
 
 
 def audio_offset(ref: DataFrame, sig: DataFrame, by: list[str], value: str, lag: int, least: int = 20, apart: int = 5) -> DataFrame:
-    """The offset of sig against ref per group: lag of the best score, refined by a parabola; robust z of the peak (by median
-    and absolute deviation) and its ratio to the best score more than `apart` lags away (null without one)."""
+    """The offset of sig against ref per group: lag of the best score (of equal ones the least), refined by a parabola through
+    the scores at the very next lags, by half a frame at most and only where these bend downwards; robust z of the peak (by
+    median and absolute deviation) and the ratio of the best score more than `apart` lags away to it (null without one).
+    Groups with fewer than three lags, or whose scores don't spread, have no row."""
     s = lag_scores(clipped(ref, by, value), clipped(sig, by, value), by, value, lag, least)
-    w = Window.partitionBy(*by).orderBy("lag")
-    s = s.withColumns({"before": F.lag("score").over(w), "after": F.lead("score").over(w)})
-    peak = s.groupBy(*by).agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.abs("lag")).alias("near"), "lag", "score", "before", "after", "r")).alias("p"), F.percentile("score", F.lit(0.5)).alias("median"))
+    peak = s.groupBy(*by).agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("lag")).alias("first"), "lag", "score", "r")).alias("p"), F.percentile("score", F.lit(0.5)).alias("median"), F.count(F.lit(1)).alias("n_lags"))
     rows = s.join(peak, by)
-    rest = rows.groupBy(*by).agg(F.percentile(F.abs(F.col("score") - F.col("median")), F.lit(0.5)).alias("mad"), F.max(F.when(F.abs(F.col("lag") - F.col("p.lag")) > apart, F.col("score"))).alias("second"))
-    bend = F.col("p.before") - 2 * F.col("p.score") + F.col("p.after")
-    shift = F.coalesce(F.when(F.abs(bend) > 1e-12, F.try_divide(0.5 * (F.col("p.before") - F.col("p.after")), bend)), F.lit(0.0))
-    return peak.join(rest, by).select(*by, F.col("p.lag").alias("lag"), (F.col("p.lag") + shift).alias("offset"), F.col("p.r").alias("r"), F.try_divide(F.col("p.score") - F.col("median"), F.greatest(1.4826 * F.col("mad"), F.lit(1e-9))).alias("z"), F.try_divide("second", F.col("p.score")).alias("second_ratio"))
+    beside = lambda d: F.max(F.when(F.col("lag") == F.col("p.lag") + d, F.col("score")))
+    rest = rows.groupBy(*by).agg(
+        F.percentile(F.abs(F.col("score") - F.col("median")), F.lit(0.5)).alias("mad"), F.max(F.when(F.abs(F.col("lag") - F.col("p.lag")) > apart, F.col("score"))).alias("second"),
+        beside(-1).alias("before"), beside(1).alias("after"),
+    )
+    bend = F.col("before") - 2 * F.col("p.score") + F.col("after")
+    shift = F.greatest(F.least(F.try_divide(0.5 * (F.col("before") - F.col("after")), bend), F.lit(0.5)), F.lit(-0.5))
+    out = peak.join(rest, by).filter("n_lags >= 3 AND mad > 0")
+    return out.select(
+        *by, F.col("p.lag").alias("lag"), (F.col("p.lag") + F.when(bend < 0, shift).otherwise(0.0)).alias("offset"), F.col("p.r").alias("r"),
+        ((F.col("p.score") - F.col("median")) / (1.4826 * F.col("mad"))).alias("z"), F.try_divide("second", F.col("p.score")).alias("second_ratio"),
+    )
 
 
 def offset_drift(ref: DataFrame, sig: DataFrame, by: list[str], value: str, width: int, lag: int, tolerance: float, least_z: float = 4.0) -> DataFrame:
@@ -55,14 +63,47 @@ def offset_drift(ref: DataFrame, sig: DataFrame, by: list[str], value: str, widt
 
 
 def angular_path(df: DataFrame, by: list[str], most_gap: float) -> DataFrame:
-    """Cumulative turning angle (radians) along a series of quaternions (t, qx..qw): repeats add nothing, gaps over most_gap
-    neither."""
-    w = Window.partitionBy(*by).orderBy("t")
+    """path, the turning angle (radians) added up along a series of quaternions (t, qx..qw), and valid, the time added up.
+
+    Samples that repeat the one before are no new measurement: the turn between two distinct samples is spread evenly over
+    the time between them. A gap over most_gap adds no valid time, and a turn whose time holds one adds no angle.
+    """
     q = ["qx", "qy", "qz", "qw"]
-    distinct = df.withColumns({f"p{c}": F.lag(c).over(w) for c in q}).withColumn("dt", F.col("t") - F.lag("t").over(w))
-    along = F.abs(g.dot(g.cols(*q), g.cols(*(f"p{c}" for c in q))))
-    step = F.when(F.col("dt") <= most_gap, 2 * F.acos(F.least(along, F.lit(1.0)))).otherwise(F.lit(0.0))
-    return distinct.withColumn("path", F.sum(F.coalesce(step, F.lit(0.0))).over(w)).drop("dt", *(f"p{c}" for c in q))
+    w = Window.partitionBy(*by).orderBy("t")
+    upto, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
+    rows = df.withColumns({f"p{c}": F.lag(c).over(w) for c in q} | {"dt": F.col("t") - F.lag("t").over(w), "left": F.lead("t").over(w)})
+    other = F.lit(False)
+    for c in q:
+        other = other | (F.col(c) != F.col(f"p{c}"))
+    rows = rows.withColumn("knot", F.col("dt").isNull() | other | F.col("left").isNull())
+    rows = rows.withColumns({"gaps": F.sum(F.coalesce((F.col("dt") > most_gap).cast("int"), F.lit(0))).over(w), "valid": F.sum(F.when(F.col("dt") <= most_gap, F.col("dt")).otherwise(0)).over(w)})
+    rows = rows.withColumn("k", F.when(F.col("knot"), F.struct("t", *q, "gaps"))).withColumn("last", F.last("k", ignorenulls=True).over(upto))
+    along = F.abs(g.dot(g.cols(*q), [F.col(f"last.{c}") for c in q]))
+    turn = F.when(F.col("knot") & (F.col("gaps") == F.col("last.gaps")), 2 * F.acos(F.least(along, F.lit(1.0)))).otherwise(0.0)
+    rows = rows.withColumn("path", F.sum(turn).over(w))
+    # between knots the path grows evenly to the next one
+    rows = rows.withColumn("next", F.first(F.when(F.col("knot"), F.struct("t", "path")), ignorenulls=True).over(after))
+    share = F.try_divide(F.col("t") - F.col("last.t"), F.col("next.t") - F.col("last.t"))
+    even = F.col("path") + (F.col("next.path") - F.col("path")) * share
+    return rows.withColumn("path", F.when(F.col("knot"), F.col("path")).otherwise(even)).select(*df.columns, "path", "valid")
+
+
+def interval_speed(paths: DataFrame, intervals: DataFrame, by: list[str], least: float = 0.9) -> DataFrame:
+    """The mean turning speed over intervals (id, start, end) of a series with `angular_path`; null where they reach beyond it
+    or less than `least` of their time is valid."""
+    ends = intervals.select(*by, "id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("t")), F.struct(F.lit(1).alias("side"), F.col("end").alias("t")))).alias("e")).select(*by, "id", "e.side", "e.t")
+    known = paths.select(*by, "t", F.struct("t", "path", "valid").alias("s"))
+    w = Window.partitionBy(*by).orderBy("t")
+    both = ends.withColumn("asked", F.lit(True)).unionByName(known, allowMissingColumns=True)
+    both = both.withColumns({"a": F.last("s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "b": F.first("s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))}).filter("asked")
+    share = F.coalesce(F.try_divide(F.col("t") - F.col("a.t"), F.col("b.t") - F.col("a.t")), F.lit(0.0))
+    at = lambda c: F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * share
+    both = both.withColumns({"path": at("path"), "valid": at("valid")})
+    side = lambda c, k: F.max(F.when(F.col("side") == k, F.col(c)))
+    out = both.groupBy(*by, "id").agg(*(side(c, k).alias(f"{c}{k}") for c in ("t", "path", "valid") for k in (0, 1)))
+    time = F.col("t1") - F.col("t0")
+    ok = (F.col("valid1") - F.col("valid0")) / time >= least
+    return out.select(*by, "id", F.when(ok, (F.col("path1") - F.col("path0")) / time).alias("speed"))
 
 
 def slerp_at(samples: DataFrame, times: DataFrame, by: list[str], most_gap: float) -> DataFrame:

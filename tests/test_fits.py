@@ -24,6 +24,16 @@ def test_similarity(spark):
     assert np.allclose(f["rotation"], r) and np.allclose(f["translation"], t) and abs(f["scale"] - 2.5) < 1e-9
 
 
+def test_undetermined_rotations_are_not_guessed(spark):
+    line = [(i, float(i), 2.0 * i, 0.0, float(i), 0.0, 0.0) for i in range(9)]
+    schema = "i int, ax double, ay double, az double, bx double, by double, bz double"
+    assert fits.fit_rigid(spark.createDataFrame(line, schema)) is None
+    assert fits.fit_rigid(pairs(spark, np.eye(3), np.zeros(3), 1.0).limit(2)) is None
+    flat = [(i, float(i % 3), float(i // 3), 0.0, float(i // 3), float(i % 3), 0.0) for i in range(9)]
+    r = fits.fit_rigid(spark.createDataFrame(flat, schema))["rotation"]
+    assert np.isclose(np.linalg.det(r), 1) and np.allclose(r @ r.T, np.eye(3))
+
+
 def test_outliers_are_weighed_down(spark):
     r, t = turn(np.array([1.0, 0, 0]), 0.4), np.array([0.5, 0, 0])
     df = pairs(spark, r, t, 1.0, outliers=6)

@@ -45,6 +45,23 @@ def test_turning_skips_gaps(spark):
     assert [round(r["path"], 6) for r in motion.angular_path(df, ["g"], 2.0).orderBy("t").collect()] == [0, 0.2, 0.2, 0.2, 0.3]
 
 
+def test_a_turn_that_holds_a_gap_adds_nothing(spark):
+    rows = [(1, t, *quat(a)) for t, a in ((0.0, 0.0), (1.0, 0.2), (9.0, 0.2), (10.0, 0.5), (11.0, 0.5), (12.0, 0.7))]
+    df = spark.createDataFrame(rows, "g int, t double, qx double, qy double, qz double, qw double")
+    got = motion.angular_path(df, ["g"], 2.0).orderBy("t").collect()
+    assert [round(r["path"], 6) for r in got] == [0, 0.2, 0.2, 0.2, 0.3, 0.4] and [r["valid"] for r in got] == [0, 1, 1, 2, 3, 4]
+    asked = spark.createDataFrame([(1, 1, 10.0, 12.0), (1, 2, 0.5, 3.0), (1, 3, 11.5, 13.0), (1, 4, 0.0, 0.5)], "g int, id int, start double, end double")
+    speed = {r["id"]: r["speed"] for r in motion.interval_speed(motion.angular_path(df, ["g"], 2.0), asked, ["g"]).collect()}
+    assert abs(speed[1] - 0.1) < 1e-9 and abs(speed[4] - 0.2) < 1e-9 and speed[2] is None and speed[3] is None
+
+
+def test_the_parabola_takes_the_very_next_lags_only(spark):
+    x = signal(60, 5)
+    ref, sig = frame(spark, [(1, k, v) for k, v in enumerate(x)]), frame(spark, [(1, k, x[k + 20]) for k in range(40)])
+    r = motion.audio_offset(ref, sig, ["g"], "e", 20, 40).first()  # lag 20 alone has a lag before it, none after
+    assert r["lag"] == 20 and r["offset"] == 20
+
+
 def test_slerp_between_samples_only(spark):
     rows = [(1, t, *quat(a)) for t, a in ((0.0, 0.0), (1.0, 1.0), (9.0, 2.0))]
     df = spark.createDataFrame(rows, "g int, t double, qx double, qy double, qz double, qw double")
