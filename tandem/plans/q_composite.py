@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.operators import bookkeeping as bk
+from tandem.operators import scopes
 from tandem.operators import events as evt
 from tandem.operators import folds, intervals
 from tandem.operators import sequence as seq
@@ -97,11 +98,16 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("recording_id").agg(F.round(F.avg("valid"), 6).alias("coverage"), F.round(F.percentile("valid", F.lit(0.9)), 6).alias("p90"), F.count_if(F.col("valid") == 1).alias("n_full"))
 
 
-@query(sql("intervals", """SELECT initiator, cue, skip, count(*) AS n, round(avg(CASE WHEN end_frame - start_frame > 2 THEN 1.0 ELSE 0.0 END), 6) AS recall FROM intervals GROUP BY GROUPING SETS ((initiator), (cue), (skip), ())"""))
+@query(sql("frames intervals", """p AS (SELECT i.recording_id, iv, initiator, cue, skip, max(val) AS peak FROM intervals i JOIN frames f ON f.recording_id = i.recording_id AND f.frame BETWEEN start_frame - 6 AND start_frame - 1 GROUP BY ALL),
+t AS (SELECT quantile_cont(val, 0.95) AS limit_ FROM frames)
+SELECT initiator, cue, skip, count(*) AS n, round(avg(CASE WHEN peak >= limit_ THEN 1.0 WHEN peak IS NOT NULL THEN 0.0 END), 6) AS recall FROM p, t GROUP BY GROUPING SETS ((initiator), (cue), (skip), ())"""))
 def recall_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i, c, k = F.col("initiator"), F.col("cue"), F.col("skip")
-    hit = F.avg((F.col("end_frame") - F.col("start_frame") > 2).cast("double"))
-    return fx.intervals(spark, sf_dir).groupingSets([[i], [c], [k], []], i, c, k).agg(F.count(F.lit(1)).alias("n"), F.round(hit, 6).alias("recall"))
+    """Events whose signal in the six frames before reaches what one frame in twenty does."""
+    f = fx.frames(spark, sf_dir)
+    before = fx.intervals(spark, sf_dir).withColumn("frame", F.explode(F.sequence(F.col("start_frame") - 6, F.col("start_frame") - 1)))
+    peaks = before.join(f.select("recording_id", "frame", "val"), ["recording_id", "frame"]).groupBy("recording_id", "iv", "initiator", "cue", "skip").agg(F.max("val").alias("peak"))
+    limit = f.agg(F.percentile("val", F.lit(0.95)).alias("limit"))
+    return scopes.recall_by(peaks.join(F.broadcast(limit)), ["initiator", "cue", "skip"], "peak", F.col("limit")).withColumn("recall", F.round("recall", 6))
 
 
 @query(sql("intervals", """SELECT recording_id, iv, greatest(0, least(start_frame - (48 - (end_frame - start_frame)) // 2, 719 - 48)) AS excerpt_from, greatest(0, least(start_frame - (48 - (end_frame - start_frame)) // 2, 719 - 48)) + 48 AS excerpt_to FROM intervals"""))

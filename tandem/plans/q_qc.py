@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import geometry as g
+from tandem.operators import scopes
 from tandem.operators import align, qc
 from tandem.sources import fixtures as fx
 
@@ -126,27 +127,57 @@ def scope_metrics_of(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("role") == 0).alias("n_frames"), cover(0).alias("cover_0"), cover(1).alias("cover_1"), F.max("val").alias("peak"), F.percentile("val", F.lit(0.5)).alias("median"))
 
 
-@query(sql("frames intervals", _SCOPE + " SELECT recording_id, iv, n_frames, round(cover_0, 6) AS cover_0, round(cover_1, 6) AS cover_1, round(peak, 6) AS peak, round(median, 6) AS median FROM m"))
+_FRAMES = """f AS (SELECT recording_id, role, frame, (frame * 5 + recording_id) % 41 <> 0 AS verified, (frame * 3 + role) % 10 / 20.0 + 0.5 AS map_conf, (frame * 7 + role * 3 + recording_id) % 37 <> 0 AS pose, (frame * 13 + role) % 97 AS residual,
+  (frame + role * 2) % 19 <> 0 AS l, (frame * 3 + role) % 23 <> 0 AS r, 0.8 + (frame * 7 + role) % 20 / 100.0 AS lc, 0.85 + (frame * 11 + role) % 15 / 100.0 AS rc, val / 20 AS speed FROM frames),
+w AS (SELECT recording_id, frame, bool_and(verified) AS verified, """ + ", ".join(f"max({c}) FILTER (role = {r}) AS {c}{r}" for c in ("map_conf", "pose", "residual", "l", "r", "lc", "rc", "speed") for r in (0, 1)) + """, (frame * 17 + recording_id) % 50 / 10.0 AS distance FROM f GROUP BY recording_id, frame),
+e AS (SELECT recording_id, iv, 'event' AS scope, unnest(range(start_frame, end_frame + 1)) AS frame FROM intervals WHERE NOT skip UNION ALL SELECT recording_id, iv, 'context', unnest(range(greatest(start_frame - 6, 0), least(end_frame + 6, 719) + 1)) FROM intervals WHERE NOT skip),
+j AS (SELECT e.recording_id, e.iv, e.scope, w.* EXCLUDE (recording_id, frame) FROM e JOIN w USING (recording_id, frame)),
+a AS (SELECT recording_id, iv, scope, bool_and(verified) AS verified, avg(CAST(pose0 AS INT)) AS pose_0, avg(CAST(pose1 AS INT)) AS pose_1, avg(CAST(l0 OR r0 AS INT)) AS any_0, avg(CAST(l1 OR r1 AS INT)) AS any_1, avg(CAST((l0 OR r0) AND (l1 OR r1) AS INT)) AS both_any,
+  avg(CAST(l0 AND r0 AND l1 AND r1 AS INT)) AS all_four, least(quantile_cont(map_conf0, 0.5), quantile_cont(map_conf1, 0.5)) AS map_conf, quantile_cont(distance, 0.5) AS distance, count(*) FILTER (speed0 > 5) + count(*) FILTER (speed1 > 5) AS n_fast,
+  greatest(coalesce(count(*) FILTER (speed0 > 5) / nullif(count(speed0), 0), 0), coalesce(count(*) FILTER (speed1 > 5) / nullif(count(speed1), 0), 0)) AS fast_rate FROM j GROUP BY ALL),
+c AS (SELECT recording_id, iv, scope, quantile_cont(v, 0.5) AS conf FROM (SELECT recording_id, iv, scope, unnest([CASE WHEN l0 THEN lc0 END, CASE WHEN r0 THEN rc0 END, CASE WHEN l1 THEN lc1 END, CASE WHEN r1 THEN rc1 END]) AS v FROM j) GROUP BY ALL),
+q AS (SELECT recording_id, iv, scope, quantile_cont(v, 0.95) AS residual_p95 FROM (SELECT recording_id, iv, scope, unnest([residual0, residual1]) AS v FROM j) GROUP BY ALL),
+m AS (SELECT * FROM a LEFT JOIN c USING (recording_id, iv, scope) LEFT JOIN q USING (recording_id, iv, scope)),
+ev AS (SELECT * EXCLUDE (scope) FROM m WHERE scope = 'event'), cx AS (SELECT * EXCLUDE (scope) FROM m WHERE scope = 'context')
+"""
+_METRICS = ["verified", "pose_0", "pose_1", "any_0", "any_1", "both_any", "all_four", "map_conf", "distance", "n_fast", "fast_rate", "conf", "residual_p95"]
+
+
+def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fx.frames(spark, sf_dir).selectExpr(
+        "recording_id", "role", "frame", "(frame * 5 + recording_id) % 41 <> 0 AS verified", "(frame * 3 + role) % 10 / 20 + 0.5 AS map_conf", "(frame * 7 + role * 3 + recording_id) % 37 <> 0 AS pose", "cast((frame * 13 + role) % 97 AS double) AS residual",
+        "(frame + role * 2) % 19 <> 0 AS left", "(frame * 3 + role) % 23 <> 0 AS right", "0.8D + (frame * 7 + role) % 20 / 100 AS left_conf", "0.85D + (frame * 11 + role) % 15 / 100 AS right_conf", "val / 20 AS speed",
+    )
+    near = f.filter("role = 0").selectExpr("recording_id", "frame", "(frame * 17 + recording_id) % 50 / 10 AS distance")
+    return scopes.scope_metrics(f, near, fx.intervals(spark, sf_dir).filter("NOT skip"), ["recording_id"], 6, 719, 5.0)
+
+
+_WIDE = ", ".join(f"{t}.{c} AS {s}_{c}" if c in ("verified", "n_fast") else f"round({t}.{c}, 6) AS {s}_{c}" for t, s in (("ev", "event"), ("cx", "context")) for c in _METRICS)
+
+
+@query(sql("frames intervals", _FRAMES + f" SELECT recording_id, iv, {_WIDE} FROM ev JOIN cx USING (recording_id, iv)"))
 def scope_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scope_metrics_of(spark, sf_dir).drop("cue", "initiator", "start_frame")
-    return _rounded(out, "cover_0", "cover_1", "peak", "median")
+    return _rounded(_scoped(spark, sf_dir), *(f"{s}_{c}" for s in scopes.SCOPES for c in _METRICS if c not in ("verified", "n_fast")))
 
 
-@query(sql("frames intervals", _SCOPE + """ SELECT recording_id, iv, CASE WHEN peak IS NULL OR least(cover_0, cover_1) = 0 AND greatest(cover_0, cover_1) < 0.1 THEN 'exclude' WHEN greatest(cover_0, cover_1) < 0.2 OR peak > 150 THEN 'caution' ELSE 'acceptable' END AS recommendation,
-concat_ws(',', CASE WHEN cover_0 < 0.15 THEN 'cover_0' END, CASE WHEN cover_1 < 0.15 THEN 'cover_1' END, CASE WHEN peak > 150 THEN 'peak' END, CASE WHEN n_frames < 14 THEN 'short' END) AS failed FROM m"""))
+@query(sql("frames intervals", _FRAMES + """ SELECT recording_id, iv,
+CASE WHEN NOT cx.verified OR least(ev.pose_0, ev.pose_1) < 1 OR ev.all_four < 0.9 THEN 'exclude' WHEN ev.all_four < 1 OR cx.all_four < 0.75 OR least(cx.pose_0, cx.pose_1) < 1 OR ev.n_fast > 0 OR cx.n_fast > 0 THEN 'caution' ELSE 'acceptable' END AS status,
+CASE WHEN NOT cx.verified THEN 'context_not_verified' WHEN least(ev.pose_0, ev.pose_1) < 1 THEN 'event_pose_incomplete' WHEN ev.all_four < 0.9 THEN 'event_hands_missing' WHEN ev.all_four < 1 THEN 'event_hands_incomplete'
+  WHEN cx.all_four < 0.75 OR least(cx.pose_0, cx.pose_1) < 1 THEN 'context_gaps' WHEN ev.n_fast > 0 OR cx.n_fast > 0 THEN 'fast_wrists' ELSE 'complete' END AS reason,
+concat_ws(',', CASE WHEN NOT ev.verified THEN 'event_not_verified' END, CASE WHEN ev.pose_0 < 0.95 THEN 'event_pose_0' END, CASE WHEN ev.pose_1 < 0.95 THEN 'event_pose_1' END, CASE WHEN ev.n_fast > 0 THEN 'event_fast_wrists' END,
+  CASE WHEN NOT cx.verified THEN 'context_not_verified' END, CASE WHEN cx.pose_0 < 0.95 THEN 'context_pose_0' END, CASE WHEN cx.pose_1 < 0.95 THEN 'context_pose_1' END, CASE WHEN cx.n_fast > 0 THEN 'context_fast_wrists' END,
+  CASE WHEN ev.any_0 < 0.8 THEN 'event_hand_0' END, CASE WHEN ev.any_1 < 0.8 THEN 'event_hand_1' END, CASE WHEN coalesce(ev.conf, -1) < 0.9 THEN 'event_conf' END) AS failed FROM ev JOIN cx USING (recording_id, iv)"""))
 def recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recommendation and all failed rules of every event."""
-    low, high = F.least("cover_0", "cover_1"), F.greatest("cover_0", "cover_1")
-    rule = F.when(F.col("peak").isNull() | (low == 0) & (high < 0.1), "exclude").when((high < 0.2) | (F.col("peak") > 150), "caution").otherwise("acceptable")
-    failed = qc.failed_rules({"cover_0": F.col("cover_0") < 0.15, "cover_1": F.col("cover_1") < 0.15, "peak": F.col("peak") > 150, "short": F.col("n_frames") < 14})
-    return scope_metrics_of(spark, sf_dir).select("recording_id", "iv", rule.alias("recommendation"), failed.alias("failed"))
+    """The recommendation with its reason, and all rules of the demo gate that fail, of every event."""
+    return _scoped(spark, sf_dir).select("recording_id", "iv", scopes.recommendation().alias("r"), scopes.demo_failures().alias("failed")).select("recording_id", "iv", "r.status", "r.reason", "failed")
 
 
-@query(sql("frames intervals", _SCOPE + """ SELECT recording_id, iv, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY CASE WHEN least(cover_0, cover_1) > 0 THEN 0 ELSE 1 END, round(cover_0 + cover_1, 9) DESC, median NULLS LAST, iv) AS INT) AS rank FROM m"""))
+@query(sql("frames intervals", _FRAMES + """, k AS (SELECT recording_id, iv, cx.verified AS verified, row_number() OVER (PARTITION BY recording_id ORDER BY CASE WHEN cx.verified THEN 0 ELSE 1 END, round(ev.both_any, 9) DESC, round(ev.all_four, 9) DESC, round(least(ev.pose_0, ev.pose_1), 9) DESC,
+  round(ev.map_conf, 9) DESC, round(ev.conf, 9) DESC NULLS LAST, round(ev.residual_p95, 9) NULLS LAST, round(ev.distance, 9) NULLS LAST, round(ev.fast_rate, 9), iv) AS rank FROM ev JOIN cx USING (recording_id, iv))
+SELECT recording_id, iv, CAST(rank AS INT) AS rank, rank = 1 AND verified AS selected FROM k"""))
 def rank_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a recording from the best to the worst, unknown medians last, ids breaking ties."""
-    order = [F.when(F.least("cover_0", "cover_1") > 0, 0).otherwise(1), F.desc(F.round(F.col("cover_0") + F.col("cover_1"), 9)), F.asc_nulls_last("median"), F.col("iv")]
-    return qc.rank_rows(scope_metrics_of(spark, sf_dir), ["recording_id"], order).select("recording_id", "iv", "rank")
+    """Events of a recording from the best to the worst, and the one that is selected."""
+    return scopes.rank_handovers(_scoped(spark, sf_dir), ["recording_id"]).select("recording_id", "iv", "rank", "selected")
 
 
 @query(sql("frames intervals", _SCOPE + """ SELECT cue, initiator, count(*) AS n, round(quantile_cont(peak, 0.5), 6) AS median_peak, round(quantile_cont(peak, 0.75) - quantile_cont(peak, 0.25), 6) AS iqr_peak, round(avg(cover_0), 6) AS cover FROM m GROUP BY GROUPING SETS ((cue), (initiator), (cue, initiator), ())"""))
@@ -180,21 +211,15 @@ def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.withColumn("score", points), "rate", "median", "idle", "together", "score")
 
 
-@query(sql("contact", """SELECT recording_id, person, object, count(*) FILTER (kind = 'grasp') AS n_grasps, count(*) AS n_events, round(count(*) FILTER (kind = 'grasp') / count(*), 6) AS held FROM contact GROUP BY ALL"""))
+@query(sql("frames6", """h AS (SELECT recording_id, role, frame, CASE WHEN n = 0 THEN NULL WHEN n = 1 THEN 'one' ELSE 'many' END AS object FROM frames6),
+t AS (SELECT recording_id, count(DISTINCT frame) AS n_frames, round(count(DISTINCT CASE WHEN object IS NOT NULL THEN frame END) / count(DISTINCT frame), 6) AS "any", round(count(object) FILTER (role = 0) / count(*) FILTER (role = 0), 6) AS hand_0,
+  round(count(object) FILTER (role = 1) / count(*) FILTER (role = 1), 6) AS hand_1, count(*) FILTER (object = 'one') AS n_one, count(*) FILTER (object = 'many') AS n_many FROM h GROUP BY 1)
+SELECT * FROM t"""))
 def contact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grasps = F.count_if(F.col("kind") == "grasp")
-    return fx.contact(spark, sf_dir).groupBy("recording_id", "person", "object").agg(grasps.alias("n_grasps"), F.count(F.lit(1)).alias("n_events"), F.round(grasps / F.count(F.lit(1)), 6).alias("held"))
-
-
-def _in_world(samples: DataFrame, poses: DataFrame) -> DataFrame:
-    points = samples.select(F.col("recording_id").alias("rec"), F.expr("t div 3600000000 - 473352").alias("t"), "recording_id", "role", F.col("idx").alias("q_idx"), "val")
-    cols = ["x", "y", "z", "qx", "qy", "qz", "qw"]
-    poses = poses.select(F.col("recording_id").alias("rec"), (F.col("frame") * 15).cast("bigint").alias("t"), F.col("frame").cast("bigint").alias("idx"), *cols)
-    near = align.asof_nearest(points, poses, ["rec"], 5, cols)
-    r = g.rotation(g.cols(*(f"sample_{c}" for c in cols[3:])))
-    w = g.applied(r, g.cols("sample_x", "sample_y", "sample_z"), [F.col("val") / 100, F.lit(0.0), F.lit(0.0)])
-    ok = F.col("status") == "matched"
-    return near.select("recording_id", "role", F.col("q_idx").alias("idx"), F.when(ok, F.round(w[0], 6)).alias("wx"), F.when(ok, F.round(w[1], 6)).alias("wy"), "status")
+    held = fx.frames(spark, sf_dir, 6).select("recording_id", "role", "frame", F.expr("CASE WHEN n = 0 THEN NULL WHEN n = 1 THEN 'one' ELSE 'many' END AS object"))
+    out = scopes.contact_report(held, ["recording_id"], "role")
+    of = lambda o: F.coalesce(F.try_element_at("objects", F.lit(o)), F.lit(0)).alias(f"n_{o}")
+    return out.select("recording_id", "n_frames", F.round("any", 6).alias("any"), *(F.round(F.col("by_hand")[str(r)], 6).alias(f"hand_{r}") for r in (0, 1)), of("one"), of("many"))
 
 
 @query(sql("samples poses", """q AS (SELECT recording_id, role, idx, t // 3600000000 - 473352 AS t, val FROM samples),
