@@ -31,8 +31,9 @@ MIN_CHARS, MIN_COUNTED_WORDS = 200, 50
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.35, 0.75
 #: The same for the share of common words, and the standard deviations that a count of them may be off by chance.
 MAX_COMMON_DISTANCE, CHANCE = 0.5, 4.0
-#: A language has a reference of its own if its name has this form (so there are 18 278 at most) and enough words.
-LANG, POOLED, MIN_REFERENCE_WORDS = r"^[a-z]{1,3}$", "*", 20_000
+#: A language is what has the form of a language tag; all else is judged by all languages together. Words of all languages
+#: together that are mixed into each language's own reference, so that one with few words is held against both.
+LANG, POOLED, PRIOR_WORDS = r"^[A-Za-z]{1,8}([-_][A-Za-z0-9]{1,8}){0,3}$", "*", 2_000
 
 
 def _class_of(c: str) -> int:
@@ -99,9 +100,9 @@ def _short(words: list[str]) -> list[str]:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """lang, classes (histogram), words (the COMMON commonest short words), shares (of each among all words).
+    """lang, total (words), classes (histogram), words (the COMMON commonest short words), shares (of each among all words).
 
-    Counted over all documents; POOLED is over all languages. Languages with few words have no reference of their own.
+    Counted over all documents; POOLED is over all languages.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,18 +143,33 @@ def references(docs: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
     )
     total = F.col("bins")[len(CLASSES)]
-    return (
-        bins.join(top, "lang", "left")
-        .filter((total >= MIN_REFERENCE_WORDS) | (F.col("lang") == POOLED))
-        .select(
-            "lang",
-            F.array(*(F.col("bins")[k].cast("double") for k in range(len(CLASSES)))).alias("classes"),
-            F.coalesce("top.word", F.expr("cast(array() as array<string>)")).alias("words"),
-            F.coalesce(F.transform("top.n", lambda n: n / total), F.expr("cast(array() as array<double>)")).alias("shares"),
-        )
+    return bins.join(top, "lang", "left").select(
+        "lang",
+        total.alias("total"),
+        F.array(*(F.col("bins")[k].cast("double") for k in range(len(CLASSES)))).alias("classes"),
+        F.coalesce("top.word", F.expr("cast(array() as array<string>)")).alias("words"),
+        F.coalesce(F.transform("top.n", lambda n: F.try_divide(n, total)), F.expr("cast(array() as array<double>)")).alias("shares"),
     )
 
 
+def mixed_references(rows: list) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
+    """Per language the histogram of classes, the places of its common words, and the histogram of these with one bin for all
+    other words; each with PRIOR_WORDS words of all languages together mixed in."""
+    pooled = next((r for r in rows if r["lang"] == POOLED), None)
+    if pooled is None:
+        return {}
+    base, known = np.array(pooled["classes"]) / max(1, pooled["total"]), {}
+    for r in rows:
+        weight = r["total"] / (r["total"] + PRIOR_WORDS)
+        share = Counter({w: weight * (s or 0.0) for w, s in zip(r["words"], r["shares"], strict=True)})
+        for w, s in zip(pooled["words"], pooled["shares"], strict=True):
+            share[w] += (1 - weight) * (s or 0.0)
+        top = sorted(share, key=lambda w: (-share[w], w))[:COMMON]
+        shares = np.array([share[w] for w in top])
+        known[r["lang"]] = (np.array(r["classes"]) + PRIOR_WORDS * base, {w: k for k, w in enumerate(top)}, np.append(shares, max(0.0, 1 - shares.sum())))
+    return known
+
+
 def distance(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon distance of two histograms, base 2; 0 if one is empty."""
     if not p.sum() or not q.sum():
@@ -176,15 +192,13 @@ def common_distance(n_common: float, n: float, share: float) -> float | None:
 def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """doc_id, the base counts, base_failed, class_distance, word_distance, common_distance and kept of every whole text.
 
-    A document is held against the reference of its `lang`; without one (null or unknown too) against the pooled one. Null
-    and empty texts have counts of 0 and fail the base rules. Distances of texts under the minimum lengths are null and
-    don't count; nor does common_distance where chance explains the number of common words. Repeated rows give repeated rows; other columns are not carried. The references are bounded by the form of
-    a language's name, so they go to the tasks as they are.
+    A document is held against the reference of its `lang`, with a little of all languages' together; where that is null or
+    no language tag, against all languages' alone. Null and empty texts have counts of 0 and fail the base rules. Distances
+    of texts under the minimum lengths are null and don't count; nor does common_distance where chance explains the number
+    of common words. Repeated rows give repeated rows; other columns are not carried. The references, some 3 KB for each
+    language, go through the driver to the tasks.
     """
-    known = {}
-    for r in (references(docs) if refs is None else refs).collect():
-        shares = np.array(list(r["shares"]), dtype=float)
-        known[r["lang"]] = (np.array(r["classes"]), {w: k for k, w in enumerate(r["words"])}, np.append(shares, max(0.0, 1 - shares.sum())))
+    known = mixed_references((references(docs) if refs is None else refs).collect())
     fallback = known.get(POOLED, (np.zeros(len(CLASSES)), {}, np.zeros(1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
