@@ -15,6 +15,28 @@ from .align import asof_nearest
 POSE = ["x", "y", "z", "qx", "qy", "qz", "qw"]
 
 
+def audit_trajectory(poses: DataFrame, by: list[str], tolerance: float = 1e-6, listed: int = 10) -> DataFrame:
+    """A whole trajectory's counts and ranges. poses: t, idx, utc (-1: unknown) and a pose.
+
+    n, n_duplicate_times (rows beyond the first of a time), first_t, last_t, n_no_utc, max_norm_error of the quaternions,
+    n_invalid (a number is missing or not finite, or a quaternion's length is off 1 by more than `tolerance`; none is
+    repaired), the idx of the first `listed` of these, and first_position and last_position (x, y, z).
+    """
+    off = F.abs(g.norm(g.cols(*POSE[3:])) - 1)
+    known = F.lit(True)
+    for c in POSE:
+        known = known & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    rows = poses.withColumns({"off": off, "bad": ~F.coalesce(known & (off <= tolerance), F.lit(False))})
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy(*by, "bad").orderBy("t", "idx")))
+    place = F.struct("t", "idx", *POSE[:3])
+    out = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count_distinct("t")).alias("n_duplicate_times"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count_if(F.col("utc") == -1).alias("n_no_utc"),
+        F.max("off").alias("max_norm_error"), F.count_if("bad").alias("n_invalid"), F.sort_array(F.collect_list(F.when(F.col("bad") & (F.col("k") <= listed), F.struct("t", "idx")))).alias("invalid"),
+        F.min(place).alias("first_position"), F.max(place).alias("last_position"),
+    )
+    return out.withColumn("invalid", F.col("invalid.idx"))
+
+
 def continuity(samples: DataFrame, by: list[str], max_speed: float, max_turn: float, second: int = 1_000_000) -> DataFrame:
     """The interval that ends at each sample but a series' first: idx, speed, turn (radians), both a second, and reason.
 

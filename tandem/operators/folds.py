@@ -4,7 +4,7 @@ stream's boxes, never over a whole table; work is spread over series."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import merge
@@ -141,9 +141,14 @@ def link_tracks(boxes: DataFrame, by: list[str], least_iou: float, memory: int,
     return per_series(boxes, by, fold, f"{schema}, frame long, slot int, track long")
 
 
+def lot(seed: int, *names: str) -> Column:
+    """A row's lot in a draw: the MD5 of the seed and the named columns, joined by colons."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(n).cast("string") for n in names)))
+
+
 def review_sample(df: DataFrame, by: list[str], key: str, share: float, seed: int) -> DataFrame:
     """A fixed share of every stream's rows, at least one, chosen by a hash."""
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *by, key), key)
+    w = Window.partitionBy(*by).orderBy(lot(seed, *by, key), key)
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     return df.withColumns({"k": F.row_number().over(w), "n_all": n}).filter(F.col("k") <= F.greatest(F.ceil(F.col("n_all") * share), F.lit(1))).drop("k", "n_all")
 
@@ -151,5 +156,5 @@ def review_sample(df: DataFrame, by: list[str], key: str, share: float, seed: in
 def negative_windows(grid: DataFrame, events: DataFrame, by: list[str], far: int, most: int, seed: int) -> DataFrame:
     """Frames at least `far` from every event, at most `most` of each recording, chosen by a hash."""
     near = events.select(*by, F.explode(F.sequence(F.col("start_frame") - far + 1, F.col("end_frame") + far - 1)).alias("frame")).distinct()
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), *by, "frame"))
+    w = Window.partitionBy(*by).orderBy(lot(seed, *by, "frame"), "frame")
     return grid.join(near, [*by, "frame"], "left_anti").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).drop("k")

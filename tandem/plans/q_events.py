@@ -98,12 +98,15 @@ def link_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.link_tracks(boxes, ["stream"], 0.1, 5, 2, "stream long")
 
 
-@query()
+@query(sql("frames6", """r AS (SELECT recording_id, role, frame, row_number() OVER (PARTITION BY recording_id, role ORDER BY md5(concat_ws(':', '3', recording_id, role, frame)), frame) AS k, count(*) OVER (PARTITION BY recording_id, role) AS c FROM frames6 WHERE n > 0)
+SELECT recording_id, role, frame FROM r WHERE k <= greatest(ceil(c * 0.1), 1)"""))
 def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.review_sample(fx.frames(spark, sf_dir, 6).filter("n > 0").select(*SERIES, "frame"), SERIES, "frame", 0.1, 3)
 
 
-@query()
+@query(sql("grid intervals", """b AS (SELECT DISTINCT recording_id, unnest(range(start_frame - 4, end_frame + 5)) AS frame FROM intervals WHERE NOT skip),
+r AS (SELECT recording_id, frame, row_number() OVER (PARTITION BY recording_id ORDER BY md5(concat_ws(':', '3', recording_id, frame)), frame) AS k FROM grid ANTI JOIN b USING (recording_id, frame))
+SELECT recording_id, frame FROM r WHERE k <= 200"""))
 def negative_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.negative_windows(fx.grid(spark, sf_dir), fx.intervals(spark, sf_dir).filter("NOT skip"), ["recording_id"], 5, 200, 3)
 
@@ -120,7 +123,19 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said(w, 0).unionByName(said(w.filter("pos % 4 <> 3"), 1))
 
 
-@query()
+@query(recursive(sql("words", r"""s0 AS (SELECT recording_id, turn, role, c AS copy, min(start) AS start, max("end") AS stop, string_agg(word, ' ' ORDER BY pos) AS text FROM words, range(2) x(c) WHERE c = 0 OR pos % 4 <> 3 GROUP BY ALL),
+s AS (SELECT recording_id, turn * 2 + copy AS id, start, stop, regexp_extract_all(lower(text), '[\p{L}\p{N}'']+') AS w, role || copy AS speaker, 0.9 - copy / 10.0 AS prob FROM s0),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY -prob, -(stop - start), id) AS k FROM s),
+p AS (SELECT a.recording_id, a.k AS ka, b.k AS kb, least(a.stop, b.stop) - greatest(a.start, b.start) AS shared, greatest(least(a.stop - a.start, b.stop - b.start), 1) AS shorter, a.speaker = b.speaker AS same, a.w AS aw, b.w AS bw
+  FROM r a JOIN r b ON a.recording_id = b.recording_id AND a.k < b.k AND a.start < b.stop AND b.start < a.stop),
+t AS (SELECT *, CASE WHEN least(len(aw), len(bw)) > 0 THEN coalesce(list_sum(list_transform(list_distinct(aw), lambda x: least(len(list_filter(aw, lambda v: v = x)), len(list_filter(bw, lambda v: v = x))))), 0) / least(len(aw), len(bw)) ELSE 0 END AS alike FROM p),
+f AS (SELECT recording_id, kb, list(ka) AS foes FROM t WHERE shared > 0 AND (shared / shorter >= 0.5 AND alike >= 0.6 OR same AND shared / shorter >= 0.8) GROUP BY ALL),
+n AS MATERIALIZED (SELECT r.recording_id, r.k, r.id, r.speaker, coalesce(f.foes, []) AS foes FROM r LEFT JOIN f ON f.recording_id = r.recording_id AND f.kb = r.k),
+g(recording_id, k, id, speaker, out_, gone) AS (
+  SELECT recording_id, k, id, speaker, false, CAST([] AS BIGINT[]) FROM n WHERE k = 1
+  UNION ALL SELECT recording_id, k, id, speaker, hit, CASE WHEN hit THEN list_append(gone, k) ELSE gone END FROM (
+    SELECT n.*, g.gone, len(list_filter(n.foes, lambda x: NOT list_contains(g.gone, x))) > 0 AS hit FROM g JOIN n ON n.recording_id = g.recording_id AND n.k = g.k + 1))
+SELECT recording_id, id, speaker FROM g WHERE NOT out_""")))
 def dedup_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.dedup_utterances(_segments(spark, sf_dir), ["recording_id"], 600, "recording_id long, id long").select("recording_id", "id", "speaker")
 

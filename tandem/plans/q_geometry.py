@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from tandem.functions import geometry as g
 from tandem.functions import scalar as s
 from tandem.operators import boxes as bx
+from tandem.operators import checks
 from tandem.operators import vectors as vec
 from tandem.sources import fixtures as fx
 
-from .oracle import sql
+from .oracle import recursive, sql
 from .registry import also, query
 
 
@@ -94,16 +95,18 @@ def qc_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql("poses", """
-SELECT recording_id, count(*) AS n, count(DISTINCT frame) AS n_frames, min(frame) AS first_frame, max(frame) AS last_frame, round(max(abs(sqrt(qx*qx+qy*qy+qz*qz+qw*qw) - 1)), 6) AS max_norm_error,
-round(arg_min(x, frame), 6) AS first_x, round(arg_max(x, frame), 6) AS last_x, count(*) FILTER (vec_id % 7 = 0) AS n_invalid, list(frame ORDER BY frame) FILTER (vec_id % 7 = 0)[1:10] AS invalid FROM poses GROUP BY 1"""))
+t AS (SELECT recording_id, frame - CASE WHEN vec_id % 29 = 0 THEN 1 ELSE 0 END AS t, frame, x, y, z, qx, qy, qz, CASE WHEN vec_id % 7 = 0 THEN qw + 0.3 WHEN vec_id % 31 = 0 THEN NULL ELSE qw END AS qw, CASE WHEN vec_id % 5 = 0 THEN -1 ELSE frame END AS utc FROM poses),
+v AS (SELECT *, abs(sqrt(qx*qx+qy*qy+qz*qz+qw*qw) - 1) AS off, NOT coalesce(abs(sqrt(qx*qx+qy*qy+qz*qz+qw*qw) - 1) <= 1e-6, false) AS bad, row_number() OVER (PARTITION BY recording_id, NOT coalesce(abs(sqrt(qx*qx+qy*qy+qz*qz+qw*qw) - 1) <= 1e-6, false) ORDER BY t, frame) AS k FROM t)
+SELECT recording_id, count(*) AS n, count(*) - count(DISTINCT t) AS n_duplicate_times, min(t) AS first_t, max(t) AS last_t, count(*) FILTER (utc = -1) AS n_no_utc, round(max(off), 6) AS max_norm_error, count(*) FILTER (bad) AS n_invalid,
+coalesce(list(frame ORDER BY t, frame) FILTER (bad AND k <= 10), []) AS invalid, round(arg_min(x, struct_pack(t := t, i := frame)), 6) AS first_x, round(arg_max(x, struct_pack(t := t, i := frame)), 6) AS last_x FROM v GROUP BY 1"""))
 def audit_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, ranges, worst quaternion and the first ten invalid frames of every trajectory (every seventh vector counts as such)."""
-    bad = F.when(F.col("vec_id") % 7 == 0, F.col("frame"))
-    return fx.poses(spark, sf_dir).groupBy("recording_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("frame").alias("n_frames"), F.min("frame").cast("long").alias("first_frame"), F.max("frame").cast("long").alias("last_frame"),
-        F.round(F.max(F.abs(g.norm(_q()) - 1)), 6).alias("max_norm_error"), F.round(F.min(F.struct("frame", "x"))["x"], 6).alias("first_x"), F.round(F.max(F.struct("frame", "x"))["x"], 6).alias("last_x"),
-        F.count(bad).alias("n_invalid"), F.slice(F.sort_array(F.collect_list(bad)), 1, 10).cast("array<bigint>").alias("invalid"),
+    """Poses with some quaternions bent or missing, some times repeated and some UTC times unknown."""
+    p = fx.poses(spark, sf_dir).selectExpr(
+        "recording_id", "cast(frame - if(vec_id % 29 = 0, 1, 0) AS long) AS t", "cast(frame AS long) AS idx", "x", "y", "z", "qx", "qy", "qz", "CASE WHEN vec_id % 7 = 0 THEN qw + 0.3 WHEN vec_id % 31 = 0 THEN null ELSE qw END AS qw",
+        "if(vec_id % 5 = 0, -1, frame) AS utc",
     )
+    out = checks.audit_trajectory(p, ["recording_id"])
+    return out.select("recording_id", "n", "n_duplicate_times", "first_t", "last_t", "n_no_utc", F.round("max_norm_error", 6).alias("max_norm_error"), "n_invalid", "invalid", *(F.round(F.col(f"{e}_position.x"), 6).alias(f"{e}_x") for e in ("first", "last")))
 
 
 @query(sql("poses", """
@@ -206,10 +209,17 @@ def switch_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bx.switch_flags(fx.boxes(spark, sf_dir), [])
 
 
-@query()
+@query(recursive(sql("boxes", """n AS MATERIALIZED (SELECT frame, slot, conf, struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1) AS b, row_number() OVER (PARTITION BY frame ORDER BY -conf, slot, x0, y0, x1, y1) AS k FROM boxes),
+g(frame, k, slot, conf, keep, kept) AS (
+  SELECT frame, k, slot, conf, true, [b] FROM n WHERE k = 1
+  UNION ALL SELECT frame, k, slot, conf, NOT hit, CASE WHEN hit THEN kept ELSE list_append(kept, b) END FROM (
+    SELECT n.*, g.kept, len(list_filter(g.kept, lambda o: greatest(0, least(o.x1, n.b.x1) - greatest(o.x0, n.b.x0)) * greatest(0, least(o.y1, n.b.y1) - greatest(o.y0, n.b.y0)) >
+      0.2 * ((o.x1 - o.x0) * (o.y1 - o.y0) + (n.b.x1 - n.b.x0) * (n.b.y1 - n.b.y0) - greatest(0, least(o.x1, n.b.x1) - greatest(o.x0, n.b.x0)) * greatest(0, least(o.y1, n.b.y1) - greatest(o.y0, n.b.y0))))) > 0 AS hit
+    FROM g JOIN n ON n.frame = g.frame AND n.k = g.k + 1))
+SELECT frame, slot, round(conf, 6) AS conf FROM g WHERE keep""")))
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes that greedy suppression keeps, the surest first."""
-    return bx.nms(fx.boxes(spark, sf_dir), ["frame"], 0.2)
+    return bx.nms(fx.boxes(spark, sf_dir), ["frame"], 0.2).withColumn("conf", F.round("conf", 6))
 
 
 @query(sql("boxes", """

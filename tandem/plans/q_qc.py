@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import geometry as g
-from tandem.operators import scopes
-from tandem.operators import align, qc
+from tandem.operators import align, graph, qc, scopes
 from tandem.sources import fixtures as fx
 
-from .oracle import sql
+from .oracle import recursive, sql
 from .registry import also, query
 
 HOUR = 3_600_000_000
@@ -242,9 +241,28 @@ def pair_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("recording_id", "frame", F.round("a.val", 6).alias("first_val"), F.round("b.val", 6).alias("second_val"), (F.col("a.n") + F.col("b.n")).alias("n"))
 
 
-@query("""WITH RECURSIVE e(a, b, dx) AS (SELECT n_nationkey, n_nationkey + 1, n_regionkey + 1 FROM nation WHERE n_nationkey < 24), p(node, hops, dx) AS (SELECT 0, 0, 0 UNION ALL SELECT e.b, hops + 1, p.dx + e.dx FROM p JOIN e ON e.a = p.node)
-SELECT node, hops, dx FROM p""")
+_EDGES = """o AS (SELECT *, max(frame) OVER (PARTITION BY recording_id) AS last FROM poses),
+e AS (SELECT recording_id, CASE WHEN vec_id % 37 = 0 AND 2 * frame + 1 <= last THEN 2 * frame + 1 ELSE (frame - 1) // 2 END AS a, frame AS b, x, y, z, qx, qy, qz, qw FROM o WHERE frame > 0
+  UNION ALL SELECT recording_id, frame - 1, frame, x, y, z, qx, qy, qz, qw FROM o WHERE frame > 2 AND vec_id % 23 = 0),
+n AS (SELECT recording_id, b, count(*) AS c FROM e GROUP BY ALL), u AS MATERIALIZED (SELECT e.* FROM e JOIN n USING (recording_id, b) WHERE c = 1),
+r AS (SELECT DISTINCT recording_id, a AS node FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.recording_id = e.recording_id AND n.b = e.a)),
+p(recording_id, node, root, hops, x, y, z, qx, qy, qz, qw) AS (
+  SELECT recording_id, node, node, 0, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 1::DOUBLE FROM r
+  UNION ALL SELECT p.recording_id, u.b, root, hops + 1,
+    p.x + (1 - 2 * (p.qy * p.qy + p.qz * p.qz)) * u.x + 2 * (p.qx * p.qy - p.qz * p.qw) * u.y + 2 * (p.qx * p.qz + p.qy * p.qw) * u.z,
+    p.y + 2 * (p.qx * p.qy + p.qz * p.qw) * u.x + (1 - 2 * (p.qx * p.qx + p.qz * p.qz)) * u.y + 2 * (p.qy * p.qz - p.qx * p.qw) * u.z,
+    p.z + 2 * (p.qx * p.qz - p.qy * p.qw) * u.x + 2 * (p.qy * p.qz + p.qx * p.qw) * u.y + (1 - 2 * (p.qx * p.qx + p.qy * p.qy)) * u.z,
+    p.qw * u.qx + p.qx * u.qw + p.qy * u.qz - p.qz * u.qy, p.qw * u.qy - p.qx * u.qz + p.qy * u.qw + p.qz * u.qx, p.qw * u.qz + p.qx * u.qy - p.qy * u.qx + p.qz * u.qw, p.qw * u.qw - p.qx * u.qx - p.qy * u.qy - p.qz * u.qz
+  FROM p JOIN u ON u.recording_id = p.recording_id AND u.a = p.node)
+SELECT n.recording_id, n.b AS node, p.root, CAST(p.hops AS BIGINT) AS hops, CASE WHEN n.c > 1 THEN 'second_path' WHEN p.root IS NULL THEN 'unreached' ELSE 'ok' END AS status, """ + ", ".join(f"round(p.{c}, 5) AS {c}" for c in "x y z qx qy qz qw".split()) + """
+FROM n LEFT JOIN p ON p.recording_id = n.recording_id AND p.node = n.b"""
+
+
+@query(recursive(sql("poses", _EDGES)))
 def compose_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The way from the first frame to every other one over named edges, and the offsets' sum along it."""
-    fx.table(spark, sf_dir, "nation").selectExpr("n_nationkey AS a", "n_nationkey + 1 AS b", "n_regionkey + 1 AS dx").filter("a < 24").createOrReplaceTempView("frame_edges")
-    return spark.sql("WITH RECURSIVE p(node, hops, dx) AS (SELECT 0, 0, 0 UNION ALL SELECT e.b, hops + 1, p.dx + e.dx FROM p JOIN frame_edges e ON e.a = p.node) SELECT node, hops, dx FROM p")
+    """Every recording's poses as a tree of frames, with some cycles and some frames that two edges lead to."""
+    w = Window.partitionBy("recording_id")
+    p = fx.poses(spark, sf_dir).withColumn("frame", F.col("frame").cast("long")).withColumn("last", F.max("frame").over(w))
+    tree = p.filter("frame > 0").selectExpr("recording_id", "if(vec_id % 37 = 0 AND 2 * frame + 1 <= last, 2 * frame + 1, (frame - 1) div 2) AS a", "frame AS b", *graph.POSE)
+    second = p.filter("frame > 2 AND vec_id % 23 = 0").selectExpr("recording_id", "frame - 1 AS a", "frame AS b", *graph.POSE)
+    return _rounded(graph.compose_paths(tree.unionByName(second), ["recording_id"]), *graph.POSE, digits=5)
