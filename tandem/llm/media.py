@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 #: Payloads are filled up to a multiple of this with bytes 32.
 UNIT = 192
-RATE, UP, DOWN = 8000, 1, 2
+RATE, UP, DOWN = 8000, 3, 4
 FRAME, HOP, MELS, FRAMES = 256, 128, 24, 32
 OPEN_DB, CLOSE_DB = -1.0, -3.0
 
