@@ -120,3 +120,27 @@ def natural_key(name: Column) -> Column:
 def label_scalar(value: Column) -> Column:
     """A JSON value as text: a scalar as it is, lists and objects as compact JSON."""
     return F.coalesce(F.get_json_object(value, "$"), value)
+
+
+def extract_json(text: Column) -> Column:
+    """The first JSON object in free text, inside its first fence if it has one: from the first brace on, the shortest piece
+    that is one; null without any. Braces in strings and text around the object don't matter."""
+    fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    body = F.when(fence != "", fence).otherwise(text)
+    parts = F.split(F.regexp_extract(body, r"(?s)\{.*\}", 0), r"\}")
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "}"), F.lit("}")))
+    whole = F.filter(pieces, lambda p: p.startswith("{") & F.try_parse_json(p).isNotNull())
+    return F.try_element_at(whole, F.lit(1))
+
+
+def normal_annotation(json: Column) -> Column:
+    """An annotation in a fixed shape: persons (label, action, holding as a list, attending_to), coordination, handover
+    (occurring, giver, receiver, object), summary and note; what is missing is null, no list is."""
+    person = "struct<label: string, action: string, holding: string, attending_to: string>"
+    d = F.from_json(json, f"struct<persons: array<{person}>, coordination: string, handover: struct<occurring: string, giver: string, receiver: string, object: string>, summary: string, note: string>")
+    none = F.expr("cast(array() AS array<string>)")
+    held = lambda h: F.when(h.isNull() | (h == ""), none).when(h.startswith("["), F.filter(F.coalesce(F.from_json(h, "array<string>"), none), lambda x: x.isNotNull())).otherwise(F.array(h))
+    persons = F.transform(F.filter(F.coalesce(d["persons"], F.expr(f"cast(array() AS array<{person}>)")), lambda p: p.isNotNull()), lambda p: F.struct(p["label"].alias("label"), p["action"].alias("action"), held(p["holding"]).alias("holding"), p["attending_to"].alias("attending_to")))
+    occurs = d["handover"]["occurring"]
+    handover = F.when(d["handover"].isNotNull(), F.struct((~occurs.isin("false", "0", "", "[]", "{}")).alias("occurring"), *(d["handover"][c].alias(c) for c in ("giver", "receiver", "object"))))
+    return F.struct(persons.alias("persons"), d["coordination"].alias("coordination"), handover.alias("handover"), d["summary"].alias("summary"), F.nullif(d["note"], F.lit("")).alias("note"))

@@ -3,12 +3,41 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import scalar as s
 
 
+#: Words that ask for something (fixed values).
+REQUESTS = ("pass", "hand", "give", "take", "grab", "need", "can", "could", "please", "here", "want", "get", "bring")
+
+
+def speech_block(words: DataFrame, grid: DataFrame, by: list[str], unit: int, window: int, most: int, bins: int = 32) -> DataFrame:
+    """Speech per frame of a grid (by, frame), from words (start, end in integer time, token), `unit` of time to a frame.
+
+    speaking (from the frame a word begins in to the one after its end), since (time since the last word's end by `most`, at
+    most 1, and 1 before the first), n_words, request and bag, of words that ended in the last `window` frames, this one
+    included and frame 0 never: their number, whether one asks for something, and the share of each of `bins` hashed bins.
+    """
+    at = F.ceil(F.col("end") / unit).cast("long")
+    bin_ = s.hash_bin(F.col("token"), bins)
+    ended = words.filter(at > 0).groupBy(*by, at.alias("frame")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("token").isin(*REQUESTS)).alias("asks"), *(F.count_if(bin_ == b).alias(f"b{b}") for b in range(bins))
+    )
+    spoken = words.select(*by, F.explode(F.sequence(F.greatest(F.floor(F.col("start") / unit), F.lit(0)), at)).alias("frame")).distinct().withColumn("speaking", F.lit(True))
+    rows = grid.select(*by, F.col("frame").cast("long").alias("frame")).join(ended, [*by, "frame"], "left").join(spoken, [*by, "frame"], "left")
+    ends = words.groupBy(*by, at.alias("frame")).agg(F.max("end").alias("last"))
+    w = Window.partitionBy(*by).orderBy("frame")
+    rows = rows.join(ends, [*by, "frame"], "left").withColumn("last", F.last("last", ignorenulls=True).over(w))
+    back = w.rangeBetween(-(window - 1), 0)
+    total = lambda c: F.coalesce(F.sum(c).over(back), F.lit(0))
+    rows = rows.withColumns({"n_words": total("n"), "request": total("asks") > 0, "counts": F.array(*(total(f"b{b}") for b in range(bins)))})
+    since = F.least(F.coalesce((F.col("frame") * unit - F.col("last")) / most, F.lit(1.0)), F.lit(1.0))
+    bag = F.transform("counts", lambda c: c / F.greatest(F.col("n_words"), F.lit(1)))
+    return rows.select(*by, "frame", F.coalesce("speaking", F.lit(False)).alias("speaking"), since.alias("since"), "n_words", "request", bag.alias("bag"))
+
+
 def speech_columns(words: DataFrame, ticks: DataFrame, by: list[str], back: int, step: int) -> DataFrame:
     """For every tick the words that ended in (t - back, t], and whether one is being spoken. Ticks are multiples of `step`:
     a word is dealt to those that it reaches, so that the join is by equality."""

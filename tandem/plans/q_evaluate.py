@@ -160,6 +160,35 @@ def speech_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.speech_columns(words, ticks, ["recording_id"], 30, 15)
 
 
+_BLOCK = """k AS (SELECT recording_id, role, CAST(ceil("end" / 5.0) AS BIGINT) AS k, start // 5 AS a, "end" AS e, regexp_extract(lower(word), '([a-z0-9'']+)', 1) AS tok FROM words),
+l AS (SELECT recording_id, max(k) + 20 AS last FROM k GROUP BY 1), g AS (SELECT DISTINCT k.recording_id, role, unnest(range(last + 1)) AS frame FROM k JOIN l USING (recording_id)),
+c AS (SELECT recording_id, role, k AS frame, count(*) FILTER (k > 0) AS n, count(*) FILTER (k > 0 AND tok IN ('pass', 'hand', 'give', 'take', 'grab', 'need', 'can', 'could', 'please', 'here', 'want', 'get', 'bring')) AS asks, max(e) AS e FROM k GROUP BY ALL),
+s AS (SELECT DISTINCT recording_id, role, unnest(range(a, k + 1)) AS frame FROM k),
+j AS (SELECT g.*, n, asks, e, s.frame IS NOT NULL AS speaking FROM g LEFT JOIN c USING (recording_id, role, frame) LEFT JOIN s ON s.recording_id = g.recording_id AND s.role = g.role AND s.frame = g.frame)
+SELECT recording_id, role, frame, speaking, round(least(coalesce((frame * 5 - last_value(e IGNORE NULLS) OVER (PARTITION BY recording_id, role ORDER BY frame)) / 100, 1), 1), 6) AS since,
+  CAST(coalesce(sum(n) OVER (PARTITION BY recording_id, role ORDER BY frame ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS n_words,
+  coalesce(sum(asks) OVER (PARTITION BY recording_id, role ORDER BY frame ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 0) > 0 AS request FROM j"""
+
+
+@query(sql("words", _BLOCK))
+def speech_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speech on frames of half a second, to ten seconds after the last word; the bag's bins have no SQL and are left out."""
+    words = fx.words(spark, sf_dir).withColumn("token", s.token(F.col("word")))
+    last = words.groupBy("recording_id").agg((F.ceil(F.max("end") / 5) + 20).cast("long").alias("last"))
+    grid = words.select("recording_id", "role").distinct().join(last, "recording_id").select("recording_id", "role", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame"))
+    return tx.speech_block(words, grid, ["recording_id", "role"], 5, 6, 100, 8).drop("bag").withColumn("since", F.round("since", 6))
+
+
+@query("""SELECT conv_id, turn, role AS label, CASE WHEN turn % 2 = 0 THEN ['a {', 'b'] ELSE ['cup'] END AS holding, turn % 3 = 0 AS occurring, md5(text) AS summary FROM conversations""")
+def extract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as replies of an annotator: prose, an object with braces in its strings, and more braces after it."""
+    held = F.when(F.col("turn") % 2 == 0, F.lit('["a {", null, "b"]')).otherwise(F.lit('"cup"'))
+    json = F.concat(F.lit('{"persons": [{"label": "'), "role", F.lit('", "holding": '), held, F.lit('}], "handover": {"occurring": '), (F.col("turn") % 3 == 0).cast("string"), F.lit('}, "summary": "'), F.md5("text"), F.lit('"}'))
+    fenced = F.when(F.col("turn") % 4 == 1, F.concat(F.lit("Sure {!\n```json\n"), json, F.lit("\n``` {done}"))).otherwise(F.concat(F.lit("Here: "), json, F.lit(" and {more}")))
+    t = fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", s.normal_annotation(s.extract_json(fenced)).alias("a"))
+    return t.select("conv_id", "turn", F.col("a.persons")[0]["label"].alias("label"), F.col("a.persons")[0]["holding"].alias("holding"), "a.handover.occurring", "a.summary")
+
+
 @query(sql("words", r"""SELECT recording_id, turn, pos, word, regexp_extract(lower(word), '([a-z0-9'']+)', 1) AS token FROM words"""))
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.words(spark, sf_dir).select("recording_id", "turn", "pos", "word", s.token(F.col("word")).alias("token"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +51,20 @@ def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("tracking_timestamp_us").alias("t_us"), F.posexplode("CameraCalibrations").alias("position", "c")).select("t_us", "position", F.col("c.Label").alias("label"), F.col("c.Projection.Name").alias("model"), F.col("c.Projection.Params").alias("params"))
 
 
+def select_segments(spark: SparkSession, path: str, selector: Callable[[str], Iterable[tuple]], schema: str) -> DataFrame:
+    """Segments that a caller's selector finds in each raw annotation file: it takes a file's text and gives rows of `schema`."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["value"]:
+                rows = list(selector(text))
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    names = spark.createDataFrame([], schema).columns
+    return spark.read.text(path, wholetext=True).mapInPandas(run, schema)
+
+
 def read_handovers(spark: SparkSession, path: str) -> DataFrame:
     """Annotated segments of a JSON map from recording and key to segment; keys stay as ids. Scalar-or-list fields stay text."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", HANDOVERS).alias("m"))
