@@ -82,3 +82,59 @@ def anticipation(probs: DataFrame, onsets: DataFrame, negatives: DataFrame, by:
     rows = levels.select("n_negatives", F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), F.col(f"t{k}").alias("threshold")) for k, r in enumerate(rates)))).alias("l")).select("n_negatives", "l.*")
     # as few rows as there are rates
     return pos.join(F.broadcast(rows)).groupBy("rate", "threshold", "n_negatives").agg(F.avg((F.col("peak") > F.col("threshold")).cast("double")).alias("recall"), F.count(F.lit(1)).alias("n_onsets"))
+
+
+#: The columns of `world_block`, in their order.
+WORLD = [
+    "d_ll", "d_lr", "d_rl", "d_rr", "d_min", "closing", "heads", "a_b_x", "a_b_y", "a_b_z", "b_a_x", "b_a_y", "b_a_z",
+    *(f"a_{s}_{c}" for s in ("left", "right") for c in "xyz"), *(f"b_{s}_{c}" for s in ("left", "right") for c in "xyz"),
+    "gaze_wrist_a", "gaze_wrist_b", "gaze_head_a", "gaze_head_b", "facing_a", "facing_b", "both", "hands_a", "hands_b",
+]
+
+
+def world_block(frames: DataFrame, by: list[str], fps: float, axes: dict[str, tuple[float, float, float]], far: float = 3.0, most: float = 5.0) -> DataFrame:
+    """What two people, a and b, are to each other in the world, per frame: the columns of WORLD.
+
+    frames: frame and, for each of a_ and b_, a pose in the world (x, y, z, qx, qy, qz, qw; null if unknown) and, in the
+    device, left_, right_ and gaze_ x, y, z (null if absent). axes: each camera's forward axis in its device.
+    d_*: distances between the wrists of a and b (`far` where one is unknown), d_min the least (0 if all are unknown), closing
+    its change a second, within `most`, where the frame before knew one too. heads: distance of the devices. a_b_*: b's
+    device in a's; a_left_* and so on: b's wrists there; b_* likewise of a. gaze_wrist, gaze_head: from the point looked at to
+    the other's nearest wrist and device. facing: cosine of the forward axis to the other. both, hands_*: what is known.
+    Unknown values are 0.
+    """
+    people, sides = ("a", "b"), ("left", "right")
+    cols = lambda p, n="": g.cols(*(f"{p}_{n}{c}" for c in "xyz"))
+    r9 = [f"r{i}{j}" for i in range(3) for j in range(3)]
+    rot = {p: g.cols(*(f"{p}_{n}" for n in r9)) for p in people}
+    rows = frames.withColumns({f"{p}_{n}": e for p in people for n, e in zip(r9, g.unit_rotation(g.cols(*(f"{p}_q{c}" for c in "xyzw"))), strict=True)})
+    rows = rows.withColumns({"both": F.col("a_x").isNotNull() & F.col("b_x").isNotNull(), **{f"{p}_has_{n}": F.col(f"{p}_{n}_x").isNotNull() for p in people for n in (*sides, "gaze")}})
+    rows = rows.withColumns({f"{p}_w{n}_{c}": e for p in people for n in (*sides, "gaze") for c, e in zip("xyz", g.applied(rot[p], cols(p), cols(p, f"{n}_")), strict=True)})
+    world = lambda p, n: cols(p, f"w{n}_")
+    known = lambda c, e: F.coalesce(F.when(c, e), F.lit(0.0))
+    other = {"a": "b", "b": "a"}
+    pairs = {f"d_{i[0]}{j[0]}": F.coalesce(g.norm(g.minus(world("a", i), world("b", j))), F.lit(far)) for i in sides for j in sides}
+    rows = rows.withColumns(pairs)
+    near = F.least(*map(F.col, pairs))
+    any_pair = F.lit(False)
+    for i in sides:
+        for j in sides:
+            any_pair = any_pair | (F.col("both") & F.col(f"a_has_{i}") & F.col(f"b_has_{j}"))
+    rows = rows.withColumns({"near": near, "any_pair": any_pair})
+    w = Window.partitionBy(*by).orderBy("frame")
+    speed = F.greatest(F.least((F.col("near") - F.lag("near").over(w)) * fps, F.lit(most)), F.lit(-most))
+    out = {"d_min": known(F.col("any_pair"), F.col("near")), "closing": known(F.col("any_pair") & F.lag("any_pair").over(w), speed), "heads": known(F.col("both"), g.norm(g.minus(cols("a"), cols("b"))))}
+    back = lambda p, v: g.turned(g.transposed(rot[p]), g.minus(v, cols(p)))
+    for p in people:
+        o = other[p]
+        out |= {f"{p}_{o}_{c}": known(F.col("both"), e) for c, e in zip("xyz", back(p, cols(o)), strict=True)}
+        out |= {f"out_{p}_{n}_{c}": known(F.col("both"), e) for n in sides for c, e in zip("xyz", back(p, world(o, n)), strict=True)}
+        looks = F.col("both") & F.col(f"{p}_has_gaze")
+        reach = F.least(*(F.coalesce(g.norm(g.minus(world(p, "gaze"), world(o, n))), F.lit(far)) for n in sides))
+        out[f"gaze_wrist_{p}"] = known(looks & (F.col(f"{o}_has_left") | F.col(f"{o}_has_right")), reach)
+        out[f"gaze_head_{p}"] = known(looks, g.norm(g.minus(world(p, "gaze"), cols(o))))
+        toward = g.minus(cols(o), cols(p))
+        out[f"facing_{p}"] = known(F.col("both"), g.dot(g.turned(rot[p], [F.lit(float(v)) for v in axes[p]]), toward) / (g.norm(toward) + 1e-6))
+        out[f"hands_{p}"] = F.col(f"{p}_has_left") | F.col(f"{p}_has_right")
+    rows = rows.select(*by, "frame", "both", *pairs, *(e.alias(n) for n, e in out.items()))
+    return rows.select(*by, "frame", *(F.col(f"out_{n}" if f"out_{n}" in out else n).alias(n) for n in WORLD))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import skeleton
+from tandem.operators import events as evt
 from tandem.operators import proposals as pr
 from tandem.sources import fixtures as fx
 
@@ -232,3 +233,55 @@ def head_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
     person = lambda p: F.array(*(F.struct(e(9 * p + 3 * i).alias("x"), e(9 * p + 3 * i + 1).alias("y"), (F.abs(e(9 * p + 3 * i + 2)) * 3).alias("conf")) for i in range(3)))
     t = fx.table(spark, sf_dir, "embeddings").select("vec_id", skeleton.head_pixel(F.array(person(0), person(1))).alias("h"))
     return t.select("vec_id", F.round("h.x", 6).alias("x"), F.round("h.y", 6).alias("y"))
+
+
+_AXES = {"a": (0.6, 0.0, 0.8), "b": (0.0, 0.6, 0.8)}
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring poses as the two people of a frame; their wrists and gaze are the same numbers in other orders."""
+    p = fx.poses(spark, sf_dir)
+    parts = []
+    for k, name in enumerate("ab"):
+        have = {"": "vec_id % 10 <> 0", "left_": "vec_id % 9 <> 0", "right_": "vec_id % 4 <> 0", "gaze_": "vec_id % 8 <> 0"}
+        at = {"": ("x", "y", "z"), "left_": ("2 * y", "2 * z", "2 * x"), "right_": ("3 * z", "x", "3 * y"), "gaze_": ("4 * x", "x", "z")}
+        cols = [f"if({have[n]}, {e}, null) AS {name}_{n}{c}" for n in have for c, e in zip("xyz", at[n], strict=True)] + [f"if({have['']}, {q}, null) AS {name}_{q}" for q in ("qx", "qy", "qz", "qw")]
+        parts.append(p.filter(f"frame % 2 = {k}").selectExpr("recording_id", "frame div 2 AS frame", *cols))
+    return parts[0].join(parts[1], ["recording_id", "frame"])
+
+
+def _world_sql() -> str:
+    have = {"": "vec_id % 10 <> 0", "left_": "vec_id % 9 <> 0", "right_": "vec_id % 4 <> 0", "gaze_": "vec_id % 8 <> 0"}
+    at = {"": ("x", "y", "z"), "left_": ("2 * y", "2 * z", "2 * x"), "right_": ("3 * z", "x", "3 * y"), "gaze_": ("4 * x", "x", "z")}
+
+    def rot(p: str) -> list[str]:
+        x, y, z, w = (f"{p}_q{c}" for c in "xyzw")
+        return [f"(1-2*({y}*{y}+{z}*{z}))", f"(2*({x}*{y}-{z}*{w}))", f"(2*({x}*{z}+{y}*{w}))", f"(2*({x}*{y}+{z}*{w}))", f"(1-2*({x}*{x}+{z}*{z}))", f"(2*({y}*{z}-{x}*{w}))", f"(2*({x}*{z}-{y}*{w}))", f"(2*({y}*{z}+{x}*{w}))", f"(1-2*({x}*{x}+{y}*{y}))"]
+
+    one = lambda p, k: f"{p} AS (SELECT recording_id, frame // 2 AS frame, " + ", ".join([f"CASE WHEN {have[n]} THEN {e} END AS {p}_{n}{c}" for n in have for c, e in zip("xyz", at[n], strict=True)] + [f"CASE WHEN {have['']} THEN {q} END AS {p}_{q}" for q in ("qx", "qy", "qz", "qw")]) + f" FROM poses WHERE frame % 2 = {k})"
+    world = [f"{rot(p)[3 * i]}*{p}_{n}_x+{rot(p)[3 * i + 1]}*{p}_{n}_y+{rot(p)[3 * i + 2]}*{p}_{n}_z+{p}_{c} AS {p}_w{n}_{c}" for p in "ab" for n in ("left", "right", "gaze") for i, c in enumerate("xyz")]
+    dist = lambda u, v: f"sqrt(({u}x-{v}x)**2+({u}y-{v}y)**2+({u}z-{v}z)**2)"
+    zero = lambda c, e: f"coalesce(CASE WHEN {c} THEN {e} END, 0)"
+    pairs = {f"d_{i[0]}{j[0]}": f"coalesce({dist(f'a_w{i}_', f'b_w{j}_')}, 3)" for i in ("left", "right") for j in ("left", "right")}
+    has = lambda p, n: f"{p}_{n}_x IS NOT NULL"
+    any_pair = " OR ".join(f'"both" AND {has("a", i)} AND {has("b", j)}' for i in ("left", "right") for j in ("left", "right"))
+    out = {"d_min": zero("any_pair", "near"), "closing": zero("any_pair AND lag(any_pair) OVER w", "greatest(least((near - lag(near) OVER w) * 10, 5), -5)"), "heads": zero('"both"', dist("a_", "b_"))}
+    for p, o in (("a", "b"), ("b", "a")):
+        back = lambda v, i, p=p: f"{rot(p)[i]}*({v}x-{p}_x)+{rot(p)[3 + i]}*({v}y-{p}_y)+{rot(p)[6 + i]}*({v}z-{p}_z)"
+        out |= {f"{p}_{o}_{c}": zero('"both"', back(f"{o}_", i)) for i, c in enumerate("xyz")}
+        out |= {f"{p}_{n}_{c}": zero('"both"', back(f"{o}_w{n}_", i)) for n in ("left", "right") for i, c in enumerate("xyz")}
+        looks = f'"both" AND {has(p, "gaze")}'
+        out[f"gaze_wrist_{p}"] = zero(f"{looks} AND ({has(o, 'left')} OR {has(o, 'right')})", f"least(coalesce({dist(f'{p}_wgaze_', f'{o}_wleft_')}, 3), coalesce({dist(f'{p}_wgaze_', f'{o}_wright_')}, 3))")
+        out[f"gaze_head_{p}"] = zero(looks, dist(f"{p}_wgaze_", f"{o}_"))
+        ahead = [f"({'+'.join(f'{rot(p)[3 * i + k]}*{_AXES[p][k]}' for k in range(3))})" for i in range(3)]
+        out[f"facing_{p}"] = zero('"both"', f"({'+'.join(f'{ahead[i]}*({o}_{c}-{p}_{c})' for i, c in enumerate('xyz'))})/({dist(f'{o}_', f'{p}_')}+1e-6)")
+    rounded = ", ".join(f"round({n}, 5) AS {n}" for n in pairs) + ", " + ", ".join(f"round({e}, 5) AS {n}" for n, e in out.items())
+    hands = ", ".join(f"{has(p, 'left')} OR {has(p, 'right')} AS hands_{p}" for p in "ab")
+    near = "least(" + ", ".join(pairs) + ")"
+    return f"{one('a', 0)}, {one('b', 1)}, j AS (SELECT *, a_x IS NOT NULL AND b_x IS NOT NULL AS \"both\" FROM a JOIN b USING (recording_id, frame)), v AS (SELECT *, {', '.join(world)} FROM j), d AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in pairs.items())}, {any_pair} AS any_pair FROM v), m AS (SELECT *, {near} AS near FROM d) SELECT recording_id, frame, \"both\", {hands}, {rounded} FROM m WINDOW w AS (PARTITION BY recording_id ORDER BY frame)"
+
+
+@query(sql("poses", _world_sql()))
+def world_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evt.world_block(_people(spark, sf_dir), ID, 10.0, _AXES)
+    return _rounded(out, *(c for c in evt.WORLD if c not in ("both", "hands_a", "hands_b")), digits=5)
