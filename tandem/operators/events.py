@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandem.functions import geometry as g
-from tandem.operators import intervals, sequence
+from tandem.operators import evaluate, intervals, sequence
 
 
 def hand_speed(metric: DataFrame, image: DataFrame, by: list[str], least: float) -> DataFrame:
@@ -67,21 +67,38 @@ def proximity_events(distance: DataFrame, by: list[str], near: float, least: int
     return intervals.runs(distance.withColumn("near", F.coalesce(F.col("distance") < near, F.lit(False))), by, "near", least, bridge)
 
 
-def anticipation(probs: DataFrame, onsets: DataFrame, negatives: DataFrame, by: list[str], back: int, rates: list[float]) -> DataFrame:
-    """Recall at false-alarm rates: the peak of p in the `back` frames before an onset against that before negative frames.
+def peaks_before(probs: DataFrame, frames: DataFrame, by: list[str], back: int) -> DataFrame:
+    """The largest p in the `back` frames before each frame `at`; frames without any have no row."""
+    asked = frames.select(*by, F.col("frame").alias("at"), F.explode(F.sequence(F.col("frame") - back, F.col("frame") - 1)).alias("frame"))
+    return asked.join(probs, [*by, "frame"]).groupBy(*by, "at").agg(F.max("p").alias("peak"))
 
-    One row per rate: the threshold that so many negatives reach at most, the share of onsets at or over it, and both counts.
-    """
 
-    def peaks(frames: DataFrame) -> DataFrame:
-        asked = frames.select(*by, F.col("frame").alias("at"), F.explode(F.sequence(F.col("frame") - back, F.col("frame") - 1)).alias("frame"))
-        return asked.join(probs, [*by, "frame"]).groupBy(*by, "at").agg(F.max("p").alias("peak"))
+def anticipation(probs: DataFrame, onsets: DataFrame, negatives: DataFrame, by: list[str], back: int, ahead: int, rates: list[float]) -> DataFrame:
+    """How well p tells onsets beforehand: its peak in the `back` frames before them against that before negative frames.
 
-    pos, neg = peaks(onsets), peaks(negatives)
+    One row per rate of false alarms: the threshold that so many negatives reach, recall (onsets that reach it), both counts,
+    auroc of all peaks, and the lead: from the first of the `ahead` frames before an onset that reaches the threshold to the
+    onset, its median and mean over the onsets that are detected so, and their share. Values are compared to nine decimals.
+    """
+    pos, neg = peaks_before(probs, onsets, by, back), peaks_before(probs, negatives, by, back)
     levels = neg.agg(*(F.percentile("peak", F.lit(1 - r)).alias(f"t{k}") for k, r in enumerate(rates)), F.count(F.lit(1)).alias("n_negatives"))
-    rows = levels.select("n_negatives", F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), F.col(f"t{k}").alias("threshold")) for k, r in enumerate(rates)))).alias("l")).select("n_negatives", "l.*")
-    # as few rows as there are rates
-    return pos.join(F.broadcast(rows)).groupBy("rate", "threshold", "n_negatives").agg(F.avg((F.col("peak") > F.col("threshold")).cast("double")).alias("recall"), F.count(F.lit(1)).alias("n_onsets"))
+    rows = levels.select("n_negatives", F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), F.round(F.col(f"t{k}"), 9).alias("threshold")) for k, r in enumerate(rates)))).alias("l")).select("n_negatives", "l.*")
+    rows = F.broadcast(rows)  # as many rows as rates
+    reached = lambda c: F.round(c, 9) >= F.col("threshold")
+    recall = pos.join(rows).groupBy("rate", "threshold", "n_negatives").agg(F.avg(reached("peak").cast("double")).alias("recall"), F.count(F.lit(1)).alias("n_onsets"))
+    wide = onsets.select(*by, F.col("frame").alias("at"), F.explode(F.sequence(F.col("frame") - ahead, F.col("frame") - 1)).alias("frame"))
+    first = wide.join(probs, [*by, "frame"]).join(rows).groupBy(*by, "at", "rate").agg(F.min(F.when(reached("p"), F.col("frame"))).alias("first"))
+    lead = F.col("at") - F.col("first")
+    leads = first.groupBy("rate").agg(F.percentile(lead, F.lit(0.5)).alias("median_lead"), F.avg(lead).alias("mean_lead"), (F.count("first") / F.count(F.lit(1))).alias("detected"))
+    both = pos.select(F.lit(1).alias("y"), F.col("peak").alias("score")).unionByName(neg.select(F.lit(0).alias("y"), F.col("peak").alias("score")))
+    return recall.join(leads, "rate").join(F.broadcast(evaluate.auroc(both, []).select("auroc")))
+
+
+def mean_curve(probs: DataFrame, onsets: DataFrame, by: list[str], ahead: int, step: int) -> DataFrame:
+    """The mean of p at every `step` of the `ahead` frames before onsets; what lies before a series' start counts as 0."""
+    asked = onsets.select(*by, F.col("frame").alias("at"), F.explode(F.sequence(F.lit(-ahead), F.lit(-1), F.lit(step))).alias("before"))
+    rows = asked.withColumn("frame", F.col("at") + F.col("before")).join(probs, [*by, "frame"], "left")
+    return rows.groupBy("before").agg(F.avg(F.coalesce("p", F.lit(0.0))).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
 #: The columns of `world_block`, in their order.

@@ -62,6 +62,32 @@ def offset_drift(ref: DataFrame, sig: DataFrame, by: list[str], value: str, widt
     return good.groupBy(*by, "n_windows").agg(F.count(F.lit(1)).alias("n_inliers"), F.regr_intercept("offset", "t").alias("offset"), F.regr_slope("offset", "t").alias("drift"))
 
 
+def drift_factor(ref: DataFrame, sig: DataFrame, by: list[str], value: str, width: int, lag: int, local: int, apart: int) -> DataFrame:
+    """k, the factor for sig's times, from its offset in a window of `width` frames at the start and at the end of what both
+    have: 1 + the change of the offset by the frames between them.
+
+    A first lag, of at most `lag`, comes from the signals' heads (lag + 2 windows); around it the windows' offsets are looked
+    for within `local`. Groups whose windows are less than `apart` frames apart have k null and the reason too_short.
+    """
+    head = lag + 2 * width
+    whole = audio_offset(ref.filter(F.col("frame") < head), sig.filter(F.col("frame") < head), by, value, lag).select(*by, F.col("lag").alias("global"))
+    ends = ref.groupBy(*by).agg(F.max("frame").alias("r")).join(sig.groupBy(*by).agg(F.max("frame").alias("s")), by).join(whole, by)
+    ends = ends.select(*by, "global", F.greatest(F.lit(0), -F.col("global")).alias("a"), (F.least(F.col("s"), F.col("r") - F.col("global")) + 1 - width).alias("b"))
+    windows = ends.select(*by, "global", F.posexplode(F.array("a", "b")).alias("win", "at"))
+    part = sig.join(windows, by).filter((F.col("frame") >= F.col("at")) & (F.col("frame") < F.col("at") + width)).select(*by, "win", "frame", value)
+    near = ref.withColumn("frame", F.col("frame")).join(windows, by).withColumn("frame", F.col("frame") - F.col("global"))
+    near = near.filter((F.col("frame") >= F.col("at") - local) & (F.col("frame") < F.col("at") + width + local)).select(*by, "win", "frame", value)
+    found = audio_offset(near, part, [*by, "win"], value, local, least=width // 2)
+    side = lambda k: F.max(F.when(F.col("win") == k, F.col("offset")))
+    out = ends.join(found.groupBy(*by).agg(side(0).alias("first"), side(1).alias("last")), by, "left")
+    span = F.col("b") - F.col("a")
+    ok = span >= apart
+    return out.select(
+        *by, (F.col("global") + F.col("first")).alias("offset_start"), (F.col("global") + F.col("last")).alias("offset_end"), span.alias("span"),
+        F.when(ok, 1 + (F.col("last") - F.col("first")) / span).alias("k"), F.when(~ok, "too_short").alias("reason"),
+    )
+
+
 def angular_path(df: DataFrame, by: list[str], most_gap: float) -> DataFrame:
     """path, the turning angle (radians) added up along a series of quaternions (t, qx..qw), and valid, the time added up.
 

@@ -82,14 +82,39 @@ def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evt.pair_features(p.filter("frame % 2 = 0"), p.filter("frame % 2 = 1"), ["recording_id", "moment"]), "distance", "a_faces_b", "b_faces_a")
 
 
-@query()
-def anticipation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of onsets at 1, 5 and 10 % false alarms, p being the share of recent activity."""
-    f = fx.frames(spark, sf_dir).groupBy("recording_id", "frame").agg(F.sum("n").alias("n"))
-    p = seq.smooth(f, ["recording_id"], "n", 13).select("recording_id", "frame", F.col("smoothed").alias("p"))
+_ONSETS = """pr AS (SELECT recording_id, frame, sum(n) + frame % 7 / 100.0 AS p FROM frames GROUP BY recording_id, frame), o AS (SELECT DISTINCT recording_id, start_frame AS a FROM intervals WHERE NOT skip)"""
+
+
+def _activity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = fx.frames(spark, sf_dir).groupBy("recording_id", "frame").agg(F.sum("n").alias("n")).select("recording_id", "frame", (F.col("n") + F.col("frame") % 7 / 100).alias("p"))
     events = fx.intervals(spark, sf_dir).filter("NOT skip")
-    onsets = events.select("recording_id", F.col("start_frame").alias("frame")).distinct()
-    return evt.anticipation(p, onsets, folds.negative_windows(fx.grid(spark, sf_dir), events, ["recording_id"], 5, 100, 3), ["recording_id"], 5, [0.01, 0.05, 0.1])
+    return p, events.select("recording_id", F.col("start_frame").alias("frame")).distinct(), folds.negative_windows(fx.grid(spark, sf_dir), events, ["recording_id"], 5, 100, 3)
+
+
+@query(sql("frames grid intervals", _ONSETS + """,
+x AS (SELECT DISTINCT recording_id, unnest(range(start_frame - 4, end_frame + 5)) AS frame FROM intervals WHERE NOT skip),
+n0 AS (SELECT recording_id, frame, row_number() OVER (PARTITION BY recording_id ORDER BY md5(concat_ws(':', '3', recording_id, frame)), frame) AS k FROM grid ANTI JOIN x USING (recording_id, frame)),
+pos AS (SELECT o.recording_id, a, max(p) AS peak FROM o JOIN pr ON pr.recording_id = o.recording_id AND pr.frame BETWEEN a - 5 AND a - 1 GROUP BY ALL),
+neg AS (SELECT n.recording_id, n.frame AS a, max(p) AS peak FROM n0 n JOIN pr ON pr.recording_id = n.recording_id AND pr.frame BETWEEN n.frame - 5 AND n.frame - 1 WHERE k <= 100 GROUP BY ALL),
+t AS (SELECT 0.01::DOUBLE AS rate, round(quantile_cont(peak, 0.99), 9) AS threshold FROM neg UNION ALL SELECT 0.05, round(quantile_cont(peak, 0.95), 9) FROM neg UNION ALL SELECT 0.1, round(quantile_cont(peak, 0.9), 9) FROM neg),
+c AS (SELECT rate, any_value(threshold) AS threshold, avg(CASE WHEN round(peak, 9) >= threshold THEN 1.0 ELSE 0 END) AS recall, count(*) AS n_onsets FROM pos, t GROUP BY 1),
+f AS (SELECT o.recording_id, a, rate, min(CASE WHEN round(p, 9) >= threshold THEN pr.frame END) AS first FROM o JOIN pr ON pr.recording_id = o.recording_id AND pr.frame BETWEEN a - 12 AND a - 1, t GROUP BY ALL),
+l AS (SELECT rate, quantile_cont(a - first, 0.5) AS median_lead, avg(a - first) AS mean_lead, count(first) / count(*) AS detected FROM f GROUP BY 1),
+u AS (SELECT 1 AS y, peak FROM pos UNION ALL SELECT 0, peak FROM neg), ru AS (SELECT y, rank() OVER (ORDER BY peak) + (count(*) OVER (PARTITION BY peak) - 1) / 2 AS r FROM u),
+au AS (SELECT (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auroc FROM ru)
+SELECT rate, round(threshold, 6) AS threshold, (SELECT count(*) FROM neg) AS n_negatives, round(recall, 6) AS recall, n_onsets, round(median_lead, 6) AS median_lead, round(mean_lead, 6) AS mean_lead, round(detected, 6) AS detected, round(auroc, 6) AS auroc
+FROM c JOIN l USING (rate), au"""))
+def anticipation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Onsets told at 1, 5 and 10 % false alarms, p being the events of the hour, and how long before."""
+    out = evt.anticipation(*_activity(spark, sf_dir), ["recording_id"], 5, 12, [0.01, 0.05, 0.1])
+    return out.withColumns({c: F.round(c, 6) for c in ("threshold", "recall", "median_lead", "mean_lead", "detected", "auroc")})
+
+
+@query(sql("frames intervals", _ONSETS + """, b AS (SELECT recording_id, a, unnest(range(-12, 0, 3)) AS before FROM o)
+SELECT CAST(before AS INT) AS before, round(avg(coalesce(p, 0)), 6) AS mean, count(*) AS n FROM b LEFT JOIN pr ON pr.recording_id = b.recording_id AND pr.frame = a + before GROUP BY 1"""))
+def mean_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, onsets, _ = _activity(spark, sf_dir)
+    return evt.mean_curve(p, onsets, ["recording_id"], 12, 3).withColumn("mean", F.round("mean", 6))
 
 
 @query(sql("frames", """s AS (SELECT recording_id, frame, count(*) FILTER (n > 0) / count(*) AS valid FROM frames GROUP BY ALL) SELECT recording_id, round(avg(valid), 6) AS coverage, round(quantile_cont(valid, 0.9), 6) AS p90, count(*) FILTER (valid = 1) AS n_full FROM s GROUP BY 1"""))

@@ -35,6 +35,15 @@ def test_known_drift(spark):
     assert abs(r["drift"] - 0.01) < 0.002 and abs(r["offset"] - 4) < 1.5 and r["n_inliers"] >= 6
 
 
+def test_drift_between_two_windows(spark):
+    x = signal(1400, 6)
+    sig = [(1, k, x[min(1399, round(k * 1.005) + 6)]) for k in range(1200)]
+    r = motion.drift_factor(frame(spark, [(1, k, v) for k, v in enumerate(x)]), frame(spark, sig), ["g"], "e", 120, 20, 15, 400).first()
+    assert abs(r["k"] - 1.005) < 0.002 and abs(r["offset_start"] - 6.3) < 1 and r["reason"] is None
+    short = motion.drift_factor(frame(spark, [(1, k, v) for k, v in enumerate(x[:300])]), frame(spark, sig[:280]), ["g"], "e", 120, 20, 15, 400).first()
+    assert short["k"] is None and short["reason"] == "too_short"
+
+
 def quat(a):
     return (0.0, 0.0, math.sin(a / 2), math.cos(a / 2))
 
