@@ -76,16 +76,32 @@ def match_events(proposals: DataFrame, truth: DataFrame, by: list[str], slack: i
     return out.withColumns({"precision": F.try_divide("proposals_hit", "n_proposals"), "recall": F.try_divide("truth_hit", "n_truth")})
 
 
-def match_sessions(sessions: DataFrame, reference: DataFrame, by: list[str]) -> DataFrame:
+def match_sessions(sessions: DataFrame, reference: DataFrame, by: list[str], width: int = 30 * 86_400) -> DataFrame:
     """The reference session with the longest positive overlap of every session; of equal ones the earlier. Of sessions that
-    chose the same one, the earliest claims it (claimed)."""
-    pairs = sessions.select(*by, F.col("id").alias("a_id"), F.col("start").alias("a0"), F.col("end").alias("a1")).join(reference.select(*by, F.col("id").alias("b_id"), F.col("start").alias("b0"), F.col("end").alias("b1")), by)
-    pairs = pairs.withColumn("shared", F.least("a1", "b1") - F.greatest("a0", "b0")).filter("shared > 0")
+    chose the same one, the earliest claims it (claimed). Both sides meet in time buckets of `width`."""
+    side = lambda df, n: df.select(*by, F.col("id").alias(f"{n}_id"), F.col("start").alias(f"{n}0"), F.col("end").alias(f"{n}1")).withColumn("bucket", _buckets(F.col(f"{n}0"), F.col(f"{n}1"), width))
+    met = side(sessions, "a").join(side(reference, "b"), [*by, "bucket"])
+    # a pair counts in the first bucket that both are in
+    met = met.filter(F.col("bucket") == F.floor(F.greatest("a0", "b0") / width)).drop("bucket")
+    pairs = met.withColumn("shared", F.least("a1", "b1") - F.greatest("a0", "b0")).filter("shared > 0")
     best = Window.partitionBy(*by, "a_id").orderBy(F.desc("shared"), "b0", "b_id")
     claim = Window.partitionBy(*by, "b_id").orderBy("a0", "a_id")
     return pairs.withColumn("n", F.row_number().over(best)).filter("n = 1").withColumn("claimed", F.row_number().over(claim) == 1).select(*by, "a_id", "b_id", "shared", "claimed")
 
 
+def match_by_index(sessions: DataFrame, reference: DataFrame, matched: DataFrame, by: list[str], group: str) -> DataFrame:
+    """Claimed matches; and, for a `group` (a camera, say) of which none was claimed and which has as many sessions as there
+    are references, its sessions and the references one by one in order of start. by_index tells the latter."""
+    claimed = matched.filter("claimed").select(*by, "a_id", "b_id")
+    own = sessions.select(*by, group, "id", "start")
+    hit = claimed.join(own.select(*by, group, F.col("id").alias("a_id")), [*by, "a_id"]).select(*by, group).distinct()
+    number = lambda df, keys: df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("start"), "id")))
+    sizes = own.groupBy(*by, group).agg(F.count(F.lit(1)).alias("n")).join(reference.groupBy(*by).agg(F.count(F.lit(1)).alias("n_ref")), by).filter("n = n_ref")
+    rest = sizes.join(hit, [*by, group], "left_anti").select(*by, group)
+    pairs = number(own.join(rest, [*by, group]), [*by, group]).select(*by, "k", F.col("id").alias("a_id")).join(number(reference, by).select(*by, "k", F.col("id").alias("b_id")), [*by, "k"])
+    return claimed.withColumn("by_index", F.lit(False)).unionByName(pairs.select(*by, "a_id", "b_id", F.lit(True).alias("by_index")))
+
+
 def sessions(chunks: DataFrame, by: list[str], gap: int) -> DataFrame:
     """Chunks with session (from 0): a new one where a chunk starts more than `gap` after all before it ended. Chunks without
     a start never open one; they come last and belong to the last."""

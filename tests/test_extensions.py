@@ -82,3 +82,15 @@ def test_reports_and_small_readers(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text(json.dumps({"tracking_timestamp_us": 5, "CameraCalibrations": [{"Label": "rgb", "Projection": {"Name": "Fisheye", "Params": [1.0, 2.0]}}]}) + "\n")
     r = files.read_calibration(spark, f"{tmp_path}/c.jsonl").first()
     assert (r["t_us"], r["position"], r["label"], r["model"], r["params"]) == (5, 0, "rgb", "Fisheye", [1.0, 2.0])
+
+
+def test_sessions_without_overlap_match_by_index(spark):
+    from tandem.operators import intervals
+
+    ref = spark.createDataFrame([("e", 1, 0, 100), ("e", 2, 200, 300)], "ep string, id int, start long, end long")
+    own = [("e", 11, "left", 10, 90), ("e", 12, "left", 20, 400), ("e", 21, "right", 1000, 1100), ("e", 22, "right", 1200, 1300), ("e", 31, "one", 5000, 5100)]
+    df = spark.createDataFrame(own, "ep string, id int, cam string, start long, end long")
+    matched = intervals.match_sessions(df, ref, ["ep"], width=50)
+    assert sorted((r["a_id"], r["b_id"], r["shared"], r["claimed"]) for r in matched.collect()) == [(11, 1, 80, True), (12, 2, 100, True)]
+    got = sorted((r["a_id"], r["b_id"], r["by_index"]) for r in intervals.match_by_index(df, ref, matched, ["ep"], "cam").collect())
+    assert got == [(11, 1, False), (12, 2, False), (21, 1, True), (22, 2, True)]
