@@ -174,7 +174,7 @@ def thin(samples: DataFrame, by: list[str], width: int) -> DataFrame:
 
 def clock_stats(pairs: DataFrame, by: list[str], jump: int) -> DataFrame:
     """Paired clocks (t, other) per series: steps, plateaus (no step of the other clock), jumps, the offsets' range, and the
-    drift in parts per million by least squares on centred times."""
+    drift in parts per million by least squares on centred times, with the root mean square of what it leaves."""
     w = Window.partitionBy(*by).orderBy("t", "idx")
     whole = Window.partitionBy(*by)
     rows = pairs.withColumns({"dt": F.col("t") - F.lag("t").over(w), "do": F.col("other") - F.lag("other").over(w), "offset": F.col("other") - F.col("t")})
@@ -182,5 +182,6 @@ def clock_stats(pairs: DataFrame, by: list[str], jump: int) -> DataFrame:
     return rows.groupBy(*by).agg(
         F.count("dt").alias("n_steps"), F.count_if((F.col("do") == 0) & (F.col("dt") > 0)).alias("n_plateaus"), F.count_if(F.abs(F.col("do") - F.col("dt")) > jump).alias("n_jumps"),
         F.min("offset").alias("offset_min"), F.max("offset").alias("offset_max"), (F.regr_slope("y", "x") * 1e6).alias("drift_ppm"),
+        (F.stddev_pop("y") * F.sqrt(F.greatest(1 - F.coalesce(F.regr_r2("y", "x"), F.lit(0.0)), F.lit(0.0)))).alias("residual_rms"),
     )
 

@@ -32,6 +32,25 @@ def smallest_around(points: DataFrame, boxes: DataFrame, by: list[str], share: f
     return fits.groupBy(*by, "px", "py").agg(F.min(F.struct(s.area(_box()).alias("area"), "slot", "name")).alias("b")).select(*by, "px", "py", "b.*")
 
 
+def contact_candidates(hands: DataFrame, boxes: DataFrame, by: list[str], least: int = 3, share: float = 0.1, palm_share: float = 0.2, depth_tolerance: float | None = None) -> DataFrame:
+    """What each hand touches in its frame: of the boxes that, larger by `share` about their centre, hold at least `least` of
+    its tips or its palm, the smallest (of equal ones the lower slot): slot, name and score, null and 0 where there is none.
+
+    hands: hand, tips (array of x, y), palm (x, y), z (depth, null if unknown); a hand without tips touches nothing. boxes:
+    slot, corners, conf, name, z. With a tolerance, boxes whose known depth is further than that from the hand's are left
+    out. The score is the share of tips inside, or palm_share for the palm alone, by the box's confidence.
+    """
+    grown = s.grow(_box(), share / 2)
+    n_in = F.size(F.filter("tips", lambda t: s.inside(t["x"], t["y"], grown)))
+    met = hands.filter("tips IS NOT NULL").select(*by, "hand", "tips", "palm", F.col("z").alias("hand_z")).join(boxes.filter("conf IS NOT NULL AND name IS NOT NULL"), by)
+    met = met.withColumns({"n_in": n_in, "palm_in": F.coalesce(s.inside(F.col("palm.x"), F.col("palm.y"), grown), F.lit(False))}).filter((F.col("n_in") >= least) | F.col("palm_in"))
+    if depth_tolerance is not None:
+        met = met.filter(F.coalesce(F.abs(F.col("z") - F.col("hand_z")) <= depth_tolerance, F.lit(True)))
+    score = F.greatest(F.col("n_in") / F.size("tips"), F.when(F.col("palm_in"), palm_share).otherwise(0.0)) * F.col("conf")
+    best = met.groupBy(*by, "hand").agg(F.min(F.struct(s.area(_box()).alias("area"), "slot", "name", score.alias("score"))).alias("b"))
+    return hands.select(*by, "hand").join(best, [*by, "hand"], "left").select(*by, "hand", "b.slot", "b.name", F.coalesce("b.score", F.lit(0.0)).alias("score"))
+
+
 def plausible(boxes: DataFrame, by: list[str], largest: float, sure: float) -> DataFrame:
     """Boxes of at most `largest` area that are sure (conf >= sure) or touch a sure one."""
     small = boxes.filter(s.area(_box()) <= largest)

@@ -176,7 +176,8 @@ def thin(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT recording_id, role, idx, t // 1000000 AS t, t // 1000000 + CAST(floor(val) AS BIGINT) // 40 AS other FROM samples),
 r AS (SELECT *, t - lag(t) OVER w AS dt, other - lag(other) OVER w AS dother, other - t AS "offset", t - min(t) OVER (PARTITION BY recording_id, role) AS x FROM p WINDOW w AS (PARTITION BY recording_id, role ORDER BY t, idx))
 SELECT recording_id, role, count(dt) AS n_steps, count(*) FILTER (dother = 0 AND dt > 0) AS n_plateaus, count(*) FILTER (abs(dother - dt) > 1) AS n_jumps, min("offset") AS offset_min, max("offset") AS offset_max,
-  round(regr_slope(CAST("offset" AS DOUBLE), CAST(x AS DOUBLE)) * 1e6, 4) AS drift_ppm FROM r GROUP BY ALL"""))
+  round(regr_slope(CAST("offset" AS DOUBLE), CAST(x AS DOUBLE)) * 1e6, 4) AS drift_ppm,
+  round(stddev_pop(CAST("offset" AS DOUBLE)) * sqrt(greatest(1 - coalesce(regr_r2(CAST("offset" AS DOUBLE), CAST(x AS DOUBLE)), 0), 0)), 4) AS residual_rms FROM r GROUP BY ALL"""))
 def clock_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.samples(spark, sf_dir).selectExpr("recording_id", "role", "idx", "t div 1000000 AS t", "t div 1000000 + cast(floor(val) AS bigint) div 40 AS other")
-    return align.clock_stats(s, ["recording_id", "role"], 1).withColumn("drift_ppm", F.round("drift_ppm", 4))
+    return align.clock_stats(s, ["recording_id", "role"], 1).withColumns({c: F.round(c, 4) for c in ("drift_ppm", "residual_rms")})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import skeleton
+from tandem.operators import boxes as bx
 from tandem.operators import events as evt
 from tandem.operators import proposals as pr
 from tandem.sources import fixtures as fx
@@ -110,6 +111,21 @@ def object_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.object_association(points, gaze, boxes, ["frame"])
 
 
+@query(sql("boxes", """b AS (SELECT * REPLACE (slot * 1000000 + CAST(x0 AS INT) * 1000 + CAST(y0 AS INT) AS slot), CASE WHEN frame % 4 <> 0 THEN (frame * 3 + slot * 2) % 7 / 10.0 END AS z, slot AS s FROM boxes),
+h AS (SELECT frame, slot AS hand, [30 * k + x0 for k in range(5)] AS tx, [25 * k + y0 for k in range(5)] AS ty, x0 + 20 AS px, y0 + 10 AS py, frame * s % 7 / 10.0 AS hz FROM b WHERE s <= 2),
+g AS (SELECT *, (x0 + x1) / 2 - (x1 - x0) * 0.55 AS g0, (y0 + y1) / 2 - (y1 - y0) * 0.55 AS g1, (x0 + x1) / 2 + (x1 - x0) * 0.55 AS g2, (y0 + y1) / 2 + (y1 - y0) * 0.55 AS g3 FROM b),
+m AS (SELECT h.frame, hand, slot, name, conf, (x1 - x0) * (y1 - y0) AS area, len(list_filter(range(1, 6), lambda k: tx[k] >= g0 AND tx[k] <= g2 AND ty[k] >= g1 AND ty[k] <= g3)) AS n_in, px BETWEEN g0 AND g2 AND py BETWEEN g1 AND g3 AS palm
+  FROM h JOIN g USING (frame) WHERE coalesce(abs(z - hz) <= 0.15, true)),
+c AS (SELECT frame, hand, arg_min(struct_pack(slot := slot, name := name, score := greatest(n_in / 5, CASE WHEN palm THEN 0.2 ELSE 0 END) * conf), struct_pack(a := area, s := slot)) AS best FROM m WHERE n_in >= 3 OR palm GROUP BY ALL)
+SELECT h.frame, h.hand, best.slot AS slot, best.name AS name, round(coalesce(best.score, 0), 6) AS score FROM h LEFT JOIN c USING (frame, hand)"""))
+def contact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = fx.boxes(spark, sf_dir).withColumn("s", F.col("slot")).withColumn("slot", F.expr("slot * 1000000 + cast(x0 AS int) * 1000 + cast(y0 AS int)"))
+    b = b.withColumn("z", F.expr("if(frame % 4 <> 0, (frame * 3 + s * 2) % 7 / 10, null)"))
+    tips = F.expr("transform(sequence(0, 4), k -> named_struct('x', x0 + 30 * k, 'y', y0 + 25 * k))")
+    hands = b.filter("s <= 2").select("frame", F.col("slot").alias("hand"), tips.alias("tips"), F.expr("named_struct('x', x0 + 20, 'y', y0 + 10)").alias("palm"), F.expr("frame * s % 7 / 10").alias("z"))
+    return _rounded(bx.contact_candidates(hands, b, ["frame"], depth_tolerance=0.15), "score")
+
+
 _PROBS = """pr AS (SELECT recording_id, role, frame, least(coalesce(val, 0) / 100, 1.0) AS p, CASE WHEN frame % 5 <> 0 THEN frame * 37 % 100 / 100.0 END AS pg FROM frames6),
 b AS (SELECT *, CASE WHEN p > 0.4 THEN 'h' WHEN p < 0.2 THEN 'l' ELSE 'm' END AS level FROM pr),
 c AS (SELECT *, lead(level) OVER w AS next, max(frame) OVER (PARTITION BY recording_id, role) AS last, lag(level) OVER w AS before FROM b WINDOW w AS (PARTITION BY recording_id, role ORDER BY frame)),
