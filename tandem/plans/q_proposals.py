@@ -101,7 +101,7 @@ h AS (SELECT frame, hand, arg_max(cat, struct_pack(c := conf, s := -slot)) FILTE
 q AS (SELECT frame, max(held) FILTER (hand = 0) AS held_0, max(held) FILTER (hand = 1) AS held_1, sum(near) AS n_near FROM h GROUP BY 1),
 s AS (SELECT g.frame, arg_min(slot, struct_pack(a := (x1 - x0) * (y1 - y0), s := slot)) AS slot, arg_min(cat, struct_pack(a := (x1 - x0) * (y1 - y0), s := slot)) AS gazed FROM g JOIN b ON g.frame = b.frame AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND cat IS NOT NULL GROUP BY 1),
 t AS (SELECT s.frame, gazed, gazed = 'hand' AND NOT EXISTS (SELECT 1 FROM m WHERE m.frame = s.frame AND m.slot = s.slot) AS partner FROM s)
-SELECT frame, held_0, held_1, gazed, coalesce(partner, false) AS gazed_partner, n_boxes, coalesce(n_near, 0) AS n_near FROM (SELECT frame, count(*) AS n_boxes FROM b GROUP BY 1) LEFT JOIN q USING (frame) LEFT JOIN t USING (frame)"""))
+SELECT frame, held_0, held_1, gazed, coalesce(partner, false) AS gazed_partner, n_boxes, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near FROM (SELECT frame, count(*) AS n_boxes FROM b GROUP BY 1) LEFT JOIN q USING (frame) LEFT JOIN t USING (frame)"""))
 def object_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = fx.boxes(spark, sf_dir)
     points = b.filter("slot <= 2").select("frame", (F.col("slot") - 1).alias("hand"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), "x0", "y0").selectExpr("frame", "hand", "x0 + 10 * k AS x", "y0 + 8 * k AS y")
