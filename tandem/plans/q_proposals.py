@@ -135,12 +135,12 @@ z AS (SELECT recording_id, role, level, frame AS start, coalesce(lead(frame) OVE
 """
 
 
-@query(sql("frames6", _PROBS + """SELECT z.recording_id, z.role, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", round(avg(p), 6) AS confidence, round(avg(coalesce(pg, 0.5)), 6) AS gives, round(avg(coalesce(pg, 0.5)), 9) >= 0.5 AS first_gives
+@query(sql("frames6", _PROBS + """SELECT z.recording_id, z.role, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end", round(avg(p), 8) AS confidence, round(avg(coalesce(pg, 0.5)), 8) AS gives, round(avg(coalesce(pg, 0.5)), 9) >= 0.5 AS first_gives
 FROM z JOIN pr ON z.recording_id = pr.recording_id AND z.role = pr.role AND pr.frame BETWEEN start AND stop WHERE level = 'h' GROUP BY ALL"""))
 def propose(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.frames(spark, sf_dir, 6).select(*SERIES, F.col("frame").cast("long").alias("frame"), F.least(F.coalesce("val", F.lit(0.0)) / 100, F.lit(1.0)).alias("p"), F.expr("if(frame % 5 <> 0, frame * 37 % 100 / 100D, null)").alias("p_gives"))
     out = pr.propose(p, SERIES, 0.4, 0.2, 2, 2)
-    return _rounded(out.withColumn("first_gives", F.round("gives", 9) >= 0.5), "confidence", "gives")
+    return _rounded(out.withColumn("first_gives", F.round("gives", 9) >= 0.5), "confidence", "gives", digits=8)
 
 
 @query(sql("frames intervals", """f AS (SELECT recording_id, frame, max(n) FILTER (role = 0) AS a_n, max(n) FILTER (role = 1) AS b_n, frame % 24 AS hour FROM frames GROUP BY ALL),
