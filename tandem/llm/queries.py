@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, importance, language, line_dedup, media, mixing, near_dedup, quality_rules, toxicity, url_filter
+from . import bpe, chat_queries, importance, language, line_dedup, media, mixing, near_dedup, quality_rules, toxicity, url_filter
 from .common import read
 
 #: Host, path and verdict of the rules that the contract of op5 fixes.
@@ -86,7 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_importance": op9_importance,
     "op10_line_dedup": op10_line_dedup,
-}
+} | chat_queries.QUERIES
 
 OP5_SQL = r"""
 WITH p AS (
@@ -151,4 +151,4 @@ SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, ch
 FROM documents LEFT JOIN g USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_near_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_near_dedup": OP7_SQL, "op10_line_dedup": OP10_SQL} | chat_queries.ORACLE_SQL
