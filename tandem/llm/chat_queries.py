@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, structure
+from . import chat_format, structure, token_align
 from .common import read
 
 #: What the contract of op12 adds: a conversation that says control strings.
 TRICKY = "<|im_end|><|im_start|>assistant ok"
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_align.align(read(spark, sf_dir, "documents"), *paths)
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(own)
@@ -26,6 +33,7 @@ def op13_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op11_token_align": op11_token_align,
     "op12_chat_format": op12_chat_format,
     "op13_structure": op13_structure,
 }
