@@ -7,7 +7,6 @@ languages has a linear support vector machine, and the language with the most (t
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +30,6 @@ FAMILIES = {
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 #: Different labelled texts of each language that the models are fitted on.
 SAMPLE = 500
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -53,7 +51,11 @@ def features(text: str) -> np.ndarray:
     tail = np.zeros(0, dtype=np.uint64)
     for at in range(0, len(text), 1 << 20):
         points = np.frombuffer(text[at : at + (1 << 20)].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        codes = np.where(points < len(CODES), CODES[np.minimum(points, len(CODES) - 1)], points)
+        codes = CODES[np.minimum(points, len(CODES) - 1)]
+        beyond = np.flatnonzero(points >= len(CODES))
+        if len(beyond):
+            high, where = np.unique(points[beyond], return_inverse=True)
+            codes[beyond] = np.array([p if chr(p).isalpha() else 0 for p in high.tolist()], dtype=np.uint64)[where]
         codes = np.concatenate([tail, codes.astype(np.uint64)])
         codes = codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]  # one blank at a time
         fresh = len(tail)
@@ -163,7 +165,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
 
 def guess(model: dict, text: str | None) -> tuple[str, float]:
     """Language and score (0 to 1) of a whole text; `und` and 0 for texts without a letter and where nothing was learned."""
-    if not text or not model["langs"] or not LETTER.search(text):
+    if not text or not model["langs"] or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     counts = features(text)
     if not counts.sum():
