@@ -243,6 +243,14 @@ def prefix_pairs(rest: DataFrame, sets: DataFrame, similarity: float) -> DataFra
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
+def leaders(met: DataFrame) -> DataFrame:
+    """node and leader: each node with the two leaders of each of its buckets, the one with most company and another one drawn."""
+    drawn = F.struct(F.xxhash64("node").alias("any"), "node")
+    of = met.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("x"), F.min(drawn).alias("y"), F.max(drawn).alias("z"))
+    other = F.when(F.col("y.node") == F.col("x.node"), F.col("z.node")).otherwise(F.col("y.node"))
+    return met.join(of.select("bucket", F.array("x.node", other).alias("leaders")), "bucket").select("bucket", "node", F.explode("leaders").alias("leader"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links lead to) and kept (doc_id = component_id).
 
@@ -262,8 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     sets = materialize(element_sets(docs, people, words), "near-sets")
 
     met = people.select("node", "score", F.explode("buckets.bucket").alias("bucket"))
-    leaders = met.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("x"), F.min(F.struct(F.xxhash64("node").alias("any"), "node")).alias("y"))
-    led = met.join(leaders.select("bucket", F.array("x.node", "y.node").alias("leaders")), "bucket").select("node", F.explode("leaders").alias("leader"))
+    led = leaders(met)
     stars = led.filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = materialize(verify(stars, people, sets, similarity), "links")
     roots = components(links)
