@@ -151,7 +151,10 @@ def remove_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     whole = docs.select(F.struct(*docs.columns).alias("d"))
     met = whole.join(gone, F.col("d.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("d.text") == F.col("text_hash")), "left")
     hit = F.col("removed").isNotNull()
-    rest = F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains("removed", i))
-    met = met.select("d", hit.alias("hit"), F.when(hit, F.array_join(rest, "\n")).otherwise(F.col("d.text")).alias("rest")).filter(~F.col("hit") | F.col("rest").rlike(r"\S"))
+    # what stands between two removed lines, in one pass; lambda variables, so that neither array is made again for each
+    bounds = "concat(array(-1), array_sort(removed), array(size(lines)))"
+    between = "flatten(transform(sequence(1, size(b) - 1), k -> slice(lines, b[k - 1] + 2, b[k] - b[k - 1] - 1)))"
+    rest = F.expr(f"element_at(transform(array(split(d.text, '\\n')), lines -> element_at(transform(array({bounds}), b -> array_join({between}, '\\n')), 1)), 1)")
+    met = met.select("d", hit.alias("hit"), F.when(hit, rest).otherwise(F.col("d.text")).alias("rest")).filter(~F.col("hit") | F.col("rest").rlike(r"\S"))
     new = {"text": F.col("rest"), "n_chars": F.when(F.col("hit"), F.length("rest").cast("long")).otherwise(F.col("d.n_chars")) if "n_chars" in docs.columns else None}
     return met.select(*((new[c] if c in new else F.col("d").getField(c)).alias(c) for c in docs.columns))
