@@ -38,10 +38,8 @@ CLASSES = 64
 SAMPLE, BEGINNINGS = 20_000, (3, 4, 5, 6)
 #: Least evidence (likelihood ratio statistic) and least toxic documents of a feature in the lexicon.
 EVIDENCE, LEAST = 20.0, 3
-#: Disguised tokens kept with what they were read as, and the longest that is kept; up to this length `*` may be any letter.
+#: Disguised tokens kept with what they were read as, and the longest that is kept.
 CACHE, LONGEST = 50_000, 64
-#: Words of the lexicon, those with most evidence first.
-WORDS = 50_000
 
 
 def code(c: str) -> int:
@@ -108,7 +106,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         elif c in LEET:
             most = [(x * k, SIGN * min(n, 3)) for x in LEET[c] for k in ((1,) if n == 1 else (1, 2))]
             out.append([*most, (" ", NOISE)])
-        elif c == "*" and len(token) <= LONGEST:
+        elif c == "*":
             out.append([("", DROP), (" ", KEEP), *((chr(x), ANY) for x in range(97, 123))])
         elif c in GAPS:
             out.append([("", DROP), (" ", KEEP)])
@@ -285,7 +283,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[lis
         both = f"({a} + {b})"
         g = f"2 * (({a}) * ln(({a}) / ({both} * {n1 / (n1 + n0)!r}D)) + if({b} > 0, ({b}) * ln(({b}) / ({both} * {n0 / (n1 + n0)!r}D)), 0D))"
         found.append(F.expr(f"if({a} >= {LEAST}, {g}, 0D)"))
-    rows = counts.filter("feature <> '\n' AND n10 + n11 > (n00 + n01) / 8").withColumn("evidence", F.greatest(*found)).filter(F.col("evidence") >= EVIDENCE * 0.999).orderBy(F.desc("evidence"), "feature").limit(WORDS).collect()
+    rows = counts.filter("feature <> '\n' AND n10 + n11 > (n00 + n01) / 8").withColumn("evidence", F.greatest(*found)).filter(F.col("evidence") >= EVIDENCE * 0.999).orderBy(F.desc("evidence"), "feature").collect()
 
     def lexicon(folds: tuple[int, ...]) -> dict[str, float]:
         n1, n0 = (max(1, sum(total[(t, k)] for k in folds)) for t in (1, 0))

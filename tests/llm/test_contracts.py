@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tandem.llm import common, importance, language, media, mixing, near_dedup, queries, toxicity
+from tandem.llm import common, importance, language, line_dedup, media, mixing, near_dedup, queries, toxicity
 
 from test_operators import brute_components, by, text_of
 
@@ -237,3 +237,37 @@ def test_stages_take_columns_of_any_name(spark, make):
         shared = [c for c in other.columns if c != "ids"]
         assert sorted(map(str, own.select(shared).collect())) == sorted(map(str, other.select(shared).collect()))
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_a_buckets_leaders_are_two(spark):
+    """Of three nodes all pairs are tried, whichever node has most company."""
+    met = spark.createDataFrame([(b, b * 10 + k, (b + k) % 3) for b in range(200) for k in range(3)], "bucket long, node long, score long")
+    rows = near_dedup.leaders(met).filter("node <> leader").collect()
+    pairs = {}
+    for r in rows:
+        pairs.setdefault(r["bucket"], set()).add(frozenset((r["node"], r["leader"])))
+    assert len(pairs) == 200 and all(len(p) == 3 for p in pairs.values())
+
+
+def test_no_letter_no_language(spark, make):
+    texts = ["² 😀", "½ 😀😀", "12 ③ 💩", "𝟘𝟙", None, "", "#!"] + ["plain english words here"] * 5 + ["𐐀𐐁 deseret"]
+    got = by(language.identify_held_out(make(texts)), "doc_id", "lang_pred")
+    assert [got[k] for k in range(7)] == [("und",)] * 7 and got[12] != ("und",)
+
+
+def test_lines_go_from_a_text_of_very_many(spark, make):
+    """100 000 lines, every third a repeat: what stays is in order, in a time that grows with the lines."""
+    lines = [f"line number {k} of a long text" if k % 3 else "the same line once more" for k in range(100_000)]
+    docs = make(["\n".join(lines), "a\nthe same line once more", None])
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_repeats(docs, min_chars=1000).collect()}
+    first = lines.index("the same line once more")
+    assert got[0] == "\n".join(x for k, x in enumerate(lines) if k % 3 or k == first) and got[1] == "a"
+
+
+def test_a_star_may_be_any_letter_in_a_token_of_any_length():
+    """The same disguise is read alike in short and long tokens."""
+    model = [[[1.0] * toxicity.CLASSES for _ in range(toxicity.CLASSES)] for _ in range(toxicity.CLASSES)]
+    for x, y, z in [(0, 2, 1), (2, 1, 4), (1, 4, 0), (2, 1, 27 + ord("-") % 37)]:
+        model[x][y][z] = 0.0
+    short = len(toxicity.lattice("b*d")[1])
+    assert all(len(o) == short for c, o in zip("b*d" * 100, toxicity.lattice("b*d" * 100)) if c == "*")
