@@ -100,47 +100,6 @@ def pair_handovers(spans: DataFrame, by: list[str], window: int, least: int, mar
     return merge(around, key)
 
 
-def link_tracks(boxes: DataFrame, by: list[str], least_iou: float, memory: int, least: int, schema: str) -> DataFrame:
-    """Boxes of a stream joined into tracks: by overlap with where a track's constant velocity puts it, greedily from the
-    best, remembering a track for `memory` frames; tracks under `least` boxes go. Streams are worked on side by side."""
-
-    def iou(a, b) -> float:
-        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-        both = max(0.0, w) * max(0.0, h)
-        union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
-        return both / union if union > 0 else 0.0
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        tracks, rows = [], []  # a track: id, last box, velocity, last frame
-        for frame, group in part.sort_values(["frame", "slot", "x0", "y0"]).groupby("frame"):
-            found = [tuple(r) for r in group[["x0", "y0", "x1", "y1"]].itertuples(index=False)]
-            slots = group["slot"].tolist()
-            alive = [t for t in tracks if frame - t[3] <= memory]
-            costs = []
-            for i, t in enumerate(alive):
-                ahead = [c + v * (frame - t[3]) for c, v in zip(t[1], t[2], strict=True)]
-                costs += [(-s, i, j) for j, b in enumerate(found) if (s := iou(ahead, b)) >= least_iou]
-            used, taken = set(), {}
-            for _, i, j in sorted(costs):
-                if i not in used and j not in taken:
-                    used.add(i)
-                    taken[j] = alive[i]
-            for j, b in enumerate(found):
-                t = taken.get(j)
-                if t is None:
-                    t = [len(tracks), b, (0.0,) * 4, frame]
-                    tracks.append(t)
-                else:
-                    t[2] = tuple((x - y) / max(1, frame - t[3]) for x, y in zip(b, t[1], strict=True))
-                    t[1], t[3] = b, frame
-                rows.append((frame, slots[j], t[0]))
-        out = pd.DataFrame(rows, columns=["frame", "slot", "track"])
-        out = out[out.groupby("track")["track"].transform("size") >= least]
-        return pd.DataFrame({**{c: [part[c].iloc[0]] * len(out) for c in by}, "frame": out["frame"], "slot": out["slot"], "track": out["track"]})
-
-    return per_series(boxes, by, fold, f"{schema}, frame long, slot int, track long")
-
-
 def lot(seed: int, *names: str) -> Column:
     """A row's lot in a draw: the MD5 of the seed and the named columns, joined by colons."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(n).cast("string") for n in names)))

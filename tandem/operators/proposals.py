@@ -196,24 +196,3 @@ def view_cooccurrence(tracks: DataFrame, by: list[str], a: str, b: str, least: i
         both = both.join(size.filter(F.col("stream") == s).select(*by, F.col("track").alias(f"track_{n}"), F.col("size").alias(f"size_{n}")), [*by, f"track_{n}"])
     out = both.filter(F.col("n") >= least).withColumn("ratio", F.col("n") / (F.col("size_a") + F.col("size_b") - F.col("n")))
     return out.select(*by, "track_a", "track_b", "n", "ratio", "rank_agreement")
-
-
-def match_tracks(tracks: DataFrame, bodies: DataFrame, by: list[str], least: int, most: float, size: Column) -> DataFrame:
-    """Tracks and bodies that are the same person: pairs by increasing mean distance of the track's point from the body's
-    projection (both x, y in the image, over `size`), each once; pairs need `least` common frames and a mean under `most`.
-
-    A pair stands if it is the best of both its track and its body among the pairs that are left, which is decided in rounds
-    of two: the best pairs of all, then the best of what these leave.
-    """
-    distance = F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2) / size
-    met = tracks.join(bodies.select(*by, "frame", "body", F.col("x").alias("bx"), F.col("y").alias("by")), [*by, "frame"])
-    pairs = met.groupBy(*by, "track", "body").agg(F.count(distance).alias("n"), F.avg(distance).alias("distance")).filter((F.col("n") >= least) & (F.col("distance") < most))
-    order = [F.col("distance"), F.col("track"), F.col("body")]
-
-    def best(df: DataFrame) -> DataFrame:
-        ranks = {n: F.row_number().over(Window.partitionBy(*by, n).orderBy(*order)) for n in ("track", "body")}
-        return df.withColumns({f"of_{n}": r for n, r in ranks.items()}).filter("of_track = 1 AND of_body = 1").drop("of_track", "of_body")
-
-    first = best(pairs)
-    rest = pairs.join(first.select(*by, "track"), [*by, "track"], "left_anti").join(first.select(*by, "body"), [*by, "body"], "left_anti")
-    return first.unionByName(best(rest))

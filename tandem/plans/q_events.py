@@ -92,12 +92,6 @@ def pair_handovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.pair_handovers(spans, ["recording_id"], 6 * 3_600_000_000, 3_600_000_000, 300_000_000, "recording_id long")
 
 
-@query()
-def link_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = fx.boxes(spark, sf_dir).withColumn("stream", F.expr("frame div 50")).withColumn("frame", F.col("frame") % 50)
-    return folds.link_tracks(boxes, ["stream"], 0.1, 5, 2, "stream long")
-
-
 @query(sql("frames6", """r AS (SELECT recording_id, role, frame, row_number() OVER (PARTITION BY recording_id, role ORDER BY md5(concat_ws(':', '3', recording_id, role, frame)), frame) AS k, count(*) OVER (PARTITION BY recording_id, role) AS c FROM frames6 WHERE n > 0)
 SELECT recording_id, role, frame FROM r WHERE k <= greatest(ceil(c * 0.1), 1)"""))
 def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

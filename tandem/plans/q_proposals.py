@@ -201,18 +201,6 @@ def view_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pr.view_cooccurrence(tracks, ["grp"], "a", "b", 3), "ratio", "rank_agreement")
 
 
-@query(sql("boxes", """t AS (SELECT frame // 50 AS grp, frame, slot AS track, x0 AS x, y0 AS y FROM boxes WHERE slot IN (1, 3, 5)), b AS (SELECT frame // 50 AS grp, frame, slot AS body, x0 AS x, y0 AS y FROM boxes WHERE slot IN (2, 4)),
-p AS MATERIALIZED (SELECT t.grp, track, body, count(*) AS n, avg(sqrt((t.x - b.x) ** 2 + (t.y - b.y) ** 2) / 1000) AS d FROM t JOIN b ON t.grp = b.grp AND t.frame = b.frame GROUP BY ALL HAVING count(*) >= 3 AND avg(sqrt((t.x - b.x) ** 2 + (t.y - b.y) ** 2) / 1000) < 0.25),
-r1 AS (SELECT *, row_number() OVER (PARTITION BY grp, track ORDER BY d, track, body) AS i, row_number() OVER (PARTITION BY grp, body ORDER BY d, track, body) AS j FROM p), a AS (SELECT grp, track, body, n, d FROM r1 WHERE i = 1 AND j = 1),
-q AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.grp = p.grp AND a.track = p.track) AND NOT EXISTS (SELECT 1 FROM a WHERE a.grp = p.grp AND a.body = p.body)),
-r2 AS (SELECT *, row_number() OVER (PARTITION BY grp, track ORDER BY d, track, body) AS i, row_number() OVER (PARTITION BY grp, body ORDER BY d, track, body) AS j FROM q)
-SELECT grp, track, body, n, round(d, 6) AS distance FROM (SELECT * FROM a UNION ALL SELECT grp, track, body, n, d FROM r2 WHERE i = 1 AND j = 1)"""))
-def match_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = fx.boxes(spark, sf_dir).selectExpr("frame div 50 AS grp", "frame", "slot", "x0 AS x", "y0 AS y")
-    tracks, bodies = b.filter("slot IN (1, 3, 5)").withColumnRenamed("slot", "track"), b.filter("slot IN (2, 4)").withColumnRenamed("slot", "body")
-    return _rounded(pr.match_tracks(tracks, bodies, ["grp"], 3, 0.25, F.lit(1000.0)), "distance")
-
-
 BONES = [(5, 7, 0.3), (7, 9, 0.25), (6, 8, 0.3), (8, 10, 0.25), (11, 13, 0.4), (13, 15, 0.4)]
 
 
