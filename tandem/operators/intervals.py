@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def interval_mask(grid: DataFrame, intervals: DataFrame, by: list[str], last: int) -> DataFrame:
-    """Grid rows with active: inside an interval, both ends included, intervals clamped to frames 0..last."""
-    frames = F.sequence(F.greatest("start_frame", F.lit(0)), F.least("end_frame", F.lit(last)))
-    inside = intervals.filter((F.greatest("start_frame", F.lit(0)) <= F.least("end_frame", F.lit(last)))).select(*by, F.explode(frames).alias("frame")).distinct().withColumn("active", F.lit(True))
+def extents(grid: DataFrame, by: list[str]) -> DataFrame:
+    """last: the last frame of every series."""
+    return grid.groupBy(*by).agg(F.max("frame").alias("last"))
+
+
+def interval_mask(grid: DataFrame, intervals: DataFrame, by: list[str]) -> DataFrame:
+    """Grid rows with active: inside an interval, both ends included. What an interval has outside the grid's frames is left."""
+    ends = intervals.join(extents(grid, by), by).withColumns({"a": F.greatest("start_frame", F.lit(0)), "b": F.least("end_frame", "last")})
+    inside = ends.filter("a <= b").select(*by, F.explode(F.sequence("a", "b")).alias("frame")).distinct().withColumn("active", F.lit(True))
     return grid.join(inside, [*by, "frame"], "left").withColumn("active", F.coalesce("active", F.lit(False)))
 
 
@@ -32,26 +37,34 @@ def runs(series: DataFrame, by: list[str], flag: str, least: int = 1, bridge: in
     return out.filter(F.col("end") - F.col("start") + 1 >= least).drop("run")
 
 
-def context_windows(events: DataFrame, status: DataFrame, by: list[str], wide: int, narrow: int, last: int) -> DataFrame:
-    """A window of `wide` frames around every event, clamped to 0..last; `narrow` where the wide one holds a bad frame; the
+def context_windows(events: DataFrame, status: DataFrame, by: list[str], wide: int, narrow: int) -> DataFrame:
+    """A window of `wide` frames around every event, clamped to the frames that its recording has a status for; `narrow` where the wide one holds a bad frame; the
     event is rejected if that holds one too. status: frame and bad per grid frame. Bad frames are counted by prefix sums."""
     w = Window.partitionBy(*by).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
     sums = status.select(*by, "frame", F.sum(F.col("bad").cast("long")).over(w).alias("upto"))
 
     def bad(df: DataFrame, size: int, name: str) -> DataFrame:
-        low, high = F.greatest(F.col("start_frame") - size, F.lit(0)), F.least(F.col("end_frame") + size, F.lit(last))
+        low, high = F.greatest(F.col("start_frame") - size, F.lit(0)), F.least(F.col("end_frame") + size, F.col("_last"))
         df = df.withColumns({f"{name}_from": low, f"{name}_to": high})
         ends = sums.select(*by, F.col("frame").alias(f"{name}_to"), F.col("upto").alias(f"{name}_b"))
         starts = sums.select(*by, (F.col("frame") + 1).alias(f"{name}_from"), F.col("upto").alias(f"{name}_a"))
         df = df.join(ends, [*by, f"{name}_to"], "left").join(starts, [*by, f"{name}_from"], "left")
         return df.withColumn(f"{name}_bad", F.coalesce(f"{name}_b", F.lit(0)) - F.coalesce(f"{name}_a", F.lit(0)))
 
-    out = bad(bad(events, wide, "wide"), narrow, "narrow")
+    out = bad(bad(events.join(extents(status, by).withColumnRenamed("last", "_last"), by), wide, "wide"), narrow, "narrow")
     decision = F.when(F.col("wide_bad") == 0, "wide").when(F.col("narrow_bad") == 0, "narrow").otherwise("rejected")
     pick = lambda end: F.when(F.col("wide_bad") == 0, F.col(f"wide_{end}")).when(F.col("narrow_bad") == 0, F.col(f"narrow_{end}"))
     return out.select(*events.columns, decision.alias("context"), pick("from").alias("context_from"), pick("to").alias("context_to"), "wide_bad", "narrow_bad")
 
 
+def excerpts(events: DataFrame, grid: DataFrame, by: list[str], size: int) -> DataFrame:
+    """by, iv, excerpt_from and excerpt_to (both included, `size` apart): centred on the event, moved inside its recording's
+    frames; longer events are cut at both ends alike."""
+    start = F.col("start_frame") - F.floor((size - (F.col("end_frame") - F.col("start_frame"))) / 2)
+    start = F.greatest(F.lit(0), F.least(start, F.col("last") - size)).cast("int")
+    return events.join(extents(grid, by), by).select(*by, "iv", start.alias("excerpt_from"), (start + size).alias("excerpt_to"))
+
+
 def _buckets(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
 

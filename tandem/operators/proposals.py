@@ -33,7 +33,7 @@ def load_features(kinematics: DataFrame, speech: list[DataFrame], world: DataFra
     return out if world is None else out.join(world, [*by, "frame"], "left")
 
 
-def view(df: DataFrame, name: str, by: list[str], n: int, least: int) -> DataFrame:
+def view(df: DataFrame, name: str, by: list[str], least: int) -> DataFrame:
     """The columns that a model sees of a view: leader, helper, both (with the world's), or both with the helper's (or, in
     leader_shuffled, the leader's) columns turned in time by a shift of each recording's own, without the world's."""
     own = {p: [c for c in df.columns if c.startswith(f"{p}_")] for p in (*PEOPLE, "world")}
@@ -42,7 +42,7 @@ def view(df: DataFrame, name: str, by: list[str], n: int, least: int) -> DataFra
     if name == "both":
         return df.select(*by, "frame", *(c for p in (*PEOPLE, "world") for c in own[p]))
     turned = {"both_shuffled": "helper", "leader_shuffled": "leader"}[name]
-    out = circular_shift(df, by, F.col(by[0]), n, least, own[turned])
+    out = circular_shift(df, by, F.col(by[0]), least, own[turned])
     return out.select(*by, "frame", *(F.col(f"shifted_{c}" if p == turned else c).alias(c) for p in PEOPLE for c in own[p]))
 
 

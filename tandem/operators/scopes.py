@@ -7,13 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import settled
+from .intervals import extents
 from .qc import failed_rules
 
 ROLES, SIDES, SCOPES = (0, 1), ("left", "right"), ("event", "context")
 
 
-def scope_metrics(frames: DataFrame, distances: DataFrame, events: DataFrame, by: list[str], around: int, last: int, fast: float) -> DataFrame:
-    """One row per event, with metrics of its own frames (event_*) and of those `around` it too (context_*, within 0..last).
+def scope_metrics(frames: DataFrame, distances: DataFrame, events: DataFrame, by: list[str], around: int | Column, fast: float) -> DataFrame:
+    """One row per event, with metrics of its own frames (event_*) and of those `around` it too (context_*): a number of frames
+    or a column of the events. Frames are those that the recording has.
 
     frames, a row per role (0, 1) and frame: verified, map_conf, pose, residual, left and right (a sure hand is there), their
     left_conf and right_conf, speed (the faster wrist's, null where not evaluated). distances: frame and distance between the
@@ -26,10 +29,10 @@ def scope_metrics(frames: DataFrame, distances: DataFrame, events: DataFrame, by
     wide = wide.join(distances.select(*by, "frame", "distance"), [*by, "frame"], "left")
     scopes = F.explode(F.array(
         F.struct(F.lit("event").alias("scope"), F.col("start_frame").alias("a"), F.col("end_frame").alias("b")),
-        F.struct(F.lit("context").alias("scope"), F.greatest(F.col("start_frame") - around, F.lit(0)).alias("a"), F.least(F.col("end_frame") + around, F.lit(last)).alias("b")),
+        F.struct(F.lit("context").alias("scope"), F.greatest(F.col("start_frame") - around, F.lit(0)).alias("a"), F.least(F.col("end_frame") + around, F.col("last")).alias("b")),
     ))
     key = [*by, "iv", "scope"]
-    rows = events.select(*by, "iv", scopes.alias("s")).select(*by, "iv", "s.scope", F.explode(F.sequence("s.a", "s.b")).alias("frame")).join(wide, [*by, "frame"])
+    rows = events.join(extents(frames, by), by).filter("start_frame <= last").select(*by, "iv", scopes.alias("s")).select(*by, "iv", "s.scope", F.explode(F.sequence("s.a", "s.b")).alias("frame")).join(wide, [*by, "frame"])
     hands = {r: [F.coalesce(F.col(f"{s}_{r}"), F.lit(False)) for s in SIDES] for r in ROLES}
     share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     either = {r: hands[r][0] | hands[r][1] for r in ROLES}
@@ -93,6 +96,59 @@ def rank_handovers(metrics: DataFrame, by: list[str], digits: int = 9) -> DataFr
     return metrics.withColumn("rank", rank).withColumn("selected", (F.col("rank") == 1) & F.col("context_verified"))
 
 
+def plan_contexts(events: DataFrame, frames: DataFrame, by: list[str], contexts: tuple[int, ...]) -> DataFrame:
+    """Events with around (the first of `contexts` whose frames are all verified for both), clip_start, clip_end, and stage and
+    reason where there is none: annotation_bounds, event_mapping or context_mapping.
+
+    The next unverified frame is known at each frame from one window, so that a context costs an equality join however long
+    it is. A frame that a role has no row for is unverified.
+    """
+    both = frames.groupBy(*by, "frame").agg((F.count_if("verified") < len(ROLES)).alias("bad"))
+    ahead = Window.partitionBy(*by).orderBy("frame").rowsBetween(0, Window.unboundedFollowing)
+    coming = both.select(*by, F.col("frame").alias("_at"), F.min(F.when(F.col("bad"), F.col("frame"))).over(ahead).alias("_bad"))
+    out = events.join(extents(frames, by), by, "left")
+    inside = F.coalesce((F.col("start_frame") >= 0) & (F.col("start_frame") <= F.col("end_frame")) & (F.col("end_frame") <= F.col("last")), F.lit(False))
+    out = out.withColumn("_inside", inside)
+    for c in (0, *contexts):
+        out = out.withColumns({f"_from{c}": F.greatest(F.col("start_frame") - c, F.lit(0)), f"_to{c}": F.least(F.col("end_frame") + c, F.col("last"))})
+        out = out.withColumn("_at", F.when(F.col("_inside"), F.col(f"_from{c}"))).join(coming, [*by, "_at"], "left").drop("_at")
+        out = out.withColumn(f"_bad{c}", F.when(F.col("_bad") <= F.col(f"_to{c}"), F.col("_bad"))).drop("_bad")
+    pick = lambda value: F.coalesce(*(F.when(F.col(f"_bad{c}").isNull(), value(c)) for c in contexts))
+    place = lambda c: F.concat(F.lit("frame "), F.col(f"_bad{c}").cast("string"), F.lit(" is not verified"))
+    found = F.when(~F.col("_inside"), F.struct(F.lit("annotation_bounds").alias("stage"), F.lit("outside the recording").alias("reason")))
+    found = found.when(F.col("_bad0").isNotNull(), F.struct(F.lit("event_mapping").alias("stage"), place(0).alias("reason")))
+    found = found.when(pick(F.lit).isNull(), F.struct(F.lit("context_mapping").alias("stage"), place(contexts[-1]).alias("reason"))).alias("r")
+    ok = F.col("r").isNull()
+    out = out.select(*events.columns, pick(F.lit).alias("around"), pick(lambda c: F.col(f"_from{c}")).alias("clip_start"), pick(lambda c: F.col(f"_to{c}")).alias("clip_end"), found)
+    return out.select(*events.columns, *(F.when(ok, F.col(c)).alias(c) for c in ("around", "clip_start", "clip_end")), "r.stage", "r.reason")
+
+
+def assess_events(events: DataFrame, frames: DataFrame, distances: DataFrame, recordings: DataFrame, by: list[str], contexts: tuple[int, ...] = (120, 90), fast: float = 5.0) -> DataFrame:
+    """Every event once: status accepted or rejected, and the stage and reason of a rejection; of accepted ones also around,
+    clip_start, clip_end, caution (true: keep with caution), detail and rank within the recording, the best first.
+
+    Stages in order: `plan_contexts`; derived_validation (recordings: by, valid, problem); tracking_qc (`recommendation` says
+    exclude). Metrics are only computed for events that reach them. frames and distances as for `scope_metrics`.
+    """
+    planned = plan_contexts(events.select(*by, "iv", "start_frame", "end_frame"), frames, by, contexts)
+    checked = planned.join(recordings.select(*by, "valid", "problem"), by, "left")
+    invalid = F.col("stage").isNull() & ~F.coalesce("valid", F.lit(False))
+    checked = checked.withColumns({"reason": F.when(invalid, F.coalesce("problem", F.lit("not validated"))).otherwise(F.col("reason")), "stage": F.when(invalid, "derived_validation").otherwise(F.col("stage"))}).drop("valid", "problem")
+    checked = settled(checked)
+    metrics = scope_metrics(frames, distances, checked.filter("stage IS NULL"), by, F.col("around"), fast).withColumn("r", recommendation())
+    metrics = settled(metrics)
+    ranks = rank_handovers(metrics.filter("r.status <> 'exclude'"), by).select(*by, "iv", "rank")
+    judged = checked.join(metrics.select(*by, "iv", "r"), [*by, "iv"], "left").join(ranks, [*by, "iv"], "left")
+    stage = F.when(F.col("stage").isNull() & (F.col("r.status") == "exclude"), "tracking_qc").otherwise(F.col("stage"))
+    reason = F.when(F.col("stage").isNull() & (F.col("r.status") == "exclude"), F.col("r.reason")).otherwise(F.col("reason"))
+    judged = judged.select("*", stage.alias("s"), reason.alias("why"))
+    ok = F.col("s").isNull()
+    return judged.select(
+        *by, "iv", F.when(ok, "accepted").otherwise("rejected").alias("status"), F.col("s").alias("stage"), F.col("why").alias("reason"), *(F.when(ok, F.col(c)).alias(c) for c in ("around", "clip_start", "clip_end")),
+        F.when(ok, F.col("r.status") == "caution").alias("caution"), F.when(ok, F.col("r.reason")).alias("detail"), "rank",
+    )
+
+
 def recall_by(events: DataFrame, keys: list[str], peak: str, threshold: Column) -> DataFrame:
     """Share of events whose peak reaches the threshold, with their number, by each key alone and over all."""
     hit = F.avg((F.col(peak) >= threshold).cast("double"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .graph import settled
+from .intervals import extents
+
 
 def over(by: list[str], order: str = "frame") -> WindowSpec:
     return Window.partitionBy(*by).orderBy(order)
@@ -52,10 +55,10 @@ def time_to_next(df: DataFrame, by: list[str], onset: str, most: int) -> DataFra
     return df.withColumn("to_next", F.least(F.coalesce(following - F.col("frame"), F.lit(most)), F.lit(most)))
 
 
-def time_to_end(grid: DataFrame, intervals: DataFrame, by: list[str], last: int) -> DataFrame:
+def time_to_end(grid: DataFrame, intervals: DataFrame, by: list[str]) -> DataFrame:
     """Frames to the end of the interval that holds the frame; of several the one that starts last (then the larger id)."""
-    inside = intervals.withColumn("frame", F.explode(F.sequence(F.greatest("start_frame", F.lit(0)), F.greatest(F.greatest("start_frame", F.lit(0)), F.least("end_frame", F.lit(last))))))
-    held = inside.filter((F.col("frame") <= last) & (F.col("frame") <= F.col("end_frame"))).groupBy(*by, "frame").agg(F.max(F.struct("start_frame", "iv", "end_frame")).alias("i"))
+    ends = intervals.join(extents(grid, by), by).withColumns({"a": F.greatest("start_frame", F.lit(0)), "b": F.least("end_frame", "last")}).filter("a <= b")
+    held = ends.withColumn("frame", F.explode(F.sequence("a", "b"))).groupBy(*by, "frame").agg(F.max(F.struct("start_frame", "iv", "end_frame")).alias("i"))
     return grid.join(held, [*by, "frame"], "left").withColumn("to_end", F.col("i.end_frame") - F.col("frame")).drop("i")
 
 
@@ -73,11 +76,13 @@ def forecast_targets(df: DataFrame, by: list[str], col: str, ahead: int, back: i
     return df.withColumns({"target": F.when(F.col(col).isNotNull(), F.lead(col, ahead).over(w)), "still": F.col(col), "drift": drift})
 
 
-def circular_shift(df: DataFrame, by: list[str], key: Column, n: int, least: int, cols: list[str]) -> DataFrame:
+def circular_shift(df: DataFrame, by: list[str], key: Column, least: int, cols: list[str]) -> DataFrame:
     """A control: every series' columns turned by a shift of its own, at least `least` frames either way, taken from the
-    SHA-256 of its key."""
-    shift = F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long") % (n - 2 * least + 1) + least
-    moved = df.select(*by, F.pmod(F.col("frame") + shift, F.lit(n)).cast("int").alias("frame"), *(F.col(c).alias(f"shifted_{c}") for c in cols))
+    SHA-256 of its key. A series has the frames from 0 to its last one; one of fewer than 2 * least frames stays as it is."""
+    rows = df.withColumn("_n", F.max("frame").over(Window.partitionBy(*by)) + 1)
+    drawn = F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long")
+    shift = F.when(F.col("_n") >= 2 * least, F.try_mod(drawn, F.col("_n") - 2 * least + 1) + least).otherwise(0)
+    moved = rows.select(*by, F.pmod(F.col("frame") + shift, F.col("_n")).cast("int").alias("frame"), *(F.col(c).alias(f"shifted_{c}") for c in cols))
     return df.join(moved, [*by, "frame"], "left")
 
 
@@ -106,10 +111,10 @@ def majority_vote(df: DataFrame, by: list[str], label: str, half: int) -> DataFr
     return df.join(best.select(*by, "frame", F.col("v.label").alias("voted")), [*by, "frame"], "left")
 
 
-def stages(grid: DataFrame, events: DataFrame, by: list[str], reach: int, retract: int, last: int) -> DataFrame:
+def stages(grid: DataFrame, events: DataFrame, by: list[str], reach: int, retract: int) -> DataFrame:
     """Sub-stages of an event: approach before its transfer frame, transfer at it, retract after; the event with the least id
     where two meet."""
-    inside = events.withColumn("frame", F.explode(F.sequence(F.col("start_frame") - reach, F.col("end_frame") + retract))).filter(f"frame BETWEEN 0 AND {last}")
+    inside = events.withColumn("frame", F.explode(F.sequence(F.col("start_frame") - reach, F.col("end_frame") + retract))).join(extents(grid, by), by).filter("frame BETWEEN 0 AND last").drop("last")
     stage = F.when(F.col("frame") < F.col("start_frame"), "approach").when(F.col("frame") <= F.col("end_frame"), "transfer").otherwise("retract")
     first = inside.withColumn("stage", stage).groupBy(*by, "frame").agg(F.min(F.struct("iv", "stage")).alias("s"))
     return grid.join(first, [*by, "frame"], "left").withColumns({"iv": F.col("s.iv"), "stage": F.coalesce("s.stage", F.lit("none"))}).drop("s")
@@ -177,3 +182,25 @@ def nonmonotone(df: DataFrame, by: list[str], value: str) -> DataFrame:
     high = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
     low = F.min(value).over(w.rowsBetween(1, Window.unboundedFollowing))
     return df.withColumn("conflict", F.coalesce(F.col(value) < high, F.lit(False)) | F.coalesce(F.col(value) > low, F.lit(False)))
+
+
+def reject_nonmonotone(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The value without conflicts, and the round in which a row lost it (null where it kept it): of two rows in a row that have
+    a value and whose values fall, both lose it, until no two do.
+
+    Each round is written before the next, and only series that still had a conflict go through it; a round takes at least
+    two values from such a series, so that its values bound the rounds.
+    """
+    w = over(by)
+    rows = settled(df.filter(F.col(value).isNotNull()).select(*by, "frame", F.col(value).alias("v"), F.lit(None).cast("int").alias("round")))
+    k = 0
+    while True:
+        k += 1
+        left = rows.filter("round IS NULL")
+        some = F.coalesce(F.lag("v").over(w) > F.col("v"), F.lit(False)) | F.coalesce(F.lead("v").over(w) < F.col("v"), F.lit(False))
+        lost = settled(left.withColumn("bad", some).filter("bad").select(*by, "frame", F.lit(k).alias("now")))
+        if lost.isEmpty():
+            break
+        rows = settled(rows.join(lost, [*by, "frame"], "left").select(*by, "frame", "v", F.coalesce("round", "now").alias("round")))
+    out = df.join(rows.drop("v"), [*by, "frame"], "left")
+    return out.withColumn(value, F.when(F.col("round").isNull(), F.col(value)))

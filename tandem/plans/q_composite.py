@@ -10,6 +10,7 @@ from tandem.operators import scopes
 from tandem.operators import events as evt
 from tandem.operators import folds, intervals
 from tandem.operators import sequence as seq
+from tandem.operators import intervals as iv
 from tandem.sources import fixtures as fx
 
 from .oracle import sql
@@ -135,11 +136,10 @@ def recall_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scopes.recall_by(peaks.join(F.broadcast(limit)), ["initiator", "cue", "skip"], "peak", F.col("limit")).withColumn("recall", F.round("recall", 6))
 
 
-@query(sql("intervals", """SELECT recording_id, iv, greatest(0, least(start_frame - (48 - (end_frame - start_frame)) // 2, 719 - 48)) AS excerpt_from, greatest(0, least(start_frame - (48 - (end_frame - start_frame)) // 2, 719 - 48)) + 48 AS excerpt_to FROM intervals"""))
+@query(sql("grid intervals", """SELECT recording_id, iv, greatest(0, least(start_frame - (48 - (end_frame - start_frame)) // 2, last - 48)) AS excerpt_from, greatest(0, least(start_frame - (48 - (end_frame - start_frame)) // 2, last - 48)) + 48 AS excerpt_to FROM intervals JOIN (SELECT recording_id, max(frame) AS last FROM grid GROUP BY 1) USING (recording_id)"""))
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts of 48 frames centred on an event, moved inside the recording."""
-    start = F.greatest(F.lit(0), F.least(F.col("start_frame") - F.floor((48 - (F.col("end_frame") - F.col("start_frame"))) / 2), F.lit(719 - 48))).cast("int")
-    return fx.intervals(spark, sf_dir).select("recording_id", "iv", start.alias("excerpt_from"), (start + 48).alias("excerpt_to"))
+    return iv.excerpts(fx.intervals(spark, sf_dir), fx.grid(spark, sf_dir), ["recording_id"], 48)
 
 
 @query(sql("intervals", """w AS (SELECT recording_id, start_frame - 3 AS s, end_frame + 3 AS e, 1000 + iv % 7 * 100 AS bytes FROM intervals),

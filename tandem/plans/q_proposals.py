@@ -54,14 +54,14 @@ def load_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("frames6", _LOADED + "SELECT recording_id, frame, leader_val, leader_said, leader_emb, helper_val, helper_said, helper_emb, world_d FROM x"))
 def view_both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.view(pr.load_features(*_blocks(spark, sf_dir), ID), "both", ID, 120, 10)
+    return pr.view(pr.load_features(*_blocks(spark, sf_dir), ID), "both", ID, 10)
 
 
-@query(sql("frames6", _LOADED + """, o AS (SELECT recording_id, CAST('0x' || substr(sha256(CAST(recording_id AS VARCHAR)), 1, 8) AS BIGINT) % 101 + 10 AS shift FROM (SELECT DISTINCT recording_id FROM x)),
-m AS (SELECT recording_id, (frame + shift) % 120 AS frame, helper_val, helper_said, helper_emb FROM x JOIN o USING (recording_id))
+@query(sql("frames6", _LOADED + """, o AS (SELECT recording_id, CAST('0x' || substr(sha256(CAST(recording_id AS VARCHAR)), 1, 8) AS BIGINT) % (n - 19) + 10 AS shift, n FROM (SELECT recording_id, max(frame) + 1 AS n FROM x GROUP BY 1)),
+m AS (SELECT recording_id, (frame + shift) % n AS frame, helper_val, helper_said, helper_emb FROM x JOIN o USING (recording_id))
 SELECT x.recording_id, x.frame, x.leader_val, x.leader_said, x.leader_emb, m.helper_val, m.helper_said, m.helper_emb FROM x LEFT JOIN m USING (recording_id, frame)"""))
 def view_both_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pr.view(pr.load_features(*_blocks(spark, sf_dir), ID), "both_shuffled", ID, 120, 10)
+    return pr.view(pr.load_features(*_blocks(spark, sf_dir), ID), "both_shuffled", ID, 10)
 
 
 @query(sql("frames6", "SELECT recording_id, role, frame, val FROM frames6 WHERE recording_id % 4 = 3"))

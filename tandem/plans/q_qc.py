@@ -129,7 +129,7 @@ def scope_metrics_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FRAMES = """f AS (SELECT recording_id, role, frame, (frame * 5 + recording_id) % 41 <> 0 AS verified, (frame * 3 + role) % 10 / 20.0 + 0.5 AS map_conf, (frame * 7 + role * 3 + recording_id) % 37 <> 0 AS pose, (frame * 13 + role) % 97 AS residual,
   (frame + role * 2) % 19 <> 0 AS l, (frame * 3 + role) % 23 <> 0 AS r, 0.8 + (frame * 7 + role) % 20 / 100.0 AS lc, 0.85 + (frame * 11 + role) % 15 / 100.0 AS rc, val / 20 AS speed FROM frames),
 w AS (SELECT recording_id, frame, bool_and(verified) AS verified, """ + ", ".join(f"max({c}) FILTER (role = {r}) AS {c}{r}" for c in ("map_conf", "pose", "residual", "l", "r", "lc", "rc", "speed") for r in (0, 1)) + """, (frame * 17 + recording_id) % 50 / 10.0 AS distance FROM f GROUP BY recording_id, frame),
-e AS (SELECT recording_id, iv, 'event' AS scope, unnest(range(start_frame, end_frame + 1)) AS frame FROM intervals WHERE NOT skip UNION ALL SELECT recording_id, iv, 'context', unnest(range(greatest(start_frame - 6, 0), least(end_frame + 6, 719) + 1)) FROM intervals WHERE NOT skip),
+e AS (SELECT recording_id, iv, 'event' AS scope, unnest(range(start_frame, end_frame + 1)) AS frame FROM intervals WHERE NOT skip UNION ALL SELECT recording_id, iv, 'context', unnest(range(greatest(start_frame - 6, 0), least(end_frame + 6, (SELECT max(frame) FROM frames)) + 1)) FROM intervals WHERE NOT skip),
 j AS (SELECT e.recording_id, e.iv, e.scope, w.* EXCLUDE (recording_id, frame) FROM e JOIN w USING (recording_id, frame)),
 a AS (SELECT recording_id, iv, scope, bool_and(verified) AS verified, avg(CAST(pose0 AS INT)) AS pose_0, avg(CAST(pose1 AS INT)) AS pose_1, avg(CAST(l0 OR r0 AS INT)) AS any_0, avg(CAST(l1 OR r1 AS INT)) AS any_1, avg(CAST((l0 OR r0) AND (l1 OR r1) AS INT)) AS both_any,
   avg(CAST(l0 AND r0 AND l1 AND r1 AS INT)) AS all_four, least(quantile_cont(map_conf0, 0.5), quantile_cont(map_conf1, 0.5)) AS map_conf, quantile_cont(distance, 0.5) AS distance, count(*) FILTER (speed0 > 5) + count(*) FILTER (speed1 > 5) AS n_fast,
@@ -142,13 +142,18 @@ ev AS (SELECT * EXCLUDE (scope) FROM m WHERE scope = 'event'), cx AS (SELECT * E
 _METRICS = ["verified", "pose_0", "pose_1", "any_0", "any_1", "both_any", "all_four", "map_conf", "distance", "n_fast", "fast_rate", "conf", "residual_p95"]
 
 
-def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tracked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What is tracked of both people per frame, and their distance."""
     f = fx.frames(spark, sf_dir).selectExpr(
         "recording_id", "role", "frame", "(frame * 5 + recording_id) % 41 <> 0 AS verified", "(frame * 3 + role) % 10 / 20 + 0.5 AS map_conf", "(frame * 7 + role * 3 + recording_id) % 37 <> 0 AS pose", "cast((frame * 13 + role) % 97 AS double) AS residual",
         "(frame + role * 2) % 19 <> 0 AS left", "(frame * 3 + role) % 23 <> 0 AS right", "0.8D + (frame * 7 + role) % 20 / 100 AS left_conf", "0.85D + (frame * 11 + role) % 15 / 100 AS right_conf", "val / 20 AS speed",
     )
     near = f.filter("role = 0").selectExpr("recording_id", "frame", "(frame * 17 + recording_id) % 50 / 10 AS distance")
-    return scopes.scope_metrics(f, near, fx.intervals(spark, sf_dir).filter("NOT skip"), ["recording_id"], 6, 719, 5.0)
+    return f, near
+
+
+def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scopes.scope_metrics(*_tracked(spark, sf_dir), fx.intervals(spark, sf_dir).filter("NOT skip"), ["recording_id"], 6, 5.0)
 
 
 _WIDE = ", ".join(f"{t}.{c} AS {s}_{c}" if c in ("verified", "n_fast") else f"round({t}.{c}, 6) AS {s}_{c}" for t, s in (("ev", "event"), ("cx", "context")) for c in _METRICS)
@@ -277,3 +282,30 @@ def compose_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = p.filter("frame > 0").selectExpr("recording_id", "if(vec_id % 37 = 0 AND 2 * frame + 1 <= last, 2 * frame + 1, (frame - 1) div 2) AS a", "frame AS b", *graph.POSE)
     second = p.filter("frame > 2 AND vec_id % 23 = 0").selectExpr("recording_id", "frame - 1 AS a", "frame AS b", *graph.POSE)
     return _rounded(graph.compose_paths(tree.unionByName(second), ["recording_id"]), *graph.POSE, digits=5)
+
+
+_PLANNED = """u AS (SELECT recording_id, frame FROM frames GROUP BY ALL HAVING count(*) FILTER ((frame * 5 + recording_id) % 41 <> 0) < 2), lf AS (SELECT recording_id, max(frame) AS last FROM frames GROUP BY 1),
+ev0 AS (SELECT i.recording_id, iv, CASE WHEN iv % 31 = 0 THEN NULL ELSE start_frame END AS start_frame, CASE WHEN iv % 29 = 0 THEN start_frame - 1 ELSE end_frame END AS end_frame, last FROM intervals i LEFT JOIN lf USING (recording_id) WHERE NOT skip),
+pl AS (SELECT e.*, coalesce(start_frame >= 0 AND start_frame <= end_frame AND end_frame <= last, false) AS inside, """ + ", ".join(f"(SELECT min(frame) FROM u WHERE u.recording_id = e.recording_id AND frame BETWEEN greatest(start_frame - {c}, 0) AND least(end_frame + {c}, last)) AS bad{c}" for c in (0, 12, 4)) + """ FROM ev0 e),
+st AS (SELECT recording_id, iv, start_frame, end_frame, last, CASE WHEN NOT inside THEN NULL WHEN bad12 IS NULL THEN 12 WHEN bad4 IS NULL THEN 4 END AS around,
+  CASE WHEN NOT inside THEN 'annotation_bounds' WHEN bad0 IS NOT NULL THEN 'event_mapping' WHEN bad12 IS NOT NULL AND bad4 IS NOT NULL THEN 'context_mapping' WHEN recording_id % 9 = 0 THEN 'derived_validation' END AS stage,
+  CASE WHEN NOT inside THEN 'outside the recording' WHEN bad0 IS NOT NULL THEN 'frame ' || bad0 || ' is not verified' WHEN bad12 IS NOT NULL AND bad4 IS NOT NULL THEN 'frame ' || bad4 || ' is not verified' WHEN recording_id % 9 = 0 THEN 'no calibration' END AS reason FROM pl),"""
+_ASSESSED = _FRAMES[_FRAMES.index("f AS (") : _FRAMES.index("e AS (SELECT recording_id, iv, 'event'")] + _PLANNED + """
+e AS (SELECT recording_id, iv, 'event' AS scope, unnest(range(start_frame, end_frame + 1)) AS frame FROM st WHERE stage IS NULL UNION ALL SELECT recording_id, iv, 'context', unnest(range(greatest(start_frame - around, 0), least(end_frame + around, last) + 1)) FROM st WHERE stage IS NULL),
+""" + _FRAMES[_FRAMES.index("j AS (SELECT e.recording_id") :] + """, rc AS (SELECT recording_id, iv, CASE WHEN NOT cx.verified THEN 'context_not_verified' WHEN least(ev.pose_0, ev.pose_1) < 1 THEN 'event_pose_incomplete' WHEN ev.all_four < 0.9 THEN 'event_hands_missing' WHEN ev.all_four < 1 THEN 'event_hands_incomplete'
+  WHEN cx.all_four < 0.75 OR least(cx.pose_0, cx.pose_1) < 1 THEN 'context_gaps' WHEN ev.n_fast > 0 OR cx.n_fast > 0 THEN 'fast_wrists' ELSE 'complete' END AS why FROM ev JOIN cx USING (recording_id, iv)),
+rk AS (SELECT recording_id, iv, row_number() OVER (PARTITION BY recording_id ORDER BY CASE WHEN cx.verified THEN 0 ELSE 1 END, round(ev.both_any, 9) DESC, round(ev.all_four, 9) DESC, round(least(ev.pose_0, ev.pose_1), 9) DESC,
+  round(ev.map_conf, 9) DESC, round(ev.conf, 9) DESC NULLS LAST, round(ev.residual_p95, 9) NULLS LAST, round(ev.distance, 9) NULLS LAST, round(ev.fast_rate, 9), iv) AS rank FROM ev JOIN cx USING (recording_id, iv) JOIN rc USING (recording_id, iv) WHERE why NOT IN ('context_not_verified', 'event_pose_incomplete', 'event_hands_missing')),
+fin AS (SELECT st.*, why, rank, CASE WHEN stage IS NULL AND rank IS NULL THEN 'tracking_qc' ELSE stage END AS stg FROM st LEFT JOIN rc USING (recording_id, iv) LEFT JOIN rk USING (recording_id, iv))
+SELECT recording_id, iv, CASE WHEN stg IS NULL THEN 'accepted' ELSE 'rejected' END AS status, stg AS stage, CASE WHEN stg = 'tracking_qc' THEN why ELSE reason END AS reason, CASE WHEN stg IS NULL THEN around END AS around,
+  CASE WHEN stg IS NULL THEN greatest(start_frame - around, 0) END AS clip_start, CASE WHEN stg IS NULL THEN least(end_frame + around, last) END AS clip_end, CASE WHEN stg IS NULL THEN why <> 'complete' END AS caution, CASE WHEN stg IS NULL THEN why END AS detail, CAST(rank AS INT) AS rank FROM fin"""
+
+
+@query(sql("frames intervals", _ASSESSED))
+def assess_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event accepted with its clip and rank, or rejected with stage and reason; some annotations have no start or end before it."""
+    f, near = _tracked(spark, sf_dir)
+    events = fx.intervals(spark, sf_dir).filter("NOT skip").withColumn("s", F.when(F.col("iv") % 31 != 0, F.col("start_frame"))).withColumn("end_frame", F.when(F.col("iv") % 29 == 0, F.col("start_frame") - 1).otherwise(F.col("end_frame")))
+    events = events.withColumn("start_frame", F.col("s")).drop("s")
+    recordings = fx.grid(spark, sf_dir).select("recording_id").distinct().selectExpr("recording_id", "recording_id % 9 <> 0 AS valid", "if(recording_id % 9 = 0, 'no calibration', null) AS problem")
+    return scopes.assess_events(events, f, near, recordings, ["recording_id"], (12, 4))

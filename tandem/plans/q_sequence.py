@@ -9,11 +9,10 @@ from tandem.operators import intervals as iv
 from tandem.operators import sequence as seq
 from tandem.sources import fixtures as fx
 
-from .oracle import sql
+from .oracle import recursive, sql
 from .registry import also, query
 
 REC, SERIES = ["recording_id"], ["recording_id", "role"]
-LAST = fx.HOURS - 1
 
 
 def _rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -45,7 +44,7 @@ def frame_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("grid intervals", "SELECT g.recording_id, g.frame, EXISTS (SELECT 1 FROM intervals i WHERE i.recording_id = g.recording_id AND NOT skip AND g.frame BETWEEN start_frame AND end_frame) AS active FROM grid g"))
 def interval_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.interval_mask(fx.grid(spark, sf_dir), usable(spark, sf_dir), REC, LAST)
+    return iv.interval_mask(fx.grid(spark, sf_dir), usable(spark, sf_dir), REC)
 
 
 @query(sql("grid intervals", _ONSETS + """
@@ -66,7 +65,7 @@ def time_to_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 h AS (SELECT g.recording_id, g.frame, arg_max(end_frame, (start_frame, iv)) AS e FROM grid g JOIN intervals i ON g.recording_id = i.recording_id AND NOT skip AND g.frame BETWEEN start_frame AND end_frame GROUP BY ALL)
 SELECT recording_id, frame, e - frame AS to_end FROM grid LEFT JOIN h USING (recording_id, frame)"""))
 def time_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seq.time_to_end(fx.grid(spark, sf_dir), usable(spark, sf_dir), REC, LAST)
+    return seq.time_to_end(fx.grid(spark, sf_dir), usable(spark, sf_dir), REC)
 
 
 @query(sql("grid intervals", _ONSETS + """,
@@ -75,8 +74,8 @@ w AS (SELECT x.recording_id, x.frame, bool_or(coalesce(b.onset AND b.frame <= x.
 SELECT recording_id, frame, active, attention, onset_2, onset_5 FROM a JOIN w USING (recording_id, frame)"""))
 def frame_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = seq.onset_within(onsets(spark, sf_dir), REC, "onset", [2, 5]).drop("onset")
-    active = iv.interval_mask(labels, usable(spark, sf_dir), REC, LAST)
-    attention = iv.interval_mask(fx.grid(spark, sf_dir), usable(spark, sf_dir).filter("cue = 0"), REC, LAST).withColumnRenamed("active", "attention")
+    active = iv.interval_mask(labels, usable(spark, sf_dir), REC)
+    attention = iv.interval_mask(fx.grid(spark, sf_dir), usable(spark, sf_dir).filter("cue = 0"), REC).withColumnRenamed("active", "attention")
     return active.join(attention, ["recording_id", "frame"])
 
 
@@ -87,11 +86,11 @@ c AS (SELECT e.recording_id, iv, start_frame, end_frame, count(*) FILTER (bad AN
   FROM e JOIN b USING (recording_id) GROUP BY ALL)
 SELECT recording_id, iv, start_frame, end_frame, CASE WHEN wide_bad = 0 THEN 'wide' WHEN narrow_bad = 0 THEN 'narrow' ELSE 'rejected' END AS context,
   CASE WHEN wide_bad = 0 THEN greatest(start_frame - 12, 0) WHEN narrow_bad = 0 THEN greatest(start_frame - 4, 0) END AS context_from,
-  CASE WHEN wide_bad = 0 THEN least(end_frame + 12, 719) WHEN narrow_bad = 0 THEN least(end_frame + 4, 719) END AS context_to, wide_bad, narrow_bad FROM c"""))
+  CASE WHEN wide_bad = 0 THEN least(end_frame + 12, last) WHEN narrow_bad = 0 THEN least(end_frame + 4, last) END AS context_to, wide_bad, narrow_bad FROM c, (SELECT max(frame) AS last FROM frames)"""))
 def context_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = fx.frames(spark, sf_dir).groupBy("recording_id", "frame").agg(F.bool_or(F.col("n") > 2).alias("bad"))
     events = usable(spark, sf_dir).select("recording_id", "iv", "start_frame", "end_frame")
-    return iv.context_windows(events, status, REC, 12, 4, LAST)
+    return iv.context_windows(events, status, REC, 12, 4)
 
 
 _MATCH = """
@@ -212,10 +211,10 @@ def forecast_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql("frames6", """
-s AS (SELECT DISTINCT recording_id, CAST('0x' || substr(sha256(CAST(recording_id AS VARCHAR)), 1, 8) AS BIGINT) % 101 + 10 AS shift FROM frames6)
-SELECT a.recording_id, a.role, a.frame, round(b.val, 6) AS shifted_val FROM frames6 a JOIN s USING (recording_id) LEFT JOIN frames6 b ON b.recording_id = a.recording_id AND b.role = a.role AND (b.frame + shift) % 120 = a.frame"""))
+s AS (SELECT recording_id, n, CAST('0x' || substr(sha256(CAST(recording_id AS VARCHAR)), 1, 8) AS BIGINT) % (n - 19) + 10 AS shift FROM (SELECT recording_id, max(frame) + 1 AS n FROM frames6 GROUP BY 1))
+SELECT a.recording_id, a.role, a.frame, round(b.val, 6) AS shifted_val FROM frames6 a JOIN s USING (recording_id) LEFT JOIN frames6 b ON b.recording_id = a.recording_id AND b.role = a.role AND (b.frame + shift) % s.n = a.frame"""))
 def circular_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = seq.circular_shift(fx.frames(spark, sf_dir, 6), SERIES, F.col("recording_id"), 120, 10, ["val"])
+    out = seq.circular_shift(fx.frames(spark, sf_dir, 6), SERIES, F.col("recording_id"), 10, ["val"])
     return _rounded(out.select(*SERIES, "frame", "shifted_val"), "shifted_val")
 
 
@@ -246,7 +245,7 @@ x AS (SELECT g.recording_id, g.frame, min(iv) AS iv FROM grid g JOIN intervals i
 SELECT g.recording_id, g.frame, x.iv, CASE WHEN x.iv IS NULL THEN 'none' WHEN g.frame < start_frame THEN 'approach' WHEN g.frame <= end_frame THEN 'transfer' ELSE 'retract' END AS stage
 FROM grid g LEFT JOIN x USING (recording_id, frame) LEFT JOIN intervals i ON i.iv = x.iv"""))
 def event_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seq.stages(fx.grid(spark, sf_dir), usable(spark, sf_dir), REC, 3, 2, LAST)
+    return seq.stages(fx.grid(spark, sf_dir), usable(spark, sf_dir), REC, 3, 2)
 
 
 @query(sql("frames6", """
@@ -310,3 +309,15 @@ def nonmonotone(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("scores", "SELECT doc_id, group_id, score, rank() OVER (PARTITION BY group_id ORDER BY score) + (count(*) OVER (PARTITION BY group_id, score) - 1) / 2 AS rank FROM scores"))
 def fold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.fold_rank(fx.scores(spark, sf_dir).select("doc_id", "group_id", "score"), ["group_id"], "score")
+
+
+@query(recursive(sql("frames6", """
+v AS (SELECT recording_id, role, list(struct_pack(f := frame, v := frame * 2 + CAST(floor(val) AS BIGINT) % 7) ORDER BY frame) AS l FROM frames6 WHERE n > 0 GROUP BY ALL),
+r(recording_id, role, l, k, lost) AS (SELECT recording_id, role, l, 0, CAST([] AS STRUCT(f INT, k INT)[]) FROM v UNION ALL
+  SELECT recording_id, role, list_filter(l, lambda x: NOT list_contains(bad, x.f)), k + 1, list_concat(lost, list_transform(bad, lambda f: {'f': f, 'k': k + 1}))
+  FROM (SELECT *, list_transform(list_filter(range(1, len(l) + 1), lambda i: coalesce(i > 1 AND l[i - 1].v > l[i].v, false) OR coalesce(i < len(l) AND l[i + 1].v < l[i].v, false)), lambda i: l[i].f) AS bad FROM r) WHERE len(bad) > 0),
+z AS (SELECT recording_id, role, unnest(lost) AS x FROM r QUALIFY row_number() OVER (PARTITION BY recording_id, role ORDER BY k DESC) = 1)
+SELECT a.recording_id, a.role, a.frame, CASE WHEN x.f IS NULL AND n > 0 THEN frame * 2 + CAST(floor(val) AS BIGINT) % 7 END AS source, x.k AS round FROM frames6 a LEFT JOIN z ON z.recording_id = a.recording_id AND z.role = a.role AND x.f = a.frame""")))
+def reject_nonmonotone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fx.frames(spark, sf_dir, 6).select(*SERIES, "frame", F.expr("CASE WHEN n > 0 THEN frame * 2 + cast(floor(val) AS bigint) % 7 END AS source"))
+    return seq.reject_nonmonotone(f, SERIES, "source")
