@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import prob_hysteresis
+from .graph import settled
+from .intervals import match_events
+
 
 def auroc(df: DataFrame, by: list[str]) -> DataFrame:
     """Area under the ROC curve by average ranks, ties counting half; null where only one class is there."""
@@ -105,3 +109,57 @@ def threshold_for_precision(df: DataFrame, precision: float, bins: int = 1024) -
     rows = counts.join(F.broadcast(sums), "bin").withColumns({"p": F.sum("p").over(w) + F.col("bp"), "n": F.sum("n").over(w) + F.col("bn")})
     rows = rows.select("score", (F.col("p") / F.col("n")).alias("precision"), F.try_divide("p", "total").alias("recall"))
     return rows.agg(F.max(F.when(F.col("precision") >= precision, F.struct("recall", "score"))).alias("b")).select(F.col("b.score").alias("threshold"), F.col("b.recall").alias("recall"))
+
+
+#: Quantiles of the scores that are tried as thresholds where no threshold reaches the precision.
+QUANTILES = (0.80, 0.85, 0.90, 0.93, 0.95, 0.97, 0.98, 0.99, 0.995)
+
+
+def quantiles(df: DataFrame, col: str, shares: tuple[float, ...], bins: int = 1024) -> DataFrame:
+    """share and value: exact quantiles, linear between neighbours, of a whole column without one task that takes all of it.
+
+    Distinct values are counted, the counts added up by bins of the values' range, and only bins that hold a wanted rank are
+    looked into. No rows give no quantiles.
+    """
+    counts = settled(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    ends = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total")).filter("total > 0")  # one row
+    place = F.least(F.floor(F.coalesce(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+    binned = counts.join(F.broadcast(ends)).withColumn("bin", place)
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # of `bins` rows
+    sums = binned.groupBy("bin").agg(F.sum("n").alias("m")).withColumn("upto", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    wanted = ends.select(F.explode(F.array(*map(F.lit, shares))).alias("share"), "total").withColumn("rank", F.col("share") * (F.col("total") - 1))
+    wanted = wanted.select("share", "rank", F.explode(F.array(F.floor("rank"), F.ceil("rank"))).alias("k")).distinct()
+    held = sums.join(F.broadcast(wanted), (F.col("k") >= F.col("upto")) & (F.col("k") < F.col("upto") + F.col("m")))
+    inside = binned.join(F.broadcast(held.select("bin", "upto").distinct()), "bin")
+    w = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = inside.withColumn("from", F.col("upto") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    found = ranked.join(F.broadcast(wanted), (F.col("k") >= F.col("from")) & (F.col("k") < F.col("from") + F.col("n")))
+    two = found.groupBy("share", "rank").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return two.select("share", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias("value"))
+
+
+def event_f1(scores: DataFrame, truth: DataFrame, grid: DataFrame, by: list[str], on: int, off: int, slack: int) -> DataFrame:
+    """For every pair of thresholds (grid: share, high, low; few rows, broadcast) the events that hysteresis finds in the scores
+    (by, frame, p), against true ones (by, id, start, end): n_proposals, n_truth, precision, recall and f1 over all series."""
+    tried = scores.select(*by, "frame", "p").join(F.broadcast(grid.select("share", "high", "low")))
+    found = prob_hysteresis(tried, [*by, "share", "high", "low"], F.col("high"), F.col("low"), on, off).select(*by, "share", F.col("start").alias("id"), "start", "end")
+    every = truth.join(F.broadcast(grid.select("share")))
+    sums = match_events(found, every, [*by, "share"], slack).groupBy("share").agg(*(F.sum(c).alias(c) for c in ("n_proposals", "proposals_hit", "n_truth", "truth_hit")))
+    precision, recall = (F.coalesce(F.try_divide(f"{c}_hit", f"n_{c}"), F.lit(0.0)) for c in ("proposals", "truth"))
+    out = grid.join(sums, "share", "left").na.fill(0, ["n_proposals", "proposals_hit", "n_truth", "truth_hit"]).withColumns({"precision": precision, "recall": recall})
+    return out.select("share", "high", "low", "n_proposals", "n_truth", "precision", "recall", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)).alias("f1"))
+
+
+def choose_thresholds(scores: DataFrame, truth: DataFrame, by: list[str], precision: float, on: int, off: int, slack: int, lower: float = 0.6) -> DataFrame:
+    """One row: high, low (`lower` times it), rule, and what the rule reached.
+
+    scores: by, frame, p, y. rule is precision where a threshold reaches it on single frames, the one of the highest recall;
+    else event_f1: of QUANTILES of the scores the one whose events have the best F1, the first of equal ones.
+    """
+    best = settled(threshold_for_precision(scores.select(F.col("p").alias("score"), "y"), precision))  # one row
+    if best.first()["threshold"] is not None:
+        return best.select(F.col("threshold").alias("high"), (F.col("threshold") * lower).alias("low"), F.lit("precision").alias("rule"), "recall", F.lit(None).cast("double").alias("f1"))
+    grid = settled(quantiles(scores, "p", QUANTILES).select("share", F.col("value").alias("high"), (F.col("value") * lower).alias("low")))
+    tried = event_f1(scores, truth, grid, by, on, off, slack)
+    top = tried.agg(F.max(F.struct(F.round("f1", 12).alias("r"), (-F.col("share")).alias("s"), "high", "low", "recall", "f1")).alias("b"))
+    return top.select("b.high", "b.low", F.lit("event_f1").alias("rule"), "b.recall", "b.f1")

@@ -46,6 +46,10 @@ def fit_rigid(pairs: DataFrame, with_scale: bool = False, rounds: int = 1, huber
     largest extent is under `least_width` of the largest.
     """
     known = pairs.dropna(subset=[*A, *B])
+    middle = known.agg(*(F.avg(c).alias(c) for c in A + B)).first()  # squares of far coordinates would lose what the fit is about
+    if middle[A[0]] is None:
+        return None
+    known = known.withColumns({c: F.col(c) - middle[c] for c in A + B})
     weight = F.lit(1.0)
     out: dict = {}
     for _ in range(rounds if huber else 1):
@@ -63,7 +67,21 @@ def fit_rigid(pairs: DataFrame, with_scale: bool = False, rounds: int = 1, huber
         out = {"rotation": r, "translation": t, "scale": scale, "weight": m["weight"]}
         if huber:
             weight = F.least(F.lit(1.0), huber / F.greatest(residual(out), F.lit(1e-12)))
-    return out
+    first, second = (np.array([middle[c] for c in names]) for names in (A, B))
+    return out | {"translation": out["translation"] + second - out["scale"] * out["rotation"] @ first}
+
+
+def scale_diagnostic(pairs: DataFrame, rotation: np.ndarray) -> float | None:
+    """The least-squares scale of the positions when the rotation is held; None where a doesn't move. For diagnosis only: a
+    scale off 1 says that one side's metres are not the other's."""
+    known = pairs.dropna(subset=[*A, *B])
+    middle = known.agg(*(F.avg(c).alias(c) for c in A + B)).first()
+    if middle[A[0]] is None:
+        return None
+    a, b = ([F.col(c) - middle[c] for c in names] for names in (A, B))
+    turned = [sum((float(rotation[i, j]) * a[j] for j in (1, 2)), float(rotation[i, 0]) * a[0]) for i in range(3)]
+    r = known.agg(F.sum(sum((x * y for x, y in zip(turned[1:], b[1:], strict=True)), turned[0] * b[0])).alias("xy"), F.sum(sum((x * x for x in turned[1:]), turned[0] * turned[0])).alias("xx")).first()
+    return r["xy"] / r["xx"] if r["xx"] > 2.3e-16 else None
 
 
 def residual(fit: dict):
@@ -113,22 +131,41 @@ def fit_inverse_depth(anchors: DataFrame, by: list[str], tolerance: float) -> Da
     return inliers.groupBy(*by).agg(F.regr_slope("y", "d").alias("a"), F.regr_intercept("y", "d").alias("b"), F.count(F.lit(1)).alias("n"))
 
 
-def triangulate(rays: DataFrame, by: list[str]) -> DataFrame:
-    """The point nearest to all rays (origin ox.., direction dx..) of a group, by the closed 3x3 solution; null with fewer than
-    two rays or parallel ones."""
+def triangulate(rays: DataFrame, by: list[str], least_depth: float | None = None, most_range: float | None = None, least_angle: float | None = None) -> DataFrame:
+    """by, n, x, y, z: the point nearest to all rays (origin ox.., direction dx.., weight if given) of a group, by the closed 3x3
+    solution; null with fewer than two rays of a weight over 0, or parallel ones.
+
+    With gates a point is null too unless it is at least least_depth ahead along every ray, at most most_range from every
+    origin, and seen from two origins under an angle of least_angle degrees; a group's rays are then paired.
+    """
+    weight = F.col("weight") if "weight" in rays.columns else F.lit(1.0)
+    rays = rays.withColumn("_w", weight).filter("_w > 0")
     d = [F.col(f"d{c}") for c in "xyz"]
     n = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
     u = [c / n for c in d]
-    m = {(i, j): F.sum((1.0 if i == j else 0.0) - u[i] * u[j]) for i in range(3) for j in range(i, 3)}
+    m = {(i, j): F.sum(F.col("_w") * ((1.0 if i == j else 0.0) - u[i] * u[j])) for i in range(3) for j in range(i, 3)}
     o = [F.col(f"o{c}") for c in "xyz"]
-    v = [F.sum(sum((((1.0 if i == j else 0.0) - u[i] * u[j]) * o[j] for j in (1, 2)), ((1.0 if i == 0 else 0.0) - u[i] * u[0]) * o[0])) for i in range(3)]
+    v = [F.sum(F.col("_w") * sum((((1.0 if i == j else 0.0) - u[i] * u[j]) * o[j] for j in (1, 2)), ((1.0 if i == 0 else 0.0) - u[i] * u[0]) * o[0])) for i in range(3)]
     s = rays.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(c.alias(f"m{i}{j}") for (i, j), c in m.items()), *(c.alias(f"v{i}") for i, c in enumerate(v)))
     e = lambda i, j: F.col(f"m{min(i, j)}{max(i, j)}")
     cof = lambda i, j: e((i + 1) % 3, (j + 1) % 3) * e((i + 2) % 3, (j + 2) % 3) - e((i + 1) % 3, (j + 2) % 3) * e((i + 2) % 3, (j + 1) % 3)
     det = sum((e(0, j) * cof(0, j) for j in (1, 2)), e(0, 0) * cof(0, 0))
     ok = (F.col("n") >= 2) & (F.abs(det) > 1e-9)
     point = [F.when(ok, F.try_divide(sum((cof(j, i) * F.col(f"v{j}") for j in (1, 2)), cof(0, i) * F.col("v0")), det)) for i in range(3)]
-    return s.select(*by, "n", *(p.alias(c) for c, p in zip("xyz", point, strict=True)))
+    out = s.select(*by, "n", *(p.alias(c) for c, p in zip("xyz", point, strict=True)))
+    if least_depth is None and most_range is None and least_angle is None:
+        return out
+    to = [F.col(c) - F.col(f"o{c}") for c in "xyz"]
+    far = F.sqrt(to[0] * to[0] + to[1] * to[1] + to[2] * to[2])
+    seen = rays.join(out.filter("x IS NOT NULL").drop("n"), by).withColumns({"far": far, "depth": sum((a * b for a, b in zip(to[1:], u[1:], strict=True)), to[0] * u[0]), "way": F.when(far > 0, F.array(*(c / far for c in to)))})
+    ways = seen.groupBy(*by).agg(F.min("depth").alias("depth"), F.max("far").alias("far"), F.collect_list("way").alias("ways"))
+    cosines = F.flatten(F.transform("ways", lambda a: F.transform("ways", lambda b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2])))
+    ways = ways.withColumn("angle", F.degrees(F.acos(F.greatest(F.least(F.array_min(cosines), F.lit(1.0)), F.lit(-1.0)))))
+    good = F.lit(True)
+    for limit, test in ((least_depth, lambda x: F.col("depth") >= x), (most_range, lambda x: F.col("far") <= x), (least_angle, lambda x: F.col("angle") >= x)):
+        good = good if limit is None else good & test(limit)
+    kept = out.join(ways.select(*by, good.alias("good")), by, "left")
+    return kept.select(*by, "n", *(F.when(F.coalesce("good", F.lit(False)), F.col(c)).alias(c) for c in "xyz"))
 
 
 def masked_median(pixels: DataFrame, by: list[str], value: str, mask: str, least: int) -> DataFrame:

@@ -56,7 +56,7 @@ def contact_events(spans: DataFrame, by: list[str], label: str) -> DataFrame:
     return spans.select(*by, label, F.explode(sides).alias("e")).select(*by, "e.kind", label, "e.frame").filter("frame IS NOT NULL")
 
 
-def prob_hysteresis(df: DataFrame, by: list[str], high: float, low: float, on: int, off: int) -> DataFrame:
+def prob_hysteresis(df: DataFrame, by: list[str], high: float | Column, low: float | Column, on: int, off: int) -> DataFrame:
     """Intervals (start, end, both included) of a probability p: one opens where p is over `high` for `on` frames and closes
     before the first of `off` frames under `low`; what is open at the series' end closes there. A null p is neither.
 

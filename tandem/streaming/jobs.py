@@ -3,6 +3,7 @@ returns one; watermarks bound what is kept."""
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from typing import Any
 
@@ -30,19 +31,68 @@ def sliding(stream: DataFrame, key: str, width: str, step: str, late: str) -> Da
     return out.select(key, F.col("window.start").alias("start"), "n")
 
 
-def nearest(queries: DataFrame, samples: DataFrame, key: str, gap: str, late: str) -> DataFrame:
-    """The nearest sample within `gap` of every query: a watermarked interval join, then the least gap per query. Queries
-    without one give no row; those need the batch form."""
-    q = queries.withWatermark("ts", late).select(key, F.col("ts").alias("q_ts"), "q_id")
-    s = samples.withWatermark("ts", late).select(F.col(key).alias("s_key"), F.col("ts").alias("s_ts"), "s_id")
-    near = q.join(s, F.expr(f"{key} = s_key AND s_ts BETWEEN q_ts - INTERVAL {gap} AND q_ts + INTERVAL {gap}"))
-    distance = F.abs(F.unix_micros(F.col("s_ts").cast("timestamp")) - F.unix_micros(F.col("q_ts").cast("timestamp")))
-    return near.select(key, "q_id", "q_ts", F.struct(distance.alias("gap"), "s_ts", "s_id").alias("s"))
+class Nearest(StatefulProcessor):
+    """Gives each query its nearest sample within `gap` microseconds once the watermark has passed all that could be nearer.
 
+    State are the queries that wait and the samples that these, or queries still to come, may need.
+    """
 
-def best_of(near: DataFrame, key: str) -> DataFrame:
-    """Of the pairs of `nearest`, written out, the best one per query."""
-    return near.groupBy(key, "q_id").agg(F.min("s").alias("s")).select(key, "q_id", F.col("s.s_id").alias("s_id"), F.col("s.gap").alias("gap"))
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.queries = handle.getMapState("queries", "q_id long", "t long")
+        self.samples = handle.getMapState("samples", "t long", "s_id long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            asked = part[part["q_id"].notna()]
+            for q_id, t in zip(asked["q_id"].astype("int64"), asked["t"], strict=True):
+                self.queries.updateValue((int(q_id),), (int(t),))
+                self.handle.registerTimer((int(t) + self.gap) // 1000 + 1)
+            first = part[part["s_id"].notna()].groupby("t")["s_id"].min()
+            for t, s_id in first.items():
+                known = self.samples.getValue((int(t),)) if self.samples.containsKey((int(t),)) else None
+                self.samples.updateValue((int(t),), (int(s_id) if known is None else min(int(s_id), known[0]),))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting = {k[0]: v[0] for k, v in self.queries.iterator()}
+        samples = sorted((k[0], v[0]) for k, v in self.samples.iterator())
+        times, out = [t for t, _ in samples], []
+        for q_id, t in waiting.items():
+            if t + self.gap < passed:
+                at = bisect.bisect_left(times, t)
+                near = min(((abs(x - t), x, i) for x, i in samples[max(0, at - 1) : at + 1] if abs(x - t) <= self.gap), default=None)
+                out.append((key[0], q_id, *((near[2], near[0], "matched") if near else (None, None, "unmatched"))))
+                self.queries.removeKey((q_id,))
+        left = [t for q, t in waiting.items() if t + self.gap >= passed]
+        for t in times:
+            if t < min([timerValues.getCurrentWatermarkInMs() * 1000, *left]) - self.gap:
+                self.samples.removeKey((t,))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "q_id", "s_id", "gap", "status"]).astype({"s_id": "Int64", "gap": "Int64"})
+
+    def close(self) -> None: ...
+
+
+def nearest(queries: DataFrame, samples: DataFrame, key: str, gap_ms: int, late: str) -> DataFrame:
+    """Every query (q_id, ts) once, with the nearest sample (s_id, ts) of its key within gap_ms: key, q_id, s_id, gap in
+    microseconds and status, matched or unmatched. Ties as in the batch form: the earlier sample, then the least s_id.
+
+    A query waits until the watermark, `late` behind the newest row of either stream, is past its time and the gap, so that the
+    answer doesn't depend on the order of rows that are less late than that. Needs the RocksDB state store.
+    """
+    none = F.lit(None).cast("long")
+    micros = F.unix_micros(F.col("ts").cast("timestamp")).alias("t")
+    own = F.col(key).cast("long").alias("key")
+    q = queries.select(own, "ts", micros, F.col("q_id").cast("long").alias("q_id"), none.alias("s_id"))
+    s = samples.select(own, "ts", micros, none.alias("q_id"), F.col("s_id").cast("long").alias("s_id"))
+    both = q.unionByName(s).withWatermark("ts", late)
+    out = both.groupBy("key").transformWithStateInPandas(Nearest(gap_ms * 1000), outputStructType="key long, q_id long, s_id long, gap long, status string", outputMode="Append", timeMode="EventTime")
+    return out.withColumnRenamed("key", key)
 
 
 class Hysteresis(StatefulProcessor):

@@ -6,7 +6,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.operators import bookkeeping, folds
+from tandem.operators import align, bookkeeping, folds
 from tandem.streaming import jobs
 
 
@@ -46,23 +46,26 @@ def test_windows_equal_batch(spark, events, tmp_path, job, args, size):
     assert len(done) > 10 and done <= got <= set(batch)
 
 
-def test_nearest_equals_batch(spark, tmp_path):
-    rng = random.Random(2)
-    q = spark.createDataFrame([(k, k % 2, rng.randrange(1000)) for k in range(40)], "q_id long, key long, s long").withColumn("ts", F.timestamp_seconds("s"))
-    x = spark.createDataFrame([(k, k % 2, rng.randrange(1000)) for k in range(60)], "s_id long, key long, s long").withColumn("ts", F.timestamp_seconds("s"))
-    q.write.parquet(f"{tmp_path}/q")
-    x.write.parquet(f"{tmp_path}/x")
-    streams = [spark.readStream.schema(d.schema).parquet(f"{tmp_path}/{n}") for d, n in ((q, "q"), (x, "x"))]
-    got = jobs.best_of(run(jobs.nearest(*streams, "key", "10 SECONDS", "1 hour"), tmp_path), "key")
-    want = {}
-    for a in q.collect():
-        near = [(abs(a["s"] - b["s"]) * 1_000_000, b["s"], b["s_id"]) for b in x.collect() if a["key"] == b["key"] and abs(a["s"] - b["s"]) <= 10]
-        if near:
-            want[a["q_id"]] = (min(near)[2], min(near)[0])
-    assert {r["q_id"]: (r["s_id"], r["gap"]) for r in got.collect()} == want
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def test_nearest_gives_every_query_once_as_in_batch(spark, tmp_path):
+    """Rows arrive shuffled over four batches, queries before and after their samples, some with none in reach."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    rng = random.Random(2)
+    q = [(k, k % 2, rng.randrange(1000)) for k in range(60)]
+    x = [(k, k % 2, rng.randrange(1000) // 7 * 7) for k in range(60)]
+    rows_of = [(b, *r) for r in [(k, t, q_id, None) for q_id, k, t in q] + [(k, t, None, s_id) for s_id, k, t in x] for b in [rng.randrange(4)]]
+    rows_of += [(4, key, 10_000, None, 999 + key) for key in (0, 1)] + [(5, 0, 20_000, None, 1001)]  # what moves the watermark past all
+    df = spark.createDataFrame(rows_of, "b int, key long, s long, q_id long, s_id long").withColumn("ts", F.timestamp_seconds("s"))
+    for b in range(6):
+        df.filter(F.col("b") == b).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = source(spark, df, tmp_path)
+    got = run(jobs.nearest(stream.filter("q_id IS NOT NULL"), stream.filter("s_id IS NOT NULL"), "key", 10_000, "1 hour"), tmp_path).collect()
+    queries = spark.createDataFrame([(k, key, t * 1_000_000) for k, key, t in q], "q_id long, key long, t long")
+    samples = spark.createDataFrame([(k, key, t * 1_000_000) for k, key, t in x], "idx long, key long, t long")
+    want = {r["q_id"]: (r["sample_idx"], r["gap"], "matched") if r["status"] == "matched" else (None, None, "unmatched") for r in align.asof_nearest(queries, samples, ["key"], 10_000_000).collect()}
+    assert len(got) == 60 and {r["q_id"]: (r["s_id"], r["gap"], r["status"]) for r in got} == want and len({s for *_, s in want.values()}) == 2
 
 
 def test_streamed_hysteresis_equals_batch(spark, tmp_path):
