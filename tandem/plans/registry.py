@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["q_align", "q_sequence", "q_geometry", "q_evaluate", "q_qc", "q_events", "q_composite", "q_checks", "q_proposals", "q_motion", "q_identity", "q_sensor", "q_features", "q_poses"]
+MODULES = ["q_align", "q_sequence", "q_geometry", "q_evaluate", "q_qc", "q_events", "q_composite", "q_checks", "q_proposals", "q_motion", "q_identity", "q_sensor", "q_features", "q_poses", "q_session"]
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
