@@ -10,14 +10,29 @@ from .graph import settled
 from .intervals import match_events
 
 
+def running_sums(counts: DataFrame, by: list[str], value: str, cols: list[str], bins: int = 1024) -> DataFrame:
+    """counts with below_<col>: the column's sum over a group's smaller values. counts: one row for each value of a group.
+
+    Values are added up within bins of the group's range, and the bins among themselves, so that a group of any size, such as
+    the whole table, is spread over the bins' tasks.
+    """
+    ends = counts.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    meet = lambda a, b, on: a.join(b, on) if by else a.join(F.broadcast(b), on) if on else a.join(F.broadcast(b))  # noqa: E731  one row, or one for each bin
+    share = F.try_divide(F.col(value) - F.col("_low"), F.col("_high") - F.col("_low"))
+    rows = meet(counts, ends, by).withColumn("_bin", F.greatest(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)), F.lit(0)).cast("int")).drop("_low", "_high")
+    sums = rows.groupBy(*by, "_bin").agg(*(F.sum(c).alias(c) for c in cols))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # of `bins` rows at most
+    sums = sums.select(*by, "_bin", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_upto_{c}") for c in cols))
+    w = Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = meet(rows, sums, [*by, "_bin"])
+    return out.select(*counts.columns, *((F.col(f"_upto_{c}") + F.coalesce(F.sum(c).over(w), F.lit(0))).alias(f"below_{c}") for c in cols))
+
+
 def auroc(df: DataFrame, by: list[str]) -> DataFrame:
     """Area under the ROC curve by average ranks, ties counting half; null where only one class is there."""
-    keys = by or [F.lit(1).alias("_all")]
-    names = by or ["_all"]
-    counts = df.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*names).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
-    out = ranked.groupBy(*names).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n"), F.sum(F.col("p") * F.col("rank")).alias("r"))
+    counts = df.groupBy(*by, "score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
+    ranked = running_sums(counts, by, "score", ["n"]).withColumn("rank", F.col("below_n") + (F.col("n") + 1) / 2)
+    out = ranked.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n"), F.sum(F.col("p") * F.col("rank")).alias("r")).filter("n > 0")
     pos, neg = F.col("n_pos"), F.col("n") - F.col("n_pos")
     return out.select(*by, "n", "n_pos", F.when((pos > 0) & (neg > 0), (F.col("r") - pos * (pos + 1) / 2) / (pos * neg)).alias("auroc"))
 
@@ -25,9 +40,11 @@ def auroc(df: DataFrame, by: list[str]) -> DataFrame:
 def average_precision(df: DataFrame, by: list[str]) -> DataFrame:
     """Mean precision at each positive, equal scores taken together; with the prevalence."""
     counts = df.groupBy(*by, "score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = counts.withColumn("precision", F.sum("p").over(w) / F.sum("n").over(w))
-    return rows.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * F.col("precision")), F.sum("p")).alias("ap"), (F.sum("p") / F.sum("n")).alias("prevalence"))
+    rows = running_sums(counts, by, "score", ["p", "n"])
+    total = counts.groupBy(*by).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    rows = rows.join(total, by) if by else rows.join(F.broadcast(total))  # one row
+    precision = (F.col("_p") - F.col("below_p")) / (F.col("_n") - F.col("below_n"))  # of the scores from this one up
+    return rows.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * precision), F.sum("p")).alias("ap"), (F.sum("p") / F.sum("n")).alias("prevalence"))
 
 
 def mae_vs_median(df: DataFrame, by: list[str], most: float) -> DataFrame:
@@ -51,9 +68,14 @@ def normalizer(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def assign_folds(ids: DataFrame, key: str, k: int, seed: int) -> DataFrame:
-    """Every id's fold: round robin in the order of a hash of seed and id, so that folds are even."""
+    """Every id's fold: round robin in the order of a hash of seed and id, so that folds are even. The order is that of 4 096
+    ranges of the hash, each counted by itself."""
     mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    return ids.select(key).distinct().withColumn("fold", (F.row_number().over(Window.orderBy(mixed, key)) - 1) % k)
+    rows = ids.select(key).distinct().withColumn("_mixed", mixed).withColumn("_range", F.substring("_mixed", 1, 3))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("m"))
+    before = sizes.select("_range", F.coalesce(F.sum("m").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_upto"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_mixed", key)) - 1 + F.col("_upto")
+    return rows.join(F.broadcast(before), "_range").select(key, (place % k).cast("int").alias("fold"))
 
 
 def late_fusion(a: DataFrame, b: DataFrame, key: list[str], fold: str) -> DataFrame:

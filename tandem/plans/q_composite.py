@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.operators import bookkeeping as bk
+from tandem.operators import evaluate
 from tandem.operators import scopes
 from tandem.operators import events as evt
 from tandem.operators import folds, intervals
@@ -132,7 +133,7 @@ def recall_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fx.frames(spark, sf_dir)
     before = fx.intervals(spark, sf_dir).withColumn("frame", F.explode(F.sequence(F.col("start_frame") - 6, F.col("start_frame") - 1)))
     peaks = before.join(f.select("recording_id", "frame", "val"), ["recording_id", "frame"]).groupBy("recording_id", "iv", "initiator", "cue", "skip").agg(F.max("val").alias("peak"))
-    limit = f.agg(F.percentile("val", F.lit(0.95)).alias("limit"))
+    limit = evaluate.quantiles(f, "val", (0.95,)).select(F.col("value").alias("limit"))
     return scopes.recall_by(peaks.join(F.broadcast(limit)), ["initiator", "cue", "skip"], "peak", F.col("limit")).withColumn("recall", F.round("recall", 6))
 
 
