@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import geometry as g
 
-from .align import asof_nearest
+from .align import asof_backward, asof_nearest
 from .qc import presence
 from .sequence import over
 
@@ -125,3 +125,39 @@ def proposal_features(a: DataFrame, b: DataFrame, together: DataFrame, by: list[
     swapped = lambda c: {"a_": "b_", "b_": "a_"}.get(c[:2], c[:2]) + c[2:]
     ab = rows.select(*by, "frame", F.lit("ab").alias("order"), *out)
     return ab.unionByName(rows.select(*by, "frame", F.lit("ba").alias("order"), *(F.col(swapped(c)).alias(c) for c in out)))
+
+
+def utterance_block(grid: DataFrame, utterances: DataFrame, by: list[str], size: int, fade: float, most: float) -> DataFrame:
+    """by, frame, block and age: the vector of the last utterance that has ended, fading by exp(-age / fade), and its age as a share
+    of `most`, at which it stops growing; before the first one zeros and an age of 1.
+
+    grid: frame, t. utterances: t (the end, in the grid's unit), idx, v (an array of `size` numbers, of the text's meaning, say).
+    """
+    rows = asof_backward(grid, utterances, by, ["v"])
+    age = F.least(F.col("age").cast("double"), F.lit(most))
+    fading = F.transform("event_v", lambda x: x * F.exp(-age / fade))
+    none = F.array_repeat(F.lit(0.0), size)
+    return rows.select(*by, "frame", F.when(F.col("event_v").isNotNull(), fading).otherwise(none).alias("block"), F.coalesce(age / most, F.lit(1.0)).alias("age"))
+
+
+def gaze_axis_stats(gaze: DataFrame, by: list[str], axis: tuple[float, float, float], near: float = 15.0) -> DataFrame:
+    """by, part (all, attending) and of each: n, the median, mean and 90th percentile of the angle between gaze and the camera's
+    axis with the share under `near` degrees; the mean gaze axis and its angle to the camera's; and the same four numbers of
+    the angle to the mean axis, which tell a fixed offset from scatter.
+
+    gaze: x, y, z (a unit direction, null where not valid) and attending. Parts without a direction have no row.
+    """
+    known = gaze.filter("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    parts = F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("attending"), F.lit("attending"))))).alias("part")
+    rows = known.select(*by, "x", "y", "z", parts).withColumn("angle", g.angle_degrees(g.cols("x", "y", "z"), [F.lit(float(c)) for c in axis]))
+    key = [*by, "part"]
+
+    def four(c: str, name: str) -> list[Column]:
+        return [F.percentile(c, F.lit(0.5)).alias(f"{name}median"), F.avg(c).alias(f"{name}mean"), F.percentile(c, F.lit(0.9)).alias(f"{name}p90"), F.avg((F.col(c) < near).cast("double")).alias(f"{name}near")]
+
+    first = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *four("angle", ""), *(F.avg(c).alias(f"m{c}") for c in "xyz"))
+    unit = g.normalized(g.cols("mx", "my", "mz"))
+    first = first.withColumns({f"axis_{c}": u for c, u in zip("xyz", unit, strict=True)}).drop("mx", "my", "mz")
+    first = first.withColumn("axis_angle", g.angle_degrees(g.cols("axis_x", "axis_y", "axis_z"), [F.lit(float(c)) for c in axis]))
+    rest = rows.join(first.select(*key, "axis_x", "axis_y", "axis_z"), key).withColumn("off", g.angle_degrees(g.cols("x", "y", "z"), g.cols("axis_x", "axis_y", "axis_z")))
+    return first.join(rest.groupBy(*key).agg(*four("off", "off_")), key)

@@ -161,6 +161,24 @@ def gaze_proxy(heads: DataFrame, by: list[str], roles: tuple[str, str], most: fl
     return rows.select(*by, "frame", "role", "angle", "method", "looking").join(both, [*by, "frame"])
 
 
+def object_gaze(heads: DataFrame, objects: DataFrame, seen: DataFrame, by: list[str], most: float) -> DataFrame:
+    """by, frame, role, object, object_angle and looking_at: the object nearest to where each head points, of equal angles the
+    first name, and its name again if the angle is under `most` degrees.
+
+    heads: frame, role and pose as for `gaze_proxy`. objects: frame, name, x, y, z in the same space (null where unknown). seen:
+    frame, role, name, angle of objects in a person's own image (null where unknown), which count in frames without any known
+    in space. Frames without either have nulls.
+    """
+    key = [*by, "frame", "role"]
+    placed = objects.select(*by, "frame", "name", *(F.col(c).alias(f"o{c}") for c in "xyz"))
+    solid = g.angle_degrees(g.cols("fx", "fy", "fz"), g.minus(g.cols("ox", "oy", "oz"), g.cols("x", "y", "z")))
+    nearest = lambda df, name: df.filter(F.col("angle").isNotNull() & ~F.isnan("angle")).groupBy(*key).agg(F.min(F.struct("angle", "name")).alias(name))
+    known = nearest(heads.join(placed, [*by, "frame"]).withColumn("angle", solid), "known")
+    out = heads.select(*key).join(known, key, "left").join(nearest(seen, "image"), key, "left")
+    best = F.coalesce("known", "image")
+    return out.select(*key, best["name"].alias("object"), best["angle"].alias("object_angle"), F.when(best["angle"] < most, best["name"]).alias("looking_at"))
+
+
 def annotate(keys: DataFrame, done: DataFrame, key: str, fn: Callable[[str], str], tries: int = 3) -> DataFrame:
     """A caller's annotation of every key that `done` (key, reply) lacks: key, reply, error. fn is called in the tasks; an
     error is tried again, and the last one is kept where no try succeeds, so that such keys can be asked for anew."""

@@ -93,3 +93,33 @@ def proposal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = fx.frames(spark, sf_dir, 6).groupBy("recording_id", "frame").agg(F.max(F.when(F.col("role") == 0, F.col("val"))).alias("head_distance"), F.max(F.when(F.col("role") == 1, F.col("n").cast("double"))).alias("wrist_distance"))
     out = features.proposal_features(p.filter("role = 0").drop("role"), p.filter("role = 1").drop("role"), apart, ID, {"1s": 4, "3s": 9})
     return out.select("recording_id", "frame", "order", *(F.round(c, 4).alias(c) for c in _ALL))
+
+
+@query(sql("words", """u AS (SELECT recording_id, role, max("end") AS t, turn AS idx, [count(*) / 10.0, CAST(turn AS DOUBLE)] AS v FROM words GROUP BY recording_id, role, turn),
+gr AS (SELECT recording_id, role, CAST(f AS INT) AS frame, f * 250 AS t FROM (SELECT recording_id, role, max(t) AS last FROM u GROUP BY ALL), unnest(range(last // 250 + 3)) x(f)),
+j AS (SELECT g.recording_id, g.role, frame, least(g.t - u.t, 1000) AS age, v FROM gr g ASOF LEFT JOIN u ON g.recording_id = u.recording_id AND g.role = u.role AND g.t >= u.t)
+SELECT recording_id, role, frame, CASE WHEN v IS NULL THEN [0.0, 0.0] ELSE list_transform(v, lambda x: round(x * exp(-age / 400.0), 6)) END AS block, round(coalesce(age / 1000.0, 1), 6) AS age FROM j"""))
+def utterance_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with its number of words and its place as a vector."""
+    said = fx.words(spark, sf_dir).groupBy("recording_id", "role", "turn").agg(F.max("end").alias("t"), F.count(F.lit(1)).alias("k"))
+    said = said.select("recording_id", "role", "t", F.col("turn").alias("idx"), F.array(F.col("k") / 10, F.col("turn").cast("double")).alias("v"))
+    grid = said.groupBy("recording_id", "role").agg(F.max("t").alias("last")).select("recording_id", "role", F.explode(F.expr("sequence(0, cast(last div 250 + 2 AS int))")).alias("frame")).withColumn("t", F.expr("cast(frame * 250 AS long)"))
+    out = features.utterance_block(grid, said, ["recording_id", "role"], 2, 400.0, 1000.0)
+    return out.withColumns({"block": F.transform("block", lambda x: F.round(x, 6)), "age": F.round("age", 6)})
+
+
+_FOUR = "round(quantile_cont({c}, 0.5), 4) AS {n}median, round(avg({c}), 4) AS {n}mean, round(quantile_cont({c}, 0.9), 4) AS {n}p90, round(avg(CASE WHEN {c} < 70 THEN 1.0 ELSE 0 END), 6) AS {n}near"
+
+
+@query(sql("poses", """q AS (SELECT recording_id, frame, vec_id, x / nm AS x, y / nm AS y, z / nm AS z FROM (SELECT *, sqrt(x * x + y * y + z * z) AS nm FROM poses) WHERE vec_id % 9 <> 0),
+p AS (SELECT recording_id, 'all' AS part, x, y, z FROM q UNION ALL SELECT recording_id, 'attending', x, y, z FROM q WHERE vec_id % 4 < 2), a AS (SELECT *, degrees(acos(greatest(-1, least(1, 0.6 * y + 0.8 * z)))) AS angle FROM p),
+m AS (SELECT recording_id, part, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM a GROUP BY ALL), k AS (SELECT recording_id, part, mx / nm AS ax, my / nm AS ay, mz / nm AS az FROM (SELECT *, sqrt(mx * mx + my * my + mz * mz) AS nm FROM m)),
+o AS (SELECT a.*, ax, ay, az, degrees(acos(greatest(-1, least(1, x * ax + y * ay + z * az)))) AS off FROM a JOIN k USING (recording_id, part))
+SELECT recording_id, part, count(*) AS n, """ + _FOUR.format(c="angle", n="") + ", round(any_value(ax), 5) AS axis_x, round(any_value(ay), 5) AS axis_y, round(any_value(az), 5) AS axis_z, round(degrees(acos(0.6 * any_value(ay) + 0.8 * any_value(az))), 4) AS axis_angle, " + _FOUR.format(c="off", n="off_") + " FROM o GROUP BY ALL"))
+def gaze_axis_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    length = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
+    p = fx.poses(spark, sf_dir)
+    gaze = p.select("recording_id", *(F.when(F.col("vec_id") % 9 != 0, F.col(c) / length).alias(c) for c in "xyz"), (F.col("vec_id") % 4 < 2).alias("attending"))
+    out = features.gaze_axis_stats(gaze, ID, (0.0, 0.6, 0.8), 70.0)
+    digits = lambda c: 5 if c in ("axis_x", "axis_y", "axis_z") else 6 if c.endswith("near") else 4
+    return out.withColumns({c: F.round(c, digits(c)) for c in out.columns if c not in ("recording_id", "part", "n")})

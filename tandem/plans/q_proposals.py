@@ -191,6 +191,21 @@ def gaze_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pr.gaze_proxy(heads, ID, (0, 1), 80.0), "angle", digits=4)
 
 
+@query(sql("poses", """h AS (SELECT recording_id, frame // 2 AS frame, frame % 2 AS role, vec_id, CASE WHEN vec_id % 5 <> 0 THEN qx END AS fx, qy AS fy, qz AS fz, x, y, z FROM poses),
+o AS (SELECT recording_id, frame // 2 AS frame, k AS name, CASE WHEN (vec_id + ascii(k)) % 3 <> 0 THEN y + ascii(k) / 200.0 END AS x, z - ascii(k) / 300.0 AS y, x AS z FROM poses, (VALUES ('cup'), ('box'), ('jar')) v(k) WHERE frame % 2 = 0 AND vec_id % 4 <> 0),
+c AS (SELECT h.recording_id, h.frame, role, name, (fx * (o.x - h.x) + fy * (o.y - h.y) + fz * (o.z - h.z)) / (sqrt(fx * fx + fy * fy + fz * fz) * sqrt((o.x - h.x) ** 2 + (o.y - h.y) ** 2 + (o.z - h.z) ** 2)) AS c FROM h JOIN o ON o.recording_id = h.recording_id AND o.frame = h.frame),
+k AS (SELECT recording_id, frame, role, name, degrees(acos(greatest(-1, least(1, c)))) AS angle FROM c WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY recording_id, frame, role ORDER BY c DESC, name) = 1),
+s AS (SELECT recording_id, frame, role, name, angle FROM (SELECT recording_id, frame, role, n AS name, abs(x) * 300 + length(n) AS angle FROM h, (VALUES ('cup'), ('plate')) v(n) WHERE vec_id % 6 <> 0) QUALIFY row_number() OVER (PARTITION BY recording_id, frame, role ORDER BY angle, name) = 1)
+SELECT h.recording_id, h.frame, h.role, coalesce(k.name, s.name) AS object, round(coalesce(k.angle, s.angle), 4) AS object_angle, CASE WHEN coalesce(k.angle, s.angle) < 60 THEN coalesce(k.name, s.name) END AS looking_at FROM h LEFT JOIN k USING (recording_id, frame, role) LEFT JOIN s USING (recording_id, frame, role)"""))
+def object_gaze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fx.poses(spark, sf_dir).withColumns({"role": F.col("frame") % 2, "at": F.col("frame")}).withColumn("frame", F.expr("frame div 2"))
+    heads = p.selectExpr("recording_id", "frame", "role", "if(vec_id % 5 <> 0, qx, null) AS fx", "qy AS fy", "qz AS fz", "x", "y", "z")
+    things = p.filter("at % 2 = 0 AND vec_id % 4 <> 0").withColumn("name", F.explode(F.array(*map(F.lit, ("cup", "box", "jar")))))
+    things = things.selectExpr("recording_id", "frame", "name", "if((vec_id + ascii(name)) % 3 <> 0, y + ascii(name) / 200, null) AS x", "z - ascii(name) / 300 AS y", "x AS z")
+    seen = p.filter("vec_id % 6 <> 0").withColumn("name", F.explode(F.array(F.lit("cup"), F.lit("plate")))).selectExpr("recording_id", "frame", "role", "name", "abs(x) * 300 + length(name) AS angle")
+    return _rounded(pr.object_gaze(heads, things, seen, ID, 60.0), "object_angle", digits=4)
+
+
 @query(sql("boxes", """t AS (SELECT frame // 50 AS grp, CASE WHEN slot % 2 = 0 THEN 'b' ELSE 'a' END AS stream, frame, slot AS track, x0 AS x FROM boxes),
 p AS (SELECT *, row_number() OVER (PARTITION BY grp, stream, frame ORDER BY x, track) AS place FROM t), z AS (SELECT grp, stream, track, count(DISTINCT frame) AS size FROM t GROUP BY ALL),
 c AS (SELECT a.grp, a.track AS track_a, b.track AS track_b, count(*) AS n, avg(CASE WHEN a.place = b.place THEN 1.0 ELSE 0 END) AS agreement FROM p a JOIN p b ON a.grp = b.grp AND a.frame = b.frame AND a.stream = 'a' AND b.stream = 'b' GROUP BY ALL)
