@@ -73,6 +73,42 @@ def grade(values: DataFrame, by: list[str], levels: DataFrame) -> DataFrame:
     return out.select(*by, names[F.col("worst")].alias("verdict"), "reasons")
 
 
+#: Limits of a good frame, the motion (frame widths a second) at which stability is 0, and per metric the values
+#: under which a stream is rejected and flagged (None: it isn't).
+SHARP, DARK, BRIGHT, FASTEST = 40.0, 35.0, 225.0, 0.1875
+LEVELS = {
+    "good_frame_percent": (0.5, 0.8), "hand_presence_ratio": (0.2, 0.3), "person_presence_ratio": (None, 0.5), "lighting_score": (0.5, 0.8), "average_brightness": (20.0, 40.0), "stability_score": (None, 0.25),
+}
+
+
+def stream_quality(frames: DataFrame, by: list[str]) -> DataFrame:
+    """by, kind, n_frames, good_frame_percent (sharp, neither dark nor bright), lighting_score (in range, ends included),
+    average_brightness, average_sharpness, median_motion, average_motion, stability_score (1 without motion, 0 from FASTEST on),
+    presence, verdict (reject, flag, missing or pass, the worst of its metrics) and reasons.
+
+    frames: kind (ego: presence is of hands; exo: of persons), sharp, bright, motion and present, the last two null where unknown.
+    """
+    good = (F.col("sharp") > SHARP) & (F.col("bright") > DARK) & (F.col("bright") < BRIGHT)
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    known = F.when(~F.isnan("motion"), F.col("motion"))
+    out = frames.groupBy(*by, "kind").agg(
+        F.count(F.lit(1)).alias("n_frames"), share(good).alias("good_frame_percent"), share(F.col("bright").between(DARK, BRIGHT)).alias("lighting_score"), F.avg("bright").alias("average_brightness"),
+        F.avg("sharp").alias("average_sharpness"), F.percentile(known, F.lit(0.5)).alias("median_motion"), F.avg(known).alias("average_motion"), F.avg(F.col("present").cast("double")).alias("presence"),
+    )
+    out = out.withColumn("stability_score", F.greatest(F.least(1 - F.col("median_motion") / FASTEST, F.lit(1.0)), F.lit(0.0)))
+    ego = F.col("kind") == "ego"
+    value = {c: F.col(c) for c in LEVELS if not c.endswith("_ratio")} | {"hand_presence_ratio": F.when(ego, F.col("presence")), "person_presence_ratio": F.when(~ego, F.col("presence"))}
+    asked = {c: F.lit(True) for c in LEVELS} | {"hand_presence_ratio": ego, "person_presence_ratio": ~ego}
+    ranks, reasons = [], []
+    for c, (reject, flag) in sorted(LEVELS.items()):
+        v = value[c]
+        rank = F.when(~asked[c], 0).when(v.isNull(), 1).when(v < flag, 2 if reject is None else F.when(v < reject, 3).otherwise(2)).otherwise(0)
+        ranks.append(rank)
+        reasons.append(F.when(rank > 0, F.concat(F.lit(f"{c}:"), F.element_at(F.array(*map(F.lit, ("missing", "flag", "reject"))), rank.cast("int")))))
+    names = F.array(*map(F.lit, ("pass", "missing", "flag", "reject")))
+    return out.withColumns({"verdict": names[F.greatest(*ranks)], "reasons": F.array_join(F.array_compact(F.array(*reasons)), ",")})
+
+
 def failed_rules(rules: dict[str, Column]) -> Column:
     """Names of the rules that hold, in order, as one string."""
     return F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items()))), ",")
