@@ -232,3 +232,23 @@ def unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.element_at(F.array(*map(F.lit, ("m", "cm", "mm", "ft"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
     x = F.col("s_acctbal")
     return fx.table(spark, sf_dir, "supplier").select("s_suppkey", unit.alias("unit"), F.round(s.to_metres(x, unit), 6).alias("metres"), F.round(s.reference_time(x, F.lit(3), F.lit(20)), 6).alias("ref"), F.round(s.stream_time(x, F.lit(3), F.lit(20)), 6).alias("own"))
+
+
+@query(r"""SELECT doc_id, substr(trim(regexp_replace(text, '[\x00-\x20]+', ' ', 'g')), 1, 200) AS line FROM documents""")
+def public_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as one line of 200 characters at most, which is the feature."""
+    return fx.table(spark, sf_dir, "documents").select("doc_id", s.sanitise(F.col("text"), 200).alias("line"))
+
+
+@query("""WITH u AS (SELECT s_suppkey, s_suppkey * 7 AS x, ['s', 'ms', 'us', 'ns', 'h'][s_suppkey % 5 + 1] AS unit FROM supplier)
+SELECT s_suppkey, unit, CAST(CASE unit WHEN 's' THEN x * 1000000000 WHEN 'ms' THEN x * 1000000 WHEN 'us' THEN x * 1000 WHEN 'ns' THEN x END AS BIGINT) AS nanos FROM u""")
+def nanoseconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.element_at(F.array(*map(F.lit, ("s", "ms", "us", "ns", "h"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    return fx.table(spark, sf_dir, "supplier").select("s_suppkey", unit.alias("unit"), s.to_nanos((F.col("s_suppkey") * 7).cast("long"), unit).cast("long").alias("nanos"))
+
+
+@query(sql("boxes", "SELECT frame, slot, name, greatest(0, least(x0 - (x1 - x0) * 0.25, 640)) AS x0, greatest(0, least(y0 - (y1 - y0) * 0.25, 480)) AS y0, greatest(0, least(x1 + (x1 - x0) * 0.25, 640)) AS x1, greatest(0, least(y1 + (y1 - y0) * 0.25, 480)) AS y1 FROM boxes"))
+def clipped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes made larger by a quarter on each side and cut to the image."""
+    box = s.clip(s.grow([F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")], 0.25), 640, 480)
+    return fx.boxes(spark, sf_dir).select("frame", "slot", "name", *(c.alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), box, strict=True)))
