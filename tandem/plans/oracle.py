@@ -57,3 +57,14 @@ def sql(fixtures: str, body: str) -> str:
 def recursive(text: str) -> str:
     """The same with expressions that may refer to themselves."""
     return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def nearest_to_rays(rays: str) -> str:
+    """The point nearest to all rays (ox.., ux.. of length 1, w) of each recording_id and part, by Cramer's rule."""
+    sums = [f"sum(w * ({int(i == j)} - u{a} * u{b})) AS m{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz")] + [f"sum(w * (o{a} - u{a} * (ux * ox + uy * oy + uz * oz))) AS v{i}" for i, a in enumerate("xyz")]
+    minor = lambda a, b, c, d: f"({a} * {b} - {c} * {d})"
+    det = lambda c: f"{c[0][0]} * {minor(c[1][1], c[2][2], c[1][2], c[2][1])} - {c[0][1]} * {minor(c[1][0], c[2][2], c[1][2], c[2][0])} + {c[0][2]} * {minor(c[1][0], c[2][1], c[1][1], c[2][0])}"
+    m = [[f"m{i}{j}" for j in range(3)] for i in range(3)]
+    put = lambda k: [[f"v{i}" if j == k else m[i][j] for j in range(3)] for i in range(3)]
+    cols = ", ".join(f"round(CASE WHEN n >= 2 AND abs(det) > 1e-9 THEN ({det(put(k))}) / det END, 3) AS {c}" for k, c in enumerate("xyz"))
+    return f"{rays},\ns AS (SELECT recording_id, part, count(*) AS n, {', '.join(sums)} FROM r GROUP BY ALL), d AS (SELECT *, {det(m)} AS det FROM s) SELECT recording_id, part, n, {cols} FROM d"

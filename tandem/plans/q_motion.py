@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tandem.operators import fits, motion
 from tandem.sources import fixtures as fx
 
-from .oracle import sql
+from .oracle import nearest_to_rays, sql
 from .registry import query
 
 ID = ["recording_id"]
@@ -99,10 +99,10 @@ def fit_inverse_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(fits.fit_inverse_depth(anchors, ["recording_id", "part"], 0.02), "a", "b", digits=4)
 
 
-@query()
+@query(sql("poses", nearest_to_rays("r AS (SELECT recording_id, frame // 4 AS part, x AS ox, y AS oy, z AS oz, qx / nrm AS ux, qy / nrm AS uy, qz / nrm AS uz, 1.0 AS w FROM (SELECT *, sqrt(qx * qx + qy * qy + qz * qz) AS nrm FROM poses))")))
 def triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rays = fx.poses(spark, sf_dir).selectExpr("recording_id", "frame div 4 AS part", "x AS ox", "y AS oy", "z AS oz", "qx AS dx", "qy AS dy", "qz AS dz")
-    return fits.triangulate(rays, ["recording_id", "part"])
+    return _rounded(fits.triangulate(rays, ["recording_id", "part"]), "x", "y", "z", digits=3)
 
 
 @query("""SELECT l_partkey % 500 AS pixel, CASE WHEN count(*) FILTER (l_linestatus <> 'F') >= 5 THEN round(quantile_cont(l_extendedprice, 0.5) FILTER (l_linestatus <> 'F'), 4) END AS median, count(*) FILTER (l_linestatus <> 'F') AS support FROM lineitem GROUP BY 1""")

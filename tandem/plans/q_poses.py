@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tandem.operators import evaluate, fits, pose_sets
 from tandem.sources import fixtures as fx
 
-from .oracle import sql
+from .oracle import nearest_to_rays, sql
 from .registry import query
 
 ID = ["recording_id"]
@@ -106,11 +106,7 @@ def motion_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 5) for c in out.columns if c.startswith("distance")})
 
 
-@query(sql("poses", """r AS (SELECT recording_id, frame // 4 AS part, x AS ox, y AS oy, z AS oz, qx / nrm AS ux, qy / nrm AS uy, qz / nrm AS uz, 1.0 + vec_id % 3 AS w FROM (SELECT *, sqrt(qx * qx + qy * qy + qz * qz) AS nrm FROM poses) WHERE vec_id % 10 <> 0),
-s AS (SELECT recording_id, part, count(*) AS n, """ + ", ".join(f"sum(w * ({int(i == j)} - u{a} * u{b})) AS m{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz")) + ", " + ", ".join(f"sum(w * (o{a} - u{a} * (ux * ox + uy * oy + uz * oz))) AS v{i}" for i, a in enumerate("xyz")) + """ FROM r GROUP BY ALL),
-d AS (SELECT *, m00 * (m11 * m22 - m12 * m21) - m01 * (m10 * m22 - m12 * m20) + m02 * (m10 * m21 - m11 * m20) AS det FROM s)
-SELECT recording_id, part, n, """ + ", ".join(f"round(CASE WHEN n >= 2 AND abs(det) > 1e-9 THEN ({e}) / det END, 3) AS {c}" for c, e in zip("xyz", (
-    "v0 * (m11 * m22 - m12 * m21) - m01 * (v1 * m22 - m12 * v2) + m02 * (v1 * m21 - m11 * v2)", "m00 * (v1 * m22 - m12 * v2) - v0 * (m10 * m22 - m12 * m20) + m02 * (m10 * v2 - v1 * m20)", "m00 * (m11 * v2 - v1 * m21) - m01 * (m10 * v2 - v1 * m20) + v0 * (m10 * m21 - m11 * m20)"))) + " FROM d"))
+@query(sql("poses", nearest_to_rays("r AS (SELECT recording_id, frame // 4 AS part, x AS ox, y AS oy, z AS oz, qx / nrm AS ux, qy / nrm AS uy, qz / nrm AS uz, 1.0 + vec_id % 3 AS w FROM (SELECT *, sqrt(qx * qx + qy * qy + qz * qz) AS nrm FROM poses) WHERE vec_id % 10 <> 0)")))
 def triangulate_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rays = fx.poses(spark, sf_dir).filter("vec_id % 10 <> 0").selectExpr("recording_id", "frame div 4 AS part", "x AS ox", "y AS oy", "z AS oz", "qx AS dx", "qy AS dy", "qz AS dz", "1.0D + vec_id % 3 AS weight")
     out = fits.triangulate(rays, ["recording_id", "part"])
