@@ -95,7 +95,8 @@ def stream_quality(frames: DataFrame, by: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_frames"), share(good).alias("good_frame_percent"), share(F.col("bright").between(DARK, BRIGHT)).alias("lighting_score"), F.avg("bright").alias("average_brightness"),
         F.avg("sharp").alias("average_sharpness"), F.percentile(known, F.lit(0.5)).alias("median_motion"), F.avg(known).alias("average_motion"), F.avg(F.col("present").cast("double")).alias("presence"),
     )
-    out = out.withColumn("stability_score", F.greatest(F.least(1 - F.col("median_motion") / FASTEST, F.lit(1.0)), F.lit(0.0)))
+    stable = F.greatest(F.least(1 - F.col("median_motion") / FASTEST, F.lit(1.0)), F.lit(0.0))
+    out = out.withColumn("stability_score", F.when(F.col("median_motion").isNotNull(), stable))
     ego = F.col("kind") == "ego"
     value = {c: F.col(c) for c in LEVELS if not c.endswith("_ratio")} | {"hand_presence_ratio": F.when(ego, F.col("presence")), "person_presence_ratio": F.when(~ego, F.col("presence"))}
     asked = {c: F.lit(True) for c in LEVELS} | {"hand_presence_ratio": ego, "person_presence_ratio": ~ego}
