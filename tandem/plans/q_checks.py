@@ -30,7 +30,7 @@ c AS (SELECT recording_id, idx, speed, turn, coalesce(reason, CASE WHEN speed >
 
 def _track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.poses(spark, sf_dir).selectExpr(
-        "recording_id", "frame AS idx", "if(vec_id % 13 <> 0, x, null) AS x", "y", "z", "qx", "qy", "qz", "qw", "frame * 500000 - if(vec_id % 11 = 0, 700000, 0) AS t",
+        "recording_id", "frame AS idx", "if(vec_id % 13 <> 0, x, null) AS x", "y", "z", "qx", "qy", "qz", "qw", "frame * 500000L - if(vec_id % 11 = 0, 700000, 0) AS t",
         "if(vec_id % 17 = 0, 'b', 'a') AS clock", "if(vec_id % 19 = 0, 'w2', 'w1') AS world",
     )
 
@@ -67,7 +67,7 @@ def qc_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lambda i: F.col("embedding")[i].cast("double")
     xyz = lambda i: F.struct(*(F.when((F.lit(i == 7)) & (F.col("vec_id") % 15 == 4), F.lit(None)).otherwise(e(3 * i + k)).alias(c) for k, c in enumerate("xyz")))
     hands = points.select(
-        "recording_id", F.col("frame").cast("long").alias("idx"), F.expr("frame * 50000 + frame div 7 * 100000 - if(vec_id % 31 = 0, 90000, 0)").alias("t"),
+        "recording_id", F.col("frame").cast("long").alias("idx"), F.expr("frame * 50000L + frame div 7 * 100000 - if(vec_id % 31 = 0, 90000, 0)").alias("t"),
         F.when(F.col("vec_id") % 9 == 0, -1.0).when(F.col("vec_id") % 9 == 1, None).when(F.col("vec_id") % 9 == 2, 0.0).otherwise(F.least(F.abs(e(63)), F.lit(1.0))).alias("conf"),
         F.when(F.col("vec_id") % 14 != 3, F.array(*map(xyz, range(21)))).alias("points"),
     )
@@ -139,7 +139,7 @@ SELECT recording_id, camera, t, residual, reason, """ + _CAMERA + " FROM b"))
 def camera_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.poses(spark, sf_dir)
     calibrations = p.filter("frame % 4 = 0").selectExpr(
-        "recording_id", "vec_id % 3 AS camera", "frame * 500000 + 120000 * (vec_id % 5) AS t", "vec_id % 10 <> 0 AS calibrated",
+        "recording_id", "vec_id % 3 AS camera", "frame * 500000L + 120000 * (vec_id % 5) AS t", "vec_id % 10 <> 0 AS calibrated",
         "z AS x", "x AS y", "y AS z", "qy AS qx", "qz AS qy", "qx AS qz", "qw",
     )
     device = p.selectExpr("recording_id", "frame * 500000L AS t", "frame AS idx", *checks.POSE)
