@@ -19,6 +19,12 @@ def test_repeated_tracks_divide_by_nothing(spark):
     assert [(r["n"], r["ratio"]) for r in out.collect()] == [(2, float("inf"))]
 
 
+def test_a_lead_of_just_the_margin_counts(spark):
+    energy = spark.createDataFrame([(1, p, k, e) for p, es in (("a", (21.0, 30.0, 30.0)), ("b", (20.0, 30.0, 30.0))) for k, e in enumerate(es)], "g int, person string, bin long, energy double")
+    out = tx.attribute_speaker(spark.createDataFrame([(1, 1, 0, 0)], "g int, id int, start_bin long, end_bin long"), energy, ["g"], 1.05)
+    assert out.first()["speaker"] == "a"
+
+
 def test_time_of_a_long_series_fits(spark, tmp_path):
     rows = spark.range(4400).selectExpr("id AS vec_id", "1 AS label", "transform(sequence(1, 64), k -> cast(cos(id * k) AS float)) AS embedding")
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
