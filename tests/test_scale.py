@@ -31,3 +31,12 @@ def test_time_of_a_long_series_fits(spark, tmp_path):
     assert registry.queries()["continuity"](spark, str(tmp_path)).count() == 4399
     assert registry.queries()["qc_continuity"](spark, str(tmp_path)).first()["n_samples"] == 4400
     assert registry.queries()["camera_pose"](spark, str(tmp_path)).count() == 1100
+
+
+def test_the_first_of_utterances_that_end_together(spark, tmp_path):
+    turns = [(1, 1, "user", " ".join("a" * 152)), (1, 2, "user", "a a"), (1, 3, "user", "a")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = {r["turn"]: r["last_turn"] for r in registry.queries()["last_utterance"](spark, str(tmp_path)).collect()}
+    assert got == {1: None, 2: None, 3: 1} == {r[1]: r[2] for r in con.execute(registry.oracle_sql()["last_utterance"]).fetchall()}
