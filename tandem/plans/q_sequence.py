@@ -123,8 +123,8 @@ def bridged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql("intervals", """
-r AS (SELECT recording_id, start_frame AS s, end_frame AS e, max(end_frame) OVER (PARTITION BY recording_id ORDER BY start_frame, end_frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM intervals),
-k AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM r)
+r AS (SELECT recording_id, iv, start_frame AS s, end_frame AS e, max(end_frame) OVER (PARTITION BY recording_id ORDER BY start_frame, end_frame, iv ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM intervals),
+k AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY recording_id ORDER BY s, e, iv ROWS UNBOUNDED PRECEDING) AS run FROM r)
 SELECT recording_id, min(s) AS start, max(e) AS "end", count(*) AS n FROM k GROUP BY recording_id, run"""))
 def merged_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = fx.intervals(spark, sf_dir).select("recording_id", F.col("start_frame").alias("start"), F.col("end_frame").alias("end"))

@@ -33,6 +33,27 @@ def test_time_of_a_long_series_fits(spark, tmp_path):
     assert registry.queries()["camera_pose"](spark, str(tmp_path)).count() == 1100
 
 
+def events_of(spark, folder, rows):
+    df = spark.createDataFrame(rows, "event_id long, user_id long, hour int, value double, event_type string")
+    df.selectExpr("event_id", "timestampadd(HOUR, hour, TIMESTAMP_NTZ '2024-01-01 00:00:01') AS ts", "user_id", "event_type", "value", "'{}' AS props").coalesce(1).write.parquet(f"{folder}/events.parquet")
+
+
+def test_sums_of_a_frame_do_not_show_their_order(spark, tmp_path):
+    events_of(spark, tmp_path, [(k, 0, 0, v, "view") for k, v in enumerate([0.1] * 10)])
+    assert fx.frames(spark, str(tmp_path)).filter("n > 0").first()["val"] == 1.0
+
+
+@pytest.mark.parametrize("name", ["merged_intervals", "sparse_reads"])
+def test_equal_intervals_are_joined_alike_in_sql(spark, tmp_path, name):
+    events_of(spark, tmp_path, [(k, k % 40, k * 7919 % 150 * 4, 1.0, "purchase") for k in range(20_000)])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    got = registry.queries()[name](spark, str(tmp_path))
+    cur = con.execute(registry.oracle_sql()[name])
+    cols = [d[0] for d in cur.description]
+    assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(cur.fetchall())
+
+
 def test_the_first_of_utterances_that_end_together(spark, tmp_path):
     turns = [(1, 1, "user", " ".join("a" * 152)), (1, 2, "user", "a a"), (1, 3, "user", "a")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
