@@ -96,10 +96,10 @@ def contact_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("boxes", """b AS (SELECT * REPLACE (slot * 1000000 + CAST(x0 AS INT) * 1000 + CAST(y0 AS INT) AS slot), CASE WHEN name = 'N' THEN 'hand' WHEN name = 'A' THEN 'cup' WHEN slot % 2 = 0 THEN 'box' END AS cat FROM boxes),
 p AS (SELECT frame, slot - 1 AS hand, x0 + 10 * k AS x, y0 + 8 * k AS y FROM boxes, range(5) r(k) WHERE slot <= 2), g AS (SELECT frame, x0 + 5 AS x, y0 + 5 AS y FROM boxes WHERE slot = 3),
-m AS (SELECT p.frame, hand, slot, count(*) AS n, any_value(cat) AS cat, any_value(conf) AS conf FROM p JOIN b ON p.frame = b.frame AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL),
+m AS (SELECT p.frame, hand, slot, count(*) AS n, nullif(arg_max(coalesce(cat, ''), struct_pack(c := conf, k := coalesce(cat, ''))), '') AS cat, max(conf) AS conf FROM p JOIN b ON p.frame = b.frame AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY ALL),
 h AS (SELECT frame, hand, arg_max(cat, struct_pack(c := conf, s := -slot)) FILTER (n >= 3 AND cat IS NOT NULL AND cat <> 'hand') AS held, count(*) AS near FROM m GROUP BY ALL),
 q AS (SELECT frame, max(held) FILTER (hand = 0) AS held_0, max(held) FILTER (hand = 1) AS held_1, sum(near) AS n_near FROM h GROUP BY 1),
-s AS (SELECT g.frame, arg_min(slot, struct_pack(a := (x1 - x0) * (y1 - y0), s := slot)) AS slot, arg_min(cat, struct_pack(a := (x1 - x0) * (y1 - y0), s := slot)) AS gazed FROM g JOIN b ON g.frame = b.frame AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND cat IS NOT NULL GROUP BY 1),
+s AS (SELECT g.frame, arg_min(slot, struct_pack(a := (x1 - x0) * (y1 - y0), s := slot)) AS slot, arg_min(cat, struct_pack(a := (x1 - x0) * (y1 - y0), s := slot, k := cat)) AS gazed FROM g JOIN b ON g.frame = b.frame AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND cat IS NOT NULL GROUP BY 1),
 t AS (SELECT s.frame, gazed, gazed = 'hand' AND NOT EXISTS (SELECT 1 FROM m WHERE m.frame = s.frame AND m.slot = s.slot) AS partner FROM s)
 SELECT frame, held_0, held_1, gazed, coalesce(partner, false) AS gazed_partner, n_boxes, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near FROM (SELECT frame, count(*) AS n_boxes FROM b GROUP BY 1) LEFT JOIN q USING (frame) LEFT JOIN t USING (frame)"""))
 def object_association(spark: SparkSession, sf_dir: str) -> DataFrame:

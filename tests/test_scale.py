@@ -25,6 +25,16 @@ def test_a_lead_of_just_the_margin_counts(spark):
     assert out.first()["speaker"] == "a"
 
 
+def test_rows_of_one_slot_are_one_box_in_any_order(spark):
+    rows = [(1, 5, 0.0, 0.0, 10.0, 10.0, 0.9, "cup"), (1, 5, 0.0, 0.0, 10.0, 10.0, 0.9, "box"), (1, 5, 0.0, 0.0, 10.0, 10.0, 0.4, "tin")]
+    points = spark.createDataFrame([(1, 0, 5.0, 5.0)] * 3, "frame int, hand int, x double, y double")
+    gaze = spark.createDataFrame([(1, 5.0, 5.0)], "frame int, x double, y double")
+    for order in (rows, rows[::-1]):
+        boxes = spark.createDataFrame(order, "frame int, slot int, x0 double, y0 double, x1 double, y1 double, conf double, cat string").coalesce(1)
+        r = pr.object_association(points, gaze, boxes, ["frame"]).first()
+        assert (r["held_0"], r["gazed"]) == ("cup", "box")
+
+
 def test_time_of_a_long_series_fits(spark, tmp_path):
     rows = spark.range(4400).selectExpr("id AS vec_id", "1 AS label", "transform(sequence(1, 64), k -> cast(cos(id * k) AS float)) AS embedding")
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
