@@ -27,7 +27,7 @@ def choices(most: int) -> list[tuple[int, int, int, int, int]]:
 def assignments(costs: DataFrame, by: list[str], a: str, b: str, cost: str, most: int = MOST) -> DataFrame:
     """by, a, b, cost, total and margin of every group's one-to-one assignment at the least total cost.
 
-    costs: a row for each pair of a group's a and b. Of equal totals the choice that comes first in order of a and b is taken.
+    costs: a row for each pair of a group's a and b. Of totals equal to nine digits the choice that comes first in order of a and b is taken.
     margin is what the second best choice costs more, null where there is no other. A group with more than `most` on a side
     is refused: one row with a, b and cost null, whose total and margin are null too.
     """
@@ -38,7 +38,7 @@ def assignments(costs: DataFrame, by: list[str], a: str, b: str, cost: str, most
     ways = F.broadcast(costs.sparkSession.createDataFrame(choices(most), "n_a int, n_b int, choice int, i int, j int"))  # some 1 000 rows for 4
     tried = rows.join(sizes.filter(fits), by).join(ways, ["n_a", "n_b", "i", "j"]).select(*by, a, b, "cost", "choice")
     totals = tried.groupBy(*by, "choice").agg(F.sum("cost").alias("total"))
-    w = Window.partitionBy(*by).orderBy("total", "choice")
+    w = Window.partitionBy(*by).orderBy(F.round("total", 9), "choice")
     best = totals.withColumns({"k": F.row_number().over(w), "margin": F.lead("total").over(w) - F.col("total")}).filter("k = 1").drop("k")
     out = tried.join(best, [*by, "choice"]).select(*by, a, b, "cost", "total", "margin")
     kinds = dict(out.dtypes)

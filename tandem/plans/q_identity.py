@@ -17,7 +17,7 @@ ways(grp, k, pairs, total) AS (SELECT grp, 0, CAST([] AS STRUCT(a BIGINT, b BIGI
   SELECT w.grp, w.k + 1, CASE WHEN c.b IS NULL THEN pairs ELSE list_append(pairs, {'a': la[w.k + 1], 'b': c.b}) END, total + coalesce(c.cost, 0)
   FROM ways w JOIN sides s USING (grp) JOIN (SELECT grp, a, b, cost FROM costs UNION ALL SELECT grp, a, NULL, NULL FROM (SELECT DISTINCT grp, a FROM costs)) c ON c.grp = w.grp AND c.a = la[w.k + 1]
   WHERE w.k < len(la) AND (c.b IS NULL OR NOT list_contains(list_transform(pairs, lambda p: p.b), c.b))),
-full_ways AS (SELECT w.*, row_number() OVER (PARTITION BY w.grp ORDER BY total, pairs) AS place, lead(total) OVER (PARTITION BY w.grp ORDER BY total, pairs) - total AS margin FROM ways w JOIN sides USING (grp) WHERE k = len(la) AND len(pairs) = least(len(la), len(lb))),
+full_ways AS (SELECT w.*, row_number() OVER (PARTITION BY w.grp ORDER BY round(total, 9), pairs) AS place, lead(total) OVER (PARTITION BY w.grp ORDER BY round(total, 9), pairs) - total AS margin FROM ways w JOIN sides USING (grp) WHERE k = len(la) AND len(pairs) = least(len(la), len(lb))),
 chosen AS (SELECT grp, unnest(pairs) AS p, margin FROM full_ways WHERE place = 1)"""
 
 #: Six keypoints of a box: its corners, the middle of its top and its centre; seen by the box's confidence, or hidden.
