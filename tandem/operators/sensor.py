@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,20 +48,27 @@ def shift_scores(rows: DataFrame, by: list[str], schema: str, least_shift: Colum
     transform. A lag at which a side is flat has r and null null.
     """
 
-    def score(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k", kind="stable")
-        x, y, n = part["x"].to_numpy(float), part["y"].to_numpy(float), len(part)
-        out = {c: part[c].iloc[:1].to_numpy() for c in (*by, "lag")} | {"n": [n], "r": [None], "null": [None]}
-        if n and x.std() > 1e-12 and y.std() > 1e-12:
-            a, b = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
-            around = np.fft.irfft(np.conj(np.fft.rfft(a)) * np.fft.rfft(b), n) / n  # at s: with x turned by s
-            low = int(part["low"].iloc[0])
-            turns = np.unique(low + (n - 2 * low) * np.arange(n_null) // max(1, n_null - 1)) if n > 2 * low else np.zeros(0, int)
-            out |= {"r": [float(around[0])], "null": [around[turns].tolist()]}
-        return pd.DataFrame(out)
-
-    given = rows.withColumn("low", least_shift)
-    return given.groupBy(*by, "lag").applyInPandas(score, f"{schema}, lag int, n int, r double, null array<double>")
+    def score(x: np.ndarray, y: np.ndarray, low: int) -> tuple[int, float | None, list[float] | None]:
+        n = len(x)
+        if not (x.std() > 1e-12 and y.std() > 1e-12):
+            return n, None, None
+        a, b = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
+        around = np.fft.irfft(np.conj(np.fft.rfft(a)) * np.fft.rfft(b), n) / n  # at s: with x turned by s
+        turns = np.unique(low + (n - 2 * low) * np.arange(n_null) // max(1, n_null - 1)) if n > 2 * low else np.zeros(0, int)
+        return n, float(around[0]), around[turns].tolist()
+
+    def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [score(np.asarray(x, float), np.asarray(y, float), int(low)) for x, y, low in zip(part["x"], part["y"], part["low"], strict=True)]
+            yield part[[*by, "lag"]].join(pd.DataFrame(found, columns=["n", "r", "null"], index=part.index).astype({"r": object}))
+
+    session = rows.sparkSession
+    wide = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    series = F.sort_array(F.collect_list(F.struct("k", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))))
+    # little data, much work: a number of partitions that is asked for isn't made smaller
+    given = rows.withColumn("low", least_shift).repartition(wide, *by, "lag").groupBy(*by, "lag").agg(series.alias("s"), F.first("low").alias("low"))
+    given = given.select(*by, "lag", "s.x", "s.y", "low")
+    return given.mapInPandas(scored, f"{schema}, lag int, n int, r double, null array<double>")
 
 
 def lag_test(scores: DataFrame, by: list[str]) -> DataFrame:
@@ -69,19 +77,19 @@ def lag_test(scores: DataFrame, by: list[str]) -> DataFrame:
     fine adds the top of the parabola through the neighbours, within half a step. p is the share of turns, the real one
     counted, whose best r over all lags is r or more; z is r in their standard deviations. peak_ratio compares r with the
     best local maximum outside the peak's lobe, the lags around it with more than r / 2 (where there is none, with the best
-    value outside); it is null where nothing outside is over 0.
+    value outside); it is null where nothing outside is over 0. What is equal to twelve digits is equal.
     """
     known = scores.filter("r IS NOT NULL")
     peak = known.groupBy(*by).agg(F.max(F.struct(F.round("r", 12).alias("top"), (-F.col("lag")).alias("first"), "lag", "r", "n")).alias("p")).select(*by, F.col("p.lag").alias("best"), F.col("p.r").alias("r"), F.col("p.n").alias("n"))
     curve = scores.select(*by, "lag", F.col("r").alias("c"))
     w = Window.partitionBy(*by).orderBy("lag")
     rows = curve.withColumns({"before": F.lag("c").over(w), "after": F.lead("c").over(w), "inner": F.lag("lag").over(w).isNotNull() & F.lead("lag").over(w).isNotNull()}).join(peak, by)
-    low = (~F.coalesce(F.col("c") > F.col("r") / 2, F.lit(False))).cast("int")
+    low = (~F.coalesce(F.round(F.col("c") - F.col("r") / 2, 12) > 0, F.lit(False))).cast("int")
     left, right = Window.partitionBy(*by, F.col("lag") <= F.col("best")).orderBy(F.desc("lag")), Window.partitionBy(*by, F.col("lag") >= F.col("best")).orderBy("lag")
     lobe = F.when(F.col("lag") <= F.col("best"), F.sum(low).over(left) == 0).otherwise(F.sum(low).over(right) == 0)
     rows = rows.withColumn("lobe", lobe)
-    least = lambda c: F.coalesce(c, F.lit(float("-inf")))
-    hill = F.col("inner") & (F.col("c") >= least(F.col("before"))) & (F.col("c") >= least(F.col("after"))) & ~F.col("lobe")
+    least = lambda c: F.coalesce(F.round(c, 12), F.lit(float("-inf")))
+    hill = F.col("inner") & (F.round("c", 12) >= least(F.col("before"))) & (F.round("c", 12) >= least(F.col("after"))) & ~F.col("lobe")
     at = lambda c: F.max(F.when(F.col("lag") == F.col("best"), F.col(c)))
     found = rows.groupBy(*by).agg(
         F.max(F.when(hill, F.col("c"))).alias("hill"), F.max(F.when(~F.col("lobe"), F.col("c"))).alias("outside"), at("before").alias("before"), at("after").alias("after"),
@@ -92,11 +100,11 @@ def lag_test(scores: DataFrame, by: list[str]) -> DataFrame:
     out = peak.join(found, by).join(null, by, "left")
     second = F.coalesce("hill", "outside")
     bend = F.col("before") - 2 * F.col("r") + F.col("after")
-    shift = F.when(bend < 0, F.greatest(F.least(0.5 * (F.col("before") - F.col("after")) / bend, F.lit(0.5)), F.lit(-0.5)))
+    shift = F.when(F.round(bend, 12) < 0, F.greatest(F.least(0.5 * (F.col("before") - F.col("after")) / bend, F.lit(0.5)), F.lit(-0.5)))
     return out.select(
         *by, F.col("best").alias("lag"), (F.col("best") + F.coalesce(shift, F.lit(0.0))).alias("fine"), "r", "r_at_zero", "n",
         ((1 + F.coalesce("over", F.lit(0))) / (1 + F.coalesce("m", F.lit(0)))).alias("p"), F.try_divide(F.col("r") - F.col("mean"), F.col("sd")).alias("z"), "null_p99",
-        F.when(second > 0, F.col("r") / second).alias("peak_ratio"), ((F.col("best") <= F.col("low") + 1) | (F.col("best") >= F.col("high") - 1)).alias("at_edge"),
+        F.when(F.round(second, 12) > 0, F.col("r") / second).alias("peak_ratio"), ((F.col("best") <= F.col("low") + 1) | (F.col("best") >= F.col("high") - 1)).alias("at_edge"),
     )
 
 

@@ -21,13 +21,13 @@ c AS (SELECT tr.recording_id, lag, s, turned, any_value(n) AS n, CASE WHEN stdde
   FROM tr JOIN x0 USING (recording_id) JOIN y0 ON y0.recording_id = tr.recording_id AND y0.i = (x0.i + s) % n GROUP BY ALL),
 cv AS (SELECT * FROM c WHERE NOT turned), pk AS (SELECT recording_id, lag AS best, r, n FROM cv WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY round(r, 12) DESC, lag) = 1),
 w AS (SELECT cv.recording_id, lag, cv.r AS c, best, pk.r, pk.n, lag(cv.r) OVER u AS pre, lead(cv.r) OVER u AS post FROM cv JOIN pk USING (recording_id) WINDOW u AS (PARTITION BY cv.recording_id ORDER BY lag)),
-b AS (SELECT recording_id, coalesce(max(lag) FILTER (lag < best AND coalesce(c <= r / 2, true)), -99) AS lo, coalesce(min(lag) FILTER (lag > best AND coalesce(c <= r / 2, true)), 99) AS hi FROM w GROUP BY 1),
-f AS (SELECT recording_id, best, r, n, max(c) FILTER (lag BETWEEN -3 AND 3 AND c >= coalesce(pre, '-Infinity'::DOUBLE) AND c >= coalesce(post, '-Infinity'::DOUBLE) AND (lag <= lo OR lag >= hi)) AS hill, max(c) FILTER (lag <= lo OR lag >= hi) AS outside,
+b AS (SELECT recording_id, coalesce(max(lag) FILTER (lag < best AND coalesce(round(c - r / 2, 12) <= 0, true)), -99) AS lo, coalesce(min(lag) FILTER (lag > best AND coalesce(round(c - r / 2, 12) <= 0, true)), 99) AS hi FROM w GROUP BY 1),
+f AS (SELECT recording_id, best, r, n, max(c) FILTER (lag BETWEEN -3 AND 3 AND round(c, 12) >= coalesce(round(pre, 12), '-Infinity'::DOUBLE) AND round(c, 12) >= coalesce(round(post, 12), '-Infinity'::DOUBLE) AND (lag <= lo OR lag >= hi)) AS hill, max(c) FILTER (lag <= lo OR lag >= hi) AS outside,
   max(pre) FILTER (lag = best) AS pre, max(post) FILTER (lag = best) AS post, max(c) FILTER (lag = 0) AS r_at_zero FROM w JOIN b USING (recording_id) GROUP BY ALL),
 nl AS (SELECT recording_id, s, max(r) AS v FROM c WHERE turned AND r IS NOT NULL GROUP BY ALL),
 q AS (SELECT recording_id, count(*) AS m, count(*) FILTER (round(v, 12) >= round(r, 12)) AS above, avg(v) AS mean, stddev_pop(v) AS sd, quantile_cont(v, 0.99) AS p99 FROM nl JOIN pk USING (recording_id) GROUP BY 1)
-SELECT recording_id, best AS lag, round(best + CASE WHEN pre - 2 * r + post < 0 THEN greatest(-0.5, least(0.5, 0.5 * (pre - post) / (pre - 2 * r + post))) ELSE 0 END, 5) AS fine, round(r, 5) AS r, round(r_at_zero, 5) AS r_at_zero, CAST(n AS INT) AS n,
-  round((1 + above) / (1 + m), 5) AS p, round((r - mean) / sd, 4) AS z, round(p99, 5) AS null_p99, CASE WHEN coalesce(hill, outside) > 0 THEN round(r / coalesce(hill, outside), 4) END AS peak_ratio, best <= -3 OR best >= 3 AS at_edge FROM f JOIN q USING (recording_id)"""))
+SELECT recording_id, best AS lag, round(best + CASE WHEN round(pre - 2 * r + post, 12) < 0 THEN greatest(-0.5, least(0.5, 0.5 * (pre - post) / (pre - 2 * r + post))) ELSE 0 END, 5) AS fine, round(r, 5) AS r, round(r_at_zero, 5) AS r_at_zero, CAST(n AS INT) AS n,
+  round((1 + above) / (1 + m), 5) AS p, round((r - mean) / sd, 4) AS z, round(p99, 5) AS null_p99, CASE WHEN round(coalesce(hill, outside), 12) > 0 THEN round(r / coalesce(hill, outside), 4) END AS peak_ratio, best <= -3 OR best >= 3 AS at_edge FROM f JOIN q USING (recording_id)"""))
 def lag_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fx.frames(spark, sf_dir, 6)
     last = f.groupBy("recording_id").agg(F.max("frame").alias("last"))

@@ -35,6 +35,13 @@ def test_rows_of_one_slot_are_one_box_in_any_order(spark):
         assert (r["held_0"], r["gazed"]) == ("cup", "box")
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-16, -1e-16])
+def test_lags_that_are_equal_but_for_noise(spark, noise):
+    curve = {-5: 0.3 + noise, -4: 0.3, -3: 0.0, -2: 0.1, -1: 0.0, 0: -0.5, 1: 0.9, 2: -0.5}
+    scores = spark.createDataFrame([(1, k, 30, r, [0.1, 0.2]) for k, r in curve.items()], "g int, lag int, n int, r double, null array<double>")
+    assert sensor.lag_test(scores, ["g"]).first()["peak_ratio"] == pytest.approx(3.0)
+
+
 def test_time_of_a_long_series_fits(spark, tmp_path):
     rows = spark.range(4400).selectExpr("id AS vec_id", "1 AS label", "transform(sequence(1, 64), k -> cast(cos(id * k) AS float)) AS embedding")
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
