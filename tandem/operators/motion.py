@@ -96,8 +96,8 @@ def angular_path(df: DataFrame, by: list[str], most_gap: float) -> DataFrame:
     """
     q = ["qx", "qy", "qz", "qw"]
     w = Window.partitionBy(*by).orderBy("t")
-    upto, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
-    rows = df.withColumns({f"p{c}": F.lag(c).over(w) for c in q} | {"dt": F.col("t") - F.lag("t").over(w), "left": F.lead("t").over(w)})
+    upto, after = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by).orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumns({f"p{c}": F.lag(c).over(w) for c in q} | {"place": F.row_number().over(w), "dt": F.col("t") - F.lag("t").over(w), "left": F.lead("t").over(w)})
     other = F.lit(False)
     for c in q:
         other = other | (F.col(c) != F.col(f"p{c}"))
@@ -108,7 +108,7 @@ def angular_path(df: DataFrame, by: list[str], most_gap: float) -> DataFrame:
     turn = F.when(F.col("knot") & (F.col("gaps") == F.col("last.gaps")), 2 * F.acos(F.least(along, F.lit(1.0)))).otherwise(0.0)
     rows = rows.withColumn("path", F.sum(turn).over(w))
     # between knots the path grows evenly to the next one
-    rows = rows.withColumn("next", F.first(F.when(F.col("knot"), F.struct("t", "path")), ignorenulls=True).over(after))
+    rows = rows.withColumn("next", F.last(F.when(F.col("knot"), F.struct("t", "path")), ignorenulls=True).over(after))
     share = F.try_divide(F.col("t") - F.col("last.t"), F.col("next.t") - F.col("last.t"))
     even = F.col("path") + (F.col("next.path") - F.col("path")) * share
     return rows.withColumn("path", F.when(F.col("knot"), F.col("path")).otherwise(even)).select(*df.columns, "path", "valid")
@@ -119,9 +119,9 @@ def interval_speed(paths: DataFrame, intervals: DataFrame, by: list[str], least:
     or less than `least` of their time is valid."""
     ends = intervals.select(*by, "id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("start").alias("t")), F.struct(F.lit(1).alias("side"), F.col("end").alias("t")))).alias("e")).select(*by, "id", "e.side", "e.t")
     known = paths.select(*by, "t", F.struct("t", "path", "valid").alias("s"))
-    w = Window.partitionBy(*by).orderBy("t")
+    w, later = Window.partitionBy(*by).orderBy("t"), Window.partitionBy(*by).orderBy(F.desc("t"))
     both = ends.withColumn("asked", F.lit(True)).unionByName(known, allowMissingColumns=True)
-    both = both.withColumns({"a": F.last("s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "b": F.first("s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))}).filter("asked")
+    both = both.withColumns({"a": F.last("s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "b": F.last("s", ignorenulls=True).over(later.rangeBetween(Window.unboundedPreceding, 0))}).filter("asked")
     share = F.coalesce(F.try_divide(F.col("t") - F.col("a.t"), F.col("b.t") - F.col("a.t")), F.lit(0.0))
     at = lambda c: F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * share
     both = both.withColumns({"path": at("path"), "valid": at("valid")})
@@ -137,8 +137,8 @@ def slerp_at(samples: DataFrame, times: DataFrame, by: list[str], most_gap: floa
     q = ["qx", "qy", "qz", "qw"]
     s = samples.select(*by, "t", F.struct("t", *q).alias("s"))
     both = times.select(*by, "t").withColumn("asked", F.lit(True)).unionByName(s, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("t")
-    out = both.withColumns({"a": F.last("s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "b": F.first("s", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))}).filter("asked")
+    w, later = Window.partitionBy(*by).orderBy("t"), Window.partitionBy(*by).orderBy(F.desc("t"))
+    out = both.withColumns({"a": F.last("s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "b": F.last("s", ignorenulls=True).over(later.rangeBetween(Window.unboundedPreceding, 0))}).filter("asked")
     share = F.coalesce(F.try_divide(F.col("t") - F.col("a.t"), F.col("b.t") - F.col("a.t")), F.lit(0.0))
     raw = g.dot([F.col(f"a.{c}") for c in q], [F.col(f"b.{c}") for c in q])
     sign = F.when(raw < 0, -1.0).otherwise(1.0)

@@ -13,6 +13,27 @@ from tandem.sources import fixtures as fx
 DOUBLES = ", ".join(f"{c} double" for c in ("qx", "qy", "qz", "qw"))
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_window_reaches_to_the_end(spark):
+    """Spark adds a frame up to the last row anew for each row, which is square in a series."""
+    s = spark.createDataFrame([(1, k, k, float(k)) for k in range(9)], "g int, t long, idx long, v double")
+    q = spark.createDataFrame([(1, k, k % 3) for k in range(5)], "g int, t long, n int")
+    turns = spark.createDataFrame([(1, float(k), 0.0, 0.0, 0.0, 1.0) for k in range(5)], f"g int, t double, {DOUBLES}")
+    f = s.withColumn("frame", F.col("t"))
+    asked = turns.selectExpr("g", "t AS id", "t AS start", "t + 1 AS end")
+    flags = f.selectExpr("g", "frame", "v > 3 AS verified", "v > 5 AS on")
+    events = spark.createDataFrame([(1, 1, 2, 3)], "g int, iv int, start_frame int, end_frame int")
+    made = [
+        align.asof_nearest(q, s, ["g"], 2), align.borrow_nearest(q.withColumn("n", F.expr("nullif(n, 1)")), ["g"], "n", 2), sequence.time_to_next(flags, ["g"], "on", 4), sequence.nonmonotone(f, ["g"], "v"),
+        motion.interval_speed(motion.angular_path(turns, ["g"], 2.0), asked, ["g"]), motion.slerp_at(turns, turns.select("g", "t"), ["g"], 2.0),
+        scopes.plan_contexts(events, flags, ["g"], (2, 1)),
+    ]
+    assert not [p for p in map(plan_of, made) if "unboundedfollowing" in p.lower()]
+
+
 def test_repeated_tracks_divide_by_nothing(spark):
     rows = [(0, "a", 1, 1, 0.0), (0, "a", 1, 1, 1.0), (0, "b", 1, 2, 0.0)]
     out = pr.view_cooccurrence(spark.createDataFrame(rows, "g int, stream string, frame int, track int, x double"), ["g"], "a", "b", 1)
