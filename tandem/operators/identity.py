@@ -102,11 +102,23 @@ def cross_view(tracks: DataFrame, looks: DataFrame, by: list[str], a: str, b: st
     )
 
 
+#: Up to this many columns plain numbers are faster than arrays.
+FEW = 48
+
+
 def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
     """The one-to-one assignment of rows to columns at least total cost: each row in turn finds the cheapest chain of changes,
     by prices of rows and columns that keep every reduced cost at 0 or more."""
     turned = cost.shape[0] > cost.shape[1]
     c = cost.T if turned else cost
+    m = c.shape[1]
+    owner = _owners_of_few(c.tolist(), m) if m <= FEW else _owners(c)
+    pairs = [(int(owner[j]), j) for j in range(m) if owner[j] >= 0]
+    return sorted((j, i) if turned else (i, j) for i, j in pairs)
+
+
+def _owners(c: np.ndarray) -> np.ndarray:
+    """The row of each column or -1, and one number more."""
     n, m = c.shape
     row_price, col_price = np.zeros(n), np.zeros(m + 1)
     owner = np.full(m + 1, -1)  # the row of each column; the last one is where a row begins
@@ -126,23 +138,69 @@ def least_cost(cost: np.ndarray) -> list[tuple[int, int]]:
             at = nearest
         while at != m:
             owner[at], at = owner[came[at]], came[at]
-    pairs = [(int(owner[j]), j) for j in range(m) if owner[j] >= 0]
-    return sorted((j, i) if turned else (i, j) for i, j in pairs)
+    return owner
+
+
+def _owners_of_few(c: list[list[float]], m: int) -> list[int]:
+    """The same, column by column."""
+    row_price, col_price = [0.0] * len(c), [0.0] * (m + 1)
+    owner = [-1] * (m + 1)
+    for row in range(len(c)):
+        owner[m], at = row, m
+        slack, came, free, done = [float("inf")] * m, [m] * m, list(range(m)), []
+        while owner[at] >= 0:
+            done.append(at)
+            if at < m:
+                free.remove(at)
+            costs, price = c[owner[at]], row_price[owner[at]]
+            nearest, step = 0, float("inf")
+            for j in free:
+                reduced = costs[j] - price - col_price[j]
+                if reduced < slack[j]:
+                    slack[j], came[j] = reduced, at
+                if slack[j] < step:
+                    nearest, step = j, slack[j]
+            for j in done:
+                row_price[owner[j]] += step
+                col_price[j] -= step
+            for j in free:
+                slack[j] -= step
+            at = nearest
+        while at != m:
+            owner[at], at = owner[came[at]], came[at]
+    return owner
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of each of some boxes with each of others."""
+    a, b = a[:, None], b[None]
+    side = np.maximum(np.minimum(a[..., 2:], b[..., 2:]) - np.maximum(a[..., :2], b[..., :2]), 0.0)
+    shared = side[..., 0] * side[..., 1]
+    union = (a[..., 2] - a[..., 0]) * (a[..., 3] - a[..., 1]) + (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1]) - shared
+    return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+
+
+def looks_all_apart(a: list[np.ndarray | None], b: list[np.ndarray | None]) -> np.ndarray:
+    """Bhattacharyya distance of each of some histograms from each of others, 0.5 where one is unknown or empty."""
+    out = np.full((len(a), len(b)), 0.5)
+    rows, cols = ([k for k, h in enumerate(side) if h is not None] for side in (a, b))
+    if rows and cols:
+        x, y = np.array([a[k] for k in rows])[:, None], np.array([b[k] for k in cols])[None]
+        size_x, size_y = x.sum(-1), y.sum(-1)
+        some = (size_x > 0) & (size_y > 0)
+        close = np.divide(np.sqrt(x * y).sum(-1), np.sqrt(np.where(some, size_x * size_y, 1.0)))
+        out[np.ix_(rows, cols)] = np.where(some, np.sqrt(np.maximum(0.0, 1 - close)), 0.5)
+    return out
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Intersection over union of two boxes."""
-    w, h = np.minimum(a[2:], b[2:]) - np.maximum(a[:2], b[:2])
-    shared = max(0.0, w) * max(0.0, h)
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared
-    return shared / union if union > 0 else 0.0
+    """`overlaps` of two boxes."""
+    return float(overlaps(a[None], b[None])[0, 0])
 
 
 def looks_apart(a: np.ndarray | None, b: np.ndarray | None) -> float:
-    """Bhattacharyya distance of two histograms, 0.5 where one is unknown or empty."""
-    if a is None or b is None or a.sum() <= 0 or b.sum() <= 0:
-        return 0.5
-    return float(np.sqrt(max(0.0, 1 - np.sqrt(a * b).sum() / np.sqrt(a.sum() * b.sum()))))
+    """`looks_all_apart` of two histograms."""
+    return float(looks_all_apart([a], [b])[0, 0])
 
 
 def link_tracks(
@@ -173,8 +231,8 @@ def link_tracks(
             alive = [t for t in alive if now - t["seen"] <= memory]
             taken: dict[int, dict] = {}
             if alive:
-                ahead = [t["box"] + t["velocity"] * min(now - t["seen"], most_ahead) for t in alive]
-                cost = np.array([[weights[0] * (1 - overlap(e, corners[k])) + weights[1] * looks_apart(t["look"], looks[k]) for k in range(low, high)] for t, e in zip(alive, ahead, strict=True)])
+                ahead = np.array([t["box"] for t in alive]) + np.array([t["velocity"] for t in alive]) * np.array([[min(now - t["seen"], most_ahead)] for t in alive])
+                cost = weights[0] * (1 - overlaps(ahead, corners[low:high])) + weights[1] * looks_all_apart([t["look"] for t in alive], looks[low:high])
                 taken = {low + j: alive[i] for i, j in least_cost(cost) if cost[i, j] <= most_cost}
             for k in range(low, high):
                 t = taken.get(k)
@@ -189,11 +247,12 @@ def link_tracks(
                         t["look"] = looks[k] if t["look"] is None else (1 - learn_look) * t["look"] + learn_look * looks[k]
                     t["box"], t["seen"] = corners[k], now
                 owner[k] = t["id"]
-        out = pd.DataFrame({"frame": frames, "slot": part["slot"].to_numpy(), "id": owner})
-        long = out.groupby("id")["frame"].agg(["size", "min"]).reset_index()
-        long = long[long["size"] >= least].sort_values(["size", "min", "id"], ascending=[False, True, True]).head(most_tracks)
-        rank = {t: k for k, t in enumerate(long["id"])}
-        out = out[out["id"].isin(rank)]
-        return pd.DataFrame({**{c: [part[c].iloc[0]] * len(out) for c in by}, "frame": out["frame"], "slot": out["slot"], "track": out["id"].map(rank)})
+        ids, first, size = np.unique(owner, return_index=True, return_counts=True)
+        long = [t for t in np.lexsort((ids, frames[first], -size)) if size[t] >= least][:most_tracks]
+        rank = np.full(n, -1)
+        rank[ids[long]] = np.arange(len(long))
+        track = rank[owner]
+        kept = track >= 0
+        return pd.DataFrame({**{c: [part[c].iloc[0]] * int(kept.sum()) for c in by}, "frame": frames[kept], "slot": part["slot"].to_numpy()[kept], "track": track[kept]})
 
     return boxes.groupBy(*by).applyInPandas(fold, f"{schema}, frame long, slot int, track long")

@@ -1,10 +1,11 @@
 """What must hold on large tables, shown on small ones: no window that starts anew at each row, and no sum that overflows."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tandem.operators import align, motion, scopes, sensor, sequence
+from tandem.operators import align, identity, motion, scopes, sensor, sequence
 from tandem.operators import proposals as pr
 from tandem.operators import text as tx
 from tandem.plans import registry
@@ -99,3 +100,15 @@ def test_the_first_of_utterances_that_end_together(spark, tmp_path):
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
     got = {r["turn"]: r["last_turn"] for r in registry.queries()["last_utterance"](spark, str(tmp_path)).collect()}
     assert got == {1: None, 2: None, 3: 1} == {r[1]: r[2] for r in con.execute(registry.oracle_sql()["last_utterance"]).fetchall()}
+
+
+def test_few_columns_are_assigned_like_many_and_boxes_meet_all_at_once():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = sorted(rng.integers(1, 12, 2))
+        cost = np.round(rng.random((n, m)), rng.integers(0, 4))
+        assert identity._owners_of_few(cost.tolist(), m)[:m] == list(identity._owners(cost))[:m]
+    a, b = (np.sort(rng.integers(0, 9, (k, 4)).astype(float), 1) for k in (5, 7))
+    assert identity.overlaps(a, b).tolist() == [[identity.overlap(x, y) for y in b] for x in a]
+    looks = [None, np.zeros(3), *rng.random((4, 3))]
+    assert identity.looks_all_apart(looks, looks[1:]).tolist() == [[identity.looks_apart(x, y) for y in looks[1:]] for x in looks]
