@@ -94,20 +94,24 @@ def person_features(frames: DataFrame, by: list[str], fps: float, centre: tuple[
     return out.select(*by, "frame", *(values[c].alias(c) for c in PERSON))
 
 
-def proposal_features(a: DataFrame, b: DataFrame, together: DataFrame, by: list[str], windows: dict[str, int]) -> DataFrame:
+def proposal_features(a: DataFrame, b: DataFrame, together: DataFrame, by: list[str], windows: dict[str, int], digits: int | None = None) -> DataFrame:
     """by, frame, order and the features that proposals are trained on, once for each order of the two people (ab, ba).
 
     a, b: PERSON's columns per frame. together: head_distance and wrist_distance per frame, null where unknown; valid are frames
     with both and a wrist distance over 0. Behind every number come its mean, deviation and maximum over the last frames of
     each window (name to number of frames); before the first frame its value is repeated. With two windows these are
-    25 x 7 = 175 columns. All statistics of a recording share one sort.
+    25 x 7 = 175 columns. All statistics of a recording share one sort, are made (and rounded to `digits`) once for both orders,
+    and are made where people are dealt by series: these meet in groups there, without a join by frame.
     """
     known = {c: F.when(_finite(F.col(c)), F.col(c)) for c in TOGETHER[:2]}
     valid = F.coalesce(known["head_distance"].isNotNull() & (known["wrist_distance"] > 0), F.lit(False)).cast("double")
     apart = together.select(*by, "frame", *(F.coalesce(v, F.lit(0.0)).alias(c) for c, v in known.items()), valid.alias("distance_valid"))
     side = lambda df, p: df.select(*by, "frame", *(F.col(c).alias(f"{p}_{c}") for c in PERSON))
     base = [*(f"{p}_{c}" for p in "ab" for c in PERSON), *TOGETHER]
-    rows = side(a, "a").join(side(b, "b"), [*by, "frame"]).join(apart, [*by, "frame"], "left").na.fill(0.0, list(TOGETHER))
+    parts = [df.withColumn(f"_{n}", F.lit(True)) for n, df in (("a", side(a, "a")), ("b", side(b, "b")), ("apart", apart))]
+    met = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).dropna(subset=[*by, "frame"])
+    met = met.groupBy(*by, "frame").agg(*(F.max(c).alias(c) for c in (*base, "_a", "_b"))).filter("_a AND _b").drop("_a", "_b")
+    rows = met.na.fill(0.0, list(TOGETHER))
     start = over(by).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.select("*", *(F.first(c).over(start).alias(f"_first_{c}") for c in base))
     sums, values, out = {}, {}, [*base]
@@ -121,10 +125,11 @@ def proposal_features(a: DataFrame, b: DataFrame, together: DataFrame, by: list[
             values |= {f"{c}_mean_{name}": mean, f"{c}_std_{name}": F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))), f"{c}_max_{name}": F.col(f"{c}_max_{name}")}
         out += [f"{c}_{s}_{name}" for s in STATS for c in base]
     rows = rows.select("*", *(c.alias(n) for n, c in sums.items()))  # one pass for each width
-    rows = rows.select(*by, "frame", *base, *(values[c].alias(c) for c in out[len(base) :]))
+    exact = lambda c: c if digits is None else F.round(c, digits)
+    orders = F.explode(F.array(F.lit("ab"), F.lit("ba"))).alias("order")
+    rows = rows.select(*by, "frame", *(exact(values.get(c, F.col(c))).alias(c) for c in out)).select("*", orders)
     swapped = lambda c: {"a_": "b_", "b_": "a_"}.get(c[:2], c[:2]) + c[2:]
-    ab = rows.select(*by, "frame", F.lit("ab").alias("order"), *out)
-    return ab.unionByName(rows.select(*by, "frame", F.lit("ba").alias("order"), *(F.col(swapped(c)).alias(c) for c in out)))
+    return rows.select(*by, "frame", "order", *(F.when(F.col("order") == "ab", F.col(c)).otherwise(F.col(swapped(c))).alias(c) for c in out))
 
 
 def utterance_block(grid: DataFrame, utterances: DataFrame, by: list[str], size: int, fade: float, most: float) -> DataFrame:

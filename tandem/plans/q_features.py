@@ -91,8 +91,8 @@ def proposal_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """175 features of every frame for both orders of the two people."""
     p = features.person_features(_people(spark, sf_dir), ["recording_id", "role"], 9.973, (0.5137, 0.3071))
     apart = fx.frames(spark, sf_dir, 6).groupBy("recording_id", "frame").agg(F.max(F.when(F.col("role") == 0, F.col("val"))).alias("head_distance"), F.max(F.when(F.col("role") == 1, F.col("n").cast("double"))).alias("wrist_distance"))
-    out = features.proposal_features(p.filter("role = 0").drop("role"), p.filter("role = 1").drop("role"), apart, ID, {"1s": 4, "3s": 9})
-    return out.select("recording_id", "frame", "order", *(F.round(c, 4).alias(c) for c in _ALL))
+    out = features.proposal_features(p.filter("role = 0").drop("role"), p.filter("role = 1").drop("role"), apart, ID, {"1s": 4, "3s": 9}, 4)
+    return out.select("recording_id", "frame", "order", *_ALL)
 
 
 @query(sql("words", """u AS (SELECT recording_id, role, max("end") AS t, turn AS idx, [count(*) / 10.0, CAST(turn AS DOUBLE)] AS v FROM words GROUP BY recording_id, role, turn),
