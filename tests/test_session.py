@@ -1,8 +1,14 @@
 """Handovers, minutes and reports with known answers."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+from tandem.functions import scalar
 from tandem.operators import session
+from tandem.operators.intervals import dealt
+from tandem.operators.sequence import cross_correlation
 
 TEN = session.SessionRule(fps=10.0, still=0.1, floor=0.05, lead=15, base=30, ahead=60, run=2, lag=20, pad=10, idle=20)
 
@@ -70,3 +76,31 @@ def test_the_report_adds_up(spark):
     speech = spark.createDataFrame([(1, 0, f, f < 300) for f in range(1300)], "g int, role int, frame int, speaking boolean")
     minutes = {m["minute"]: m for m in session.session_minutes(hand, speed, speech, ["g"], TEN).collect()}
     assert {k: m["handovers"] for k, m in minutes.items()} == {0: 2, 1: 1, 2: 0} and minutes[0]["speech"] == 0.5 and minutes[2]["idle"] == 1.0 and minutes[0]["visible"] == 1.0
+
+
+def test_frames_of_handovers_stay_where_they_are_dealt(spark):
+    """Frames were shuffled by recording and frame five times, and joined to each event's and to each lag's."""
+    speed = dealt(series(spark, moving(150, 170), moving(156, 176)), ["g"])
+    plan = session.handover_metrics(events(spark, (1, 1, 150, 180, 0, 1)), speed, dealt(distances(spark, [0.5] * 300), ["g"]), ["g"], TEN)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+?)#", plan)) == {"g"} and not re.search(r"Exchange hashpartitioning\(g#\w+, [a-z]", plan)
+    assert plan.count("Join") == 1  # events with what is known of the whole recording
+
+
+def test_missing_frames_keep_their_place(spark):
+    """Frames 105 to 109 and all of the second person's from 130 on are gone; an event without a frame of its own is dropped."""
+    speed = series(spark, moving(100, 120), moving(102, 122)).filter("NOT frame BETWEEN 105 AND 109 AND NOT (role = 1 AND frame >= 130)")
+    got = {r["iv"]: r for r in session.handover_metrics(events(spark, (1, 1, 100, 125, 0, 1), (1, 2, 105, 109, 0, 1), (2, 3, 100, 125, 0, 1)), speed, distances(spark), ["g"], TEN).collect()}
+    assert list(got) == [1] and got[1]["synchrony"] == pytest.approx(1.0) and got[1]["synchrony_lag"] == pytest.approx(0.2)
+    assert (got[1]["reach_onset"], got[1]["response"], got[1]["transfer"]) == (0.0, pytest.approx(0.2), pytest.approx(2.0))
+
+
+def test_best_lag_is_cross_correlation(spark):
+    a = [None if f % 7 == 3 else float(f * 37 % 23) for f in range(40)]
+    b = [None if f % 11 == 5 else float((f - 3) * 37 % 23 + f % 3) for f in range(40)]
+    rows = [(1, a, b), (2, [1.0] * 9, b[:9]), (3, [1.0, None, 2.0], [None, 5.0, 4.0]), (4, [], []), (5, [1.0, 2.0, 4.0, 1.0, 2.0, 4.0, 1.0], [1.0, 2.0, 4.0, 1.0, 2.0, 4.0, 1.0])]
+    df = spark.createDataFrame(rows, "g int, a array<double>, b array<double>")
+    got = {r["g"]: (r["k"]["r"], r["k"]["lag"]) if r["k"] else (None, None) for r in df.select("g", scalar.best_lag(F.col("a"), F.col("b"), 5, 3).alias("k")).collect()}
+    frames = df.select("g", F.posexplode(F.arrays_zip("a", "b")).alias("frame", "v")).select("g", "frame", "v.a", "v.b")
+    want = {r["g"]: (r["r"], r["lag"]) for r in cross_correlation(frames, ["g"], "a", "b", 5, 3).collect()}
+    assert got.pop(4) == (None, None) and got == {g: (r if r is None else pytest.approx(r), k) for g, (r, k) in want.items()}
+    assert got[5][1] == 0 and got[2] == (None, None) and got[1][1] == 3
