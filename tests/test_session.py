@@ -79,7 +79,7 @@ def test_the_report_adds_up(spark):
 
 
 def test_frames_of_handovers_stay_where_they_are_dealt(spark):
-    """Frames were shuffled by recording and frame five times, and joined to each event's and to each lag's."""
+    """Frames were shuffled by recording and frame to be joined to each event's, and these again to each lag's."""
     speed = dealt(series(spark, moving(150, 170), moving(156, 176)), ["g"])
     plan = session.handover_metrics(events(spark, (1, 1, 150, 180, 0, 1)), speed, dealt(distances(spark, [0.5] * 300), ["g"]), ["g"], TEN)._jdf.queryExecution().executedPlan().toString()
     assert set(re.findall(r"Exchange hashpartitioning\((\w+?)#", plan)) == {"g"} and not re.search(r"Exchange hashpartitioning\(g#\w+, [a-z]", plan)
