@@ -213,7 +213,9 @@ SELECT c.grp, track_a, track_b, n, round(n / (u.size + v.size - n), 6) AS ratio,
 JOIN z u ON u.grp = c.grp AND u.stream = 'a' AND u.track = track_a JOIN z v ON v.grp = c.grp AND v.stream = 'b' AND v.track = track_b WHERE n >= 3"""))
 def view_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = fx.boxes(spark, sf_dir).selectExpr("frame div 50 AS grp", "if(slot % 2 = 0, 'b', 'a') AS stream", "frame", "slot AS track", "x0 AS x")
-    return _rounded(pr.view_cooccurrence(tracks, ["grp"], "a", "b", 3), "ratio", "rank_agreement")
+    out = pr.view_cooccurrence(tracks, ["grp"], "a", "b", 3)
+    # as DuckDB rounds: the product with a million, whose half may lie a little beside that of the decimal digits
+    return out.withColumns({c: F.round(F.col(c) * 1e6, 0) / 1e6 for c in ("ratio", "rank_agreement")})
 
 
 BONES = [(5, 7, 0.3), (7, 9, 0.25), (6, 8, 0.3), (8, 10, 0.25), (11, 13, 0.4), (13, 15, 0.4)]
