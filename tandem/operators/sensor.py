@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tandem.functions import geometry as g
 
 from .graph import settled
-from .motion import angular_path, interval_speed
+from .motion import angular_path
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,30 @@ class ClockRule:
         return round(self.most_lag / self.step)
 
 
+#: A unit of a clock's test has so many lags of a recording at most, and so many values of them at once.
+LAGS_A_UNIT, VALUES_AT_ONCE = 64, 2**20
+
+
+def turned(x: np.ndarray, ys: np.ndarray, low: int, n_null: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ys its correlation with x, and those with x turned in a circle, n_null times at most, evenly from `low`
+    to as much less than all. Rows of NaN where a side is flat. All turns of a row cost one Fourier transform."""
+    n = len(x)
+    turns = np.unique(low + (n - 2 * low) * np.arange(n_null) // max(1, n_null - 1)) if n > 2 * low else np.zeros(0, int)
+    sd = ys.std(axis=1)
+    flat = ~(sd > 1e-12) | ~(x.std() > 1e-12)
+    with np.errstate(all="ignore"):
+        a, b = (x - x.mean()) / x.std(), (ys - ys.mean(axis=1, keepdims=True)) / sd[:, None]
+        around = np.fft.irfft(np.conj(np.fft.rfft(a)) * np.fft.rfft(b, axis=1), n, axis=1) / n  # at s: with x turned by s
+    around[flat] = np.nan
+    return around[:, 0], around[:, turns]
+
+
+def _apart(df: DataFrame, unit: list[str]) -> DataFrame:
+    """df dealt by unit. Little data, much work: a number of partitions that is asked for isn't made smaller."""
+    session = df.sparkSession
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism), *unit)
+
+
 def shift_scores(rows: DataFrame, by: list[str], schema: str, least_shift: Column, n_null: int) -> DataFrame:
     """by, lag, n, r and null: at each lag the correlation of x and y over a group's k, and those of x turned in a circle.
 
@@ -49,24 +75,16 @@ def shift_scores(rows: DataFrame, by: list[str], schema: str, least_shift: Colum
     """
 
     def score(x: np.ndarray, y: np.ndarray, low: int) -> tuple[int, float | None, list[float] | None]:
-        n = len(x)
-        if not (x.std() > 1e-12 and y.std() > 1e-12):
-            return n, None, None
-        a, b = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
-        around = np.fft.irfft(np.conj(np.fft.rfft(a)) * np.fft.rfft(b), n) / n  # at s: with x turned by s
-        turns = np.unique(low + (n - 2 * low) * np.arange(n_null) // max(1, n_null - 1)) if n > 2 * low else np.zeros(0, int)
-        return n, float(around[0]), around[turns].tolist()
+        r, null = turned(x, y[None], low, n_null)
+        return (len(x), float(r[0]), null[0].tolist()) if np.isfinite(r[0]) else (len(x), None, None)
 
     def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = [score(np.asarray(x, float), np.asarray(y, float), int(low)) for x, y, low in zip(part["x"], part["y"], part["low"], strict=True)]
             yield part[[*by, "lag"]].join(pd.DataFrame(found, columns=["n", "r", "null"], index=part.index).astype({"r": object}))
 
-    session = rows.sparkSession
-    wide = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
     series = F.sort_array(F.collect_list(F.struct("k", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))))
-    # little data, much work: a number of partitions that is asked for isn't made smaller
-    given = rows.withColumn("low", least_shift).repartition(wide, *by, "lag").groupBy(*by, "lag").agg(series.alias("s"), F.first("low").alias("low"))
+    given = _apart(rows.withColumn("low", least_shift), [*by, "lag"]).groupBy(*by, "lag").agg(series.alias("s"), F.first("low").alias("low"))
     given = given.select(*by, "lag", "s.x", "s.y", "low")
     return given.mapInPandas(scored, f"{schema}, lag int, n int, r double, null array<double>")
 
@@ -117,6 +135,73 @@ def judged(tests: DataFrame, rule: ClockRule) -> DataFrame:
     return tests.withColumn("reason", fails).withColumn("status", F.when(F.size("reason") == 0, "estimated").otherwise("unsynced"))
 
 
+def _moved(a: np.ndarray, b: np.ndarray, lags: np.ndarray, t: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]]]:
+    """Some lags at a time: which, the intervals' starts and ends less each lag, and what a sum over t gains in them."""
+    some = max(1, VALUES_AT_ONCE // max(1, len(a)))
+    for k in range(0, len(lags), some):
+        start, end = (v - lags[k : k + some, None] for v in (a, b))
+        gain = lambda s, start=start, end=end: np.interp(end, t, s) - np.interp(start, t, s)
+        yield slice(k, k + some), start, end, gain
+
+
+def clock_scores(frames: DataFrame, paths: DataFrame, by: list[str], key: list[str], schema: str, rule: ClockRule) -> DataFrame:
+    """by, key, lag, n, r and null as of `shift_scores`, for each group of frames (by and key; k, a, b, motion) against its series'
+    turning path (by; t, path, valid): roots of motion and of the mean turning speed from a to b, less each lag.
+
+    Only frames count whose time is covered at every lag, and only groups that have enough of them. A series meets its path
+    once; some lags of it are one unit of work, so that what is written grows with the frames, not with frames times lags.
+    `lag_test` takes each turn's best over all lags: a unit's best stand at its first lag with r, and the others have none.
+    """
+    every, units = np.arange(-rule.lags, rule.lags + 1), -(-(2 * rule.lags + 1) // LAGS_A_UNIT)
+    lags_of = lambda unit: every[LAGS_A_UNIT * unit : LAGS_A_UNIT * (unit + 1)]
+    numbers = lambda part, *cols: zip(*([np.asarray(v, float) for v in part[c]] for c in cols), strict=True)
+
+    def covered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            bits = []
+            for unit, (a, b, t, path, valid) in zip(part["unit"], numbers(part, "a", "b", "t", "path", "valid"), strict=True):
+                ok = np.ones(len(a), bool)
+                for _, start, end, gain in _moved(a, b, lags_of(unit) * rule.step, t):
+                    ok &= ((start >= t[0]) & (end <= t[-1]) & (gain(valid) / (end - start) >= rule.least_valid) & np.isfinite(gain(path))).all(axis=0)
+                bits.append(np.packbits(ok).tobytes())
+            yield part[by].assign(ok=bits)
+
+    def tested(a: np.ndarray, b: np.ndarray, motion: np.ndarray, t: np.ndarray, path: np.ndarray, lags: np.ndarray) -> list[tuple]:
+        """lag, n, r, null of a group's covered frames; nothing if they are too few."""
+        low = int(np.ceil(max(rule.least_shift, 2 * rule.most_lag) / np.median(b - a))) if len(a) else 0
+        if len(a) < max(rule.least_frames, 4 * low, 1):
+            return []
+        r, best = np.full(len(lags), np.nan), None
+        for some, start, end, gain in _moved(a, b, lags * rule.step, t):
+            r[some], null = turned(np.sqrt(motion), np.sqrt(np.maximum(gain(path) / (end - start), 0)), low, rule.n_null)
+            best = np.fmax.reduce([*([] if best is None else [best]), *null])
+        first = int(np.argmax(np.isfinite(r)))
+        return [(int(lag), len(a), float(c) if np.isfinite(c) else None, best.tolist() if k == first and np.isfinite(c) else []) for k, (lag, c) in enumerate(zip(lags, r, strict=True))]
+
+    def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            names = list(zip(*(part[c] for c in by), strict=True))
+            keys = list(zip(*(part[f"in_{c}"] for c in key), strict=True)) or [()] * len(part)
+            for name, of, bits, unit, (a, b, motion, t, path) in zip(names, keys, part["ok"], part["unit"], numbers(part, "a", "b", "motion", "t", "path"), strict=True):
+                ok = np.unpackbits(np.bitwise_and.reduce([np.frombuffer(x, np.uint8) for x in bits]), count=len(a)).astype(bool)
+                new = reduce(np.logical_or, [np.asarray(v)[1:] != np.asarray(v)[:-1] for v in of], np.zeros(len(a) - 1, bool))
+                starts = [0, *(np.flatnonzero(new) + 1)]
+                for start, end in zip(starts, [*starts[1:], len(a)], strict=True):
+                    at = start + np.flatnonzero(ok[start:end])
+                    rows += [(*name, *(v[start] for v in of), *x) for x in tested(a[at], b[at], motion[at], t, path, lags_of(unit))]
+            yield pd.DataFrame(rows, columns=[*by, *key, "lag", "n", "r", "null"]).astype({"r": object})
+
+    frame, sample = F.struct(*key, "k", "a", "b", "motion"), F.struct("t", "path", "valid")
+    given = frames.groupBy(*by).agg(F.sort_array(F.collect_list(frame)).alias("f"))
+    given = given.join(paths.filter("t IS NOT NULL").groupBy(*by).agg(F.sort_array(F.collect_list(sample)).alias("s")), by)
+    given = settled(given.select(*by, *(F.col(f"f.{c}").alias(f"in_{c}") for c in key), "f.a", "f.b", "f.motion", "s.t", "s.path", "s.valid"))
+    parts = lambda df: _apart(df.withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(units - 1)))), [*by, "unit"])
+    names = StructType([*given.select(*by).schema.fields, StructField("ok", BinaryType())])
+    bits = parts(given.select(*by, "a", "b", "t", "path", "valid")).mapInPandas(covered, names).groupBy(*by).agg(F.collect_list("ok").alias("ok"))
+    return parts(given.drop("valid").join(bits, by)).mapInPandas(scored, f"{schema}, lag int, n int, r double, null array<double>")
+
+
 def clock_offsets(frames: DataFrame, paths: DataFrame, by: list[str], key: list[str], schema: str, rule: ClockRule) -> DataFrame:
     """The judged lag test of each group of frames (by and key; t, motion) against its series' turning paths (by).
 
@@ -126,19 +211,7 @@ def clock_offsets(frames: DataFrame, paths: DataFrame, by: list[str], key: list[
     group = [*by, *key]
     w = Window.partitionBy(*group).orderBy("t")
     known = frames.filter("t IS NOT NULL").withColumns({"a": F.lag("t").over(w), "k": F.row_number().over(w)}).filter("t > a AND motion >= 0 AND NOT isnan(motion)")
-    lags = F.explode(F.sequence(F.lit(-rule.lags), F.lit(rule.lags))).alias("lag")
-    asked = known.select(*group, "k", "a", F.col("t").alias("b"), "motion", lags)
-    part = F.struct(*key, "k", "lag")
-    asked = asked.withColumns({"id": part, "start": F.col("a") - F.col("lag") * rule.step, "end": F.col("b") - F.col("lag") * rule.step})
-    speeds = interval_speed(paths, asked.select(*by, "id", "start", "end"), by, rule.least_valid).select(*by, *(F.col(f"id.{c}").alias(c) for c in (*key, "k", "lag")), "speed")
-    speeds = settled(speeds)
-    covered = speeds.groupBy(*group, "k").agg(F.count("speed").alias("m")).filter(F.col("m") == 2 * rule.lags + 1)
-    good = known.join(covered.select(*group, "k"), [*group, "k"])
-    shift = good.groupBy(*group).agg(F.ceil(F.greatest(F.lit(rule.least_shift), F.lit(2 * rule.most_lag)) / F.percentile(F.col("t") - F.col("a"), F.lit(0.5))).alias("low"), F.count(F.lit(1)).alias("frames"))
-    enough = shift.filter(F.col("frames") >= F.greatest(F.lit(rule.least_frames), 4 * F.col("low")))
-    rows = good.join(enough.drop("frames"), group).select(*group, "k", "motion", F.col("low").alias("turn")).join(speeds, [*group, "k"])
-    rows = rows.select(*group, "k", "lag", F.sqrt("motion").alias("x"), F.sqrt("speed").alias("y"), "turn")
-    scores = settled(shift_scores(rows, group, schema, F.col("turn"), rule.n_null))
+    scores = settled(clock_scores(known.withColumnRenamed("t", "b"), paths, by, key, schema, rule))
     return judged(lag_test(scores, group), rule).withColumn("offset", F.col("fine") * rule.step)
 
 
