@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -43,21 +43,12 @@ class ClockRule:
 
 
 #: A unit of a clock's test has so many lags of a recording at most, and so many values of them at once.
-LAGS_A_UNIT, VALUES_AT_ONCE = 64, 2**20
+LAGS_A_UNIT, VALUES_AT_ONCE = 64, 2**18
 
 
-def turned(x: np.ndarray, ys: np.ndarray, low: int, n_null: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row of ys its correlation with x, and those with x turned in a circle, n_null times at most, evenly from `low`
-    to as much less than all. Rows of NaN where a side is flat. All turns of a row cost one Fourier transform."""
-    n = len(x)
-    turns = np.unique(low + (n - 2 * low) * np.arange(n_null) // max(1, n_null - 1)) if n > 2 * low else np.zeros(0, int)
-    sd = ys.std(axis=1)
-    flat = ~(sd > 1e-12) | ~(x.std() > 1e-12)
-    with np.errstate(all="ignore"):
-        a, b = (x - x.mean()) / x.std(), (ys - ys.mean(axis=1, keepdims=True)) / sd[:, None]
-        around = np.fft.irfft(np.conj(np.fft.rfft(a)) * np.fft.rfft(b, axis=1), n, axis=1) / n  # at s: with x turned by s
-    around[flat] = np.nan
-    return around[:, 0], around[:, turns]
+def _turns(n: int, low: int, most: int) -> np.ndarray:
+    """By how much a series of n is turned in a circle: `most` ways at most, evenly from `low` to as much less than n."""
+    return np.unique(low + (n - 2 * low) * np.arange(most) // max(1, most - 1)) if n > 2 * low else np.zeros(0, int)
 
 
 def _apart(df: DataFrame, unit: list[str]) -> DataFrame:
@@ -75,8 +66,12 @@ def shift_scores(rows: DataFrame, by: list[str], schema: str, least_shift: Colum
     """
 
     def score(x: np.ndarray, y: np.ndarray, low: int) -> tuple[int, float | None, list[float] | None]:
-        r, null = turned(x, y[None], low, n_null)
-        return (len(x), float(r[0]), null[0].tolist()) if np.isfinite(r[0]) else (len(x), None, None)
+        n = len(x)
+        if not (x.std() > 1e-12 and y.std() > 1e-12):
+            return n, None, None
+        a, b = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
+        around = np.fft.irfft(np.conj(np.fft.rfft(a)) * np.fft.rfft(b), n) / n  # at s: with x turned by s
+        return n, float(around[0]), around[_turns(n, low, n_null)].tolist()
 
     def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -135,13 +130,18 @@ def judged(tests: DataFrame, rule: ClockRule) -> DataFrame:
     return tests.withColumn("reason", fails).withColumn("status", F.when(F.size("reason") == 0, "estimated").otherwise("unsynced"))
 
 
-def _moved(a: np.ndarray, b: np.ndarray, lags: np.ndarray, t: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]]]:
-    """Some lags at a time: which, the intervals' starts and ends less each lag, and what a sum over t gains in them."""
-    some = max(1, VALUES_AT_ONCE // max(1, len(a)))
-    for k in range(0, len(lags), some):
-        start, end = (v - lags[k : k + some, None] for v in (a, b))
-        gain = lambda s, start=start, end=end: np.interp(end, t, s) - np.interp(start, t, s)
-        yield slice(k, k + some), start, end, gain
+def _moved(a: np.ndarray, b: np.ndarray, lags: np.ndarray, t: np.ndarray, *sums: np.ndarray) -> Iterator[tuple]:
+    """Some intervals from a to b at a time: which, and for each lag (a row) their starts and ends less it, and what each of the sums
+    over t gains in them. Most ends are the next one's start: each time is looked up once."""
+    some = max(1, VALUES_AT_ONCE // len(lags))
+    for k in range(0, len(a), some):
+        part = slice(k, k + some)
+        times, where = np.unique(np.concatenate([a[part], b[part]]), return_inverse=True)
+        first, last = np.split(where, 2)
+        x = times - lags[:, None]
+        near = slice(max(0, np.searchsorted(t, x.min(), "right") - 1), np.searchsorted(t, x.max(), "left") + 1)
+        at = (np.interp(x.ravel(), t[near], s[near]).reshape(x.shape) for s in sums)
+        yield part, x[:, first], x[:, last], *(v[:, last] - v[:, first] for v in at)
 
 
 def clock_scores(frames: DataFrame, paths: DataFrame, by: list[str], key: list[str], schema: str, rule: ClockRule) -> DataFrame:
@@ -160,23 +160,34 @@ def clock_scores(frames: DataFrame, paths: DataFrame, by: list[str], key: list[s
         for part in parts:
             bits = []
             for unit, (a, b, t, path, valid) in zip(part["unit"], numbers(part, "a", "b", "t", "path", "valid"), strict=True):
-                ok = np.ones(len(a), bool)
-                for _, start, end, gain in _moved(a, b, lags_of(unit) * rule.step, t):
-                    ok &= ((start >= t[0]) & (end <= t[-1]) & (gain(valid) / (end - start) >= rule.least_valid) & np.isfinite(gain(path))).all(axis=0)
+                ok = np.zeros(len(a), bool)
+                for part_of, start, end, time, angle in _moved(a, b, lags_of(unit) * rule.step, t, valid, path):
+                    ok[part_of] = ((start >= t[0]) & (end <= t[-1]) & (time / (end - start) >= rule.least_valid) & np.isfinite(angle)).all(axis=0)
                 bits.append(np.packbits(ok).tobytes())
             yield part[by].assign(ok=bits)
 
     def tested(a: np.ndarray, b: np.ndarray, motion: np.ndarray, t: np.ndarray, path: np.ndarray, lags: np.ndarray) -> list[tuple]:
-        """lag, n, r, null of a group's covered frames; nothing if they are too few."""
-        low = int(np.ceil(max(rule.least_shift, 2 * rule.most_lag) / np.median(b - a))) if len(a) else 0
-        if len(a) < max(rule.least_frames, 4 * low, 1):
+        """lag, n, r, null of a group's covered frames; nothing if they are too few or motion is flat. Sums over the frames, some at
+        a time, of the product of speed at all lags with motion in all turns give the correlations."""
+        n, x = len(a), np.sqrt(motion)
+        low = int(np.ceil(max(rule.least_shift, 2 * rule.most_lag) / np.median(b - a))) if n else 0
+        if n < max(rule.least_frames, 4 * low, 1) or not x.std() > 1e-12:
             return []
-        r, best = np.full(len(lags), np.nan), None
-        for some, start, end, gain in _moved(a, b, lags * rule.step, t):
-            r[some], null = turned(np.sqrt(motion), np.sqrt(np.maximum(gain(path) / (end - start), 0)), low, rule.n_null)
-            best = np.fmax.reduce([*([] if best is None else [best]), *null])
-        first = int(np.argmax(np.isfinite(r)))
-        return [(int(lag), len(a), float(c) if np.isfinite(c) else None, best.tolist() if k == first and np.isfinite(c) else []) for k, (lag, c) in enumerate(zip(lags, r, strict=True))]
+        x = np.tile((x - x.mean()) / x.std(), 2)
+        turns = [0, *_turns(n, low, rule.n_null)]
+        both, once, twice, usual = np.zeros((len(lags), len(turns))), 0.0, 0.0, None
+        for part, start, end, angle in _moved(a, b, lags * rule.step, t, path):
+            y = np.sqrt(np.maximum(angle / (end - start), 0))
+            usual = y.mean(axis=1, keepdims=True) if usual is None else usual
+            y -= usual
+            once, twice = once + y.sum(axis=1), twice + (y * y).sum(axis=1)
+            both += y @ np.stack([x[n - s + part.start :][: y.shape[1]] for s in turns]).T
+        sd = np.sqrt(np.maximum(twice / n - (once / n) ** 2, 0))
+        moves = sd > 1e-12
+        r = both[moves] / (n * sd[moves, None])
+        best = iter([r[:, 1:].max(axis=0).tolist()] if len(r) else [])
+        found = dict(zip(lags[moves].tolist(), r[:, 0].tolist(), strict=True))
+        return [(int(lag), n, found.get(int(lag)), next(best, []) if int(lag) in found else []) for lag in lags]
 
     def scored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -194,7 +205,7 @@ def clock_scores(frames: DataFrame, paths: DataFrame, by: list[str], key: list[s
 
     frame, sample = F.struct(*key, "k", "a", "b", "motion"), F.struct("t", "path", "valid")
     given = frames.groupBy(*by).agg(F.sort_array(F.collect_list(frame)).alias("f"))
-    given = given.join(paths.filter("t IS NOT NULL").groupBy(*by).agg(F.sort_array(F.collect_list(sample)).alias("s")), by)
+    given = given.join(paths.filter("t IS NOT NULL AND NOT isnan(t)").groupBy(*by).agg(F.sort_array(F.collect_list(sample)).alias("s")), by)
     given = settled(given.select(*by, *(F.col(f"f.{c}").alias(f"in_{c}") for c in key), "f.a", "f.b", "f.motion", "s.t", "s.path", "s.valid"))
     parts = lambda df: _apart(df.withColumn("unit", F.explode(F.sequence(F.lit(0), F.lit(units - 1)))), [*by, "unit"])
     names = StructType([*given.select(*by).schema.fields, StructField("ok", BinaryType())])
@@ -210,7 +221,7 @@ def clock_offsets(frames: DataFrame, paths: DataFrame, by: list[str], key: list[
     """
     group = [*by, *key]
     w = Window.partitionBy(*group).orderBy("t")
-    known = frames.filter("t IS NOT NULL").withColumns({"a": F.lag("t").over(w), "k": F.row_number().over(w)}).filter("t > a AND motion >= 0 AND NOT isnan(motion)")
+    known = frames.filter("t IS NOT NULL").withColumns({"a": F.lag("t").over(w), "k": F.row_number().over(w)}).filter("t > a AND NOT isnan(t) AND motion >= 0 AND NOT isnan(motion)")
     scores = settled(clock_scores(known.withColumnRenamed("t", "b"), paths, by, key, schema, rule))
     return judged(lag_test(scores, group), rule).withColumn("offset", F.col("fine") * rule.step)
 
